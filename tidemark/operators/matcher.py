@@ -62,19 +62,20 @@ class _Prepared:
 
     def __init__(self, df: DataFrame, pattern: Pattern, partition_by, order_by,
                  show: Column | None, captures: Sequence[str], where_key: Column | None,
-                 on_ambiguity: str):
+                 on_ambiguity: str, carry: Sequence[str] = ()):
         self.table = StepTable(pattern, on_ambiguity)
         self.keys = _as_list(partition_by)
         self.orders = _as_list(order_by)
         if not self.orders:
             raise ValueError("order_by is required: a match needs a total order")
         self.captures = list(captures)
+        self.carry = [c for c in carry if c not in self.keys + self.orders]
         if where_key is not None:
             df = df.filter(where_key)  # safe: a key filter never changes adjacency
         if show is None:
             show = default_show(pattern)
         self.has_show = show is not None
-        sel = [F.col(c) for c in self.keys + self.orders]
+        sel = [F.col(c) for c in self.keys + self.orders + self.carry]
         sel.append(self.table.symbol_column().alias("_sym"))
         if self.has_show:
             sel.append(show.cast("string").alias("_show"))
@@ -98,7 +99,7 @@ class _Prepared:
 def match_events(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
                  show: Column | None = None, final: str = "ended",
                  on_ambiguity: str = "reference", where_key: Column | None = None,
-                 strategy: str = "auto") -> DataFrame:
+                 strategy: str = "auto", carry: Sequence[str] = ()) -> DataFrame:
     """One status row per event, plus one end-of-input row per key.
 
     Output: key columns, order columns, ``status`` (INCOMPLETE, SUCCESS,
@@ -111,17 +112,19 @@ def match_events(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     ``step`` = events of the open attempt.  ``final='complete'``: the end row
     completes the open attempt instead: SUCCESS if the pattern is nullable
     and no attempt is open, else FAILURE.  ``final='none'`` omits it.
+    ``carry`` columns ride along (NULL on end rows); keep them few.
     """
     if final not in ("ended", "complete", "none"):
         raise ValueError("final must be 'ended', 'complete' or 'none'")
     prep = _Prepared(df, pattern, partition_by, order_by, show, (), where_key,
-                     on_ambiguity)
+                     on_ambiguity, carry)
     schema = T.StructType(
-        [prep.field[c] for c in prep.keys + prep.orders] + STATUS_FIELDS)
+        [prep.field[c] for c in prep.keys + prep.orders + prep.carry] + STATUS_FIELDS)
     if strategy in ("auto", "block"):
         from tidemark.plans import blockscan
         return blockscan.run(prep, "events", schema, final=final, strategy=strategy)
-    fn = _events_kernel(prep.table, prep.keys, prep.orders, prep.has_show, final)
+    fn = _events_kernel(prep.table, prep.keys, prep.orders + prep.carry, prep.has_show,
+                        final)
     return prep.sorted().mapInPandas(fn, schema)
 
 

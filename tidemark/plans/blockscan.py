@@ -80,7 +80,8 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         else:
             part = d.repartition(1).sortWithinPartitions(*orders)
         if mode == "events":
-            fn = M._events_kernel(table, keys, orders, prep.has_show, final, blocks)
+            fn = M._events_kernel(table, keys, orders + prep.carry, prep.has_show, final,
+                                  blocks)
         else:
             fn = M._cut_kernel(table, keys, orders, prep.captures, list(cap_cols), blocks)
         return part.mapInPandas(fn, schema)
@@ -169,7 +170,7 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
                       *[markers[c] for c in markers.columns if c.startswith("_m_")])
               .sortWithinPartitions(*keys, "_blk", *orders))
     if mode == "events":
-        fn = M._events_kernel(table, keys, orders, prep.has_show, final, True)
+        fn = M._events_kernel(table, keys, orders + prep.carry, prep.has_show, final, True)
     else:
         fn = M._cut_kernel(table, keys, orders, prep.captures, list(cap_cols), True)
     hot_out = walked.mapInPandas(fn, schema)
