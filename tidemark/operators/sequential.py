@@ -44,14 +44,16 @@ def _keyed_rows(it, keys, cols):
 # ---------------------------------------------------------------------------
 
 def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
-                 order_by) -> DataFrame:
+                 order_by, final: str = "none") -> DataFrame:
     """Matches of ``S = open S close | empty`` under cut semantics.
 
     From the start an opening event climbs; the first closing event turns
     down; the match ends when the depth is back to 0, giving the peak depth.
     Any other event -- including an opening one on the way down -- fails
     and is spent.  Output: key columns, ``match_no``, ``start_<o>``,
-    ``end_<o>``, ``n_events``, ``depth``.
+    ``end_<o>``, ``n_events``, ``depth``.  ``final='complete'`` adds, per
+    key, the empty match (depth 0, no events) when no attempt is open at the
+    end, as the older driver completes at end of input.
     """
     keys, orders = _as_list(partition_by), _as_list(order_by)
     sym = (F.when(F.coalesce(open_, F.lit(False)), F.lit(1))
@@ -63,6 +65,8 @@ def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
     fields += [T.StructField("n_events", T.LongType()), T.StructField("depth", T.LongType())]
     names = [f.name for f in fields]
 
+    empty = (None,) * (2 * len(orders)) + (0, 0)
+
     def kernel(it):
         key = None
         phase = depth = peak = steps = match_no = 0  # phase 0 start, 1 up, 2 down
@@ -72,6 +76,8 @@ def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
             rows = []
             for i in range(n):
                 if flags[i]:
+                    if key is not None and final == "complete" and phase == 0:
+                        rows.append(key + (match_no + 1,) + empty)
                     key = tuple(_norm(c[i]) for c in kv)
                     phase = depth = peak = steps = match_no = 0
                 s = sy[i]
@@ -96,6 +102,8 @@ def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
                     phase = 0  # failure; the event is spent
             if rows:
                 yield pd.DataFrame.from_records(rows, columns=names)
+        if key is not None and final == "complete" and phase == 0:
+            yield pd.DataFrame.from_records([key + (match_no + 1,) + empty], columns=names)
 
     return _sorted(src, keys, orders).mapInPandas(kernel, T.StructType(fields))
 
