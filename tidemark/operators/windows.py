@@ -13,10 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.matcher import _as_list
-
-
-def _w(partition_by, order_by):
-    return Window.partitionBy(*_as_list(partition_by)).orderBy(*_as_list(order_by))
+from tidemark.plans.skew import HotKeys, keyed_window, order_number
 
 
 def time_number(c: str | Column) -> Column:
@@ -38,9 +35,20 @@ def duration_micros(d: str | int) -> int:
     raise ValueError(f"bad duration {d!r}")
 
 
+def _wp(part, order_by):
+    return Window.partitionBy(*part).orderBy(*_as_list(order_by))
+
+
+def _lead_all(steps: Sequence[Column], w) -> Column:
+    cond = F.coalesce(steps[0], F.lit(False))
+    for i, s in enumerate(steps[1:], start=1):
+        cond = cond & F.coalesce(F.lead(s, i).over(w), F.lit(False))
+    return cond
+
+
 def match_every(df: DataFrame, steps: Sequence[Column], partition_by, order_by, *,
                 time_col: str | None = None, max_gap: str | int | None = None,
-                keep: Sequence[str] = ()) -> DataFrame:
+                keep: Sequence[str] = (), strategy: str = "auto") -> DataFrame:
     """P1 (our definition): every event may start a match; matches overlap.
 
     ``steps`` are predicates of consecutive events.  With ``max_gap`` (P4)
@@ -49,130 +57,176 @@ def match_every(df: DataFrame, steps: Sequence[Column], partition_by, order_by,
     order column, ``n_events``; ``keep`` columns are also taken from the
     last event as ``end_<c>``.
     """
-    w = _w(partition_by, order_by)
     n = len(steps)
-    cond = F.coalesce(steps[0], F.lit(False))
-    for i, s in enumerate(steps[1:], start=1):
-        cond = cond & F.coalesce(F.lead(s, i).over(w), F.lit(False))
-    if max_gap is not None:
-        if time_col is None:
-            raise ValueError("max_gap needs time_col")
-        t = time_number(time_col)
-        lim = duration_micros(max_gap)
-        for i in range(1, n):
-            gap = F.lead(t, i).over(w) - (F.lead(t, i - 1).over(w) if i > 1 else t)
-            cond = cond & F.coalesce(gap <= F.lit(lim), F.lit(False))
-    ends = [F.lead(F.col(o), n - 1).over(w).alias(f"end_{o}")
-            for o in dict.fromkeys(_as_list(order_by) + list(keep))]
-    return (df.select("*", cond.alias("_hit"), *ends)
-            .filter(F.col("_hit")).drop("_hit")
+    if max_gap is not None and time_col is None:
+        raise ValueError("max_gap needs time_col")
+
+    def op(d: DataFrame, part: list[str]) -> DataFrame:
+        w = _wp(part, order_by)
+        cond = _lead_all(steps, w)
+        if max_gap is not None:
+            t = time_number(time_col)
+            lim = duration_micros(max_gap)
+            for i in range(1, n):
+                gap = F.lead(t, i).over(w) - (F.lead(t, i - 1).over(w) if i > 1 else t)
+                cond = cond & F.coalesce(gap <= F.lit(lim), F.lit(False))
+        ends = [F.lead(F.col(o), n - 1).over(w).alias(f"end_{o}")
+                for o in dict.fromkeys(_as_list(order_by) + list(keep))]
+        return d.select("*", cond.alias("_hit"), *ends)
+
+    out = keyed_window(df, _as_list(partition_by), _as_list(order_by), op, ahead=n - 1,
+                       strategy=strategy)
+    return (out.filter(F.col("_hit")).drop("_hit")
             .withColumn("n_events", F.lit(n).cast("long")))
 
 
-def match_end_flags(df: DataFrame, steps: Sequence[Column], partition_by, order_by) -> DataFrame:
-    """Adds ``_end`` = 1 on the last event of every P1 match, else 0."""
-    w = _w(partition_by, order_by)
-    n = len(steps)
-    cond = F.coalesce(steps[-1], F.lit(False))
-    for i, s in enumerate(reversed(steps[:-1]), start=1):
-        cond = cond & F.coalesce(F.lag(s, i).over(w), F.lit(False))
-    return df.withColumn("_end", cond.cast("int"))
-
-
 def in_last_n(df: DataFrame, steps: Sequence[Column], n: int, partition_by,
-              order_by) -> DataFrame:
+              order_by, strategy: str = "auto") -> DataFrame:
     """P2 (our definition): at each event, 1 if a P1 match lies wholly
     within the last ``n`` events (this one included), else 0."""
-    w = _w(partition_by, order_by)
     span = n - len(steps)
     if span < 0:
         return df.withColumn("hit", F.lit(0))
-    flagged = match_end_flags(df, steps, partition_by, order_by)
-    return (flagged.withColumn("hit", F.max("_end").over(w.rowsBetween(-span, 0)))
-            .drop("_end"))
 
+    def op(d: DataFrame, part: list[str]) -> DataFrame:
+        w = _wp(part, order_by)
+        end = F.coalesce(steps[-1], F.lit(False))
+        for i, s in enumerate(reversed(steps[:-1]), start=1):
+            end = end & F.coalesce(F.lag(s, i).over(w), F.lit(False))
+        d = d.withColumn("_end", end.cast("int"))
+        return d.withColumn("hit", F.max("_end").over(w.rowsBetween(-span, 0))).drop("_end")
 
-def blocks_of(df: DataFrame, n: int, partition_by, order_by, name: str = "block") -> DataFrame:
+    return keyed_window(df, _as_list(partition_by), _as_list(order_by), op, behind=n - 1,
+                        strategy=strategy)
+
+
+def blocks_of(df: DataFrame, n: int, partition_by, order_by, name: str = "block",
+              strategy: str = "auto") -> DataFrame:
     """P3 (our definition): cut each key's rows into blocks of ``n`` rows."""
-    w = _w(partition_by, order_by)
-    return df.withColumn(name, F.floor((F.row_number().over(w) - 1) / n).cast("long"))
+    def op(d: DataFrame, part: list[str]) -> DataFrame:
+        return d.withColumn(name, F.floor((F.col("_rn") - 1) / n).cast("long"))
+
+    return keyed_window(df, _as_list(partition_by), _as_list(order_by), op,
+                        row_number=True, strategy=strategy).drop("_rn")
 
 
 def pair_filter(df: DataFrame, predicate, partition_by, order_by,
-                cols: Sequence[str]) -> DataFrame:
+                cols: Sequence[str], strategy: str = "auto") -> DataFrame:
     """Keep rows for which ``predicate(prev, cur)`` holds, where ``prev``
     is a struct of ``cols`` of the row before in the key."""
-    w = _w(partition_by, order_by)
-    prev = F.lag(F.struct(*[F.col(c) for c in cols]), 1).over(w)
-    out = df.withColumn("_prev", prev)
+    def op(d: DataFrame, part: list[str]) -> DataFrame:
+        prev = F.lag(F.struct(*[F.col(c) for c in cols]), 1).over(_wp(part, order_by))
+        return d.withColumn("_prev", prev)
+
+    out = keyed_window(df, _as_list(partition_by), _as_list(order_by), op, behind=1,
+                       strategy=strategy)
     return out.filter(F.coalesce(predicate(F.col("_prev"), F), F.lit(False)))
 
 
 def not_followed_within(df: DataFrame, a: Column, b: Column, within: str | int,
-                        partition_by, time_col: str) -> DataFrame:
+                        partition_by, time_col: str, strategy: str = "auto") -> DataFrame:
     """P5 (our definition): A events with no B event of the same key in
     ``(t, t + within]``."""
-    t = time_number(time_col)
     lim = duration_micros(within)
-    w = (Window.partitionBy(*_as_list(partition_by)).orderBy(t)
-         .rangeBetween(1, lim))
-    nxt_b = F.min(F.when(F.coalesce(b, F.lit(False)), t)).over(w)
-    return (df.withColumn("_nb", nxt_b)
-            .filter(F.coalesce(a, F.lit(False)) & F.col("_nb").isNull())
-            .drop("_nb"))
+
+    def op(d: DataFrame, part: list[str]) -> DataFrame:
+        t = time_number(time_col)
+        w = Window.partitionBy(*part).orderBy(t).rangeBetween(1, lim)
+        return d.withColumn("_nb", F.min(F.when(F.coalesce(b, F.lit(False)), t)).over(w))
+
+    out = keyed_window(df, _as_list(partition_by), [time_col], op, range_ahead=lim,
+                       strategy=strategy)
+    return out.filter(F.coalesce(a, F.lit(False)) & F.col("_nb").isNull()).drop("_nb")
 
 
 def first_after(df: DataFrame, a: Column, b: Column, partition_by, order_by,
-                cols: Sequence[str]) -> DataFrame:
+                cols: Sequence[str], strategy: str = "auto") -> DataFrame:
     """P17 (our definition): for each A event, the first later B event of the
-    same key (``next_<c>`` columns, NULL while still open)."""
-    w = _w(partition_by, order_by).rowsBetween(1, Window.unboundedFollowing)
+    same key (``next_<c>`` columns, NULL while still open).
+
+    Hot keys: the first B inside the block, else the first B of the nearest
+    later block that has one (a backward scan over the small per-block
+    table), so the unbounded look-ahead never needs a whole key in a task.
+    """
+    keys, orders = _as_list(partition_by), _as_list(order_by)
     isb = F.coalesce(b, F.lit(False))
-    nxt = [F.first(F.when(isb, F.col(c)), ignorenulls=True).over(w).alias(f"next_{c}")
-           for c in cols]
-    return (df.select("*", F.coalesce(a, F.lit(False)).alias("_a"), *nxt)
-            .filter("_a").drop("_a"))
+    packed = F.struct(*[F.col(o) for o in orders], *[F.col(c).alias(f"_v_{c}") for c in cols])
+
+    def within(d: DataFrame, part: list[str]) -> DataFrame:
+        w = _wp(part, orders).rowsBetween(1, Window.unboundedFollowing)
+        return d.withColumn("_nx", F.first(F.when(isb, packed), ignorenulls=True).over(w))
+
+    onum = order_number(df, orders[0])
+    hk = None if strategy == "plain" or onum is None else \
+        HotKeys(df, keys, onum, force=strategy == "block")
+    if not hk or hk.too_many:
+        out = within(df, keys)
+    else:
+        cold, hot = hk.split(df)
+        out_cold = within(cold, keys)
+        part = keys + ["_sk_blk"]
+        blocks = hot.groupBy(*part).agg(F.min(F.when(isb, packed)).alias("_fb"))
+        wk = Window.partitionBy(*keys).orderBy("_sk_blk") \
+            .rowsBetween(1, Window.unboundedFollowing)
+        # earliest B of any later block, for every non-empty block (small)
+        allb = blocks.withColumn("_after", F.min("_fb").over(wk)).select(*part, "_after")
+        h = within(hot, part)
+        h = h.join(F.broadcast(allb) if hk.n_blocks <= 200_000 else allb, on=part, how="left")
+        h = h.withColumn("_nx", F.coalesce("_nx", "_after")).drop("_after")
+        out_hot = h.select(*[c for c in out_cold.columns])
+        out = out_cold.unionByName(out_hot)
+    nxt = [F.col("_nx")[f"_v_{c}"].alias(f"next_{c}") for c in cols]
+    return (out.filter(F.coalesce(a, F.lit(False)))
+            .select(*[F.col(c) for c in df.columns], *nxt))
 
 
 def longest_alternative(df: DataFrame, branches: dict[str, Sequence[Column]],
-                        partition_by, order_by) -> DataFrame:
+                        partition_by, order_by, strategy: str = "auto") -> DataFrame:
     """P19 (our definition): at each start event, of the fixed-length
     branches that match from there, keep the longest (ties: first listed).
     Output: input columns + ``alt`` + ``n_events``."""
-    w = _w(partition_by, order_by)
-    best_len = F.lit(None).cast("long")
-    best_alt = F.lit(None).cast("string")
     order = sorted(branches.items(), key=lambda kv: len(kv[1]))
-    for name, steps in order:
-        cond = F.coalesce(steps[0], F.lit(False))
-        for i, s in enumerate(steps[1:], start=1):
-            cond = cond & F.coalesce(F.lead(s, i).over(w), F.lit(False))
-        best_len = F.when(cond, F.lit(len(steps)).cast("long")).otherwise(best_len)
-        best_alt = F.when(cond, F.lit(name)).otherwise(best_alt)
-    return (df.select("*", best_alt.alias("alt"), best_len.alias("n_events"))
-            .filter(F.col("n_events").isNotNull()))
+    reach = max(len(v) for v in branches.values()) - 1
+
+    def op(d: DataFrame, part: list[str]) -> DataFrame:
+        w = _wp(part, order_by)
+        best_len = F.lit(None).cast("long")
+        best_alt = F.lit(None).cast("string")
+        for name, steps in order:
+            cond = _lead_all(steps, w)
+            best_len = F.when(cond, F.lit(len(steps)).cast("long")).otherwise(best_len)
+            best_alt = F.when(cond, F.lit(name)).otherwise(best_alt)
+        return d.select("*", best_alt.alias("alt"), best_len.alias("n_events"))
 
+    out = keyed_window(df, _as_list(partition_by), _as_list(order_by), op, ahead=reach,
+                       strategy=strategy)
+    return out.filter(F.col("n_events").isNotNull())
 
-def rising_triples(df: DataFrame, value_col: str, partition_by, order_by) -> DataFrame:
+
+def rising_triples(df: DataFrame, value_col: str, partition_by, order_by,
+                   strategy: str = "auto") -> DataFrame:
     """Cut each key's events into triples; 1 if the three values rise,
     else 0.  An unfinished last triple gives nothing.
 
     Output: key columns, ``triple_no`` (1-based), ``first_<o>`` order
     columns of the triple's first event, ``rising``.
     """
-    w = _w(partition_by, order_by)
+    keys, orders = _as_list(partition_by), _as_list(order_by)
     v = F.col(value_col)
-    v1, v2 = F.lead(v, 1).over(w), F.lead(v, 2).over(w)
-    rn = F.row_number().over(w)
-    firsts = [F.col(o).alias(f"first_{o}") for o in _as_list(order_by)]
-    return (df.select(*[F.col(k) for k in _as_list(partition_by)], *firsts,
-                      rn.alias("_rn"), v.alias("_v0"), v1.alias("_v1"), v2.alias("_v2"),
-                      F.lead(F.lit(1), 2).over(w).alias("_full"))
-            .filter(((F.col("_rn") - 1) % 3 == 0) & F.col("_full").isNotNull())
-            .select(*[F.col(k) for k in _as_list(partition_by)],
+
+    def op(d: DataFrame, part: list[str]) -> DataFrame:
+        w = _wp(part, orders)
+        return d.select("*", F.lead(v, 1).over(w).alias("_v1"),
+                        F.lead(v, 2).over(w).alias("_v2"),
+                        F.lead(F.lit(1), 2).over(w).alias("_full"))
+
+    out = keyed_window(df.select(*dict.fromkeys(keys + orders + [value_col])), keys, orders,
+                       op, ahead=2, row_number=True, strategy=strategy)
+    return (out.filter(((F.col("_rn") - 1) % 3 == 0) & F.col("_full").isNotNull())
+            .select(*[F.col(k) for k in keys],
                     ((F.col("_rn") - 1) / 3 + 1).cast("long").alias("triple_no"),
-                    *[F.col(f"first_{o}") for o in _as_list(order_by)],
-                    F.when((F.col("_v2") > F.col("_v1")) & (F.col("_v1") > F.col("_v0")), 1)
+                    *[F.col(o).alias(f"first_{o}") for o in orders],
+                    F.when((F.col("_v2") > F.col("_v1")) & (F.col("_v1") > v), 1)
                     .otherwise(0).cast("long").alias("rising")))
 
 
@@ -197,12 +251,16 @@ def sliding(df: DataFrame, time_col: str, length: str, slide: str,
 
 
 def rolling(df: DataFrame, time_col: str, length: str | int, partition_by,
-            aggs: dict[str, Column]) -> DataFrame:
+            aggs: dict[str, Column], strategy: str = "auto") -> DataFrame:
     """Trailing range ``[t - length, t]`` at each event of the key."""
-    t = time_number(time_col)
-    w = (Window.partitionBy(*_as_list(partition_by)).orderBy(t)
-         .rangeBetween(-duration_micros(length), 0))
-    return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
+    lim = duration_micros(length)
+
+    def op(d: DataFrame, part: list[str]) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy(time_number(time_col)).rangeBetween(-lim, 0)
+        return d.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
+
+    return keyed_window(df, _as_list(partition_by), [time_col], op, range_behind=lim,
+                        strategy=strategy)
 
 
 def cascading(df: DataFrame, time_col: str, fine: str, coarse: str,
