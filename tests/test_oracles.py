@@ -53,3 +53,26 @@ def test_query_matches_oracle(spark, duck, name):
 def test_entry_smoke(spark):
     from __spark_entry__ import entry
     assert entry(spark).count() == 33
+
+
+HOT = ["seq_cut", "event_status", "partial_output", "seq_timeout", "nested_depth",
+       "multi_pattern", "window_matches", "in_last_n", "rolling", "no_followup",
+       "ack_interval", "rising_triples", "in_blocks_n", "longest_alt", "double_click"]
+
+
+@pytest.mark.parametrize("name", HOT)
+def test_hot_key_plans_match_oracle(spark, duck, name):
+    """Every user forced hot, blocks of ~7 rows: block scans, halos and
+    offsets must give the very same answer."""
+    from __spark_entry__ import oracle_sql, queries
+
+    spark.conf.set("tidemark.hotKeyRows", "10")
+    spark.conf.set("tidemark.blockRows", "7")
+    try:
+        df = queries()[name](spark, SF)
+        got = _rows(df.columns, [tuple(r) for r in df.collect()])
+    finally:
+        spark.conf.unset("tidemark.hotKeyRows")
+        spark.conf.unset("tidemark.blockRows")
+    res = duck.execute(oracle_sql()[name])
+    assert got == _rows([d[0] for d in res.description], res.fetchall())

@@ -59,3 +59,28 @@ def test_small_arrow_batches(spark, data):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == ref
+
+
+def test_timeout_block_scan_equals_plain(spark):
+    random.seed(11)
+    rows = []
+    for k, n in [("hot", 1500), ("c", 60)]:
+        t = 0
+        for i in range(n):
+            t += random.choice([1, 1, 2, 5, 30])
+            rows.append((k, i, t * 1_000_000, random.choice("AABBX")))
+    df = spark.createDataFrame(rows, "key string, pos long, t long, ch string")
+    p = A >> B.repeated() >> B
+    kw = dict(time_col="t", timeout=4_000_000)
+    ref = collect(match_cut(df, p, "key", "pos", strategy="plain", **kw))
+    ref_ev = collect(match_events(df, p, "key", "pos", strategy="plain", **kw))
+    spark.conf.set("tidemark.blockRows", "23")
+    spark.conf.set("tidemark.hotKeyRows", "500")
+    try:
+        got = collect(match_cut(df, p, "key", "pos", **kw))
+        got_ev = collect(match_events(df, p, "key", "pos", **kw))
+    finally:
+        spark.conf.unset("tidemark.blockRows")
+        spark.conf.unset("tidemark.hotKeyRows")
+    assert got == ref and got_ev == ref_ev
+    assert ref != collect(match_cut(df, p, "key", "pos", strategy="plain"))

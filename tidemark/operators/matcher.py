@@ -62,8 +62,14 @@ class _Prepared:
 
     def __init__(self, df: DataFrame, pattern: Pattern, partition_by, order_by,
                  show: Column | None, captures: Sequence[str], where_key: Column | None,
-                 on_ambiguity: str, carry: Sequence[str] = ()):
+                 on_ambiguity: str, carry: Sequence[str] = (),
+                 time_col: str | None = None, timeout: str | int | None = None):
+        from tidemark.operators.windows import duration_micros, time_number
+
         self.table = StepTable(pattern, on_ambiguity)
+        self.timeout = None if timeout is None else duration_micros(timeout)
+        if self.timeout is not None and time_col is None:
+            raise ValueError("timeout needs time_col")
         self.keys = _as_list(partition_by)
         self.orders = _as_list(order_by)
         if not self.orders:
@@ -72,6 +78,7 @@ class _Prepared:
         self.carry = [c for c in carry if c not in self.keys + self.orders]
         if where_key is not None:
             df = df.filter(where_key)  # safe: a key filter never changes adjacency
+        self.src = df
         if show is None:
             show = default_show(pattern)
         self.has_show = show is not None
@@ -81,6 +88,8 @@ class _Prepared:
             sel.append(show.cast("string").alias("_show"))
         for i, c in enumerate(self.captures):
             sel.append(F.col(c).alias(f"_cap{i}"))
+        if self.timeout is not None:
+            sel.append(time_number(time_col).alias("_t"))
         self.df = df.select(*sel)
         self.field = {f.name: f for f in df.schema.fields}
 
@@ -99,7 +108,8 @@ class _Prepared:
 def match_events(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
                  show: Column | None = None, final: str = "ended",
                  on_ambiguity: str = "reference", where_key: Column | None = None,
-                 strategy: str = "auto", carry: Sequence[str] = ()) -> DataFrame:
+                 strategy: str = "auto", carry: Sequence[str] = (),
+                 time_col: str | None = None, timeout: str | int | None = None) -> DataFrame:
     """One status row per event, plus one end-of-input row per key.
 
     Output: key columns, order columns, ``status`` (INCOMPLETE, SUCCESS,
@@ -113,18 +123,21 @@ def match_events(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     completes the open attempt instead: SUCCESS if the pattern is nullable
     and no attempt is open, else FAILURE.  ``final='none'`` omits it.
     ``carry`` columns ride along (NULL on end rows); keep them few.
+    ``timeout`` (P13, our definition): an open attempt whose next event
+    comes more than ``timeout`` after its last event (by ``time_col``) is
+    dropped, and that event is tried from the start.
     """
     if final not in ("ended", "complete", "none"):
         raise ValueError("final must be 'ended', 'complete' or 'none'")
     prep = _Prepared(df, pattern, partition_by, order_by, show, (), where_key,
-                     on_ambiguity, carry)
+                     on_ambiguity, carry, time_col, timeout)
     schema = T.StructType(
         [prep.field[c] for c in prep.keys + prep.orders + prep.carry] + STATUS_FIELDS)
     if strategy in ("auto", "block"):
         from tidemark.plans import blockscan
         return blockscan.run(prep, "events", schema, final=final, strategy=strategy)
     fn = _events_kernel(prep.table, prep.keys, prep.orders + prep.carry, prep.has_show,
-                        final)
+                        final, timeout=prep.timeout)
     return prep.sorted().mapInPandas(fn, schema)
 
 
@@ -153,7 +166,8 @@ def _norm(v):
 class _Carry:
     """Walk state of one key (or block of a key) between rows and batches."""
 
-    __slots__ = ("key", "state", "attempt", "match_no", "steps", "start", "caps", "last")
+    __slots__ = ("key", "state", "attempt", "match_no", "steps", "start", "caps", "last",
+                 "last_t")
 
     def __init__(self, key, n_caps: int):
         self.key = key
@@ -161,6 +175,7 @@ class _Carry:
         self.start: tuple = ()
         self.caps: list = [None] * n_caps
         self.last = True  # last block of its key: emits the end row
+        self.last_t = None  # time of the previous event (timeouts)
 
     def load_marker(self, pdf: pd.DataFrame, i: int, n_orders: int, n_caps: int):
         self.state = int(pdf["_m_state"].iat[i])
@@ -170,10 +185,12 @@ class _Carry:
         self.last = bool(pdf["_m_last"].iat[i])
         self.start = tuple(_norm(pdf[f"_m_s{j}"].iat[i]) for j in range(n_orders))
         self.caps = [_norm(pdf[f"_m_c{j}"].iat[i]) for j in range(n_caps)]
+        if "_m_t" in pdf.columns:
+            self.last_t = _norm(pdf["_m_t"].iat[i])
 
 
 def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
-                   blocks: bool = False):
+                   blocks: bool = False, timeout: int | None = None):
     names = STATUS_NAMES
     branch_names = table.branch_names
     top_alt = table.top_is_alt
@@ -203,6 +220,7 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
             newk, gcols = _group_starts(pdf, gkeys, gprev)
             sym = pdf["_sym"].to_numpy().tolist()
             shown = pdf["_show"].tolist() if has_show else None
+            tt = pdf["_t"].tolist() if timeout is not None else None
             st_out = [""] * n
             att_out = [0] * n
             step_out = [0] * n
@@ -221,6 +239,11 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
                     if blocks:
                         carry.load_marker(pdf, i, 0, 0)
                 state = carry.state
+                if tt is not None:
+                    if state != START and carry.last_t is not None \
+                            and tt[i] - carry.last_t > timeout:
+                        state = carry.state = START  # the open attempt timed out
+                    carry.last_t = tt[i]
                 if state == START:
                     carry.attempt += 1
                     carry.steps = 0
@@ -274,7 +297,8 @@ def _end_frame(ends, keys, orders) -> pd.DataFrame:
 def match_cut(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
               capture: Sequence[str] = (), on_ambiguity: str = "reference",
               where_key: Column | None = None, strategy: str = "auto",
-              result: Callable[[dict], Column] | None = None) -> DataFrame:
+              result: Callable[[dict], Column] | None = None,
+              time_col: str | None = None, timeout: str | int | None = None) -> DataFrame:
     """Non-overlapping matches, earliest completion first.
 
     Output: key columns, ``match_no`` (1-based per key), ``start_<o>`` and
@@ -282,10 +306,11 @@ def match_cut(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     kept step name ``s`` and captured column ``c`` a column ``s_c``: the
     value of ``c`` at the event taken as step ``s`` (the last one, if the
     step repeats).  ``result`` maps the capture columns (dict name->Column)
-    to a ``result`` column (O9 map, O10 constant).
+    to a ``result`` column (O9 map, O10 constant).  ``timeout``: as in
+    ``match_events`` (P13).
     """
     prep = _Prepared(df, pattern, partition_by, order_by, None, capture, where_key,
-                     on_ambiguity)
+                     on_ambiguity, (), time_col, timeout)
     table = prep.table
     kept = sorted({p.name for p in table.positions[1:] if p.keep})
     fields = [prep.field[c] for c in prep.keys] + [T.StructField("match_no", T.LongType())]
@@ -303,7 +328,8 @@ def match_cut(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
         from tidemark.plans import blockscan
         out = blockscan.run(prep, "cut", schema, cap_cols=cap_cols, strategy=strategy)
     else:
-        fn = _cut_kernel(table, prep.keys, prep.orders, prep.captures, cap_cols)
+        fn = _cut_kernel(table, prep.keys, prep.orders, prep.captures, cap_cols,
+                         timeout=prep.timeout)
         out = prep.sorted().mapInPandas(fn, schema)
     if result is not None:
         caps = {s_: {c: F.col(f"{s_}_{c}") for c in prep.captures} for s_ in kept}
@@ -311,7 +337,8 @@ def match_cut(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     return out
 
 
-def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool = False):
+def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool = False,
+                timeout: int | None = None):
     branch_names = table.branch_names
     top_alt = table.top_is_alt
     labels = table.labels
@@ -336,6 +363,7 @@ def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool
             sym = sym_np.tolist()
             ocols = [pdf[o].tolist() for o in orders]
             ccols = [pdf[f"_cap{i}"].tolist() for i in range(len(captures))]
+            tt = pdf["_t"].tolist() if timeout is not None else None
             newk_l = newk.tolist()
             rows: list[tuple] = []
             for i in range(n):
@@ -345,6 +373,11 @@ def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool
                     if blocks:
                         carry.load_marker(pdf, i, no, nc)
                 state = carry.state
+                if tt is not None:
+                    if state != START and carry.last_t is not None \
+                            and tt[i] - carry.last_t > timeout:
+                        state = carry.state = START  # the open attempt timed out
+                    carry.last_t = tt[i]
                 if state == START:
                     if not may_start[i]:
                         continue
@@ -389,14 +422,21 @@ def _rows_frame(rows, keys, orders, cap_cols) -> pd.DataFrame:
 # ---------------------------------------------------------------------------
 
 def match_whole(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
-                show: Column | None = None, where_key: Column | None = None) -> DataFrame:
+                show: Column | None = None, where_key: Column | None = None,
+                strategy: str = "auto") -> DataFrame:
     """Does each key's whole ordered input match the pattern?
 
     No restart after a completion: an event after a finished match is an
     error.  One row per key: ``status`` SUCCESS or FAILURE, ``n_events``,
     ``fail_step`` (1-based index of the first event that could not be taken,
     NULL if the input ran out first), ``fail_expected``, ``fail_got``.
+
+    Hot keys: each block is walked once from every state at the same time
+    (walks in the same state merge); a per-key fold over the block
+    summaries gives the answer, so no second pass is needed.
     """
+    from tidemark.plans.skew import HotKeys, order_number
+
     prep = _Prepared(df, pattern, partition_by, order_by, show, (), where_key,
                      "reference")
     table = prep.table
@@ -408,17 +448,43 @@ def match_whole(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
         T.StructField("fail_expected", T.StringType()),
         T.StructField("fail_got", T.StringType()),
     ]
-    has_show = prep.has_show
-
-    def finish(key, state, n, fail):
-        if fail is not None:
-            return key + ("FAILURE", n) + fail
-        paths = table.accepting_paths(state)
-        if paths == 1:
-            return key + ("SUCCESS", n, None, None, None)
-        exp = table.expected(state) if paths == 0 else "global ambiguity"
-        return key + ("FAILURE", n, None, exp, "<end of input>")
-
+    schema = T.StructType(fields)
+    onum = order_number(prep.df, prep.orders[0])
+    hk = None
+    if strategy != "plain" and onum is not None and len(table.predicates) <= 12:
+        hk = HotKeys(prep.src, keys, onum, force=strategy == "block")
+    kernel = _whole_kernel(table, keys, prep.has_show, [f.name for f in fields])
+    if not hk or hk.too_many:
+        return prep.sorted().mapInPandas(kernel, schema)
+    cold, hot = hk.split(prep.df)
+    out_cold = (cold.repartition(*keys).sortWithinPartitions(*keys, *prep.orders)
+                .mapInPandas(kernel, schema)) if keys else None
+    table.complete_open()
+    sum_schema = T.StructType([prep.field[c] for c in keys] + [
+        T.StructField("_blk", T.LongType()), T.StructField("q", T.IntegerType()),
+        T.StructField("end_q", T.IntegerType()), T.StructField("n", T.LongType()),
+        T.StructField("fail_i", T.LongType()), T.StructField("fail_expected", T.StringType()),
+        T.StructField("fail_got", T.StringType())])
+    summary = (hot.withColumnRenamed("_sk_blk", "_blk")
+               .repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", *prep.orders)
+               .mapInPandas(_whole_summary(table, keys, prep.has_show), sum_schema))
+    group = keys if keys else [F.lit(0).alias("_all")]
+    out_hot = summary.groupBy(*group).applyInPandas(
+        _whole_compose(table, keys, [f.name for f in fields]), schema)
+    return out_hot if out_cold is None else out_cold.unionByName(out_hot)
+
+
+def _whole_finish(table: StepTable, key, state, n, fail):
+    if fail is not None:
+        return key + ("FAILURE", n) + fail
+    paths = table.accepting_paths(state)
+    if paths == 1:
+        return key + ("SUCCESS", n, None, None, None)
+    exp = table.expected(state) if paths == 0 else "global ambiguity"
+    return key + ("FAILURE", n, None, exp, "<end of input>")
+
+
+def _whole_kernel(table: StepTable, keys, has_show: bool, names):
     def kernel(it):
         prev_key = None
         state, n_ev, fail = START, 0, None
@@ -434,7 +500,7 @@ def match_whole(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
             for i in range(n):
                 if newk_l[i]:
                     if prev_key is not None:
-                        rows.append(finish(prev_key, state, n_ev, fail))
+                        rows.append(_whole_finish(table, prev_key, state, n_ev, fail))
                     prev_key = tuple(_norm(c[i]) for c in kcols) if keys else ()
                     state, n_ev, fail = START, 0, None
                 n_ev += 1
@@ -447,12 +513,95 @@ def match_whole(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
                 else:
                     state = nxt
             if rows:
-                yield pd.DataFrame.from_records(rows, columns=[f.name for f in fields])
+                yield pd.DataFrame.from_records(rows, columns=names)
         if prev_key is not None:
-            yield pd.DataFrame.from_records([finish(prev_key, state, n_ev, fail)],
-                                            columns=[f.name for f in fields])
+            yield pd.DataFrame.from_records(
+                [_whole_finish(table, prev_key, state, n_ev, fail)], columns=names)
+
+    return kernel
+
+
+def _whole_summary(table: StepTable, keys, has_show: bool):
+    """Per (key, block) and start state: end state (-1 dead), rows, and
+    where and why the walk died."""
+    gkeys = keys + ["_blk"]
+    n_states = len(table.states)
+    cols = list(keys) + ["_blk", "q", "end_q", "n", "fail_i", "fail_expected", "fail_got"]
+
+    def flush(gkey, cur, fails, n):
+        out = []
+        for q in range(n_states):
+            f = fails.get(q)
+            if f is not None:
+                out.append(gkey + (q, -1, n) + f)
+            else:
+                out.append(gkey + (q, cur[q], n, None, None, None))
+        return out
+
+    def kernel(it):
+        gkey = None
+        cur: list[int] = []
+        fails: dict[int, tuple] = {}
+        n = 0
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            newk, gcols = _group_starts(pdf, gkeys, gkey)
+            sym = pdf["_sym"].to_numpy().tolist()
+            shown = pdf["_show"].tolist() if has_show else None
+            newk_l = newk.tolist()
+            rows = []
+            for i in range(len(pdf)):
+                if newk_l[i]:
+                    if gkey is not None:
+                        rows.extend(flush(gkey, cur, fails, n))
+                    gkey = tuple(_norm(c[i]) for c in gcols)
+                    cur, fails, n = list(range(n_states)), {}, 0
+                    live = {q: [q] for q in range(n_states)}  # state -> start states
+                n += 1
+                y = sym[i]
+                nxt_live: dict[int, list[int]] = {}
+                for s_, starts in live.items():
+                    t = table.advance(s_, y)
+                    if t < 0:
+                        f = (n, table.expected(s_), shown[i] if shown is not None else None)
+                        for q in starts:
+                            fails[q] = f
+                    else:
+                        nxt_live.setdefault(t, []).extend(starts)
+                live = nxt_live
+                for s_, starts in live.items():
+                    for q in starts:
+                        cur[q] = s_
+            if rows:
+                yield pd.DataFrame.from_records(rows, columns=cols)
+        if gkey is not None:
+            yield pd.DataFrame.from_records(flush(gkey, cur, fails, n), columns=cols)
+
+    return kernel
+
+
+def _whole_compose(table: StepTable, keys, names):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_blk", "q"], kind="stable")
+        key = tuple(_norm(pdf[k].iloc[0]) for k in keys)
+        by_blk = {b: g for b, g in pdf.groupby("_blk", sort=True)}
+        state, n, fail = START, 0, None
+        for b in sorted(by_blk):
+            g = by_blk[b]
+            nb = int(g["n"].iloc[0])
+            if fail is None:
+                r = g[g["q"] == state].iloc[0]
+                if int(r["end_q"]) < 0:
+                    fail = (n + int(r["fail_i"]), _norm(r["fail_expected"]),
+                            _norm(r["fail_got"]))
+                else:
+                    state = int(r["end_q"])
+            n += nb
+        return pd.DataFrame.from_records([_whole_finish(table, key, state, n, fail)],
+                                         columns=names)
 
-    return prep.sorted().mapInPandas(kernel, T.StructType(fields))
+    return fn
 
 
 # ---------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +44,7 @@ def _keyed_rows(it, keys, cols):
 # ---------------------------------------------------------------------------
 
 def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
-                 order_by, final: str = "none") -> DataFrame:
+                 order_by, final: str = "none", strategy: str = "auto") -> DataFrame:
     """Matches of ``S = open S close | empty`` under cut semantics.
 
     From the start an opening event climbs; the first closing event turns
@@ -53,8 +53,16 @@ def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
     and is spent.  Output: key columns, ``match_no``, ``start_<o>``,
     ``end_<o>``, ``n_events``, ``depth``.  ``final='complete'`` adds, per
     key, the empty match (depth 0, no events) when no attempt is open at the
-    end, as the older driver completes at end of input.
+    end, as the older driver completes at end of input (plain plan only).
+
+    Hot keys: an event that is neither opening nor closing always returns
+    the walk to the start, so a block can be walked on its own from its
+    first such event; the rows before it (the block's head) are walked with
+    the previous block that has one.  Match numbers are block offsets (a
+    running sum over per-block match counts) plus local numbers.
     """
+    from tidemark.plans.skew import HotKeys, order_number
+
     keys, orders = _as_list(partition_by), _as_list(order_by)
     sym = (F.when(F.coalesce(open_, F.lit(False)), F.lit(1))
            .when(F.coalesce(close, F.lit(False)), F.lit(2)).otherwise(F.lit(0)))
@@ -63,22 +71,66 @@ def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
     fields += [T.StructField(f"start_{o}", df.schema[o].dataType) for o in orders]
     fields += [T.StructField(f"end_{o}", df.schema[o].dataType) for o in orders]
     fields += [T.StructField("n_events", T.LongType()), T.StructField("depth", T.LongType())]
-    names = [f.name for f in fields]
-
+    schema = T.StructType(fields)
+    onum = order_number(df, orders[0])
+    hk = None
+    if strategy != "plain" and final == "none" and onum is not None:
+        hk = HotKeys(df.select(*keys, *orders), keys, onum, force=strategy == "block")
+    if not hk or hk.too_many:
+        return _sorted(src, keys, orders).mapInPandas(
+            _nested_kernel(keys, keys, orders, final), schema)
+    cold, hot = hk.split(src)
+    out_cold = _sorted(cold, keys, orders).mapInPandas(
+        _nested_kernel(keys, keys, orders, final), schema)
+    part = keys + ["_sk_blk"]
+    first_reset = F.min(F.when(F.col("_sym") == 0, F.struct(*[F.col(o) for o in orders])))
+    heads = hot.groupBy(*part).agg(first_reset.alias("_fr"))
+    wk = Window.partitionBy(*keys).orderBy("_sk_blk")
+    heads = (heads
+             .withColumn("_prev_home", F.last(F.when(F.col("_fr").isNotNull(),
+                                                      F.col("_sk_blk")), ignorenulls=True)
+                         .over(wk.rowsBetween(Window.unboundedPreceding, -1)))
+             .withColumn("_first", F.min("_sk_blk").over(Window.partitionBy(*keys))))
+    if hk.n_blocks <= 200_000:
+        heads = F.broadcast(heads)
+    at = F.struct(*[F.col(o) for o in orders])
+    homed = (hot.join(heads, on=part, how="inner")
+             .withColumn("_home", F.when(F.col("_fr").isNotNull() & (at >= F.col("_fr")),
+                                         F.col("_sk_blk"))
+                         .otherwise(F.coalesce("_prev_home", "_first")))
+             .select(*keys, *orders, "_sym", "_home"))
+    local_schema = T.StructType(fields + [T.StructField("_home", T.LongType())])
+    local = (homed.repartition(*keys, "_home").sortWithinPartitions(*keys, "_home", *orders)
+             .mapInPandas(_nested_kernel(keys, keys + ["_home"], orders, "none"), local_schema))
+    counts = local.groupBy(*keys, "_home").agg(F.count(F.lit(1)).alias("_c"))
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
+        Window.partitionBy(*keys).orderBy("_home")
+        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out_hot = (local.join(offs.select(*keys, "_home", "_off"), on=keys + ["_home"])
+               .withColumn("match_no", (F.col("match_no") + F.col("_off")).cast("long"))
+               .select(*[f.name for f in fields]))
+    return out_cold.unionByName(out_hot)
+
+
+def _nested_kernel(keys, gkeys, orders, final):
+    nk = len(keys)
+    extra = len(gkeys) - nk
+    names = list(keys) + ["match_no"] + [f"start_{o}" for o in orders] \
+        + [f"end_{o}" for o in orders] + ["n_events", "depth"] + list(gkeys[nk:])
     empty = (None,) * (2 * len(orders)) + (0, 0)
 
     def kernel(it):
-        key = None
+        gkey = None
         phase = depth = peak = steps = match_no = 0  # phase 0 start, 1 up, 2 down
         start: tuple = ()
-        for flags, kv, vals, n in _keyed_rows(it, keys, orders + ["_sym"]):
+        for flags, kv, vals, n in _keyed_rows(it, gkeys, orders + ["_sym"]):
             ov, sy = vals[:-1], vals[-1]
             rows = []
             for i in range(n):
                 if flags[i]:
-                    if key is not None and final == "complete" and phase == 0:
-                        rows.append(key + (match_no + 1,) + empty)
-                    key = tuple(_norm(c[i]) for c in kv)
+                    if gkey is not None and final == "complete" and phase == 0:
+                        rows.append(gkey[:nk] + (match_no + 1,) + empty)
+                    gkey = tuple(_norm(c[i]) for c in kv)
                     phase = depth = peak = steps = match_no = 0
                 s = sy[i]
                 if phase == 0:
@@ -95,17 +147,19 @@ def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
                     phase = 2
                     if depth == 0:
                         match_no += 1
-                        rows.append(key + (match_no,) + start + tuple(c[i] for c in ov)
-                                    + (steps, peak))
+                        rows.append(gkey[:nk] + (match_no,) + start
+                                    + tuple(c[i] for c in ov) + (steps, peak)
+                                    + gkey[nk:])
                         phase = 0
                 else:
                     phase = 0  # failure; the event is spent
             if rows:
                 yield pd.DataFrame.from_records(rows, columns=names)
-        if key is not None and final == "complete" and phase == 0:
-            yield pd.DataFrame.from_records([key + (match_no + 1,) + empty], columns=names)
+        if gkey is not None and final == "complete" and phase == 0:
+            yield pd.DataFrame.from_records([gkey[:nk] + (match_no + 1,) + empty
+                                             + (None,) * extra], columns=names)
 
-    return _sorted(src, keys, orders).mapInPandas(kernel, T.StructType(fields))
+    return kernel
 
 
 # ---------------------------------------------------------------------------
@@ -154,55 +208,15 @@ def fold(df: DataFrame, partition_by, order_by, columns: Sequence[str],
 # ---------------------------------------------------------------------------
 
 def match_cut_timeout(df: DataFrame, pattern: Pattern, partition_by, order_by,
-                      time_col: str, timeout: str | int) -> DataFrame:
-    """P13 (our definition): the cut matcher, except that an open attempt
-    whose next event comes more than ``timeout`` after its last event is
-    dropped first (timed out); that event is then tried from the start.
-    Output as ``match_cut`` without captures, plus ``n_timeouts`` on no row:
-    timeouts are counted in the streaming form only.
-    """
-    from tidemark.operators.windows import duration_micros, time_number
+                      time_col: str, timeout: str | int, **kw) -> DataFrame:
+    """P13 (our definition): ``match_cut`` where an open attempt whose next
+    event comes more than ``timeout`` after its last event is dropped first;
+    that event is then tried from the start.  Same plans as ``match_cut``
+    (hot keys included)."""
+    from tidemark.operators.matcher import match_cut
 
-    keys, orders = _as_list(partition_by), _as_list(order_by)
-    table = StepTable(pattern)
-    lim = duration_micros(timeout)
-    src = df.select(*keys, *orders, table.symbol_column().alias("_sym"),
-                    time_number(time_col).alias("_t"))
-    fields = [df.schema[k] for k in keys] + [T.StructField("match_no", T.LongType())]
-    fields += [T.StructField(f"start_{o}", df.schema[o].dataType) for o in orders]
-    fields += [T.StructField(f"end_{o}", df.schema[o].dataType) for o in orders]
-    fields += [T.StructField("n_events", T.LongType())]
-    names = [f.name for f in fields]
-
-    def kernel(it):
-        key = None
-        state = START
-        last_t = steps = match_no = 0
-        start: tuple = ()
-        for flags, kv, vals, n in _keyed_rows(it, keys, orders + ["_sym", "_t"]):
-            ov, sy, tt = vals[:-2], vals[-2], vals[-1]
-            rows = []
-            for i in range(n):
-                if flags[i]:
-                    key = tuple(_norm(c[i]) for c in kv)
-                    state, steps, match_no = START, 0, 0
-                if state != START and tt[i] - last_t > lim:
-                    state = START
-                if state == START:
-                    steps = 0
-                    start = tuple(c[i] for c in ov)
-                steps += 1
-                nxt, code, _, _ = table.move(state, sy[i])
-                if code == SUCCESS:
-                    match_no += 1
-                    rows.append(key + (match_no,) + start + tuple(c[i] for c in ov)
-                                + (steps,))
-                state = nxt
-                last_t = tt[i]
-            if rows:
-                yield pd.DataFrame.from_records(rows, columns=names)
-
-    return _sorted(src, keys, orders).mapInPandas(kernel, T.StructType(fields))
+    return match_cut(df, pattern, partition_by, order_by, time_col=time_col,
+                     timeout=timeout, **kw)
 
 
 # ---------------------------------------------------------------------------
@@ -210,13 +224,32 @@ def match_cut_timeout(df: DataFrame, pattern: Pattern, partition_by, order_by,
 # ---------------------------------------------------------------------------
 
 def match_many(df: DataFrame, patterns: dict[str, Pattern], partition_by,
-               order_by) -> DataFrame:
+               order_by, strategy: str = "auto") -> DataFrame:
     """P18 (our definition): several cut matchers over one read, one shuffle
     and one sort.  Each pattern is matched independently.  Output: key
     columns, ``pattern``, ``match_no``, ``start_<o>``, ``end_<o>``,
     ``n_events``.
+
+    Hot keys: their rows go through the block scan of ``match_cut``, one
+    pattern at a time; cold keys share the single pass.
     """
+    from tidemark.operators.matcher import match_cut
+    from tidemark.plans.skew import HotKeys, order_number
+
     keys, orders = _as_list(partition_by), _as_list(order_by)
+    onum = order_number(df, orders[0])
+    if strategy != "plain" and onum is not None:
+        hk = HotKeys(df.select(*keys, *orders), keys, onum, force=strategy == "block")
+        if hk and not hk.too_many:
+            cold, hot = hk.split(df)
+            hot = hot.drop("_sk_blk", "_sk_lo", "_sk_w")
+            out = match_many(cold, patterns, keys, orders, strategy="plain")
+            for name, p in patterns.items():
+                m = match_cut(hot, p, keys, orders, strategy="block")
+                out = out.unionByName(m.select(*keys, F.lit(name).alias("pattern"),
+                                               *[c for c in out.columns
+                                                 if c not in keys and c != "pattern"]))
+            return out
     tables = {name: StepTable(p) for name, p in patterns.items()}
     syms = [t.symbol_column().alias(f"_sym{i}") for i, t in enumerate(tables.values())]
     src = df.select(*keys, *orders, *syms)

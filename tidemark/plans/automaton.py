@@ -229,6 +229,15 @@ class StepTable:
         self._open[key] = hit
         return hit
 
+    def complete_open(self) -> int:
+        """Build every state reachable by ``advance`` (no restarts)."""
+        i = 0
+        while i < len(self.states):
+            for y in range(self.n_symbols):
+                self.advance(i, y)
+            i += 1
+        return len(self.states)
+
     def accepting_paths(self, s: int) -> int:
         """Paths that can end in state ``s`` (0, 1 or 2 = ambiguous)."""
         if s == START:

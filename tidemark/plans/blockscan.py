@@ -39,29 +39,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.automaton import FAILURE, START, SUCCESS
+from tidemark.plans.skew import HotKeys, conf_int, order_number
 
-DEFAULT_HOT_ROWS = 2_000_000
-DEFAULT_BLOCK_ROWS = 500_000
 DEFAULT_BROADCAST_BLOCKS = 200_000
-MAX_COLLECTED_HOT_KEYS = 100_000
-
-
-def _conf(spark, name: str, default: int) -> int:
-    return int(spark.conf.get(f"tidemark.{name}", str(default)))
-
-
-def _order_number(df: DataFrame, col: str):
-    dt = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp"))
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("long")
-    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return c.cast("long")
-    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return F.floor(c.cast("double")).cast("long")
-    return None
 
 
 def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
@@ -81,52 +61,23 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
             part = d.repartition(1).sortWithinPartitions(*orders)
         if mode == "events":
             fn = M._events_kernel(table, keys, orders + prep.carry, prep.has_show, final,
-                                  blocks)
+                                  blocks, timeout=prep.timeout)
         else:
-            fn = M._cut_kernel(table, keys, orders, prep.captures, list(cap_cols), blocks)
+            fn = M._cut_kernel(table, keys, orders, prep.captures, list(cap_cols), blocks,
+                               timeout=prep.timeout)
         return part.mapInPandas(fn, schema)
 
-    onum = _order_number(prep.df, orders[0])
+    onum = order_number(prep.df, orders[0])
     if strategy == "plain" or onum is None or len(table.predicates) > 12:
         return plain(prep.df)
-
-    hot_rows = _conf(spark, "hotKeyRows", DEFAULT_HOT_ROWS)
-    block_rows = _conf(spark, "blockRows", DEFAULT_BLOCK_ROWS)
-    min_rows = 0 if strategy == "block" else hot_rows
-    stats = (prep.df.groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min(onum).alias("_lo"),
-                  F.max(onum).alias("_hi"))
-             .filter(F.col("_n") > F.lit(min_rows)))
-    hot = stats.limit(MAX_COLLECTED_HOT_KEYS + 1).collect()
-    if not hot:
-        return plain(prep.df)
-    if len(hot) > MAX_COLLECTED_HOT_KEYS:
-        # So many hot keys that each is one of many: spread by key as usual.
+    hk = HotKeys(prep.src, keys, onum, force=strategy == "block")
+    if not hk or hk.too_many:
+        # no hot key, or so many that each is one of many: spread by key
         return plain(prep.df)
-
-    rows = []
-    n_blocks = 0
-    for r in hot:
-        nb = max(1, math.ceil(r["_n"] / block_rows))
-        width = max(1, math.ceil((r["_hi"] - r["_lo"] + 1) / nb))
-        n_blocks += nb
-        rows.append(tuple(r[k] for k in keys) + (int(r["_lo"]), int(width)))
-    key_fields = [prep.field[k] for k in keys]
-    hot_schema = T.StructType(key_fields + [T.StructField("_lo", T.LongType()),
-                                            T.StructField("_w", T.LongType())])
-
-    if keys:
-        hot_df = F.broadcast(spark.createDataFrame(rows, hot_schema))
-        cond = [prep.df[k].eqNullSafe(hot_df[k]) for k in keys]
-        hot_part = (prep.df.join(hot_df, cond, "inner")
-                    .select(*[prep.df[c] for c in prep.df.columns],
-                            F.floor((onum - hot_df["_lo"]) / hot_df["_w"])
-                            .cast("long").alias("_blk")))
-        cold = prep.df.join(hot_df, cond, "left_anti")
-    else:
-        lo, width = rows[0]
-        hot_part = prep.df.withColumn(
-            "_blk", F.floor((onum - F.lit(lo)) / F.lit(width)).cast("long"))
+    n_blocks = hk.n_blocks
+    cold, hot_part = hk.split(prep.df)
+    hot_part = hot_part.withColumnRenamed("_sk_blk", "_blk").drop("_sk_lo", "_sk_w")
+    if not keys:
         cold = None
 
     part = hot_part.repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", *orders)
@@ -140,11 +91,13 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         T.StructField("n_match", T.LongType()),
         T.StructField("steps", T.LongType()),
         T.StructField("started", T.BooleanType()),
+        T.StructField("t_first", T.LongType()),
+        T.StructField("t_last", T.LongType()),
     ] + [T.StructField(f"s{j}", prep.field[o].dataType) for j, o in enumerate(orders)] \
       + [T.StructField(f"c{j}", prep.field[c].dataType) for j, (_, c) in enumerate(cap_cols)]
     table.complete_all()
     summary = part.mapInPandas(
-        _summary_kernel(table, keys, orders, prep.captures, list(cap_cols)),
+        _summary_kernel(table, keys, orders, prep.captures, list(cap_cols), prep.timeout),
         T.StructType(sum_fields))
 
     # per-key scan over blocks
@@ -155,12 +108,13 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         T.StructField("_m_match", T.LongType()),
         T.StructField("_m_steps", T.LongType()),
         T.StructField("_m_last", T.BooleanType()),
+        T.StructField("_m_t", T.LongType()),
     ] + [T.StructField(f"_m_s{j}", prep.field[o].dataType) for j, o in enumerate(orders)] \
       + [T.StructField(f"_m_c{j}", prep.field[c].dataType) for j, (_, c) in enumerate(cap_cols)]
     group = keys if keys else [F.lit(0).alias("_all")]
     markers = summary.groupBy(*group).applyInPandas(
-        _compose(keys, len(orders), len(cap_cols)), T.StructType(mark_fields))
-    if n_blocks <= _conf(spark, "broadcastBlocks", DEFAULT_BROADCAST_BLOCKS):
+        _compose(keys, len(orders), len(cap_cols), prep.timeout), T.StructType(mark_fields))
+    if n_blocks <= conf_int(spark, "broadcastBlocks", DEFAULT_BROADCAST_BLOCKS):
         markers = F.broadcast(markers)
 
     # pass 2: walk each block from its known start
@@ -170,16 +124,18 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
                       *[markers[c] for c in markers.columns if c.startswith("_m_")])
               .sortWithinPartitions(*keys, "_blk", *orders))
     if mode == "events":
-        fn = M._events_kernel(table, keys, orders + prep.carry, prep.has_show, final, True)
+        fn = M._events_kernel(table, keys, orders + prep.carry, prep.has_show, final, True,
+                              timeout=prep.timeout)
     else:
-        fn = M._cut_kernel(table, keys, orders, prep.captures, list(cap_cols), True)
+        fn = M._cut_kernel(table, keys, orders, prep.captures, list(cap_cols), True,
+                           timeout=prep.timeout)
     hot_out = walked.mapInPandas(fn, schema)
     if cold is None:
         return hot_out
     return plain(cold).unionByName(hot_out)
 
 
-def _summary_kernel(table, keys, orders, captures, cap_cols):
+def _summary_kernel(table, keys, orders, captures, cap_cols, timeout=None):
     from tidemark.operators.matcher import _group_starts, _names, _norm
 
     gkeys = keys + ["_blk"]
@@ -199,13 +155,13 @@ def _summary_kernel(table, keys, orders, captures, cap_cols):
             self.start: tuple = tuple([None] * len(orders))
             self.caps: list = [None] * nc
 
-    def flush(gkey, walks, alias):
+    def flush(gkey, walks, alias, t_first, t_last):
         out = []
         for q in range(n_states):
             tgt, d_att, d_match = alias[q]
             w = walks[tgt]
             out.append(gkey + (q, w.state, w.att + d_att, w.match + d_match, w.steps,
-                               w.started) + w.start + tuple(w.caps))
+                               w.started, t_first, t_last) + w.start + tuple(w.caps))
         return out
 
     def kernel(it):
@@ -213,6 +169,7 @@ def _summary_kernel(table, keys, orders, captures, cap_cols):
         walks: list[Walk] = []
         alias: list[tuple[int, int, int]] = []
         active: list[int] = []
+        t_first = t_last = None
         for pdf in it:
             n = len(pdf)
             if n == 0:
@@ -221,16 +178,21 @@ def _summary_kernel(table, keys, orders, captures, cap_cols):
             sym = pdf["_sym"].to_numpy().tolist()
             ocols = [pdf[o].tolist() for o in orders]
             ccols = [pdf[f"_cap{i}"].tolist() for i in range(len(captures))]
+            tt = pdf["_t"].tolist() if timeout is not None else [None] * n
             newk_l = newk.tolist()
             rows = []
             for i in range(n):
                 if newk_l[i]:
                     if gkey is not None:
-                        rows.extend(flush(gkey, walks, alias))
+                        rows.extend(flush(gkey, walks, alias, t_first, t_last))
                     gkey = tuple(_norm(c[i]) for c in gcols)
                     walks = [Walk(q) for q in range(n_states)]
                     alias = [(q, 0, 0) for q in range(n_states)]
                     active = list(range(n_states))
+                    t_first = t_last = tt[i]
+                # a gap longer than the timeout drops every open attempt
+                timed_out = timeout is not None and tt[i] - t_last > timeout
+                t_last = tt[i]
                 # walks that meet in the start state go on as one
                 at_start = [a for a in active if walks[a].state == START]
                 if len(at_start) > 1:
@@ -245,6 +207,8 @@ def _summary_kernel(table, keys, orders, captures, cap_cols):
                 y = sym[i]
                 for a in active:
                     w = walks[a]
+                    if timed_out:
+                        w.state = START
                     if w.state == START:
                         w.att += 1
                         w.steps = 0
@@ -264,18 +228,19 @@ def _summary_kernel(table, keys, orders, captures, cap_cols):
             if rows:
                 yield _frame(rows, keys, orders, nc)
         if gkey is not None:
-            yield _frame(flush(gkey, walks, alias), keys, orders, nc)
+            yield _frame(flush(gkey, walks, alias, t_first, t_last), keys, orders, nc)
 
     return kernel
 
 
 def _frame(rows, keys, orders, nc) -> pd.DataFrame:
-    cols = list(keys) + ["_blk", "q", "end_q", "n_att", "n_match", "steps", "started"] \
+    cols = list(keys) + ["_blk", "q", "end_q", "n_att", "n_match", "steps", "started",
+                         "t_first", "t_last"] \
         + [f"s{j}" for j in range(len(orders))] + [f"c{j}" for j in range(nc)]
     return pd.DataFrame.from_records(rows, columns=cols)
 
 
-def _compose(keys, n_orders: int, nc: int):
+def _compose(keys, n_orders: int, nc: int, timeout=None):
     """Per key: fold the block summaries in block order (blocks, not rows)."""
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -289,6 +254,8 @@ def _compose(keys, n_orders: int, nc: int):
         n_match = pdf["n_match"].to_numpy().reshape(len(uniq), n_q)
         steps = pdf["steps"].to_numpy().reshape(len(uniq), n_q)
         started = pdf["started"].to_numpy().reshape(len(uniq), n_q)
+        t_first = pdf["t_first"].to_numpy().reshape(len(uniq), n_q)[:, 0]
+        t_last = pdf["t_last"].to_numpy().reshape(len(uniq), n_q)[:, 0]
         svals = [pdf[f"s{j}"].tolist() for j in range(n_orders)]
         cvals = [pdf[f"c{j}"].tolist() for j in range(nc)]
         key = tuple(pdf[k].iloc[0] for k in keys)
@@ -296,10 +263,17 @@ def _compose(keys, n_orders: int, nc: int):
         start: tuple[Any, ...] = tuple([None] * n_orders)
         caps: list[Any] = [None] * nc
         out = []
+        prev_t = None
         for b in uniq:
             bi = idx[b]
-            out.append(key + (int(b), state, att, match, stp, bi == len(uniq) - 1)
+            if timeout is not None and state != START and prev_t is not None \
+                    and t_first[bi] - prev_t > timeout:
+                state, stp = START, 0  # the open attempt timed out at the edge
+                start, caps = tuple([None] * n_orders), [None] * nc
+            out.append(key + (int(b), state, att, match, stp, bi == len(uniq) - 1,
+                              None if prev_t is None else int(prev_t))
                        + start + tuple(caps))
+            prev_t = t_last[bi] if timeout is not None else None
             r = bi * n_q + state
             att += int(n_att[bi, state])
             match += int(n_match[bi, state])
@@ -316,7 +290,7 @@ def _compose(keys, n_orders: int, nc: int):
                         for c, old in zip(cvals, caps)]
             state = nxt
         cols = list(keys) + ["_blk", "_m_state", "_m_att", "_m_match", "_m_steps",
-                             "_m_last"] + [f"_m_s{j}" for j in range(n_orders)] \
+                             "_m_last", "_m_t"] + [f"_m_s{j}" for j in range(n_orders)] \
             + [f"_m_c{j}" for j in range(nc)]
         return pd.DataFrame.from_records(out, columns=cols)
 

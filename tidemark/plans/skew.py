@@ -53,6 +53,27 @@ def order_number(df: DataFrame, col: str) -> Column | None:
     return None
 
 
+_STATS_CACHE: dict[tuple, list] = {}
+
+
+def _hot_stats(df: DataFrame, keys: list[str], onum: Column, hot_rows: int) -> list:
+    """(key..., n, lo, hi) of keys with more than ``hot_rows`` rows.
+
+    Remembered per input plan within the process: many operators read the
+    same table by the same key.  A stale entry only picks a slower plan,
+    never a wrong answer (blocks are just ordered ranges).
+    """
+    probe = df.select(*keys, onum.alias("_sk_o"))
+    ck = (probe.semanticHash(), tuple(keys), hot_rows, id(df.sparkSession))
+    if ck not in _STATS_CACHE:
+        stats = (probe.groupBy(*keys)
+                 .agg(F.count(F.lit(1)).alias("_sk_n"), F.min("_sk_o").alias("_sk_lo"),
+                      F.max("_sk_o").alias("_sk_hi"))
+                 .filter(F.col("_sk_n") > F.lit(hot_rows)))
+        _STATS_CACHE[ck] = stats.limit(MAX_COLLECTED_HOT_KEYS + 1).collect()
+    return _STATS_CACHE[ck]
+
+
 class HotKeys:
     """Hot keys of ``df`` and their block layout (``lo``, ``width``)."""
 
@@ -63,11 +84,7 @@ class HotKeys:
         self.onum = onum
         hot_rows = 0 if force else conf_int(spark, "hotKeyRows", DEFAULT_HOT_ROWS)
         block_rows = conf_int(spark, "blockRows", DEFAULT_BLOCK_ROWS)
-        stats = (df.groupBy(*keys)
-                 .agg(F.count(F.lit(1)).alias("_sk_n"), F.min(onum).alias("_sk_lo"),
-                      F.max(onum).alias("_sk_hi"))
-                 .filter(F.col("_sk_n") > F.lit(hot_rows)))
-        got = stats.limit(MAX_COLLECTED_HOT_KEYS + 1).collect()
+        got = _hot_stats(df, keys, onum, hot_rows)
         self.too_many = len(got) > MAX_COLLECTED_HOT_KEYS
         self.rows = []
         self.n_blocks = 0
