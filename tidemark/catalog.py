@@ -19,7 +19,7 @@ from tidemark.functions.pattern import fail, lit, step
 from tidemark.operators import sequential as S
 from tidemark.operators import windows as W
 from tidemark.operators.matcher import (
-    failure_summary, match_cut, match_events, match_whole,
+    failure_summary, match_chain, match_cut, match_events, match_whole,
 )
 from tidemark.session import table
 from tidemark.sources.text import PROSE_RULES, tokenize
@@ -376,10 +376,9 @@ GROUP BY conv_id"""
 
 
 def chain_two_phase(spark, sf):
-    first = match_cut(_events(spark, sf), is_("click") >> is_("view"), KEY, ORDER)
     pair = step("m1", F.lit(True)) >> step("m2", F.lit(True))
-    second = match_cut(first, pair, KEY, ["end_ts", "end_event_id"],
-                       capture=["start_event_id", "end_event_id"])
+    second = match_chain(_events(spark, sf), [is_("click") >> is_("view"), pair], KEY,
+                         ORDER, capture=[(), ["start_event_id", "end_event_id"]])
     return second.select(KEY, F.col("match_no").alias("pair_no"),
                          F.col("m1_start_event_id").alias("first_start_event_id"),
                          F.col("m2_end_event_id").alias("second_end_event_id"))

@@ -157,6 +157,13 @@ def _group_starts(pdf: pd.DataFrame, keys: list[str], prev_key) -> tuple[np.ndar
     return newk, cols
 
 
+def _next_candidate(cand: np.ndarray) -> list[int]:
+    """For each row, the first row at or after it flagged in ``cand``."""
+    n = len(cand)
+    idx = np.where(cand, np.arange(n), n)
+    return np.minimum.accumulate(idx[::-1])[::-1].tolist()
+
+
 def _norm(v):
     if v is None or (isinstance(v, float) and np.isnan(v)):
         return None
@@ -196,6 +203,9 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
     top_alt = table.top_is_alt
     gkeys = keys + (["_blk"] if blocks else [])
     nk = len(keys)
+    first_mask = table.first_mask()
+    fail_name = names[FAILURE]
+    start_expected = table.expected(START)
 
     def end_row(c: _Carry):
         if final == "ended":
@@ -218,7 +228,11 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
             if n == 0:
                 continue
             newk, gcols = _group_starts(pdf, gkeys, gprev)
-            sym = pdf["_sym"].to_numpy().tolist()
+            sym_np = pdf["_sym"].to_numpy()
+            may_np = (sym_np & first_mask) != 0
+            may_start = may_np.tolist()
+            nxt_c = _next_candidate(may_np | newk)
+            sym = sym_np.tolist()
             shown = pdf["_show"].tolist() if has_show else None
             tt = pdf["_t"].tolist() if timeout is not None else None
             st_out = [""] * n
@@ -230,7 +244,8 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
             got_out: list[Any] = [None] * n
             newk_l = newk.tolist()
             labels = table.labels
-            for i in range(n):
+            i = 0
+            while i < n:
                 if newk_l[i]:
                     if carry is not None and carry.last and final != "none":
                         ends.append((carry.key, end_row(carry)))
@@ -244,6 +259,23 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
                             and tt[i] - carry.last_t > timeout:
                         state = carry.state = START  # the open attempt timed out
                     carry.last_t = tt[i]
+                if state == START and not may_start[i]:
+                    # a run of events that cannot begin an attempt: each one
+                    # is a one-event attempt that fails; fill them at once
+                    j = nxt_c[i + 1] if i + 1 < n else n
+                    k = j - i
+                    st_out[i:j] = [fail_name] * k
+                    att_out[i:j] = range(carry.attempt + 1, carry.attempt + 1 + k)
+                    step_out[i:j] = [1] * k
+                    exp_out[i:j] = [start_expected] * k
+                    if shown is not None:
+                        got_out[i:j] = shown[i:j]
+                    carry.attempt += k
+                    carry.steps = 1
+                    if tt is not None:
+                        carry.last_t = tt[j - 1]
+                    i = j
+                    continue
                 if state == START:
                     carry.attempt += 1
                     carry.steps = 0
@@ -260,6 +292,7 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
                     if code == SUCCESS and top_alt:
                         alt_out[i] = branch_names[br]
                 carry.state = nxt
+                i += 1
             out = pdf[keys + orders].copy()
             out["status"] = st_out
             out["attempt_id"] = np.asarray(att_out, dtype=np.int64)
@@ -359,14 +392,17 @@ def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool
             newk, gcols = _group_starts(pdf, gkeys, gprev)
             sym_np = pdf["_sym"].to_numpy()
             # events that cannot begin an attempt are spent at once
-            may_start = ((sym_np & first_mask) != 0).tolist()
+            may_np = (sym_np & first_mask) != 0
+            may_start = may_np.tolist()
+            nxt_c = _next_candidate(may_np | newk)
             sym = sym_np.tolist()
             ocols = [pdf[o].tolist() for o in orders]
             ccols = [pdf[f"_cap{i}"].tolist() for i in range(len(captures))]
             tt = pdf["_t"].tolist() if timeout is not None else None
             newk_l = newk.tolist()
             rows: list[tuple] = []
-            for i in range(n):
+            i = 0
+            while i < n:
                 if newk_l[i]:
                     gprev = tuple(_norm(c[i]) for c in gcols)
                     carry = _Carry(gprev[:nk], nc)
@@ -380,6 +416,8 @@ def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool
                     carry.last_t = tt[i]
                 if state == START:
                     if not may_start[i]:
+                        # spent at once; jump to the next row that can begin
+                        i = nxt_c[i + 1] if i + 1 < n else n
                         continue
                     carry.steps = 0
                     carry.start = tuple(c[i] for c in ocols)
@@ -398,6 +436,7 @@ def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool
                                 + (carry.steps, branch_names[br] if top_alt else None)
                                 + tuple(carry.caps))
                 carry.state = nxt
+                i += 1
             if rows:
                 yield _rows_frame(rows, keys, orders, cap_cols)
 
@@ -417,6 +456,41 @@ def _rows_frame(rows, keys, orders, cap_cols) -> pd.DataFrame:
     return pd.DataFrame.from_records(rows, columns=names)
 
 
+# ---------------------------------------------------------------------------
+# chained phases
+# ---------------------------------------------------------------------------
+
+def match_chain(df: DataFrame, patterns: Sequence[Pattern], partition_by, order_by, *,
+                capture: Sequence[Sequence[str]] | None = None,
+                strategy: str = "auto") -> DataFrame:
+    """The matches of one pattern are the events of the next.
+
+    Phase ``i+1`` reads phase ``i``'s ``match_cut`` rows, ordered by their
+    ``end_<o>`` columns, under the same key.  ``capture[i]`` lists the
+    columns phase ``i`` captures (phase ``i+1`` may capture any output
+    column of phase ``i``).  A key hot in a later phase is hot in the first
+    (a phase never has more rows per key than its input), so the plan is
+    chosen once on the source and a chain of cold keys runs no detection
+    on intermediate results (which would recompute them).
+    """
+    from tidemark.plans.skew import HotKeys, order_number
+
+    keys, orders = _as_list(partition_by), _as_list(order_by)
+    capture = list(capture) if capture is not None else [()] * len(patterns)
+    if strategy == "auto":
+        onum = order_number(df, orders[0])
+        hot = onum is not None and bool(HotKeys(df.select(*keys, *orders), keys, onum))
+        later = "auto" if hot else "plain"
+    else:
+        later = strategy
+    out = df
+    for i, p in enumerate(patterns):
+        out = match_cut(out, p, keys, orders, capture=capture[i],
+                        strategy=strategy if i == 0 else later)
+        orders = [f"end_{o}" for o in orders]
+    return out
+
+
 # ---------------------------------------------------------------------------
 # whole-input match
 # ---------------------------------------------------------------------------

@@ -48,15 +48,18 @@ def tokenize(df: DataFrame, text_col: str, id_cols: Sequence[str],
     """One row per token: ``id_cols``, ``pos`` (1-based), ``kind``, ``token``.
 
     ``token`` is the matched text without leading blanks; error tokens keep
-    their one character.
+    their one character.  The kind of a token is the first rule that matches
+    it whole (the rule that produced it: an earlier rule matching it would
+    have won at that position); it is computed once, in its own projection.
     """
     rx = token_regex(rules)
     raw = F.regexp_extract_all(F.col(text_col), F.lit(rx), F.lit(0))
     exploded = df.select(*id_cols, F.posexplode(raw).alias("_p", "_raw"))
     kind: Column = F.lit(error_kind)
     for name, r in reversed(list(rules)):
-        kind = F.when(F.col("_raw").rlike(f"^(?s)(?:{r})$"), F.lit(name)).otherwise(kind)
-    tok = F.when(kind == F.lit(error_kind), F.col("_raw")).otherwise(
-        F.regexp_replace(F.col("_raw"), "^[ \\t\\r\\n]+", ""))
-    return exploded.select(*id_cols, (F.col("_p") + 1).cast("long").alias("pos"),
-                           kind.alias("kind"), tok.alias("token"))
+        kind = F.when(F.col("_raw").rlike(f"^(?:{r})$"), F.lit(name)).otherwise(kind)
+    kinded = exploded.select(*id_cols, "_p", "_raw", kind.alias("kind"))
+    tok = F.when(F.col("kind") == F.lit(error_kind), F.col("_raw")).otherwise(
+        F.ltrim(F.col("_raw"), F.lit(" \t\r\n")))
+    return kinded.select(*id_cols, (F.col("_p") + 1).cast("long").alias("pos"),
+                         "kind", tok.alias("token"))
