@@ -133,6 +133,12 @@ def match_events(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
                      on_ambiguity, carry, time_col, timeout)
     schema = T.StructType(
         [prep.field[c] for c in prep.keys + prep.orders + prep.carry] + STATUS_FIELDS)
+    from tidemark.plans import single
+    pos = single.single_event_positions(pattern, prep.table) if strategy != "plain" else None
+    if pos is not None:
+        if show is None:
+            show = default_show(pattern)
+        return single.events(prep, pos, schema, final, show, strategy)
     if strategy in ("auto", "block"):
         from tidemark.plans import blockscan
         return blockscan.run(prep, "events", schema, final=final, strategy=strategy)
@@ -357,7 +363,11 @@ def match_cut(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
             fields.append(T.StructField(f"{s_}_{c}", prep.field[c].dataType))
             cap_cols.append((s_, c))
     schema = T.StructType(fields)
-    if strategy in ("auto", "block"):
+    from tidemark.plans import single
+    pos = single.single_event_positions(pattern, table) if strategy != "plain" else None
+    if pos is not None:
+        out = single.cut(prep, pos, cap_cols, schema, strategy)
+    elif strategy in ("auto", "block"):
         from tidemark.plans import blockscan
         out = blockscan.run(prep, "cut", schema, cap_cols=cap_cols, strategy=strategy)
     else:
