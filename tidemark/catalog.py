@@ -547,7 +547,8 @@ FROM l WHERE event_type = 'view' AND prev_run % 2 = 1"""
 
 
 def double_click(spark, sf):
-    ev = _events(spark, sf).withColumn("_t", W.time_number("ts"))
+    ev = _events(spark, sf)
+    ev = ev.withColumn("_t", W.time_number("ts", ev))
     lim = W.duration_micros("6h")
     out = W.pair_filter(
         ev, lambda prev, F_: (prev["event_type"] == "click") & (F_.col("event_type") == "click")
@@ -599,7 +600,8 @@ GROUP BY user_id, date_trunc('day', ts)"""
 
 
 def window_matches(spark, sf):
-    ev = _events(spark, sf).withColumn("window_start", W.day_window("ts"))
+    ev = _events(spark, sf)
+    ev = ev.withColumn("window_start", W.day_window("ts", "1d", ev))
     p = is_("signup").optional() >> (is_("click") | is_("view")).one_or_more() \
         >> is_("purchase").optional()
     out = match_whole(ev, p, [KEY, "window_start"], ORDER)
@@ -713,7 +715,8 @@ FROM h GROUP BY date_trunc('day', hr)"""
 # ---------------------------------------------------------------------------
 
 def ack_interval(spark, sf):
-    ev = _events(spark, sf).withColumn("_t", W.time_number("ts"))
+    ev = _events(spark, sf)
+    ev = ev.withColumn("_t", W.time_number("ts", ev))
     out = W.first_after(ev, et() == "error", et() == "signup", KEY, ORDER, ["event_id", "_t"])
     return out.select(KEY, F.col("event_id").alias("error_event_id"),
                       F.col("next_event_id").alias("ack_event_id"),
@@ -803,7 +806,8 @@ FROM w WHERE status = 'INCOMPLETE'"""
 def stateful_fold(spark, sf):
     """Sessions split at gaps over one hour, emitted when they close."""
     gap = W.duration_micros("1h")
-    ev = _events(spark, sf).withColumn("_t", W.time_number("ts"))
+    ev = _events(spark, sf)
+    ev = ev.withColumn("_t", W.time_number("ts", ev))
 
     def init():
         return None

@@ -89,7 +89,7 @@ class _Prepared:
         for i, c in enumerate(self.captures):
             sel.append(F.col(c).alias(f"_cap{i}"))
         if self.timeout is not None:
-            sel.append(time_number(time_col).alias("_t"))
+            sel.append(time_number(time_col, df).alias("_t"))
         self.df = df.select(*sel)
         self.field = {f.name: f for f in df.schema.fields}
 

@@ -11,17 +11,36 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.matcher import _as_list
 from tidemark.plans.skew import HotKeys, keyed_window, order_number
 
 
-def time_number(c: str | Column) -> Column:
-    """Microseconds since the epoch; NTZ is read as UTC wall time."""
+def time_number(c: str | Column, df: DataFrame | None = None, dtype=None) -> Column:
+    """Microseconds since the epoch.
+
+    A ``TIMESTAMP_NTZ`` column (give ``df`` or ``dtype``) is counted in wall
+    time, independent of the session time zone; other timestamps are
+    instants.
+    """
     col = F.col(c) if isinstance(c, str) else c
+    if dtype is None and df is not None and isinstance(c, str):
+        dtype = df.schema[c].dataType
+    if isinstance(dtype, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, col)
     return F.unix_micros(col.cast("timestamp"))
 
 
+def _tcol(df: DataFrame, c: str) -> Column:
+    """A time column usable by ``F.window`` (NTZ stays wall time)."""
+    dt = df.schema[c].dataType
+    if isinstance(dt, (T.TimestampNTZType, T.TimestampType)):
+        return F.col(c)
+    return F.col(c).cast("timestamp")
+
+
 def duration_micros(d: str | int) -> int:
     """'90s', '15m', '6h', '1d' or an int of microseconds."""
     if isinstance(d, int):
@@ -65,7 +84,7 @@ def match_every(df: DataFrame, steps: Sequence[Column], partition_by, order_by,
         w = _wp(part, order_by)
         cond = _lead_all(steps, w)
         if max_gap is not None:
-            t = time_number(time_col)
+            t = time_number(time_col, df)
             lim = duration_micros(max_gap)
             for i in range(1, n):
                 gap = F.lead(t, i).over(w) - (F.lead(t, i - 1).over(w) if i > 1 else t)
@@ -130,7 +149,7 @@ def not_followed_within(df: DataFrame, a: Column, b: Column, within: str | int,
     lim = duration_micros(within)
 
     def op(d: DataFrame, part: list[str]) -> DataFrame:
-        t = time_number(time_col)
+        t = time_number(time_col, df)
         w = Window.partitionBy(*part).orderBy(t).rangeBetween(1, lim)
         return d.withColumn("_nb", F.min(F.when(F.coalesce(b, F.lit(False)), t)).over(w))
 
@@ -235,18 +254,20 @@ def rising_triples(df: DataFrame, value_col: str, partition_by, order_by,
 def tumbling(df: DataFrame, time_col: str, length: str, group_by: Sequence[str] = (),
              aggs: Sequence[Column] = ()) -> DataFrame:
     """Aligned windows, end exclusive; ``window_start`` as epoch micros."""
-    win = F.window(F.col(time_col).cast("timestamp"), length)
+    win = F.window(_tcol(df, time_col), length)
+    dt = df.schema[time_col].dataType
     return (df.groupBy(win.alias("_win"), *group_by).agg(*aggs)
-            .withColumn("window_start", time_number(F.col("_win.start")))
+            .withColumn("window_start", time_number(F.col("_win.start"), dtype=dt))
             .drop("_win"))
 
 
 def sliding(df: DataFrame, time_col: str, length: str, slide: str,
             group_by: Sequence[str] = (), aggs: Sequence[Column] = ()) -> DataFrame:
     """Sliding windows of ``length`` every ``slide``."""
-    win = F.window(F.col(time_col).cast("timestamp"), length, slide)
+    win = F.window(_tcol(df, time_col), length, slide)
+    dt = df.schema[time_col].dataType
     return (df.groupBy(win.alias("_win"), *group_by).agg(*aggs)
-            .withColumn("window_start", time_number(F.col("_win.start")))
+            .withColumn("window_start", time_number(F.col("_win.start"), dtype=dt))
             .drop("_win"))
 
 
@@ -256,7 +277,7 @@ def rolling(df: DataFrame, time_col: str, length: str | int, partition_by,
     lim = duration_micros(length)
 
     def op(d: DataFrame, part: list[str]) -> DataFrame:
-        w = Window.partitionBy(*part).orderBy(time_number(time_col)).rangeBetween(-lim, 0)
+        w = Window.partitionBy(*part).orderBy(time_number(time_col, df)).rangeBetween(-lim, 0)
         return d.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
 
     return keyed_window(df, _as_list(partition_by), [time_col], op, range_behind=lim,
@@ -266,24 +287,25 @@ def rolling(df: DataFrame, time_col: str, length: str | int, partition_by,
 def cascading(df: DataFrame, time_col: str, fine: str, coarse: str,
               group_by: Sequence[str] = ()) -> DataFrame:
     """Coarse windows computed from the fine windows' results only."""
-    fine_df = (df.groupBy(F.window(F.col(time_col).cast("timestamp"), fine).alias("_w"),
+    dt = df.schema[time_col].dataType
+    fine_df = (df.groupBy(F.window(_tcol(df, time_col), fine).alias("_w"),
                           *group_by)
                .agg(F.count(F.lit(1)).alias("_n")))
     return (fine_df.groupBy(F.window(F.col("_w.start"), coarse).alias("_c"), *group_by)
             .agg(F.sum("_n").cast("long").alias("n_events"),
                  F.max("_n").cast("long").alias("max_fine"),
                  F.count(F.lit(1)).cast("long").alias("n_fine"))
-            .withColumn("window_start", time_number(F.col("_c.start")))
+            .withColumn("window_start", time_number(F.col("_c.start"), dtype=dt))
             .drop("_c"))
 
 
 # -- windows as match scopes (P7-P11) -----------------------------------------
 
-def day_window(time_col: str, length: str | int = "1d") -> Column:
+def day_window(time_col: str, length: str | int = "1d", df: DataFrame | None = None) -> Column:
     """Epoch micros of the start of the aligned window holding the event
     (windows aligned to the epoch, as ``F.window`` aligns them)."""
     lim = duration_micros(length)
-    return (F.floor(time_number(time_col) / lim) * lim).cast("long")
+    return (F.floor(time_number(time_col, df) / lim) * lim).cast("long")
 
 
 def window_contains(df: DataFrame, steps: Sequence[Column], partition_by, order_by,
@@ -291,8 +313,8 @@ def window_contains(df: DataFrame, steps: Sequence[Column], partition_by, order_
     """P7 (our definition): per key and aligned window, the number of P1
     matches lying wholly inside it; windows with at least one."""
     every = match_every(df, steps, partition_by, order_by, keep=[time_col])
-    start_w = day_window(time_col, length)
-    end_w = day_window(f"end_{time_col}", length)
+    start_w = day_window(time_col, length, df)
+    end_w = day_window(f"end_{time_col}", length, every)
     return (every.filter(start_w == end_w)
             .groupBy(*_as_list(partition_by), start_w.alias("window_start"))
             .agg(F.count(F.lit(1)).cast("long").alias("n_matches")))
@@ -304,7 +326,7 @@ def window_edges(df: DataFrame, first: Column, last: Column, partition_by, order
     ``first`` and its last event ``last``?  Output 0/1 columns."""
     keys = _as_list(partition_by)
     orders = _as_list(order_by)
-    ws = day_window(time_col, length)
+    ws = day_window(time_col, length, df)
     d = df.withColumn("window_start", ws)
     ordered = F.struct(*[F.col(o) for o in orders])
     agg = (d.groupBy(*keys, "window_start")
@@ -321,7 +343,7 @@ def window_all_of(df: DataFrame, preds: dict[str, Column], partition_by, time_co
     event, in any order."""
     keys = _as_list(partition_by)
     aggs = [F.bool_or(F.coalesce(p, F.lit(False))).alias(f"_{n}") for n, p in preds.items()]
-    out = df.groupBy(*keys, day_window(time_col, length).alias("window_start")).agg(*aggs)
+    out = df.groupBy(*keys, day_window(time_col, length, df).alias("window_start")).agg(*aggs)
     cond = F.lit(True)
     for n in preds:
         cond = cond & F.col(f"_{n}")
@@ -333,7 +355,7 @@ def window_lacking(df: DataFrame, pred: Column, partition_by, time_col: str,
     """P11 (our definition): per key, the day windows between its first and
     last event in which no event satisfies ``pred``."""
     keys = _as_list(partition_by)
-    day = F.to_date(F.col(time_col).cast("timestamp"))
+    day = F.to_date(F.col(time_col))
     spans = df.groupBy(*keys).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
     spine = spans.select(*keys, F.explode(
         F.sequence("_lo", "_hi", F.expr(f"INTERVAL {length_days} DAY"))).alias("day"))

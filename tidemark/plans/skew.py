@@ -42,8 +42,11 @@ def order_number(df: DataFrame, col: str) -> Column | None:
     """A long that grows with ``col`` (timestamps as epoch micros)."""
     dt = df.schema[col].dataType
     c = F.col(col)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp"))
+    if isinstance(dt, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, c)
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c)
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("long")
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):

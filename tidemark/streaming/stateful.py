@@ -34,7 +34,7 @@ from tidemark.session import ensure_checkpoint_dir
 def _order_value(df: DataFrame, c: str):
     dt = df.schema[c].dataType
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return time_number(c).alias(c), T.LongType()
+        return time_number(c, df).alias(c), T.LongType()
     return F.col(c), dt
 
 
@@ -52,7 +52,7 @@ def stream_match_cut(stream: DataFrame, pattern: Pattern, partition_by, order_by
     ev = (stream.withColumn("_wm", F.col(time_col).cast("timestamp"))
           .withWatermark("_wm", delay)
           .select(*keys, *[v for v, _ in ovals], table.symbol_column().alias("_sym"),
-                  time_number(time_col).alias("_t"), "_wm"))
+                  time_number(time_col, stream).alias("_t"), "_wm"))
     out_fields = [stream.schema[k] for k in keys] + [T.StructField("match_no", T.LongType())]
     out_fields += [T.StructField(f"start_{o}", t) for o, (_, t) in zip(orders, ovals)]
     out_fields += [T.StructField(f"end_{o}", t) for o, (_, t) in zip(orders, ovals)]
