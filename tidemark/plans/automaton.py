@@ -238,6 +238,15 @@ class StepTable:
             i += 1
         return len(self.states)
 
+    def state_key(self, s: int) -> str:
+        """Process-independent name of a state (ids are built lazily per
+        process, so only this form may be stored outside one process)."""
+        return ",".join(f"{p}:{c}" for p, c in self.states[s])
+
+    def state_from_key(self, key: str) -> int:
+        st = tuple(tuple(int(x) for x in pc.split(":")) for pc in key.split(","))
+        return self._state_id(st)
+
     def accepting_paths(self, s: int) -> int:
         """Paths that can end in state ``s`` (0, 1 or 2 = ambiguous)."""
         if s == START:

@@ -57,6 +57,7 @@ def order_number(df: DataFrame, col: str) -> Column | None:
 
 
 _STATS_CACHE: dict[tuple, list] = {}
+_STATS_CACHE_SIZE = 256
 
 
 def _hot_stats(df: DataFrame, keys: list[str], onum: Column, hot_rows: int) -> list:
@@ -73,6 +74,8 @@ def _hot_stats(df: DataFrame, keys: list[str], onum: Column, hot_rows: int) -> l
                  .agg(F.count(F.lit(1)).alias("_sk_n"), F.min("_sk_o").alias("_sk_lo"),
                       F.max("_sk_o").alias("_sk_hi"))
                  .filter(F.col("_sk_n") > F.lit(hot_rows)))
+        if len(_STATS_CACHE) >= _STATS_CACHE_SIZE:
+            _STATS_CACHE.pop(next(iter(_STATS_CACHE)))  # oldest first
         _STATS_CACHE[ck] = stats.limit(MAX_COLLECTED_HOT_KEYS + 1).collect()
     return _STATS_CACHE[ck]
 

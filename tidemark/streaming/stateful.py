@@ -58,7 +58,7 @@ def stream_match_cut(stream: DataFrame, pattern: Pattern, partition_by, order_by
     out_fields += [T.StructField(f"end_{o}", t) for o, (_, t) in zip(orders, ovals)]
     out_fields += [T.StructField("n_events", T.LongType())]
     out_schema = T.StructType(out_fields)
-    st_fields = [T.StructField("st", T.IntegerType()), T.StructField("steps", T.LongType()),
+    st_fields = [T.StructField("st", T.StringType()), T.StructField("steps", T.LongType()),
                  T.StructField("match_no", T.LongType()), T.StructField("last_t", T.LongType()),
                  T.StructField("n_late", T.LongType())]
     st_fields += [T.StructField(f"last_{o}", t) for o, (_, t) in zip(orders, ovals)]
@@ -70,7 +70,8 @@ def stream_match_cut(stream: DataFrame, pattern: Pattern, partition_by, order_by
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
             s = state.get
-            st, steps, match_no, last_t, n_late = s[0], s[1], s[2], s[3], s[4]
+            st, steps, match_no, last_t, n_late = (table.state_from_key(s[0]), s[1], s[2],
+                                                   s[3], s[4])
             last_o = tuple(s[5:5 + no])
             start = tuple(s[5 + no:5 + 2 * no])
         else:
@@ -79,8 +80,8 @@ def stream_match_cut(stream: DataFrame, pattern: Pattern, partition_by, order_by
             start = tuple([None] * no)
         if state.hasTimedOut:
             st, steps = START, 0  # the open attempt timed out
-            state.update((st, steps, match_no, last_t, n_late) + tuple(last_o or [None] * no)
-                         + tuple(start))
+            state.update((table.state_key(st), steps, match_no, last_t, n_late)
+                         + tuple(last_o or [None] * no) + tuple(start))
             return
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(orders, kind="stable")
         ocols = [pdf[o].tolist() for o in orders]
@@ -104,8 +105,8 @@ def stream_match_cut(stream: DataFrame, pattern: Pattern, partition_by, order_by
                 rows.append(tuple(key) + (match_no,) + start + o + (steps,))
             st = nxt
             last_t, last_o = tt[i], o
-        state.update((st, steps, match_no, last_t, n_late) + tuple(last_o or [None] * no)
-                     + tuple(start))
+        state.update((table.state_key(st), steps, match_no, last_t, n_late)
+                     + tuple(last_o or [None] * no) + tuple(start))
         if st != START and last_t is not None:
             state.setTimeoutTimestamp(int((last_t + lim) // 1000) + 1)
         if rows:
