@@ -569,6 +569,21 @@ SELECT user_id, pid AS first_event_id, event_id AS second_event_id,
 FROM x WHERE event_type = 'click' AND pt = 'click' AND ts - pts <= INTERVAL 6 HOUR"""
 
 
+def followed_within(spark, sf):
+    ev = _events(spark, sf)
+    out = W.match_every(ev, [et() == "click", et() == "view"], KEY, ORDER, time_col="ts",
+                        max_gap="30m")
+    return out.select(KEY, F.col("event_id").alias("start_event_id"), "end_event_id")
+
+
+SQL_FOLLOWED_WITHIN = f"""WITH {E},
+x AS (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY rn) AS t1,
+                lead(event_id) OVER (PARTITION BY user_id ORDER BY rn) AS id1,
+                lead(ts) OVER (PARTITION BY user_id ORDER BY rn) AS ts1 FROM e)
+SELECT user_id, event_id AS start_event_id, id1 AS end_event_id
+FROM x WHERE event_type = 'click' AND t1 = 'view' AND ts1 - ts <= INTERVAL 30 MINUTE"""
+
+
 def no_followup(spark, sf):
     out = W.not_followed_within(_events(spark, sf), et() == "purchase", et() == "error", "1d",
                                 KEY, "ts")
@@ -902,6 +917,7 @@ def _entries() -> list[tuple[str, Callable, str | None]]:
         ("in_last_n", in_last_n, SQL_IN_LAST_N),
         ("in_blocks_n", in_blocks_n, SQL_IN_BLOCKS_N),
         ("double_click", double_click, SQL_DOUBLE_CLICK),
+        ("followed_within", followed_within, SQL_FOLLOWED_WITHIN),
         ("no_followup", no_followup, SQL_NO_FOLLOWUP),
         ("window_contains", window_contains, SQL_WINDOW_CONTAINS),
         ("window_matches", window_matches, SQL_WINDOW_MATCHES),
