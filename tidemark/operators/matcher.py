@@ -163,6 +163,18 @@ def _group_starts(pdf: pd.DataFrame, keys: list[str], prev_key) -> tuple[np.ndar
     return newk, cols
 
 
+def _series(values: list, dtype) -> pd.Series:
+    """A column in the dtype of its source, NULL-capable."""
+    kind = getattr(dtype, "kind", "O")
+    if kind in "iu":
+        return pd.Series(values, dtype=f"{'U' if kind == 'u' else ''}Int{dtype.itemsize * 8}")
+    if kind == "b":
+        return pd.Series(values, dtype="boolean")
+    if kind in "mM":
+        return pd.Series(values, dtype=dtype)
+    return pd.Series(values, dtype=object if kind == "O" else None)
+
+
 def _next_candidate(cand: np.ndarray) -> list[int]:
     """For each row, the first row at or after it flagged in ``cand``."""
     n = len(cand)
@@ -210,8 +222,9 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
     gkeys = keys + (["_blk"] if blocks else [])
     nk = len(keys)
     first_mask = table.first_mask()
-    fail_name = names[FAILURE]
-    start_expected = table.expected(START)
+    status_arr = np.asarray(names, dtype=object)
+    alt_arr = np.asarray([None] + (branch_names if top_alt else [None] * len(branch_names)),
+                         dtype=object)
 
     def end_row(c: _Carry):
         if final == "ended":
@@ -239,17 +252,16 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
             may_start = may_np.tolist()
             nxt_c = _next_candidate(may_np | newk)
             sym = sym_np.tolist()
-            shown = pdf["_show"].tolist() if has_show else None
             tt = pdf["_t"].tolist() if timeout is not None else None
-            st_out = [""] * n
+            # per row only small integers are written; strings come from one
+            # vectorized lookup per column after the loop
+            code_out = [0] * n
             att_out = [0] * n
             step_out = [0] * n
-            alt_out: list[Any] = [None] * n
-            lab_out: list[Any] = [None] * n
-            exp_out: list[Any] = [None] * n
-            got_out: list[Any] = [None] * n
+            br_out = [-1] * n
+            lab_out = [0] * n
+            exp_out = [-1] * n  # state whose expected steps a FAILURE reports
             newk_l = newk.tolist()
-            labels = table.labels
             i = 0
             while i < n:
                 if newk_l[i]:
@@ -270,12 +282,10 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
                     # is a one-event attempt that fails; fill them at once
                     j = nxt_c[i + 1] if i + 1 < n else n
                     k = j - i
-                    st_out[i:j] = [fail_name] * k
+                    code_out[i:j] = [FAILURE] * k
                     att_out[i:j] = range(carry.attempt + 1, carry.attempt + 1 + k)
                     step_out[i:j] = [1] * k
-                    exp_out[i:j] = [start_expected] * k
-                    if shown is not None:
-                        got_out[i:j] = shown[i:j]
+                    exp_out[i:j] = [START] * k
                     carry.attempt += k
                     carry.steps = 1
                     if tt is not None:
@@ -287,32 +297,41 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
                     carry.steps = 0
                 carry.steps += 1
                 nxt, code, br, lab = table.move(state, sym[i])
-                st_out[i] = names[code]
+                code_out[i] = code
                 att_out[i] = carry.attempt
                 step_out[i] = carry.steps
                 if code == FAILURE:
-                    exp_out[i] = table.expected(state)
-                    got_out[i] = shown[i] if shown is not None else None
+                    exp_out[i] = state
                 else:
-                    lab_out[i] = labels[lab]
-                    if code == SUCCESS and top_alt:
-                        alt_out[i] = branch_names[br]
+                    lab_out[i] = lab
+                    if code == SUCCESS:
+                        br_out[i] = br
                 carry.state = nxt
                 i += 1
+            codes = np.asarray(code_out, dtype=np.int64)
+            failed = codes == FAILURE
             out = pdf[keys + orders].copy()
-            out["status"] = st_out
+            out["status"] = status_arr[codes]
             out["attempt_id"] = np.asarray(att_out, dtype=np.int64)
             out["step"] = np.asarray(step_out, dtype=np.int32)
-            out["alt"] = alt_out
-            out["label"] = lab_out
-            out["fail_expected"] = exp_out
-            out["fail_got"] = got_out
+            out["alt"] = alt_arr[np.asarray(br_out, dtype=np.int64) + 1]
+            out["label"] = np.asarray(table.labels, dtype=object)[
+                np.asarray(lab_out, dtype=np.int64)]
+            expected = np.asarray([None] + [table.expected(q)
+                                            for q in range(len(table.states))], dtype=object)
+            out["fail_expected"] = expected[np.asarray(exp_out, dtype=np.int64) + 1]
+            if has_show:
+                out["fail_got"] = np.where(failed, pdf["_show"].to_numpy(dtype=object), None)
+            else:
+                out["fail_got"] = None
             yield out
-            if ends:
+            if len(ends) >= 10_000:
                 yield _end_frame(ends, keys, orders)
                 ends = []
         if carry is not None and carry.last and final != "none":
-            yield _end_frame([(carry.key, end_row(carry))], keys, orders)
+            ends.append((carry.key, end_row(carry)))
+        if ends:
+            yield _end_frame(ends, keys, orders)
 
     return kernel
 
@@ -406,11 +425,19 @@ def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool
             may_start = may_np.tolist()
             nxt_c = _next_candidate(may_np | newk)
             sym = sym_np.tolist()
-            ocols = [pdf[o].tolist() for o in orders]
-            ccols = [pdf[f"_cap{i}"].tolist() for i in range(len(captures))]
+            # order and capture values are read only where a match starts or
+            # ends: no per-row Python objects for them
+            ocols = [pdf[o].to_numpy() for o in orders]
+            ccols = [pdf[f"_cap{i}"].to_numpy() for i in range(len(captures))]
             tt = pdf["_t"].tolist() if timeout is not None else None
             newk_l = newk.tolist()
-            rows: list[tuple] = []
+            mkeys: list[tuple] = []
+            mnos: list[int] = []
+            mstarts: list[tuple] = []
+            mends: list[int] = []
+            msteps: list[int] = []
+            malts: list = []
+            mcaps: list[tuple] = []
             i = 0
             while i < n:
                 if newk_l[i]:
@@ -441,14 +468,32 @@ def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool
                             carry.caps[j] = ccols[ci][i]
                 if code == SUCCESS:
                     carry.match_no += 1
-                    rows.append(carry.key + (carry.match_no,) + carry.start
-                                + tuple(c[i] for c in ocols)
-                                + (carry.steps, branch_names[br] if top_alt else None)
-                                + tuple(carry.caps))
+                    mkeys.append(carry.key)
+                    mnos.append(carry.match_no)
+                    mstarts.append(carry.start)
+                    mends.append(i)
+                    msteps.append(carry.steps)
+                    malts.append(branch_names[br] if top_alt else None)
+                    if nc:
+                        mcaps.append(tuple(carry.caps))
                 carry.state = nxt
                 i += 1
-            if rows:
-                yield _rows_frame(rows, keys, orders, cap_cols)
+            if mnos:
+                out: dict[str, Any] = {}
+                for j, k in enumerate(keys):
+                    out[k] = _series([mk[j] for mk in mkeys], pdf[k].dtype)
+                out["match_no"] = np.asarray(mnos, dtype=np.int64)
+                idx = np.asarray(mends, dtype=np.int64)
+                for j, o in enumerate(orders):
+                    out[f"start_{o}"] = _series([st[j] for st in mstarts], pdf[o].dtype)
+                for j, o in enumerate(orders):
+                    out[f"end_{o}"] = ocols[j][idx]
+                out["n_events"] = np.asarray(msteps, dtype=np.int64)
+                out["alt"] = malts
+                for j, (s_, c) in enumerate(cap_cols):
+                    out[f"{s_}_{c}"] = _series([mc[j] for mc in mcaps],
+                                               pdf[f"_cap{captures.index(c)}"].dtype)
+                yield pd.DataFrame(out)
 
     return kernel
 
