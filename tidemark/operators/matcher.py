@@ -754,6 +754,6 @@ def failure_summary(events: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "match_events", "match_cut", "match_whole", "successes", "failures",
-    "failure_summary", "AMBIGUOUS", "INCOMPLETE",
+    "match_events", "match_cut", "match_chain", "match_whole", "successes",
+    "failures", "failure_summary", "AMBIGUOUS", "INCOMPLETE",
 ]
