@@ -59,6 +59,16 @@ def _raw_filter(table: StepTable, pos: list[int]) -> Column:
     return out
 
 
+def _source_layout(prep, strategy: str):
+    """Hot-key layout of the unfiltered input (cached across queries)."""
+    from tidemark.plans.skew import HotKeys, order_number
+
+    onum = order_number(prep.src, prep.orders[0])
+    if strategy != "auto" or onum is None:
+        return None
+    return HotKeys(prep.src, prep.keys, onum)  # same probe as the block scan: cached
+
+
 def cut(prep, pos: list[int], cap_cols, schema: T.StructType, strategy: str) -> DataFrame:
     table, keys, orders = prep.table, prep.keys, prep.orders
     any_ = F.lit(False)
@@ -79,7 +89,7 @@ def cut(prep, pos: list[int], cap_cols, schema: T.StructType, strategy: str) ->
     matched = (prep.src.filter(_raw_filter(table, pos))
                .select(*keys, *orders, alt.alias("alt"), *caps))
     numbered = keyed_window(matched, keys, orders, lambda d, part: d, row_number=True,
-                            strategy=strategy)
+                            strategy=strategy, hot=_source_layout(prep, strategy))
     out = numbered.select(
         *keys, F.col("_rn").alias("match_no"),
         *[F.col(o).alias(f"start_{o}") for o in orders],
@@ -91,6 +101,9 @@ def cut(prep, pos: list[int], cap_cols, schema: T.StructType, strategy: str) ->
 
 def events(prep, pos: list[int], schema: T.StructType, final: str, show: Column | None,
            strategy: str) -> DataFrame:
+    """Statuses of every event, and each key's end row emitted by its last
+    event (one window pass: the last row explodes into itself and the end
+    row), so the input is read once."""
     table, keys, orders = prep.table, prep.keys, prep.orders
     any_ = F.lit(False)
     for i in pos:
@@ -111,25 +124,23 @@ def events(prep, pos: list[int], schema: T.StructType, final: str, show: Column
         (F.when(~any_, show) if show is not None else F.lit(None)).cast("string")
         .alias("fail_got"))
     numbered = keyed_window(rows, keys, orders, lambda d, part: d, row_number=True,
-                            strategy=strategy).withColumnRenamed("_rn", "attempt_id")
+                            key_count=final != "none", strategy=strategy,
+                            hot=_source_layout(prep, strategy))
+    numbered = numbered.withColumnRenamed("_rn", "attempt_id")
     names = [f.name for f in schema.fields]
-    out = numbered.select(*names)
     if final == "none":
-        return out
-    per_key = prep.src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    nulls = [F.lit(None).cast(prep.field[c].dataType).alias(c) for c in orders + prep.carry]
+        return numbered.select(*names)
+    ev_row = F.struct(*[F.col(c).cast(schema[c].dataType).alias(c) for c in names])
     if final == "ended":
-        ends = per_key.select(*keys, *nulls, F.lit("ENDED").alias("status"),
-                              F.lit(None).cast("long").alias("attempt_id"),
-                              F.lit(0).cast("int").alias("step"),
-                              *[F.lit(None).cast("string").alias(c)
-                                for c in ("alt", "label", "fail_expected", "fail_got")])
+        end_vals = {"status": F.lit("ENDED"), "attempt_id": F.lit(None),
+                    "step": F.lit(0)}
     else:
-        ends = per_key.select(*keys, *nulls, F.lit("FAILURE").alias("status"),
-                              (F.col("_n") + 1).cast("long").alias("attempt_id"),
-                              F.lit(0).cast("int").alias("step"),
-                              F.lit(None).cast("string").alias("alt"),
-                              F.lit(None).cast("string").alias("label"),
-                              F.lit(expected).alias("fail_expected"),
-                              F.lit("<end of input>").alias("fail_got"))
-    return out.unionByName(ends.select(*names))
+        end_vals = {"status": F.lit("FAILURE"), "attempt_id": F.col("_kn") + 1,
+                    "step": F.lit(0), "fail_expected": F.lit(expected),
+                    "fail_got": F.lit("<end of input>")}
+    end_row = F.struct(*[
+        (F.col(c) if c in keys else end_vals.get(c, F.lit(None)))
+        .cast(schema[c].dataType).alias(c) for c in names])
+    both = F.when(F.col("attempt_id") == F.col("_kn"), F.array(ev_row, end_row)) \
+        .otherwise(F.array(ev_row))
+    return numbered.select(F.explode(both).alias("_r")).select("_r.*")

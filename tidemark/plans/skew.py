@@ -130,6 +130,11 @@ class HotKeys:
         return cold, hot
 
 
+def hot_rows_total(df: DataFrame) -> int:
+    """Rows of a keyless input (one scalar; the whole input is one key)."""
+    return df.count()
+
+
 def _neighbours(hot: DataFrame, keys: list[str], reach: int) -> DataFrame:
     """Per non-empty block: the ``reach`` previous and next non-empty blocks
     and the number of rows before it in its key.  One row per block."""
@@ -148,14 +153,18 @@ def keyed_window(df: DataFrame, keys: Sequence[str], orders: Sequence[str],
                  op: Callable[[DataFrame, list[str]], DataFrame], *,
                  ahead: int = 0, behind: int = 0, range_ahead: int = 0,
                  range_behind: int = 0, row_number: bool = False,
-                 strategy: str = "auto") -> DataFrame:
+                 key_count: bool = False, strategy: str = "auto",
+                 hot: "HotKeys | None" = None) -> DataFrame:
     """Apply a window operator per key, splitting hot keys (module doc).
 
     ``op(frame, partition_cols)`` must add columns computed with windows
     partitioned by ``partition_cols`` and ordered by ``orders``, keep every
     row, and may use ``_rn`` (global row number in the key) when
-    ``row_number`` is set.  It must not filter rows: filtering happens after
-    halo rows are dropped, by the caller.
+    ``row_number`` is set, and ``_kn`` (rows in the key) when ``key_count``
+    is.  It must not filter rows: filtering happens after halo rows are
+    dropped, by the caller.  ``hot``: a block layout found on a frame this
+    one was filtered from (its hot keys are a superset, and its blocks hold
+    at most as many of these rows), to save a statistics pass.
     """
     keys, orders = list(keys), list(orders)
     onum = order_number(df, orders[0]) if orders else None
@@ -164,12 +173,16 @@ def keyed_window(df: DataFrame, keys: Sequence[str], orders: Sequence[str],
         if row_number:
             d = d.withColumn("_rn", F.row_number().over(
                 Window.partitionBy(*keys).orderBy(*orders)).cast("long"))
+        if key_count:
+            d = d.withColumn("_kn", F.count(F.lit(1)).over(Window.partitionBy(*keys))
+                             .cast("long"))
         return op(d, keys)
 
     if strategy == "plain" or onum is None:
         return plain(df)
     width = max(range_ahead, range_behind, 1)
-    hk = HotKeys(df, keys, onum, min_width=width, force=strategy == "block")
+    hk = hot if hot is not None and strategy == "auto" and not (range_ahead or range_behind) \
+        else HotKeys(df, keys, onum, min_width=width, force=strategy == "block")
     if not hk or hk.too_many:
         return plain(df)
     cold, hot = hk.split(df)
@@ -181,12 +194,13 @@ def keyed_window(df: DataFrame, keys: Sequence[str], orders: Sequence[str],
         nb = F.broadcast(nb)
     part = keys + ["_sk_blk"]
     frame = hot
-    if ahead or behind or row_number:
+    if ahead or behind or row_number or key_count:
         frame = frame.withColumn("_sk_rb", F.row_number().over(
             Window.partitionBy(*part).orderBy(*orders)))
         frame = frame.withColumn("_sk_rbd", F.row_number().over(
             Window.partitionBy(*part).orderBy(*[F.col(o).desc() for o in orders])))
-    nbcols = [c for c in nb.columns if c.startswith(("_sk_prev", "_sk_next", "_sk_off"))]
+    nbcols = [c for c in nb.columns
+              if c.startswith(("_sk_prev", "_sk_next", "_sk_off", "_sk_cnt"))]
     j = frame.join(nb, on=[frame[k].eqNullSafe(nb[k]) for k in part], how="inner") \
         .select(frame["*"], *[nb[c] for c in nbcols])
 
@@ -213,6 +227,15 @@ def keyed_window(df: DataFrame, keys: Sequence[str], orders: Sequence[str],
     if row_number:
         # halo rows keep their own global number: offset of their home block
         allrows = allrows.withColumn("_rn", (F.col("_sk_off") + F.col("_sk_rb")).cast("long"))
+    if key_count and not keys:
+        allrows = allrows.withColumn("_kn", F.lit(hot_rows_total(df)).cast("long"))
+    elif key_count:
+        totals = nb.groupBy(*keys).agg(F.max(F.col("_sk_off") + F.col("_sk_cnt"))
+                                       .cast("long").alias("_kn"))
+        if hk.n_blocks <= conf_int(df.sparkSession, "broadcastBlocks", 200_000):
+            totals = F.broadcast(totals)
+        allrows = allrows.join(totals, on=[allrows[k].eqNullSafe(totals[k]) for k in keys],
+                               how="inner").select(allrows["*"], totals["_kn"])
     out_hot = op(allrows, part).filter(~F.col("_sk_halo"))
     keep = [c for c in out_hot.columns if not c.startswith("_sk_")]
     out_hot = out_hot.select(*keep)
