@@ -58,7 +58,8 @@ def test_entry_smoke(spark):
 HOT = ["seq_cut", "event_status", "partial_output", "seq_timeout", "nested_depth",
        "multi_pattern", "window_matches", "in_last_n", "rolling", "no_followup",
        "ack_interval", "rising_triples", "in_blocks_n", "longest_alt", "double_click",
-       "followed_within", "pattern_project", "literal_events", "union_one"]
+       "followed_within", "pattern_project", "literal_events", "union_one",
+       "stateful_fold", "chain_two_phase", "whole_conversation"]
 
 
 @pytest.mark.parametrize("name", HOT)

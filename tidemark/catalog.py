@@ -819,29 +819,46 @@ FROM w WHERE status = 'INCOMPLETE'"""
 
 
 def stateful_fold(spark, sf):
-    """Sessions split at gaps over one hour, emitted when they close."""
+    """Sessions split at gaps over one hour, emitted when they close.
+
+    The gap flag comes from a skew-safe ``lag``; it is the fold's reset, so
+    hot users are split too; session numbers are a skew-safe row number.
+    """
+    from pyspark.sql import Window
+
+    from tidemark.plans.skew import keyed_window
+
     gap = W.duration_micros("1h")
     ev = _events(spark, sf)
     ev = ev.withColumn("_t", W.time_number("ts", ev))
 
+    def flag(d, part):
+        prev = F.lag("_t").over(Window.partitionBy(*part).orderBy(*ORDER))
+        return d.withColumn("_new", prev.isNull() | (F.col("_t") - prev > gap))
+
+    flagged = keyed_window(ev, [KEY], ORDER, flag, behind=1)
+
     def init():
         return None
 
     def step_(st, row):
-        if st is not None and row["_t"] - st[0] <= gap:
-            return (row["_t"], st[1], st[2] + 1, st[3] + row["value"], st[4]), []
-        out = [] if st is None else [(st[1], st[2], round(st[3] * 100), st[4])]
-        no = 1 if st is None else st[1] + 1
-        return (row["_t"], no, 1, row["value"], row["event_id"]), out
+        if st is None:
+            return (row["_t"], 1, row["value"], row["event_id"]), []
+        return (st[0], st[1] + 1, st[2] + row["value"], st[3]), []
 
     def end(st):
-        return [] if st is None else [(st[1], st[2], round(st[3] * 100), st[4])]
+        return [] if st is None else [(st[3], st[0], st[1], round(st[2] * 100))]
 
-    schema = T.StructType([T.StructField("session_no", T.LongType()),
+    schema = T.StructType([T.StructField("first_event_id", T.LongType()),
+                           T.StructField("first_t", T.LongType()),
                            T.StructField("n_events", T.LongType()),
-                           T.StructField("total_cents", T.LongType()),
-                           T.StructField("first_event_id", T.LongType())])
-    return S.fold(ev, KEY, ORDER, ["_t", "value", "event_id"], init, step_, end, schema)
+                           T.StructField("total_cents", T.LongType())])
+    sessions = S.fold(flagged, KEY, ORDER, ["_t", "value", "event_id"], init, step_, end,
+                      schema, reset=F.col("_new"))
+    numbered = keyed_window(sessions, [KEY], ["first_t", "first_event_id"],
+                            lambda d, part: d, row_number=True)
+    return numbered.select(KEY, F.col("_rn").alias("session_no"), "n_events",
+                           "total_cents", "first_event_id")
 
 
 SQL_STATEFUL_FOLD = f"""WITH {E},

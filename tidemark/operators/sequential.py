@@ -168,39 +168,98 @@ def _nested_kernel(keys, gkeys, orders, final):
 
 def fold(df: DataFrame, partition_by, order_by, columns: Sequence[str],
          init: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, list]],
-         end: Callable[[Any], list], schema: T.StructType) -> DataFrame:
+         end: Callable[[Any], list], schema: T.StructType, *,
+         reset: Column | None = None, strategy: str = "auto") -> DataFrame:
     """P12 (our definition): per key, in order, ``state, rows = step(state,
     row)`` for every event, then ``end(state)`` at the end of the key.
     Emitted rows are tuples for ``schema`` *without* the key columns, which
     are prepended.  Only ``columns`` are shipped to Python.
+
+    ``reset`` (optional boolean column): before a row where it holds, the
+    running state is ended (``end`` is called) and started again with
+    ``init()``.  Segments between resets are then independent, so a hot key
+    is split: its blocks are walked from their first reset row, and each
+    block's head is walked with the previous block that has one.  Without
+    ``reset`` a key is one sequential walk (one task per key).
     """
+    from tidemark.plans.skew import HotKeys, order_number
+
     keys, orders = _as_list(partition_by), _as_list(order_by)
     cols = list(dict.fromkeys(list(columns)))
-    src = df.select(*keys, *[c for c in dict.fromkeys(orders + cols)])
+    sel = [*keys, *[c for c in dict.fromkeys(orders + cols) if c not in keys]]
+    src = df.select(*sel, *([F.coalesce(reset, F.lit(False)).alias("_reset")]
+                            if reset is not None else []))
     out_schema = T.StructType([df.schema[k] for k in keys] + list(schema.fields))
-    names = [f.name for f in out_schema.fields]
+    onum = order_number(df, orders[0])
+    hk = None
+    if reset is not None and strategy != "plain" and onum is not None:
+        hk = HotKeys(df.select(*keys, *orders), keys, onum, force=strategy == "block")
+    kern = _fold_kernel(keys, keys, cols, init, step, end, [f.name for f in out_schema.fields],
+                        reset is not None)
+    if not hk or hk.too_many:
+        return _sorted(src, keys, orders).mapInPandas(kern, out_schema)
+    cold, hot = hk.split(src)
+    out_cold = _sorted(cold, keys, orders).mapInPandas(kern, out_schema)
+    homed = _rehome(hot, keys, orders, F.col("_reset"), hk)
+    hot_kern = _fold_kernel(keys, keys + ["_home"], cols, init, step, end,
+                            [f.name for f in out_schema.fields], True)
+    out_hot = (homed.repartition(*keys, "_home").sortWithinPartitions(*keys, "_home", *orders)
+               .mapInPandas(hot_kern, out_schema))
+    return out_cold.unionByName(out_hot)
+
+
+def _rehome(hot: DataFrame, keys, orders, restart: Column, hk) -> DataFrame:
+    """Assign each hot row the block whose walk takes it: its own block from
+    the block's first restart row on, else the previous block that has a
+    restart row (or the key's first block).  A walk may start at its home's
+    first row because that row restarts it (or begins the key)."""
+    part = keys + ["_sk_blk"]
+    at = F.struct(*[F.col(o) for o in orders])
+    heads = hot.groupBy(*part).agg(F.min(F.when(restart, at)).alias("_fr"))
+    wk = Window.partitionBy(*keys).orderBy("_sk_blk")
+    heads = (heads
+             .withColumn("_prev_home", F.last(F.when(F.col("_fr").isNotNull(),
+                                                      F.col("_sk_blk")), ignorenulls=True)
+                         .over(wk.rowsBetween(Window.unboundedPreceding, -1)))
+             .withColumn("_first", F.min("_sk_blk").over(Window.partitionBy(*keys))))
+    if hk.n_blocks <= 200_000:
+        heads = F.broadcast(heads)
+    return (hot.join(heads, on=part, how="inner")
+            .withColumn("_home", F.when(F.col("_fr").isNotNull() & (at >= F.col("_fr")),
+                                        F.col("_sk_blk"))
+                        .otherwise(F.coalesce("_prev_home", "_first")))
+            .drop("_fr", "_prev_home", "_first", "_sk_blk", "_sk_lo", "_sk_w"))
+
+
+def _fold_kernel(keys, gkeys, cols, init, step, end, names, has_reset: bool):
+    nk = len(keys)
 
     def kernel(it):
-        key = None
+        gkey = None
         state = None
-        for flags, kv, vals, n in _keyed_rows(it, keys, cols):
+        for flags, kv, vals, n in _keyed_rows(it, gkeys, cols + (["_reset"] if has_reset
+                                                                  else [])):
+            resets = vals[-1] if has_reset else None
             rows = []
             for i in range(n):
                 if flags[i]:
-                    if key is not None:
-                        rows.extend(key + tuple(r) for r in end(state))
-                    key = tuple(_norm(c[i]) for c in kv)
+                    if gkey is not None:
+                        rows.extend(gkey[:nk] + tuple(r) for r in end(state))
+                    gkey = tuple(_norm(c[i]) for c in kv)
+                    state = init()
+                elif resets is not None and resets[i]:
+                    rows.extend(gkey[:nk] + tuple(r) for r in end(state))
                     state = init()
                 state, emitted = step(state, {c: v[i] for c, v in zip(cols, vals)})
-                rows.extend(key + tuple(r) for r in emitted)
+                rows.extend(gkey[:nk] + tuple(r) for r in emitted)
             if rows:
                 yield pd.DataFrame.from_records(rows, columns=names)
-        if key is not None:
-            rows = [key + tuple(r) for r in end(state)]
+        if gkey is not None:
+            rows = [gkey[:nk] + tuple(r) for r in end(state)]
             if rows:
                 yield pd.DataFrame.from_records(rows, columns=names)
 
-    return _sorted(src, keys, orders).mapInPandas(kernel, out_schema)
+    return kernel
 
 
 # ---------------------------------------------------------------------------
