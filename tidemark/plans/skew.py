@@ -16,6 +16,9 @@ neighbouring block:
 * a global row number is the block's offset (a running sum over the small
   per-block counts) plus the row number inside the block.
 
+A key has at most ``tidemark.maxBlocksPerKey`` blocks (default 10,000), so
+every per-key table over blocks is bounded whatever the data size.
+
 Halo rows are computed and then dropped, so every row is output once.
 Cold keys take the plain path: one shuffle by key.
 """
@@ -31,6 +34,7 @@ from pyspark.sql import types as T
 
 DEFAULT_HOT_ROWS = 2_000_000
 DEFAULT_BLOCK_ROWS = 500_000
+DEFAULT_MAX_BLOCKS_PER_KEY = 10_000
 MAX_COLLECTED_HOT_KEYS = 100_000
 
 
@@ -90,6 +94,7 @@ class HotKeys:
         self.onum = onum
         hot_rows = 0 if force else conf_int(spark, "hotKeyRows", DEFAULT_HOT_ROWS)
         block_rows = conf_int(spark, "blockRows", DEFAULT_BLOCK_ROWS)
+        max_blocks = conf_int(spark, "maxBlocksPerKey", DEFAULT_MAX_BLOCKS_PER_KEY)
         got = _hot_stats(df, keys, onum, hot_rows)
         self.too_many = len(got) > MAX_COLLECTED_HOT_KEYS
         self.rows = []
@@ -97,7 +102,10 @@ class HotKeys:
         if self.too_many:
             got = []
         for r in got:
-            nb = max(1, math.ceil(r["_sk_n"] / block_rows))
+            # at most max_blocks blocks per key: per-key tables over blocks
+            # stay bounded however large the key grows (blocks grow instead,
+            # and a block streams through its walk in constant memory)
+            nb = min(max(1, math.ceil(r["_sk_n"] / block_rows)), max_blocks)
             width = max(int(min_width), 1, math.ceil((r["_sk_hi"] - r["_sk_lo"] + 1) / nb))
             self.n_blocks += math.ceil((r["_sk_hi"] - r["_sk_lo"] + 1) / width)
             self.rows.append(tuple(r[k] for k in keys) + (int(r["_sk_lo"]), int(width)))
