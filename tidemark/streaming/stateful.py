@@ -119,15 +119,22 @@ def stream_match_cut(stream: DataFrame, pattern: Pattern, partition_by, order_by
 
 def run_stream_match_cut(spark: SparkSession, folder: str, file_glob: str, pattern: Pattern,
                          partition_by, order_by, time_col: str,
-                         timeout: str | int) -> DataFrame:
+                         timeout: str | int, state_partitions: int | None = None) -> DataFrame:
     """Run the streaming matcher over a parquet file source until all input
     available now is processed; return the written matches as a DataFrame.
 
     Output and checkpoint go under ``spark.checkpoint.dir`` (shared storage
-    on a cluster), one fresh folder per run.
+    on a cluster), one fresh folder per run.  The state is kept in
+    ``state_partitions`` partitions (default: the cluster's parallelism),
+    fixed for the life of the checkpoint; the query runs in a child session
+    so the caller's settings are untouched.
     """
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = f"{base}/stream-{uuid.uuid4().hex}"
+    child = spark.newSession()
+    child.conf.set("spark.sql.shuffle.partitions",
+                   str(state_partitions or spark.sparkContext.defaultParallelism))
+    spark = child
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
     src = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
            .option("maxFilesPerTrigger", 1).parquet(folder))
