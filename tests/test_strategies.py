@@ -84,3 +84,28 @@ def test_timeout_block_scan_equals_plain(spark):
         spark.conf.unset("tidemark.hotKeyRows")
     assert got == ref and got_ev == ref_ev
     assert ref != collect(match_cut(df, p, "key", "pos", strategy="plain"))
+
+
+def test_many_predicates_block_scan(spark):
+    """14 distinct predicates (16,384 symbols): the table is completed over
+    the symbols present, and hot keys still take the block scan."""
+    from tidemark.functions.pattern import alt
+
+    random.seed(21)
+    letters = "ABCDEFGHIJKLMNOP"
+    rows = [(k, i, random.choice(letters)) for k, n in [("hot", 1200), ("c", 80)]
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "key string, pos long, ch string")
+    L = {c: lit("ch", c) for c in letters[:14]}
+    p = alt(*[L[a] >> L[b] for a, b in zip(letters[:14:2], letters[1:14:2])]) >> L["A"].repeated()
+    ref = collect(match_cut(df, p, "key", "pos", strategy="plain"))
+    ref_ev = collect(match_events(df, p, "key", "pos", strategy="plain"))
+    spark.conf.set("tidemark.blockRows", "50")
+    spark.conf.set("tidemark.hotKeyRows", "500")
+    try:
+        got = collect(match_cut(df, p, "key", "pos"))
+        got_ev = collect(match_events(df, p, "key", "pos"))
+    finally:
+        spark.conf.unset("tidemark.blockRows")
+        spark.conf.unset("tidemark.hotKeyRows")
+    assert ref and got == ref and got_ev == ref_ev

@@ -580,7 +580,7 @@ def match_whole(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     schema = T.StructType(fields)
     onum = order_number(prep.df, prep.orders[0])
     hk = None
-    if strategy != "plain" and onum is not None and len(table.predicates) <= 12:
+    if strategy != "plain" and onum is not None:
         hk = HotKeys(prep.src, keys, onum, force=strategy == "block")
     kernel = _whole_kernel(table, keys, prep.has_show, [f.name for f in fields])
     if not hk or hk.too_many:
@@ -588,7 +588,10 @@ def match_whole(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     cold, hot = hk.split(prep.df)
     out_cold = (cold.repartition(*keys).sortWithinPartitions(*keys, *prep.orders)
                 .mapInPandas(kernel, schema)) if keys else None
-    table.complete_open()
+    symbols = table.symbols_in(prep.df)
+    if symbols is None:
+        return prep.sorted().mapInPandas(kernel, schema)
+    table.complete_open(symbols)
     sum_schema = T.StructType([prep.field[c] for c in keys] + [
         T.StructField("_blk", T.LongType()), T.StructField("q", T.IntegerType()),
         T.StructField("end_q", T.IntegerType()), T.StructField("n", T.LongType()),

@@ -229,11 +229,12 @@ class StepTable:
         self._open[key] = hit
         return hit
 
-    def complete_open(self) -> int:
+    def complete_open(self, symbols=None) -> int:
         """Build every state reachable by ``advance`` (no restarts)."""
+        syms = range(self.n_symbols) if symbols is None else list(symbols)
         i = 0
         while i < len(self.states):
-            for y in range(self.n_symbols):
+            for y in syms:
                 self.advance(i, y)
             i += 1
         return len(self.states)
@@ -283,6 +284,18 @@ class StepTable:
             i += 1
         return len(self.states)
 
+    def symbols_in(self, df, limit: int = 4096):
+        """Symbols to complete the table over before it is shipped: all of
+        them when there are few predicates, else those present in ``df``'s
+        ``_sym`` column (one distinct aggregate; at most ``limit`` come back,
+        None when there are more)."""
+        if self.n_symbols <= limit:
+            return range(self.n_symbols)
+        got = df.select("_sym").distinct().limit(limit + 1).collect()
+        if len(got) > limit:
+            return None
+        return sorted(int(r[0]) for r in got)
+
     def dense(self, symbols=None):
         """Full next-state matrix (states x symbols) for block scans."""
         import numpy as np

@@ -68,12 +68,15 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         return part.mapInPandas(fn, schema)
 
     onum = order_number(prep.df, orders[0])
-    if strategy == "plain" or onum is None or len(table.predicates) > 12:
+    if strategy == "plain" or onum is None:
         return plain(prep.df)
     hk = HotKeys(prep.src, keys, onum, force=strategy == "block")
     if not hk or hk.too_many:
         # no hot key, or so many that each is one of many: spread by key
         return plain(prep.df)
+    symbols = table.symbols_in(prep.df)
+    if symbols is None:
+        return plain(prep.df)  # more distinct symbols than a table can hold
     n_blocks = hk.n_blocks
     cold, hot_part = hk.split(prep.df)
     hot_part = hot_part.withColumnRenamed("_sk_blk", "_blk").drop("_sk_lo", "_sk_w")
@@ -95,7 +98,7 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         T.StructField("t_last", T.LongType()),
     ] + [T.StructField(f"s{j}", prep.field[o].dataType) for j, o in enumerate(orders)] \
       + [T.StructField(f"c{j}", prep.field[c].dataType) for j, (_, c) in enumerate(cap_cols)]
-    table.complete_all()
+    table.complete_all(symbols)
     summary = part.mapInPandas(
         _summary_kernel(table, keys, orders, prep.captures, list(cap_cols), prep.timeout),
         T.StructType(sum_fields))
