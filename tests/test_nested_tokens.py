@@ -61,3 +61,34 @@ def test_tokenize_long(spark):
 
 def test_tokenize_errors(spark):
     assert toks(spark, "4 x+") == [("num", "4"), ("error", " "), ("error", "x"), ("plus", "+")]
+
+
+@pytest.mark.parametrize("alphabet,seed", [("()", 1), ("(()", 2), ("())", 3), ("(()x", 4),
+                                           ("((((()", 5), ("())))", 6)])
+def test_nested_hot_blocks_equal_plain(spark, alphabet, seed):
+    """Bracket-only runs cut by tiny blocks: the block scan must agree with
+    one sequential walk, for keyed and keyless input."""
+    import random
+
+    random.seed(seed)
+    rows = [(k, i, random.choice(alphabet)) for k, n in [("hot", 700), ("c", 40)]
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "key string, pos long, ch string")
+    o, c = F.col("ch") == "(", F.col("ch") == ")"
+
+    def run(d, keys, strategy):
+        out = nested_depth(d, o, c, keys, "pos", strategy=strategy)
+        return sorted(map(tuple, out.collect()), key=str)
+
+    ref = run(df, "key", "plain")
+    ref1 = run(df.filter("key = 'hot'"), [], "plain")
+    spark.conf.set("tidemark.blockRows", "9")
+    spark.conf.set("tidemark.hotKeyRows", "100")
+    try:
+        got = run(df, "key", "auto")
+        got1 = run(df.filter("key = 'hot'"), [], "auto")
+    finally:
+        spark.conf.unset("tidemark.blockRows")
+        spark.conf.unset("tidemark.hotKeyRows")
+    assert got == ref
+    assert got1 == ref1

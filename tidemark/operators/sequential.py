@@ -55,11 +55,10 @@ def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
     key, the empty match (depth 0, no events) when no attempt is open at the
     end, as the older driver completes at end of input (plain plan only).
 
-    Hot keys: an event that is neither opening nor closing always returns
-    the walk to the start, so a block can be walked on its own from its
-    first such event; the rows before it (the block's head) are walked with
-    the previous block that has one.  Match numbers are block offsets (a
-    running sum over per-block match counts) plus local numbers.
+    Hot keys: the block scan of ``tidemark.plans.nestscan`` (a block's
+    effect on an open attempt depends only on its leading runs, so blocks
+    are summarised in one pass, folded per key, and re-walked from their
+    known incoming state); no run of events has to stay in one task.
     """
     from tidemark.plans.skew import HotKeys, order_number
 
@@ -82,38 +81,19 @@ def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
     cold, hot = hk.split(src)
     out_cold = _sorted(cold, keys, orders).mapInPandas(
         _nested_kernel(keys, keys, orders, final), schema)
-    part = keys + ["_sk_blk"]
-    first_reset = F.min(F.when(F.col("_sym") == 0, F.struct(*[F.col(o) for o in orders])))
-    heads = hot.groupBy(*part).agg(first_reset.alias("_fr"))
-    wk = Window.partitionBy(*keys).orderBy("_sk_blk")
-    heads = (heads
-             .withColumn("_prev_home", F.last(F.when(F.col("_fr").isNotNull(),
-                                                      F.col("_sk_blk")), ignorenulls=True)
-                         .over(wk.rowsBetween(Window.unboundedPreceding, -1)))
-             .withColumn("_first", F.min("_sk_blk").over(Window.partitionBy(*keys))))
-    if hk.n_blocks <= 200_000:
-        heads = F.broadcast(heads)
-    at = F.struct(*[F.col(o) for o in orders])
-    homed = (hot.join(heads, on=part, how="inner")
-             .withColumn("_home", F.when(F.col("_fr").isNotNull() & (at >= F.col("_fr")),
-                                         F.col("_sk_blk"))
-                         .otherwise(F.coalesce("_prev_home", "_first")))
-             .select(*keys, *orders, "_sym", "_home"))
-    local_schema = T.StructType(fields + [T.StructField("_home", T.LongType())])
-    local = (homed.repartition(*keys, "_home").sortWithinPartitions(*keys, "_home", *orders)
-             .mapInPandas(_nested_kernel(keys, keys + ["_home"], orders, "none"), local_schema))
-    counts = local.groupBy(*keys, "_home").agg(F.count(F.lit(1)).alias("_c"))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
-        Window.partitionBy(*keys).orderBy("_home")
-        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out_hot = (local.join(offs.select(*keys, "_home", "_off"), on=keys + ["_home"])
-               .withColumn("match_no", (F.col("match_no") + F.col("_off")).cast("long"))
-               .select(*[f.name for f in fields]))
-    return out_cold.unionByName(out_hot)
+    from tidemark.plans import nestscan
+
+    out_hot = nestscan.run(df, hot, keys, orders, fields, schema, hk.n_blocks)
+    return out_cold.unionByName(out_hot) if keys else out_hot
 
 
-def _nested_kernel(keys, gkeys, orders, final):
+def _nested_kernel(keys, gkeys, orders, final, blocks: bool = False):
+    """Nesting walk per group; with ``blocks`` each group (a block of a hot
+    key) starts from the walk state in its ``_m_*`` columns."""
     nk = len(keys)
+    no = len(orders)
+    marks = ["_m_phase", "_m_d", "_m_peak", "_m_steps", "_m_match"] \
+        + [f"_m_s{j}" for j in range(no)] if blocks else []
     extra = len(gkeys) - nk
     names = list(keys) + ["match_no"] + [f"start_{o}" for o in orders] \
         + [f"end_{o}" for o in orders] + ["n_events", "depth"] + list(gkeys[nk:])
@@ -123,8 +103,8 @@ def _nested_kernel(keys, gkeys, orders, final):
         gkey = None
         phase = depth = peak = steps = match_no = 0  # phase 0 start, 1 up, 2 down
         start: tuple = ()
-        for flags, kv, vals, n in _keyed_rows(it, gkeys, orders + ["_sym"]):
-            ov, sy = vals[:-1], vals[-1]
+        for flags, kv, vals, n in _keyed_rows(it, gkeys, orders + ["_sym"] + marks):
+            ov, sy, mv = vals[:no], vals[no], vals[no + 1:]
             rows = []
             for i in range(n):
                 if flags[i]:
@@ -132,6 +112,9 @@ def _nested_kernel(keys, gkeys, orders, final):
                         rows.append(gkey[:nk] + (match_no + 1,) + empty)
                     gkey = tuple(_norm(c[i]) for c in kv)
                     phase = depth = peak = steps = match_no = 0
+                    if blocks:
+                        phase, depth, peak, steps, match_no = (int(mv[j][i]) for j in range(5))
+                        start = tuple(_norm(mv[5 + j][i]) for j in range(no))
                 s = sy[i]
                 if phase == 0:
                     if s == 1:
