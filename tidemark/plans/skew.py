@@ -212,23 +212,29 @@ def keyed_window(df: DataFrame, keys: Sequence[str], orders: Sequence[str],
     j = frame.join(nb, on=[frame[k].eqNullSafe(nb[k]) for k in part], how="inner") \
         .select(frame["*"], *[nb[c] for c in nbcols])
 
-    def halo(rows: DataFrame, to: str) -> DataFrame:
-        return (rows.filter(F.col(to).isNotNull()).withColumn("_sk_blk", F.col(to))
+    def halo(rows: DataFrame, targets: list[str]) -> DataFrame:
+        """Copy ``rows`` into each non-empty block named by ``targets``."""
+        blk = F.explode(F.filter(F.array(*[F.col(t) for t in targets]),
+                                 lambda x: x.isNotNull()))
+        return (rows.withColumn("_sk_blk", blk)
                 .withColumn("_sk_halo", F.lit(True)))
 
     pieces = [j]
     # The first k rows of a block are look-ahead of each of the k blocks
-    # before it (a block may hold fewer than k rows); likewise behind.
-    for i in range(1, ahead + 1):
-        pieces.append(halo(j.filter(F.col("_sk_rb") <= ahead), f"_sk_prev{i}"))
-    for i in range(1, behind + 1):
-        pieces.append(halo(j.filter(F.col("_sk_rbd") <= behind), f"_sk_next{i}"))
+    # before it (a block may hold fewer than k rows); likewise behind.  One
+    # branch per direction: each copied row explodes into its target blocks.
+    if ahead:
+        pieces.append(halo(j.filter(F.col("_sk_rb") <= ahead),
+                           [f"_sk_prev{i}" for i in range(1, ahead + 1)]))
+    if behind:
+        pieces.append(halo(j.filter(F.col("_sk_rbd") <= behind),
+                           [f"_sk_next{i}" for i in range(1, behind + 1)]))
     if range_behind:
         edge = F.col("_sk_lo") + F.col("_sk_next1") * F.col("_sk_w")
-        pieces.append(halo(j.filter(onum >= edge - F.lit(range_behind)), "_sk_next1"))
+        pieces.append(halo(j.filter(onum >= edge - F.lit(range_behind)), ["_sk_next1"]))
     if range_ahead:
         edge = F.col("_sk_lo") + F.col("_sk_blk") * F.col("_sk_w")
-        pieces.append(halo(j.filter(onum <= edge + F.lit(range_ahead)), "_sk_prev1"))
+        pieces.append(halo(j.filter(onum <= edge + F.lit(range_ahead)), ["_sk_prev1"]))
     allrows = pieces[0]
     for p in pieces[1:]:
         allrows = allrows.unionByName(p)
