@@ -128,3 +128,11 @@ def test_whole_input_open_at_end(spark, chars):
     assert rows[0].fail_step is None
     rows = match_whole(chars(")"), p, "key", "pos").collect()
     assert (rows[0].fail_expected, rows[0].fail_got) == ("(", ")")
+
+
+def test_pattern_map_and_as(spark, chars):
+    out = match_cut(chars("AB"), (A >> B).map(lambda c: c["B"]["pos"] * 10), "key", "pos",
+                    capture=["pos"]).collect()
+    assert out[0].result == 10
+    out = match_cut(chars("AB"), (A >> B).as_("AB"), "key", "pos").collect()
+    assert out[0].result == "AB"

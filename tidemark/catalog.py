@@ -194,9 +194,9 @@ FROM l WHERE event_type = 'view' AND prev_run % 2 = 1"""
 
 
 def map_const(spark, sf):
-    m = match_cut(_events(spark, sf), is_("click") >> is_("view"), KEY, ORDER,
-                  capture=["value"],
-                  result=lambda c: cents(c["click"]["value"] + c["view"]["value"]))
+    total = (is_("click") >> is_("view")).map(
+        lambda c: cents(c["click"]["value"] + c["view"]["value"]))
+    m = match_cut(_events(spark, sf), total, KEY, ORDER, capture=["value"])
     return m.select(KEY, "match_no", F.col("result").alias("total_cents"),
                     F.lit("AB").alias("tag"))
 

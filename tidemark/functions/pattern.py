@@ -20,6 +20,7 @@ Combinators (the user surface):
     a.repeated()               zero or more a
     a.one_or_more()            one or more a
     a.named(branch)            name a top-level branch (reported as ``alt``)
+    a.map(fn), a.as_(v)        the match's ``result`` column (O9, O10)
 """
 
 from __future__ import annotations
@@ -65,6 +66,15 @@ class Pattern:
     def named(self, branch: str) -> "Pattern":
         return Named(self, branch)
 
+    def map(self, fn) -> "Pattern":
+        """The match's ``result`` is ``fn(captures)``, a Column built from
+        the captured columns (``captures[step][column]``)."""
+        return Mapped(self, fn)
+
+    def as_(self, value: Any) -> "Pattern":
+        """The match's ``result`` is the constant ``value``."""
+        return Mapped(self, lambda _caps: F.lit(value))
+
     # -- introspection ----------------------------------------------------
     def steps(self) -> list["Step"]:
         out: list[Step] = []
@@ -117,6 +127,14 @@ class Named(Pattern):
     branch: str
 
 
+@dataclass(frozen=True, eq=False)
+class Mapped(Pattern):
+    """Matches like ``body``; ``fn(captures)`` is the match's result."""
+
+    body: Pattern
+    fn: Any
+
+
 @dataclass(frozen=True, eq=False)
 class Drop(Pattern):
     """Matches like ``body`` but its captures are not kept."""
@@ -139,7 +157,7 @@ def _collect_steps(p: Pattern, out: list) -> None:
     elif isinstance(p, Alt):
         for q in p.branches:
             _collect_steps(q, out)
-    elif isinstance(p, (Rep, Named, Drop)):
+    elif isinstance(p, (Rep, Named, Drop, Mapped)):
         _collect_steps(p.body, out)
 
 

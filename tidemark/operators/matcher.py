@@ -367,6 +367,10 @@ def match_cut(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     to a ``result`` column (O9 map, O10 constant).  ``timeout``: as in
     ``match_events`` (P13).
     """
+    from tidemark.functions.pattern import Mapped
+
+    if result is None and isinstance(pattern, Mapped):
+        result = pattern.fn
     prep = _Prepared(df, pattern, partition_by, order_by, None, capture, where_key,
                      on_ambiguity, (), time_col, timeout)
     table = prep.table

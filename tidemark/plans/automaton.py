@@ -30,7 +30,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.pattern import (
-    Alt, Drop, Empty, Named, Pattern, Rep, Seq, Step,
+    Alt, Drop, Empty, Mapped, Named, Pattern, Rep, Seq, Step,
 )
 
 INCOMPLETE, SUCCESS, FAILURE, AMBIGUOUS = 0, 1, 2, 3
@@ -59,6 +59,8 @@ class StepTable:
         self.follow: list[set[int]] = [set()]
         self.branch_names: list[str] = []
 
+        while isinstance(pattern, Mapped):
+            pattern = pattern.body
         top = pattern.body if isinstance(pattern, Named) else pattern
         branches = top.branches if isinstance(top, Alt) else (pattern,)
         first: set[int] = set()
@@ -107,7 +109,7 @@ class StepTable:
             return False, {i}, {i}
         if isinstance(p, Empty):
             return True, set(), set()
-        if isinstance(p, Named):
+        if isinstance(p, (Named, Mapped)):
             return self._build(p.body, branch, keep)
         if isinstance(p, Drop):
             return self._build(p.body, branch, False)
@@ -309,6 +311,8 @@ class StepTable:
 
 
 def _branch_name(p: Pattern) -> str:
+    while isinstance(p, Mapped):
+        p = p.body
     if isinstance(p, Named):
         return p.branch
     return " ".join(s.name for s in p.steps())
