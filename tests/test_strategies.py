@@ -109,3 +109,24 @@ def test_many_predicates_block_scan(spark):
         spark.conf.unset("tidemark.blockRows")
         spark.conf.unset("tidemark.hotKeyRows")
     assert ref and got == ref and got_ev == ref_ev
+
+
+def test_null_order_values_in_hot_key(spark):
+    random.seed(31)
+    rows = [("hot", (None if random.random() < 0.05 else i), random.choice("AABBX"))
+            for i in range(900)] + [("c", i, random.choice("AB")) for i in range(30)]
+    # a total order: pos, then a tie-breaker
+    rows = [(k, p, j, ch) for j, (k, p, ch) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "key string, pos long, tie long, ch string")
+    p = A >> B.repeated() >> B
+    ref = collect(match_cut(df, p, "key", ["pos", "tie"], strategy="plain"))
+    ref_ev = collect(match_events(df, p, "key", ["pos", "tie"], strategy="plain"))
+    spark.conf.set("tidemark.blockRows", "31")
+    spark.conf.set("tidemark.hotKeyRows", "200")
+    try:
+        got = collect(match_cut(df, p, "key", ["pos", "tie"]))
+        got_ev = collect(match_events(df, p, "key", ["pos", "tie"]))
+    finally:
+        spark.conf.unset("tidemark.blockRows")
+        spark.conf.unset("tidemark.hotKeyRows")
+    assert got == ref and got_ev == ref_ev

@@ -125,19 +125,24 @@ class HotKeys:
         if not self.keys:
             lo, width = self.rows[0][-2:]
             hot = (df.withColumn("_sk_lo", F.lit(lo)).withColumn("_sk_w", F.lit(width))
-                   .withColumn("_sk_blk", F.floor((self.onum - F.col("_sk_lo")) / F.col("_sk_w"))
-                               .cast("long")))
+                   .withColumn("_sk_blk", _block_of(self.onum)))
             return df.limit(0), hot
         h = self.table()
         cond = [df[k].eqNullSafe(h[k]) for k in self.keys]
         hot = (df.join(h, cond, "inner")
                .select(*[df[c] for c in df.columns], h["_sk_lo"], h["_sk_w"])
-               .withColumn("_sk_blk", F.floor((self.onum - F.col("_sk_lo")) / F.col("_sk_w"))
-                           .cast("long")))
+               .withColumn("_sk_blk", _block_of(self.onum)))
         cold = df.join(h, cond, "left_anti")
         return cold, hot
 
 
+def _block_of(onum: Column) -> Column:
+    """Block of a row: its value range; rows with a NULL order (sorted
+    first by Spark) form block -1, before every real block (>= 0)."""
+    return F.coalesce(F.floor((onum - F.col("_sk_lo")) / F.col("_sk_w")).cast("long"),
+                      F.lit(-1).cast("long"))
+
+
 def hot_rows_total(df: DataFrame) -> int:
     """Rows of a keyless input (one scalar; the whole input is one key)."""
     return df.count()
