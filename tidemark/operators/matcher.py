@@ -63,7 +63,8 @@ class _Prepared:
     def __init__(self, df: DataFrame, pattern: Pattern, partition_by, order_by,
                  show: Column | None, captures: Sequence[str], where_key: Column | None,
                  on_ambiguity: str, carry: Sequence[str] = (),
-                 time_col: str | None = None, timeout: str | int | None = None):
+                 time_col: str | None = None, timeout: str | int | None = None,
+                 want_show: bool = True):
         from tidemark.operators.windows import duration_micros, time_number
 
         self.table = StepTable(pattern, on_ambiguity)
@@ -79,9 +80,10 @@ class _Prepared:
         if where_key is not None:
             df = df.filter(where_key)  # safe: a key filter never changes adjacency
         self.src = df
-        if show is None:
+        if show is None and want_show:
             show = default_show(pattern)
-        self.has_show = show is not None
+        # the shown event is only needed for failure rows: cut output has none
+        self.has_show = want_show and show is not None
         sel = [F.col(c) for c in self.keys + self.orders + self.carry]
         sel.append(self.table.symbol_column().alias("_sym"))
         if self.has_show:
@@ -372,7 +374,7 @@ def match_cut(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     if result is None and isinstance(pattern, Mapped):
         result = pattern.fn
     prep = _Prepared(df, pattern, partition_by, order_by, None, capture, where_key,
-                     on_ambiguity, (), time_col, timeout)
+                     on_ambiguity, (), time_col, timeout, want_show=False)
     table = prep.table
     kept = sorted({p.name for p in table.positions[1:] if p.keep})
     fields = [prep.field[c] for c in prep.keys] + [T.StructField("match_no", T.LongType())]

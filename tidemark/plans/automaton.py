@@ -160,7 +160,10 @@ class StepTable:
         out = bits[0]
         for b in bits[1:]:
             out = out.bitwiseOR(b)
-        return out.cast("long")
+        # the narrowest integer that holds every bit: less to shuffle and ship
+        k = len(self.predicates)
+        return out.cast("byte" if k <= 7 else "short" if k <= 15 else "int" if k <= 31
+                        else "long")
 
     @property
     def n_symbols(self) -> int:
