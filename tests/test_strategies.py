@@ -130,3 +130,17 @@ def test_null_order_values_in_hot_key(spark):
         spark.conf.unset("tidemark.blockRows")
         spark.conf.unset("tidemark.hotKeyRows")
     assert got == ref and got_ev == ref_ev
+
+
+@pytest.mark.parametrize("final", ["ended", "complete", "none"])
+def test_single_event_plan_equals_plain(spark, data, final):
+    p = A | B  # one-event pattern: the filter plan (S1)
+    ref = collect(match_events(data, p, "key", "pos", final=final, strategy="plain"))
+    spark.conf.set("tidemark.blockRows", "41")
+    spark.conf.set("tidemark.hotKeyRows", "1000")
+    try:
+        got = collect(match_events(data, p, "key", "pos", final=final))
+    finally:
+        spark.conf.unset("tidemark.blockRows")
+        spark.conf.unset("tidemark.hotKeyRows")
+    assert got == ref

@@ -11,7 +11,7 @@ skew-safe keyed window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,8 +123,15 @@ def events(prep, pos: list[int], schema: T.StructType, final: str, show: Column
         F.when(~any_, F.lit(expected)).alias("fail_expected"),
         (F.when(~any_, show) if show is not None else F.lit(None)).cast("string")
         .alias("fail_got"))
-    numbered = keyed_window(rows, keys, orders, lambda d, part: d, row_number=True,
-                            key_count=final != "none", strategy=strategy,
+    def last_flag(d: DataFrame, part: list[str]) -> DataFrame:
+        # the key's last event: nothing follows it (one ordered window with
+        # the row number; hot keys get a one-row look-ahead halo)
+        w = Window.partitionBy(*part).orderBy(*orders)
+        return d.withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+
+    ends = final != "none"
+    numbered = keyed_window(rows, keys, orders, last_flag if ends else (lambda d, part: d),
+                            row_number=True, ahead=1 if ends else 0, strategy=strategy,
                             hot=_source_layout(prep, strategy))
     numbered = numbered.withColumnRenamed("_rn", "attempt_id")
     names = [f.name for f in schema.fields]
@@ -135,12 +142,11 @@ def events(prep, pos: list[int], schema: T.StructType, final: str, show: Column
         end_vals = {"status": F.lit("ENDED"), "attempt_id": F.lit(None),
                     "step": F.lit(0)}
     else:
-        end_vals = {"status": F.lit("FAILURE"), "attempt_id": F.col("_kn") + 1,
+        end_vals = {"status": F.lit("FAILURE"), "attempt_id": F.col("attempt_id") + 1,
                     "step": F.lit(0), "fail_expected": F.lit(expected),
                     "fail_got": F.lit("<end of input>")}
     end_row = F.struct(*[
         (F.col(c) if c in keys else end_vals.get(c, F.lit(None)))
         .cast(schema[c].dataType).alias(c) for c in names])
-    both = F.when(F.col("attempt_id") == F.col("_kn"), F.array(ev_row, end_row)) \
-        .otherwise(F.array(ev_row))
+    both = F.when(F.col("_last"), F.array(ev_row, end_row)).otherwise(F.array(ev_row))
     return numbered.select(F.explode(both).alias("_r")).select("_r.*")
