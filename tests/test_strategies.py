@@ -144,3 +144,37 @@ def test_single_event_plan_equals_plain(spark, data, final):
         spark.conf.unset("tidemark.blockRows")
         spark.conf.unset("tidemark.hotKeyRows")
     assert got == ref
+
+
+def test_three_phase_chain(spark, data):
+    """Matches of matches of matches, the same under both plans."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.pattern import step
+    from tidemark.operators.matcher import match_chain
+
+    any2 = step("x", F.lit(True)) >> step("y", F.lit(True))
+    phases = [A >> B, any2, any2]
+    ref = match_chain(data, phases, "key", "pos", strategy="plain")
+    # by hand: each phase ordered by the previous phase's end
+    m1 = match_cut(data, A >> B, "key", "pos", strategy="plain")
+    m2 = match_cut(m1, any2, "key", "end_pos", strategy="plain")
+    m3 = match_cut(m2, any2, "key", "end_end_pos", strategy="plain")
+    assert collect(ref) == collect(m3) and m3.count() > 0
+    spark.conf.set("tidemark.blockRows", "41")
+    spark.conf.set("tidemark.hotKeyRows", "1000")
+    try:
+        got = collect(match_chain(data, phases, "key", "pos"))
+    finally:
+        spark.conf.unset("tidemark.blockRows")
+        spark.conf.unset("tidemark.hotKeyRows")
+    assert got == collect(ref)
+
+
+def test_where_key_is_a_key_filter(spark, data):
+    from pyspark.sql import functions as F
+
+    p = A >> B.repeated() >> C
+    got = collect(match_cut(data, p, "key", "pos", where_key=F.col("key") == "b"))
+    ref = collect(match_cut(data, p, "key", "pos").filter("key = 'b'"))
+    assert got == ref and got
