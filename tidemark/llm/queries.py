@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html, minhash, mixing, pii, substring, urls
+from tidemark.llm import html, minhash, mixing, pii, substring, urls, vectors
 from tidemark.session import table
 
 # The rules of the url query's contract.
@@ -24,6 +24,10 @@ def op1_substring(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf, "embeddings"), least=0.93)
+
+
 def op3_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"), words=4, percent=80)
 
@@ -49,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring, op3_minhash, op7_html, op8_urls, op9_pii, op10_mixing)}
+    return {f.__name__: f for f in (op1_substring, op2_vectors, op3_minhash, op7_html, op8_urls, op9_pii, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
