@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html, minhash, mixing, pii, substring, urls, vectors
+from tidemark.llm import decontam, html, lines, minhash, mixing, pii, substring, toxicity, urls, vectors
 from tidemark.session import table
 
 # The rules of the url query's contract.
@@ -32,6 +32,24 @@ def op3_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"), words=4, percent=80)
 
 
+def op4_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 (of the text without the dropped lines)."""
+    out = lines.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"), depth=3, min_docs=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    out = toxicity.score_toxicity(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_decontam(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per document and benchmark item it contains."""
+    return decontam.contaminated_pairs(table(spark, sf, "documents"), table(spark, sf, "benchmark"), words=5, percent=80)
+
+
 def op7_html(spark: SparkSession, sf: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
 
@@ -52,9 +70,15 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring, op2_vectors, op3_minhash, op7_html, op8_urls, op9_pii, op10_mixing)}
+    return {f.__name__: f for f in (op1_substring, op2_vectors, op3_minhash, op4_lines, op5_toxicity, op6_decontam, op7_html, op8_urls, op9_pii, op10_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_urls": urls.URL_SQL, "op10_mixing": mixing.MIX_SQL}
+    return {"op4_lines": lines.LINES_SQL, "op6_decontam": decontam.DECONTAM_SQL, "op8_urls": urls.URL_SQL, "op10_mixing": mixing.MIX_SQL}
