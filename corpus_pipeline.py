@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, lines, minhash, mixing, toxicity
-from tidemark.llm.common import written
+from tidemark.llm.common import packed, unpacked, written
 from tidemark.session import table
 
 
@@ -23,29 +23,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; null and empty texts stay
     unless the labels' share of toxic rows is a half."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    narrow = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})  # whatever its columns are called
-    scored = toxicity.score_toxicity(narrow, model, text="in_text")
-    return scored.where("predicted = 0").select([F.col(f"`in_{c}`").alias(c) for c in docs.columns])
+    d = docs.select(packed(docs, docs.columns), F.col("text").alias("t"))
+    return toxicity.score_toxicity(d, model, text="t").where("predicted = 0").select(*unpacked(docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; every document stays, null texts as null."""
-    narrow = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
-    out = lines.dedup_lines(narrow, text="in_text")
-    out = out.withColumn("in_text", F.when(F.col("in_text").isNotNull(), F.col("kept_text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("in_n_chars", F.when(F.col("n_dropped") > 0, F.length("in_text").cast(
-            docs.schema["n_chars"].dataType)).otherwise(F.col("in_n_chars")))
-    return out.select([F.col(f"`in_{c}`").alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]
+    out = lines.dedup_lines(docs.select(packed(docs, others), F.col("text").alias("t")), text="t")
+    cut = F.col("n_dropped") > 0
+    values = dict(zip(others, unpacked(others))) | {"text": F.when(F.col("t").isNotNull(), F.col("kept_text")).alias("text")}
+    if "n_chars" in values:
+        values["n_chars"] = F.when(cut, F.length("kept_text")).otherwise(values["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[values[c] for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five words, 0.8)."""
     # rows numbered in a written table, so rows of one id, or of none, are told apart
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    kept = minhash.near_duplicates(numbered, doc_id="_row", words=5, percent=80).where("kept").select(
-        F.col("doc_id").alias("_kept"))
-    return numbered.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    numbered = written(docs.select(packed(docs, docs.columns), F.monotonically_increasing_id().alias("row")), "numbered")
+    rows = numbered.select("row", F.col("_in.text").alias("text"))
+    kept = minhash.near_duplicates(rows, doc_id="row", words=5, percent=80).where("kept").select(F.col("doc_id").alias("row"))
+    return numbered.join(kept, "row", "left_semi").select(*unpacked(docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

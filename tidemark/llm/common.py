@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark's own switch: an SQL execution's shuffle files go when it has ended.
@@ -59,6 +59,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, kept: list[str]) -> Column:
+    """The columns to hand through, as one struct ``_in``: whatever they are called,
+    they clash with no working column."""
+    return F.struct(*([F.col(f"`{c}`") for c in kept] or [F.lit(None).cast("int").alias("none")])).alias("_in")
+
+
+def unpacked(kept: list[str]) -> list[Column]:
+    return [F.col("_in").getField(c).alias(c) for c in kept]
+
+
 def text_key(col: str = "text"):
     """128-bit digest of a text, null as empty: texts that are equal share it."""
     return F.unhex(F.md5(F.coalesce(F.col(col), F.lit(""))))

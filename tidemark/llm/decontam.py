@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_key, written
+from tidemark.llm.common import packed, text_key, unpacked, written
 
 #: Rows of a signature table (24 bytes each) up to which it is sent to all executors.
 BROADCAST_ROWS = 1_000_000
@@ -97,7 +97,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
                       words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that contain no item; all columns as they are."""
     bad = written(contained_items(docs, items, text, item_text, words, percent).select("key").distinct(), "contaminated")
-    return docs.join(bad, text_key(text) == F.col("key"), "left_anti")
+    d = docs.select(packed(docs, docs.columns), text_key(text).alias("key"))
+    return d.join(bad, "key", "left_anti").select(*unpacked(docs.columns))
 
 
 DECONTAM_SQL = r"""

@@ -20,6 +20,9 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import packed, unpacked
 
 SKIP = frozenset("script style noscript template head title nav aside footer form button select option textarea "
                  "iframe object svg canvas dialog menu".split())
@@ -206,14 +209,14 @@ def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """
     new = ("text", "n_chars")
     kept = [c for c in pages.columns if c.lower() not in (*new, html.lower())]
-    src = pages.select(*[pages[f"`{c}`"] for c in kept], pages[f"`{html}`"].cast("string").alias("_html"))
+    src = pages.select(packed(pages, kept), F.col(f"`{html}`").cast("string").alias("_html"))
 
     def extract(batches):
         for b in batches:
             texts = [main_text(h.as_py()) for h in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=[*kept, *new])
+                names=["_in", *new])
 
     schema = src.drop("_html").schema.add("text", "string").add("n_chars", "long")
-    return src.mapInArrow(extract, schema)
+    return src.mapInArrow(extract, schema).select(*unpacked(kept), *new)

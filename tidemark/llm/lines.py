@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_key, written
+from tidemark.llm.common import packed, text_key, unpacked, written
 
 #: Stands for a variable field.
 FIELD = "<*>"
@@ -84,12 +84,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", depth: int = 3, min_docs: i
               .select(F.struct("template").alias("at"), "first_place"))
     drop = (hits.join(firsts, "at").where("not (key = first_key and place = first_place)")
             .groupBy("key").agg(F.collect_set("place").alias("_drop")).withColumnRenamed("key", "_key"))
-    out = docs.select(*[docs[f"`{c}`"] for c in kept], text_key(text).alias("_key"),
+    out = docs.select(packed(docs, kept), text_key(text).alias("_key"),
                       F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(drop, "_key", "left")
     lines = F.split("_text", "\n")
     stay = F.filter(lines, lambda x, i: ~F.array_contains("_drop", i))
     return out.select(
-        *kept,
+        *unpacked(kept),
         F.when(F.col("_text") == "", F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.when(F.size("_drop") >= 0, F.size("_drop")), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(stay, "\n")).alias("kept_text"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD
+from tidemark.llm.common import WORD, packed, unpacked
 
 #: Hash-order buckets per source; only the bucket that holds a source's cut
 #: is ordered row by row, so no task sees a whole source.
@@ -56,8 +56,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> Data
     # the level of the sources that stay open: what is left after all capped ones
     s = (s.withColumn("capped_cap", F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(everything))
          .withColumn("capped_weight", F.sum(F.when(F.col("capped"), F.col("weight")).otherwise(0)).over(everything)))
-    flow = (F.col("weight") * (F.col("total") - F.col("capped_cap"))).cast("double") / (
-        F.col("all_weight") - F.col("capped_weight")).cast("double")
+    flow = F.try_divide((F.col("weight") * (F.col("total") - F.col("capped_cap"))).cast("double"),
+                        (F.col("all_weight") - F.col("capped_weight")).cast("double"))
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(flow)
     return s.select("source", "source_size", "weight", target.alias("target"))
 
@@ -74,26 +74,27 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     """
     new = ("size", "source_size", "target", "repeats", "taken")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(doc_id).cast("string")))
-    d = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in new]).withColumns({
-        "size": word_count(text), "_key": key, "_bucket": F.substring(key, 1, BUCKET_DIGITS)})
+    kept = [c for c in docs.columns if c.lower() not in new]
+    d = docs.select(packed(docs, kept), F.col(f"`{source}`").alias("_from"), F.col(f"`{doc_id}`").alias("_id"),
+                    word_count(text).alias("size"), key.alias("_key"), F.substring(key, 1, BUCKET_DIGITS).alias("_bucket"))
     # narrow first: one row per (source, bucket), then the windows per source
-    buckets = (d.groupBy(F.col(source).alias("_source"), "_bucket")
+    buckets = (d.groupBy(F.col("_from").alias("_source"), "_bucket")
                .agg(F.sum("size").alias("_words")))
     sizes = buckets.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size"))
     plan = targets(sizes, weights, max_epochs).select(
         F.col("source").alias("_source"), "source_size", "target",
-        F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("int").alias("_whole"))
+        F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("int").alias("_whole"))
     plan = plan.withColumn("_extra", F.col("target") - F.col("_whole") * F.col("source_size"))
     run = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_start", F.coalesce(F.sum("_words").over(run), F.lit(0)))
     plan = (buckets.join(plan, buckets["_source"].eqNullSafe(plan["_source"]))
             .select(buckets["_source"].alias("_s"), F.col("_bucket").alias("_b"), "_start", "_words",
                     "source_size", "target", "_whole", "_extra"))
-    j = (d.join(plan, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))))
+    j = (d.join(plan, F.col("_from").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))))
     whole_in = F.col("_start") + F.col("_words") <= F.col("_extra")
     cut = ~whole_in & (F.col("_start") < F.col("_extra"))
     inside = j.where(cut)
-    order = (Window.partitionBy(source, "_bucket").orderBy("_key", F.col(doc_id), "size")
+    order = (Window.partitionBy("_from", "_bucket").orderBy("_key", "_id", "size")
              .rowsBetween(Window.unboundedPreceding, -1))
     at = F.col("_start") + F.coalesce(F.sum("size").over(order), F.lit(0))
     inside = inside.withColumn("_once", (at + F.col("size") / 2 <= F.col("_extra")).cast("int"))
@@ -102,7 +103,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     repeats = F.col("_whole") + F.when(F.col("size") > 0, F.col("_once")).otherwise(0)
     return (out.withColumn("repeats", repeats.cast("int"))
             .withColumn("taken", F.col("repeats").cast("long") * F.col("size"))
-            .select(*[c for c in d.columns if c not in ("size", "_key", "_bucket")], *new))
+            .select(*unpacked(kept), *new))
 
 
 MIX_SQL = r"""

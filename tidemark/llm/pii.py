@@ -21,8 +21,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import WORD, text_key, written
+from tidemark.llm.common import WORD, packed, text_key, unpacked, written
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the contract.
@@ -202,10 +203,10 @@ def find_pii(docs: DataFrame, text: str = "text", reach: int = 5, support: int =
             yield pa.RecordBatch.from_arrays([*cols, *counts, pa.array(joined, pa.string())],
                                              names=[*names, *new])
 
-    src = docs.select(*[docs[f"`{c}`"] for c in kept], text_key(text).alias("_key"),
+    src = docs.select(packed(docs, kept), text_key(text).alias("_key"),
                       F.col(text).cast("string").alias("_text"))
     names = src.columns if redacted else src.columns[:-1]
-    schema = src.schema if redacted else src.drop("_text").schema
+    schema = T.StructType(list((src if redacted else src.drop("_text")).schema.fields))
     for c in new[:4]:
         schema = schema.add(c, "long")
     base = src.mapInArrow(scan, schema.add("base_spans", "string"))
@@ -239,6 +240,6 @@ def find_pii(docs: DataFrame, text: str = "text", reach: int = 5, support: int =
         ":", F.element_at(order, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
     out = j.withColumn("spans", spans)
     if not redacted:
-        return out.select(*kept, *new, "spans")
+        return out.select(*unpacked(kept), *new, "spans")
     clean = F.udf(redact_text, "string", useArrow=True)
-    return out.select(*kept, *new, "spans", clean("_text", "spans").alias("redacted"))
+    return out.select(*unpacked(kept), *new, "spans", clean("_text", "spans").alias("redacted"))

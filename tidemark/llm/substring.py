@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import signed, text_key, window_hashes, word_hashes, word_spans, written
+from tidemark.llm.common import packed, signed, text_key, unpacked, window_hashes, word_hashes, word_spans, written
 
 _ODD1, _ODD2 = 0x5851F42D4C957F2D, 0xD1342543DE82EF95
 #: Windows judged in one go; a longer text is walked in pieces.
@@ -146,10 +146,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, base:
     kept = [c for c in docs.columns if c.lower() not in (*new, text.lower())]
     keyed = docs.select(text_key(text).alias("key"), F.col(text).cast("string").alias("text"))
     alive = repeated_places(keyed, window, base)
-    src = (docs.select(*[docs[f"`{c}`"] for c in kept], text_key(text).alias("_key"),
-                       F.col(text).cast("string").alias("_text"))
+    src = (docs.select(packed(docs, kept), text_key(text).alias("_key"), F.col(text).cast("string").alias("_text"))
            .join(alive.select(F.col("key").alias("_key"), F.col("places").alias("_places")), "_key", "left")
-           .select(*kept, "_text", "_places"))
+           .select("_in", "_text", "_places"))
 
     def cut(batches):
         for b in batches:
@@ -169,7 +168,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, base:
                 out.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                 pa.array(out, pa.string())], names=[*kept, *new])
+                 pa.array(out, pa.string())], names=["_in", *new])
 
     schema = src.drop("_text", "_places").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
-    return src.mapInArrow(cut, schema)
+    return src.mapInArrow(cut, schema).select(*unpacked(kept), *new)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import mix, word_hashes, word_spans, written
+from tidemark.llm.common import mix, packed, unpacked, word_hashes, word_spans, written
 
 BITS = 22
 PREFIX = 5
@@ -163,14 +163,14 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
     """
     new = ("score", "predicted")
     kept = [c for c in docs.columns if c.lower() not in new]
-    src = docs.select(*[docs[f"`{c}`"] for c in kept], F.col(f"`{text}`").cast("string").alias("_text"))
+    src = docs.select(packed(docs, kept), F.col(f"`{text}`").cast("string").alias("_text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # max_terms weights and factors
 
     def run(batches):
         for b in batches:
             s = sent.value.scores([terms_of(t.as_py()) for t in b.column(b.num_columns - 1)])
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*kept, *new])
+                [*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["_in", *new])
 
     schema = src.drop("_text").schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).select(*unpacked(kept), *new)

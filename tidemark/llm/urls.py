@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import packed, unpacked
+
 #: Largest rule list, in bytes of strings, that is sent to every executor.
 MAX_INDEX_BYTES = 256 << 20
 
@@ -112,7 +114,7 @@ def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url: str
     index = pages.sparkSession.sparkContext.broadcast(build_index(rules))  # size checked there
     new = ("host", "path", "rule", "verdict")
     kept = [c for c in pages.columns if c.lower() not in new]
-    src = pages.select(*[pages[f"`{c}`"] for c in kept], pages[f"`{url}`"].cast("string").alias("_url"))
+    src = pages.select(packed(pages, kept), F.col(f"`{url}`").cast("string").alias("_url"))
 
     def judge(batches):
         probe = Probe(index.value)
@@ -129,12 +131,12 @@ def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url: str
             cols = [*b.columns[:-1], pa.array([h for h, _ in parts], pa.string()),
                     pa.array([p for _, p in parts], pa.string()),
                     pa.array(rule, pa.string()), pa.array(verdict, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, *new])
+            yield pa.RecordBatch.from_arrays(cols, names=["_in", *new])
 
     schema = src.drop("_url").schema
     for c in new:
         schema = schema.add(c, "string")
-    return src.mapInArrow(judge, schema)
+    return src.mapInArrow(judge, schema).select(*unpacked(kept), *new)
 
 
 URL_SQL = r"""
