@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, lines, minhash, mixing, toxicity
-from tidemark.llm.common import packed, unpacked, written
+from tidemark.llm.common import packed, text_key, unpacked, written
 from tidemark.session import table
 
 
@@ -39,11 +39,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five words, 0.8)."""
+    """One document of each group of near duplicates stays (five words, 0.8): the
+    one of the least id, among equal ids that of the least text digest."""
     # rows numbered in a written table, so rows of one id, or of none, are told apart
     numbered = written(docs.select(packed(docs, docs.columns), F.monotonically_increasing_id().alias("row")), "numbered")
     rows = numbered.select("row", F.col("_in.text").alias("text"))
-    kept = minhash.near_duplicates(rows, doc_id="row", words=5, percent=80).where("kept").select(F.col("doc_id").alias("row"))
+    kept = minhash.near_duplicates(rows, doc_id="row", words=5, percent=80).select(
+        F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    # row numbers follow the order of the files read, which may differ in a rerun; ids don't
+    rank = F.struct(F.col("_in.doc_id").isNull(), F.col("_in.doc_id"), text_key("_in.text"), "row")
+    kept = (numbered.select("row", rank.alias("rank")).join(kept, "row").groupBy("group")
+            .agg(F.min("rank").getField("row").alias("row")).select("row"))
     return numbered.join(kept, "row", "left_semi").select(*unpacked(docs.columns))
 
 
