@@ -207,7 +207,10 @@ def _rehome(hot: DataFrame, keys, orders, restart: Column, hk) -> DataFrame:
              .withColumn("_first", F.min("_sk_blk").over(Window.partitionBy(*keys))))
     if hk.n_blocks <= 200_000:
         heads = F.broadcast(heads)
-    return (hot.join(heads, on=part, how="inner")
+    heads = heads.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(part)],
+                         "_fr", "_prev_home", "_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate(part)]  # a NULL key is a key
+    return (hot.join(heads, on=same, how="inner").drop(*[f"_h{i}" for i in range(len(part))])
             .withColumn("_home", F.when(F.col("_fr").isNotNull() & (at >= F.col("_fr")),
                                         F.col("_sk_blk"))
                         .otherwise(F.coalesce("_prev_home", "_first")))

@@ -150,12 +150,14 @@ def not_followed_within(df: DataFrame, a: Column, b: Column, within: str | int,
 
     def op(d: DataFrame, part: list[str]) -> DataFrame:
         t = time_number(time_col, df)
-        w = Window.partitionBy(*part).orderBy(t).rangeBetween(1, lim)
-        return d.withColumn("_nb", F.min(F.when(F.coalesce(b, F.lit(False)), t)).over(w))
+        # the next B by one running pass from the end: linear, however wide the range
+        w = Window.partitionBy(*part).orderBy(t.desc()).rangeBetween(Window.unboundedPreceding, -1)
+        nb = F.min(F.when(F.coalesce(b, F.lit(False)), t)).over(w)
+        return d.withColumn("_nb", F.coalesce(nb - t <= lim, F.lit(False)))
 
     out = keyed_window(df, _as_list(partition_by), [time_col], op, range_ahead=lim,
                        strategy=strategy)
-    return out.filter(F.coalesce(a, F.lit(False)) & F.col("_nb").isNull()).drop("_nb")
+    return out.filter(F.coalesce(a, F.lit(False)) & ~F.col("_nb")).drop("_nb")
 
 
 def first_after(df: DataFrame, a: Column, b: Column, partition_by, order_by,
@@ -172,8 +174,10 @@ def first_after(df: DataFrame, a: Column, b: Column, partition_by, order_by,
     packed = F.struct(*[F.col(o) for o in orders], *[F.col(c).alias(f"_v_{c}") for c in cols])
 
     def within(d: DataFrame, part: list[str]) -> DataFrame:
-        w = _wp(part, orders).rowsBetween(1, Window.unboundedFollowing)
-        return d.withColumn("_nx", F.first(F.when(isb, packed), ignorenulls=True).over(w))
+        # from the end, the last B passed is the first one after: a running pass
+        w = (Window.partitionBy(*part).orderBy(*[F.col(o).desc() for o in orders])
+             .rowsBetween(Window.unboundedPreceding, -1))
+        return d.withColumn("_nx", F.last(F.when(isb, packed), ignorenulls=True).over(w))
 
     onum = order_number(df, orders[0])
     hk = None if strategy == "plain" or onum is None else \
@@ -185,12 +189,14 @@ def first_after(df: DataFrame, a: Column, b: Column, partition_by, order_by,
         out_cold = within(cold, keys)
         part = keys + ["_sk_blk"]
         blocks = hot.groupBy(*part).agg(F.min(F.when(isb, packed)).alias("_fb"))
-        wk = Window.partitionBy(*keys).orderBy("_sk_blk") \
-            .rowsBetween(1, Window.unboundedFollowing)
+        wk = Window.partitionBy(*keys).orderBy(F.col("_sk_blk").desc()) \
+            .rowsBetween(Window.unboundedPreceding, -1)
         # earliest B of any later block, for every non-empty block (small)
-        allb = blocks.withColumn("_after", F.min("_fb").over(wk)).select(*part, "_after")
+        allb = blocks.withColumn("_after", F.min("_fb").over(wk)).select(
+            *[F.col(c).alias(f"_h{i}") for i, c in enumerate(part)], "_after")
         h = within(hot, part)
-        h = h.join(F.broadcast(allb) if hk.n_blocks <= 200_000 else allb, on=part, how="left")
+        same = [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate(part)]  # a NULL key is a key
+        h = h.join(F.broadcast(allb) if hk.n_blocks <= 200_000 else allb, on=same, how="left")
         h = h.withColumn("_nx", F.coalesce("_nx", "_after")).drop("_after")
         out_hot = h.select(*[c for c in out_cold.columns])
         out = out_cold.unionByName(out_hot)
@@ -352,12 +358,20 @@ def window_all_of(df: DataFrame, preds: dict[str, Column], partition_by, time_co
 
 def window_lacking(df: DataFrame, pred: Column, partition_by, time_col: str,
                    length_days: int = 1) -> DataFrame:
-    """P11 (our definition): per key, the day windows between its first and
-    last event in which no event satisfies ``pred``."""
+    """P11 (our definition): per key, the windows of ``length_days`` UTC days,
+    from the key's first event on, in which no event satisfies ``pred``.  A
+    NULL key is a key; events without a time are in no window."""
     keys = _as_list(partition_by)
-    day = F.to_date(F.col(time_col))
-    spans = df.groupBy(*keys).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
-    spine = spans.select(*keys, F.explode(
-        F.sequence("_lo", "_hi", F.expr(f"INTERVAL {length_days} DAY"))).alias("day"))
-    have = df.filter(F.coalesce(pred, F.lit(False))).select(*keys, day.alias("day")).distinct()
-    return spine.join(have, on=keys + ["day"], how="left_anti")
+    number = F.floor(time_number(time_col, df) / F.lit(86_400_000_000)).cast("int")
+    d = df.select(*keys, number.alias("_day"), F.coalesce(pred, F.lit(False)).alias("_ok")).where(
+        F.col("_day").isNotNull())
+    # one row per key and day, so what follows grows with days, not events
+    days = d.groupBy(*keys, "_day").agg(F.bool_or("_ok").alias("_ok"))
+    wk = Window.partitionBy(*keys)
+    days = days.withColumn("_lo", F.min("_day").over(wk)).withColumn("_hi", F.max("_day").over(wk))
+    at = F.col("_lo") + F.floor((F.col("_day") - F.col("_lo")) / length_days) * length_days
+    got = days.groupBy(*keys, "_lo", "_hi").agg(
+        F.collect_set(F.when(F.col("_ok"), at.cast("int"))).alias("_have"))
+    every = F.sequence(F.col("_lo"), F.col("_hi"), F.lit(length_days))
+    return got.select(*keys, F.explode(F.array_except(every, "_have")).alias("_day")).select(
+        *keys, F.date_add(F.lit("1970-01-01").cast("date"), F.col("_day")).alias("day"))

@@ -36,7 +36,10 @@ def single_event_positions(pattern: Pattern, table: StepTable) -> list[int] | No
         return None
     cols = {s.column for s in steps}
     vals = [s.value for s in steps]
-    if len(cols) != 1 or None in cols or None in vals or len(set(map(repr, vals))) != n:
+    if len(cols) != 1 or None in cols or None in vals:
+        return None
+    # values of one type only: 1 and 1.0 differ in writing, not for the data
+    if len({type(v) for v in vals}) != 1 or any(v == w for i, v in enumerate(vals) for w in vals[:i]):
         return None
     return pos
 

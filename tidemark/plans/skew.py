@@ -105,10 +105,11 @@ class HotKeys:
             # at most max_blocks blocks per key: per-key tables over blocks
             # stay bounded however large the key grows (blocks grow instead,
             # and a block streams through its walk in constant memory)
+            lo, hi = (0, 0) if r["_sk_lo"] is None else (r["_sk_lo"], r["_sk_hi"])  # all orders NULL: block -1
             nb = min(max(1, math.ceil(r["_sk_n"] / block_rows)), max_blocks)
-            width = max(int(min_width), 1, math.ceil((r["_sk_hi"] - r["_sk_lo"] + 1) / nb))
-            self.n_blocks += math.ceil((r["_sk_hi"] - r["_sk_lo"] + 1) / width)
-            self.rows.append(tuple(r[k] for k in keys) + (int(r["_sk_lo"]), int(width)))
+            width = max(int(min_width), 1, math.ceil((hi - lo + 1) / nb))
+            self.n_blocks += math.ceil((hi - lo + 1) / width)
+            self.rows.append(tuple(r[k] for k in keys) + (int(lo), int(width)))
         self.fields = [df.schema[k] for k in keys]
         self.spark = spark
 
