@@ -39,13 +39,14 @@ def line_templates(texts: DataFrame, depth: int, min_docs: int) -> DataFrame:
     lines = (texts.select("key", F.posexplode(F.split("text", "\n")).alias("place", "line"))
              .withColumn("tokens", _tokens(F.col("line"))).where("tokens is not null"))
     leaf = F.md5(F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, depth)))
-    lines = lines.select("key", "place", "tokens", F.unhex(leaf).alias("leaf"))
+    # the line travels as text, a third of its token array, and is split again where needed
+    lines = lines.select("key", "place", "line", F.unhex(leaf).alias("leaf"))
     # distinct (leaf, key) first, so a leaf's many lines in one text are one row
     leaves = (lines.select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("docs"))
               .where(F.col("docs") >= min_docs).select(F.struct("leaf").alias("at")))
     # joined on the struct, so both sides are dealt anew and AQE can split a hot leaf
     shared = written(lines.withColumn("at", F.struct("leaf")).join(leaves, "at", "left_semi")
-                     .select("leaf", "key", "place", "tokens"), "shared-lines")
+                     .select("leaf", "key", "place", _tokens(F.col("line")).alias("tokens")), "shared-lines")
     counts = (shared.select("leaf", F.posexplode("tokens").alias("i", "token"))
               .groupBy("leaf", "i", "token").agg(F.count("*").alias("n")))
     places = counts.groupBy("leaf", "i").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("lines"))
