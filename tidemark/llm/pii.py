@@ -154,10 +154,10 @@ def disclosing_terms(docs: DataFrame, text: str, reach: int, support: int, alpha
              .select("key", F.regexp_replace("w", r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "").alias("term"))
              .join(terms, "term", "left_semi"))
     df = words.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = d.select("key").distinct().agg(F.count("*").alias("n_all"))
-    scored = (wanted.join(entities, F.col("entity") == F.col("e")).join(df, "term").crossJoin(F.broadcast(total)))
-    ic = -F.log(F.col("n_e") / F.col("n_all"))
-    pmi = F.log(F.col("n") * F.col("n_all") / (F.col("n_t") * F.col("n_e")))
+    total = d.select("key").distinct().count()
+    scored = wanted.join(entities, F.col("entity") == F.col("e")).join(df, "term")
+    ic = -F.log(F.col("n_e") / F.lit(total))
+    pmi = F.log(F.col("n") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     return scored.where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
 
 

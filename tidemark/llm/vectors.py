@@ -42,6 +42,11 @@ def _edges(dim: int, size: int) -> list[int]:
     return [*range(0, dim, size), dim]
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each (exact), so no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _deal(dim: int, size: int, grid: int, least: float):
     """Batches of (pid, label, x) -> one row per (block, cell) copy."""
     total = 2 * (1 - least)
@@ -53,8 +58,8 @@ def _deal(dim: int, size: int, grid: int, least: float):
             if not b.num_rows:
                 continue
             x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            y = unit @ turn
+            x = _scaled(x)
+            y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn
             rows = []  # (block, cell, row, home)
             for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
                 reach = (total * (hi - lo) / dim) ** 0.5 + _SLACK
@@ -96,7 +101,7 @@ def _compare(dim: int, size: int, least: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"pid": [], "links": [], "other": []})
         block, i, j = int(key[1]), int(key[3]), int(key[4])
-        x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
+        x = _scaled(np.stack(pdf["x"].to_numpy()).astype(np.float64))
         pid, copies = pdf["pid"].to_numpy(), pdf["copies"].to_numpy()
         home, chunk = pdf["home"].to_numpy(), pdf["chunk"].to_numpy()
         norm = np.linalg.norm(x, axis=1)
