@@ -143,22 +143,26 @@ def disclosing_terms(docs: DataFrame, text: str, reach: int, support: int, alpha
                 names=["key", "entity", "term"])
 
     d = docs.select(text_key(text).alias("key"), F.col(text).alias("text"))
-    near = d.mapInArrow(pairs, "key binary, entity string, term string")
-    joint = written(near.distinct().groupBy("entity", "term").agg(F.count("*").alias("n")).where(
-        F.col("n") >= support), "pii-joint")
+    near = written(d.mapInArrow(pairs, "key binary, entity string, term string").distinct(), "pii-near")
+    joint = written(near.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support), "pii-joint")
     entities = joint.where("term is null").select(F.col("entity").alias("e"), F.col("n").alias("n_e"))
-    wanted = joint.where("term is not null")
+    total = d.select("key").distinct().count()
+    ic = -F.log(F.col("n_e") / F.lit(total))
+    pmi = F.log(F.col("n") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
+    discloses = (ic > 0) & (pmi >= alpha * ic)
+    # a term is in at least as many texts as it is near any entity in, so with that
+    # number PMI is an upper bound: everyday words go here, and none that discloses
+    around = (near.where("term is not null").select("key", "term").distinct()
+              .groupBy("term").agg(F.count("*").alias("n_t")))
+    wanted = written(joint.where("term is not null").join(entities, F.col("entity") == F.col("e")).join(around, "term")
+                     .where(discloses).select("entity", "term", "n", "n_e"), "pii-wanted")
     # in how many distinct texts the wanted terms appear, near an entity or not
     terms = wanted.select("term").distinct()
     words = (d.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), 1))).alias("w"))
              .select("key", F.regexp_replace("w", r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "").alias("term"))
              .join(terms, "term", "left_semi"))
     df = words.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = d.select("key").distinct().count()
-    scored = wanted.join(entities, F.col("entity") == F.col("e")).join(df, "term")
-    ic = -F.log(F.col("n_e") / F.lit(total))
-    pmi = F.log(F.col("n") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    return scored.where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
+    return wanted.join(df, "term").where(discloses).select("entity", "term")
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
