@@ -5,7 +5,7 @@ Physical plan (strategy S2, SURVEY §4.3):
     select(key, order, symbol[, show, captures])   -- pruned, JVM-side
       -> repartition(key)                           -- one shuffle
       -> sortWithinPartitions(key, order)           -- spills if needed
-      -> mapInPandas(step-table walk)               -- O(1) state per key
+      -> map_frames(step-table walk)                -- O(1) state per key
 
 Only the narrow symbol column and the columns asked for go through
 Python.  Keys are never collected: a key's rows stream through one
@@ -29,6 +29,7 @@ from tidemark.functions.pattern import Pattern
 from tidemark.plans.automaton import (
     AMBIGUOUS, FAILURE, INCOMPLETE, START, STATUS_NAMES, SUCCESS, StepTable,
 )
+from tidemark.plans.frames import apply_frames, map_frames, records
 
 STATUS_FIELDS = [
     T.StructField("status", T.StringType()),
@@ -146,7 +147,7 @@ def match_events(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
         return blockscan.run(prep, "events", schema, final=final, strategy=strategy)
     fn = _events_kernel(prep.table, prep.keys, prep.orders + prep.carry, prep.has_show,
                         final, timeout=prep.timeout)
-    return prep.sorted().mapInPandas(fn, schema)
+    return map_frames(prep.sorted(), fn, schema)
 
 
 def _group_starts(pdf: pd.DataFrame, keys: list[str], prev_key) -> tuple[np.ndarray, list]:
@@ -154,12 +155,10 @@ def _group_starts(pdf: pd.DataFrame, keys: list[str], prev_key) -> tuple[np.ndar
     n = len(pdf)
     newk = np.zeros(n, dtype=bool)
     cols = [pdf[k].to_numpy() for k in keys]
-    for k in keys:
-        s = pdf[k]
-        sh = s.shift()
-        na, nash = s.isna().to_numpy(), sh.isna().to_numpy()
-        ne = np.asarray(s.to_numpy() != sh.to_numpy(), dtype=bool)
-        newk |= np.where(na & nash, False, ne | (na != nash))
+    for k, c in zip(keys, cols):
+        na = pdf[k].isna().to_numpy()
+        ne = np.asarray(c[1:] != c[:-1], dtype=bool)
+        newk[1:] |= np.where(na[1:] & na[:-1], False, ne | (na[1:] != na[:-1]))
     first = tuple(_norm(c[0]) for c in cols)
     newk[0] = prev_key is None or first != prev_key
     return newk, cols
@@ -344,10 +343,7 @@ def _end_frame(ends, keys, orders) -> pd.DataFrame:
         cols[o] = [None] * len(ends)
     for j, f in enumerate(STATUS_FIELDS):
         cols[f.name] = [e[1][j] for e in ends]
-    out = pd.DataFrame(cols)
-    out["attempt_id"] = out["attempt_id"].astype("Int64")
-    out["step"] = out["step"].astype("Int32")
-    return out
+    return pd.DataFrame(cols, dtype=object)
 
 
 # ---------------------------------------------------------------------------
@@ -398,7 +394,7 @@ def match_cut(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     else:
         fn = _cut_kernel(table, prep.keys, prep.orders, prep.captures, cap_cols,
                          timeout=prep.timeout)
-        out = prep.sorted().mapInPandas(fn, schema)
+        out = map_frames(prep.sorted(), fn, schema)
     if result is not None:
         caps = {s_: {c: F.col(f"{s_}_{c}") for c in prep.captures} for s_ in kept}
         out = out.withColumn("result", result(caps))
@@ -510,13 +506,6 @@ def _names(label: str | None):
     return (label,) if "|" not in label else ()
 
 
-def _rows_frame(rows, keys, orders, cap_cols) -> pd.DataFrame:
-    names = list(keys) + ["match_no"] + [f"start_{o}" for o in orders] \
-        + [f"end_{o}" for o in orders] + ["n_events", "alt"] \
-        + [f"{s}_{c}" for s, c in cap_cols]
-    return pd.DataFrame.from_records(rows, columns=names)
-
-
 # ---------------------------------------------------------------------------
 # chained phases
 # ---------------------------------------------------------------------------
@@ -590,25 +579,26 @@ def match_whole(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
         hk = HotKeys(prep.src, keys, onum, force=strategy == "block")
     kernel = _whole_kernel(table, keys, prep.has_show, [f.name for f in fields])
     if not hk or hk.too_many:
-        return prep.sorted().mapInPandas(kernel, schema)
+        return map_frames(prep.sorted(), kernel, schema)
     cold, hot = hk.split(prep.df)
-    out_cold = (cold.repartition(*keys).sortWithinPartitions(*keys, *prep.orders)
-                .mapInPandas(kernel, schema)) if keys else None
+    out_cold = map_frames(cold.repartition(*keys).sortWithinPartitions(*keys, *prep.orders),
+                          kernel, schema) if keys else None
     symbols = table.symbols_in(prep.df)
     if symbols is None:
-        return prep.sorted().mapInPandas(kernel, schema)
+        return map_frames(prep.sorted(), kernel, schema)
     table.complete_open(symbols)
     sum_schema = T.StructType([prep.field[c] for c in keys] + [
         T.StructField("_blk", T.LongType()), T.StructField("q", T.IntegerType()),
         T.StructField("end_q", T.IntegerType()), T.StructField("n", T.LongType()),
         T.StructField("fail_i", T.LongType()), T.StructField("fail_expected", T.StringType()),
         T.StructField("fail_got", T.StringType())])
-    summary = (hot.withColumnRenamed("_sk_blk", "_blk")
-               .repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", *prep.orders)
-               .mapInPandas(_whole_summary(table, keys, prep.has_show), sum_schema))
+    summary = map_frames(
+        hot.withColumnRenamed("_sk_blk", "_blk")
+        .repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", *prep.orders),
+        _whole_summary(table, keys, prep.has_show), sum_schema)
     group = keys if keys else [F.lit(0).alias("_all")]
-    out_hot = summary.groupBy(*group).applyInPandas(
-        _whole_compose(table, keys, [f.name for f in fields]), schema)
+    out_hot = apply_frames(
+        summary.groupBy(*group), _whole_compose(table, keys, [f.name for f in fields]), schema)
     return out_hot if out_cold is None else out_cold.unionByName(out_hot)
 
 
@@ -651,9 +641,9 @@ def _whole_kernel(table: StepTable, keys, has_show: bool, names):
                 else:
                     state = nxt
             if rows:
-                yield pd.DataFrame.from_records(rows, columns=names)
+                yield records(rows, columns=names)
         if prev_key is not None:
-            yield pd.DataFrame.from_records(
+            yield records(
                 [_whole_finish(table, prev_key, state, n_ev, fail)], columns=names)
 
     return kernel
@@ -712,9 +702,9 @@ def _whole_summary(table: StepTable, keys, has_show: bool):
                     for q in starts:
                         cur[q] = s_
             if rows:
-                yield pd.DataFrame.from_records(rows, columns=cols)
+                yield records(rows, columns=cols)
         if gkey is not None:
-            yield pd.DataFrame.from_records(flush(gkey, cur, fails, n), columns=cols)
+            yield records(flush(gkey, cur, fails, n), columns=cols)
 
     return kernel
 
@@ -736,7 +726,7 @@ def _whole_compose(table: StepTable, keys, names):
                 else:
                     state = int(r["end_q"])
             n += nb
-        return pd.DataFrame.from_records([_whole_finish(table, key, state, n, fail)],
+        return records([_whole_finish(table, key, state, n, fail)],
                                          columns=names)
 
     return fn

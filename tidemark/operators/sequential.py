@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tidemark.functions.pattern import Pattern
 from tidemark.operators.matcher import _as_list, _group_starts, _norm
 from tidemark.plans.automaton import START, SUCCESS, StepTable
+from tidemark.plans.frames import map_frames, records
 
 
 def _sorted(df: DataFrame, keys: list[str], orders: list[str]) -> DataFrame:
@@ -76,11 +77,11 @@ def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
     if strategy != "plain" and final == "none" and onum is not None:
         hk = HotKeys(df.select(*keys, *orders), keys, onum, force=strategy == "block")
     if not hk or hk.too_many:
-        return _sorted(src, keys, orders).mapInPandas(
-            _nested_kernel(keys, keys, orders, final), schema)
+        return map_frames(
+            _sorted(src, keys, orders), _nested_kernel(keys, keys, orders, final), schema)
     cold, hot = hk.split(src)
-    out_cold = _sorted(cold, keys, orders).mapInPandas(
-        _nested_kernel(keys, keys, orders, final), schema)
+    out_cold = map_frames(
+        _sorted(cold, keys, orders), _nested_kernel(keys, keys, orders, final), schema)
     from tidemark.plans import nestscan
 
     out_hot = nestscan.run(df, hot, keys, orders, fields, schema, hk.n_blocks)
@@ -137,9 +138,9 @@ def _nested_kernel(keys, gkeys, orders, final, blocks: bool = False):
                 else:
                     phase = 0  # failure; the event is spent
             if rows:
-                yield pd.DataFrame.from_records(rows, columns=names)
+                yield records(rows, columns=names)
         if gkey is not None and final == "complete" and phase == 0:
-            yield pd.DataFrame.from_records([gkey[:nk] + (match_no + 1,) + empty
+            yield records([gkey[:nk] + (match_no + 1,) + empty
                                              + (None,) * extra], columns=names)
 
     return kernel
@@ -239,11 +240,11 @@ def _fold_kernel(keys, gkeys, cols, init, step, end, names, has_reset: bool):
                 state, emitted = step(state, {c: v[i] for c, v in zip(cols, vals)})
                 rows.extend(gkey[:nk] + tuple(r) for r in emitted)
             if rows:
-                yield pd.DataFrame.from_records(rows, columns=names)
+                yield records(rows, columns=names)
         if gkey is not None:
             rows = [gkey[:nk] + tuple(r) for r in end(state)]
             if rows:
-                yield pd.DataFrame.from_records(rows, columns=names)
+                yield records(rows, columns=names)
 
     return kernel
 
@@ -335,6 +336,6 @@ def match_many(df: DataFrame, patterns: dict[str, Pattern], partition_by,
                                     + tuple(c[i] for c in ov) + (steps[j],))
                     states[j] = nxt
             if rows:
-                yield pd.DataFrame.from_records(rows, columns=names)
+                yield records(rows, columns=names)
 
-    return _sorted(src, keys, orders).mapInPandas(kernel, T.StructType(fields))
+    return map_frames(_sorted(src, keys, orders), kernel, T.StructType(fields))

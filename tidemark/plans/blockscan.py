@@ -29,7 +29,6 @@ and Schulte, ASPLOS 2014).
 
 from __future__ import annotations
 
-import math
 from typing import Any
 
 import numpy as np
@@ -39,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.automaton import FAILURE, START, SUCCESS
+from tidemark.plans.frames import apply_frames, map_frames, records
 from tidemark.plans.skew import HotKeys, conf_int, order_number
 
 DEFAULT_BROADCAST_BLOCKS = 200_000
@@ -65,7 +65,7 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         else:
             fn = M._cut_kernel(table, keys, orders, prep.captures, list(cap_cols), blocks,
                                timeout=prep.timeout)
-        return part.mapInPandas(fn, schema)
+        return map_frames(part, fn, schema)
 
     onum = order_number(prep.df, orders[0])
     if strategy == "plain" or onum is None:
@@ -97,10 +97,11 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         T.StructField("t_first", T.LongType()),
         T.StructField("t_last", T.LongType()),
     ] + [T.StructField(f"s{j}", prep.field[o].dataType) for j, o in enumerate(orders)] \
-      + [T.StructField(f"c{j}", prep.field[c].dataType) for j, (_, c) in enumerate(cap_cols)]
+      + [T.StructField(f"c{j}", prep.field[c].dataType) for j, (_, c) in enumerate(cap_cols)] \
+      + [T.StructField(f"g{j}", T.BooleanType()) for j in range(len(cap_cols))]
     table.complete_all(symbols)
-    summary = part.mapInPandas(
-        _summary_kernel(table, keys, orders, prep.captures, list(cap_cols), prep.timeout),
+    summary = map_frames(
+        part, _summary_kernel(table, keys, orders, prep.captures, list(cap_cols), prep.timeout),
         T.StructType(sum_fields))
 
     # per-key scan over blocks
@@ -115,8 +116,8 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
     ] + [T.StructField(f"_m_s{j}", prep.field[o].dataType) for j, o in enumerate(orders)] \
       + [T.StructField(f"_m_c{j}", prep.field[c].dataType) for j, (_, c) in enumerate(cap_cols)]
     group = keys if keys else [F.lit(0).alias("_all")]
-    markers = summary.groupBy(*group).applyInPandas(
-        _compose(keys, len(orders), len(cap_cols), prep.timeout), T.StructType(mark_fields))
+    markers = apply_frames(
+        summary.groupBy(*group), _compose(keys, len(orders), len(cap_cols), prep.timeout), T.StructType(mark_fields))
     if n_blocks <= conf_int(spark, "broadcastBlocks", DEFAULT_BROADCAST_BLOCKS):
         markers = F.broadcast(markers)
 
@@ -132,7 +133,7 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
     else:
         fn = M._cut_kernel(table, keys, orders, prep.captures, list(cap_cols), True,
                            timeout=prep.timeout)
-    hot_out = walked.mapInPandas(fn, schema)
+    hot_out = map_frames(walked, fn, schema)
     if cold is None:
         return hot_out
     return plain(cold).unionByName(hot_out)
@@ -150,13 +151,14 @@ def _summary_kernel(table, keys, orders, captures, cap_cols, timeout=None):
         cap_by_label.setdefault(s_, []).append((j, captures.index(c)))
 
     class Walk:
-        __slots__ = ("state", "att", "match", "steps", "started", "start", "caps")
+        __slots__ = ("state", "att", "match", "steps", "started", "start", "caps", "got")
 
         def __init__(self, q):
             self.state, self.att, self.match, self.steps = q, 0, 0, 0
             self.started = False
             self.start: tuple = tuple([None] * len(orders))
             self.caps: list = [None] * nc
+            self.got = [False] * nc  # captures set in this block, be it to NULL
 
     def flush(gkey, walks, alias, t_first, t_last):
         out = []
@@ -164,7 +166,7 @@ def _summary_kernel(table, keys, orders, captures, cap_cols, timeout=None):
             tgt, d_att, d_match = alias[q]
             w = walks[tgt]
             out.append(gkey + (q, w.state, w.att + d_att, w.match + d_match, w.steps,
-                               w.started, t_first, t_last) + w.start + tuple(w.caps))
+                               w.started, t_first, t_last) + w.start + tuple(w.caps) + tuple(w.got))
         return out
 
     def kernel(it):
@@ -225,6 +227,7 @@ def _summary_kernel(table, keys, orders, captures, cap_cols, timeout=None):
                         for name in _names(labels[lab]):
                             for j, ci in cap_by_label.get(name, ()):
                                 w.caps[j] = ccols[ci][i]
+                                w.got[j] = True
                     if code == SUCCESS:
                         w.match += 1
                     w.state = nxt
@@ -239,8 +242,8 @@ def _summary_kernel(table, keys, orders, captures, cap_cols, timeout=None):
 def _frame(rows, keys, orders, nc) -> pd.DataFrame:
     cols = list(keys) + ["_blk", "q", "end_q", "n_att", "n_match", "steps", "started",
                          "t_first", "t_last"] \
-        + [f"s{j}" for j in range(len(orders))] + [f"c{j}" for j in range(nc)]
-    return pd.DataFrame.from_records(rows, columns=cols)
+        + [f"s{j}" for j in range(len(orders))] + [f"{x}{j}" for x in "cg" for j in range(nc)]
+    return records(rows, cols)
 
 
 def _compose(keys, n_orders: int, nc: int, timeout=None):
@@ -261,6 +264,7 @@ def _compose(keys, n_orders: int, nc: int, timeout=None):
         t_last = pdf["t_last"].to_numpy().reshape(len(uniq), n_q)[:, 0]
         svals = [pdf[f"s{j}"].tolist() for j in range(n_orders)]
         cvals = [pdf[f"c{j}"].tolist() for j in range(nc)]
+        gvals = [pdf[f"g{j}"].tolist() for j in range(nc)]
         key = tuple(pdf[k].iloc[0] for k in keys)
         state, att, match, stp = START, 0, 0, 0
         start: tuple[Any, ...] = tuple([None] * n_orders)
@@ -289,16 +293,11 @@ def _compose(keys, n_orders: int, nc: int, timeout=None):
                 caps = [c[r] for c in cvals]
             else:
                 stp += int(steps[bi, state])
-                caps = [c[r] if c[r] is not None and not _isnan(c[r]) else old
-                        for c, old in zip(cvals, caps)]
+                caps = [c[r] if g[r] else old for c, g, old in zip(cvals, gvals, caps)]
             state = nxt
         cols = list(keys) + ["_blk", "_m_state", "_m_att", "_m_match", "_m_steps",
                              "_m_last", "_m_t"] + [f"_m_s{j}" for j in range(n_orders)] \
             + [f"_m_c{j}" for j in range(nc)]
-        return pd.DataFrame.from_records(out, columns=cols)
+        return records(out, cols)
 
     return fn
-
-
-def _isnan(v) -> bool:
-    return isinstance(v, float) and math.isnan(v)

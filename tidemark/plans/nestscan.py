@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.frames import apply_frames, map_frames, records
+
 OPEN, CLOSE = 1, 2
 
 
@@ -80,9 +82,9 @@ def summary_kernel(keys, orders):
                     g = _Group(tuple(_norm(c[i]) for c in kv), no)
                 g.row(sy[i], lambda i=i: tuple(c[i] for c in ov))
             if out:
-                yield pd.DataFrame.from_records(out, columns=names)
+                yield records(out, columns=names)
         if g is not None:
-            yield pd.DataFrame.from_records(g.finish(), columns=names)
+            yield records(g.finish(), columns=names)
 
     return kernel
 
@@ -211,7 +213,7 @@ def compose(keys, no: int):
             phase, d, peak, steps = (int(w["end_phase"]), int(w["end_d"]),
                                      int(w["end_peak"]), int(w["end_steps"]))
             start = tuple(_norm(w[f"s{j}"]) for j in range(no)) if phase else (None,) * no
-        return pd.DataFrame.from_records(out, columns=names)
+        return records(out, columns=names)
 
     return fn
 
@@ -230,14 +232,14 @@ def run(src: DataFrame, hot: DataFrame, keys, orders, fields, schema, n_blocks:
            ("p", "n_rows", "c0", "u", "u1sym", "c", "end_phase", "end_d", "end_peak",
             "end_steps", "n_match")]
         + [T.StructField(f"s{j}", src.schema[o].dataType) for j, o in enumerate(orders)])
-    summary = blocks.mapInPandas(summary_kernel(keys, orders), sum_schema)
+    summary = map_frames(blocks, summary_kernel(keys, orders), sum_schema)
     mark_schema = T.StructType(
         [src.schema[k] for k in keys] + [T.StructField("_sk_blk", T.LongType())]
         + [T.StructField(x, T.LongType()) for x in
            ("_m_phase", "_m_d", "_m_peak", "_m_steps", "_m_match")]
         + [T.StructField(f"_m_s{j}", src.schema[o].dataType) for j, o in enumerate(orders)])
     group = keys if keys else [F.lit(0).alias("_all")]
-    markers = summary.groupBy(*group).applyInPandas(compose(keys, no), mark_schema)
+    markers = apply_frames(summary.groupBy(*group), compose(keys, no), mark_schema)
     if n_blocks <= 200_000:
         markers = F.broadcast(markers)
     cond = [blocks[c].eqNullSafe(markers[c]) for c in part]
@@ -245,7 +247,7 @@ def run(src: DataFrame, hot: DataFrame, keys, orders, fields, schema, n_blocks:
               .select(*[blocks[c] for c in blocks.columns],
                       *[markers[c] for c in markers.columns if c.startswith("_m_")])
               .sortWithinPartitions(*part, *orders))
-    return walked.mapInPandas(_nested_kernel(keys, part, orders, "none", blocks=True),
+    return map_frames(walked, _nested_kernel(keys, part, orders, "none", blocks=True),
                               T.StructType(list(schema.fields)
                                            + [T.StructField("_sk_blk", T.LongType())])) \
         .select(*[f.name for f in fields])
