@@ -12,6 +12,7 @@ def depths(df, final="none"):
     return [r.depth for r in out.orderBy("match_no").collect()]
 
 
+# Bracket strings and the depths they must give.
 @pytest.mark.parametrize("text,expected", [
     ("()", [1]),
     ("(((())))", [4]),
@@ -23,6 +24,7 @@ def test_nested(spark, chars, text, expected):
     assert depths(chars(text)) == expected
 
 
+# Bracket strings and the depths they must give.
 @pytest.mark.parametrize("text,expected", [
     ("()" * 13, [1] * 13 + [0]),
     ("((()))(())()((((()))))((()))()(((())))", [3, 2, 1, 5, 3, 1, 4, 0]),
