@@ -108,3 +108,10 @@ def test_oracles(spark, name, sql):
     names = [d[0] for d in rel.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(str, rel.fetchall())) == sorted(str(tuple(r)) for r in df.select(*names).collect())
+
+
+def test_vectors_of_any_size(spark):
+    rows = [(1, [1e200, 2e200, 0.0], 1), (2, [1e-200, 2e-200, 0.0], 1), (3, [0.0, 0.0, 5e300], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True)}
