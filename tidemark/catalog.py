@@ -703,8 +703,8 @@ GROUP BY b0 - k * CAST(21600000000 AS BIGINT)"""
 
 
 def rolling(spark, sf):
-    out = W.rolling(_events(spark, sf), "ts", "1h", KEY,
-                    {"n_last_hour": F.count(F.lit(1))})
+    out = W.rolling(_events(spark, sf).select(KEY, "event_id", "ts"), "ts", "1h", KEY,
+                    totals={"n_last_hour": F.lit(1)})
     return out.select(KEY, "event_id", "n_last_hour")
 
 

@@ -93,6 +93,11 @@ class _Prepared:
             sel.append(F.col(c).alias(f"_cap{i}"))
         if self.timeout is not None:
             sel.append(time_number(time_col, df).alias("_t"))
+        #: rows that come cut into blocks keep them
+        self.n_blocks = 0
+        if "_sk_blk" in df.columns:
+            sel.append(F.col("_sk_blk"))
+            self.n_blocks = 1 << 62
         self.df = df.select(*sel)
         self.field = {f.name: f for f in df.schema.fields}
 
@@ -523,13 +528,12 @@ def match_chain(df: DataFrame, patterns: Sequence[Pattern], partition_by, order_
     chosen once on the source and a chain of cold keys runs no detection
     on intermediate results (which would recompute them).
     """
-    from tidemark.plans.skew import HotKeys, order_number
+    from tidemark.plans.skew import HotKeys
 
     keys, orders = _as_list(partition_by), _as_list(order_by)
     capture = list(capture) if capture is not None else [()] * len(patterns)
     if strategy == "auto":
-        onum = order_number(df, orders[0])
-        hot = onum is not None and bool(HotKeys(df.select(*keys, *orders), keys, onum))
+        hot = bool(HotKeys(df, keys, orders))
         later = "auto" if hot else "plain"
     else:
         later = strategy
@@ -559,7 +563,7 @@ def match_whole(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     (walks in the same state merge); a per-key fold over the block
     summaries gives the answer, so no second pass is needed.
     """
-    from tidemark.plans.skew import HotKeys, order_number
+    from tidemark.plans.skew import HotKeys
 
     prep = _Prepared(df, pattern, partition_by, order_by, show, (), where_key,
                      "reference")
@@ -573,20 +577,16 @@ def match_whole(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
         T.StructField("fail_got", T.StringType()),
     ]
     schema = T.StructType(fields)
-    onum = order_number(prep.df, prep.orders[0])
     hk = None
-    if strategy != "plain" and onum is not None:
-        hk = HotKeys(prep.src, keys, onum, force=strategy == "block")
+    if strategy != "plain":
+        hk = HotKeys(prep.src, keys, prep.orders, force=strategy == "block")
     kernel = _whole_kernel(table, keys, prep.has_show, [f.name for f in fields])
-    if not hk or hk.too_many:
+    if not hk:
         return map_frames(prep.sorted(), kernel, schema)
     cold, hot = hk.split(prep.df)
     out_cold = map_frames(cold.repartition(*keys).sortWithinPartitions(*keys, *prep.orders),
                           kernel, schema) if keys else None
-    symbols = table.symbols_in(prep.df)
-    if symbols is None:
-        return map_frames(prep.sorted(), kernel, schema)
-    table.complete_open(symbols)
+    table.complete_open(lambda: table.symbols_in(hot))
     sum_schema = T.StructType([prep.field[c] for c in keys] + [
         T.StructField("_blk", T.LongType()), T.StructField("q", T.IntegerType()),
         T.StructField("end_q", T.IntegerType()), T.StructField("n", T.LongType()),

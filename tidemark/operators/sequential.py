@@ -19,6 +19,7 @@ from tidemark.functions.pattern import Pattern
 from tidemark.operators.matcher import _as_list, _group_starts, _norm
 from tidemark.plans.automaton import START, SUCCESS, StepTable
 from tidemark.plans.frames import map_frames, records
+from tidemark.plans.skew import HotKeys, _with_blocks
 
 
 def _sorted(df: DataFrame, keys: list[str], orders: list[str]) -> DataFrame:
@@ -61,8 +62,6 @@ def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
     are summarised in one pass, folded per key, and re-walked from their
     known incoming state); no run of events has to stay in one task.
     """
-    from tidemark.plans.skew import HotKeys, order_number
-
     keys, orders = _as_list(partition_by), _as_list(order_by)
     sym = (F.when(F.coalesce(open_, F.lit(False)), F.lit(1))
            .when(F.coalesce(close, F.lit(False)), F.lit(2)).otherwise(F.lit(0)))
@@ -72,11 +71,10 @@ def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
     fields += [T.StructField(f"end_{o}", df.schema[o].dataType) for o in orders]
     fields += [T.StructField("n_events", T.LongType()), T.StructField("depth", T.LongType())]
     schema = T.StructType(fields)
-    onum = order_number(df, orders[0])
     hk = None
-    if strategy != "plain" and final == "none" and onum is not None:
-        hk = HotKeys(df.select(*keys, *orders), keys, onum, force=strategy == "block")
-    if not hk or hk.too_many:
+    if strategy != "plain" and final == "none":
+        hk = HotKeys(df, keys, orders, force=strategy == "block")
+    if not hk:
         return map_frames(
             _sorted(src, keys, orders), _nested_kernel(keys, keys, orders, final), schema)
     cold, hot = hk.split(src)
@@ -166,30 +164,27 @@ def fold(df: DataFrame, partition_by, order_by, columns: Sequence[str],
     block's head is walked with the previous block that has one.  Without
     ``reset`` a key is one sequential walk (one task per key).
     """
-    from tidemark.plans.skew import HotKeys, order_number
-
     keys, orders = _as_list(partition_by), _as_list(order_by)
     cols = list(dict.fromkeys(list(columns)))
     sel = [*keys, *[c for c in dict.fromkeys(orders + cols) if c not in keys]]
     src = df.select(*sel, *([F.coalesce(reset, F.lit(False)).alias("_reset")]
                             if reset is not None else []))
     out_schema = T.StructType([df.schema[k] for k in keys] + list(schema.fields))
-    onum = order_number(df, orders[0])
     hk = None
-    if reset is not None and strategy != "plain" and onum is not None:
-        hk = HotKeys(df.select(*keys, *orders), keys, onum, force=strategy == "block")
+    if reset is not None and strategy != "plain":
+        hk = HotKeys(df, keys, orders, force=strategy == "block")
     kern = _fold_kernel(keys, keys, cols, init, step, end, [f.name for f in out_schema.fields],
                         reset is not None)
-    if not hk or hk.too_many:
-        return _sorted(src, keys, orders).mapInPandas(kern, out_schema)
+    if not hk:
+        return map_frames(_sorted(src, keys, orders), kern, out_schema)
     cold, hot = hk.split(src)
-    out_cold = _sorted(cold, keys, orders).mapInPandas(kern, out_schema)
+    out_cold = map_frames(_sorted(cold, keys, orders), kern, out_schema)
     homed = _rehome(hot, keys, orders, F.col("_reset"), hk)
     hot_kern = _fold_kernel(keys, keys + ["_home"], cols, init, step, end,
                             [f.name for f in out_schema.fields], True)
-    out_hot = (homed.repartition(*keys, "_home").sortWithinPartitions(*keys, "_home", *orders)
-               .mapInPandas(hot_kern, out_schema))
-    return out_cold.unionByName(out_hot)
+    out_hot = map_frames(homed.repartition(*keys, "_home").sortWithinPartitions(*keys, "_home", *orders),
+                         hot_kern, out_schema)
+    return out_cold.unionByName(out_hot) if keys else out_hot
 
 
 def _rehome(hot: DataFrame, keys, orders, restart: Column, hk) -> DataFrame:
@@ -206,16 +201,11 @@ def _rehome(hot: DataFrame, keys, orders, restart: Column, hk) -> DataFrame:
                                                       F.col("_sk_blk")), ignorenulls=True)
                          .over(wk.rowsBetween(Window.unboundedPreceding, -1)))
              .withColumn("_first", F.min("_sk_blk").over(Window.partitionBy(*keys))))
-    if hk.n_blocks <= 200_000:
-        heads = F.broadcast(heads)
-    heads = heads.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(part)],
-                         "_fr", "_prev_home", "_first")
-    same = [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate(part)]  # a NULL key is a key
-    return (hot.join(heads, on=same, how="inner").drop(*[f"_h{i}" for i in range(len(part))])
+    return (_with_blocks(hot, heads, part, hk.n_blocks)
             .withColumn("_home", F.when(F.col("_fr").isNotNull() & (at >= F.col("_fr")),
                                         F.col("_sk_blk"))
                         .otherwise(F.coalesce("_prev_home", "_first")))
-            .drop("_fr", "_prev_home", "_first", "_sk_blk", "_sk_lo", "_sk_w"))
+            .drop("_fr", "_prev_home", "_first", "_sk_blk"))
 
 
 def _fold_kernel(keys, gkeys, cols, init, step, end, names, has_reset: bool):
@@ -276,19 +266,15 @@ def match_many(df: DataFrame, patterns: dict[str, Pattern], partition_by,
     columns, ``pattern``, ``match_no``, ``start_<o>``, ``end_<o>``,
     ``n_events``.
 
-    Hot keys: their rows go through the block scan of ``match_cut``, one
-    pattern at a time; cold keys share the single pass.
+    Hot keys: their rows are cut into blocks once, and each pattern's block
+    scan reads those; cold keys share the single pass.
     """
     from tidemark.operators.matcher import match_cut
-    from tidemark.plans.skew import HotKeys, order_number
-
     keys, orders = _as_list(partition_by), _as_list(order_by)
-    onum = order_number(df, orders[0])
-    if strategy != "plain" and onum is not None:
-        hk = HotKeys(df.select(*keys, *orders), keys, onum, force=strategy == "block")
-        if hk and not hk.too_many:
+    if strategy != "plain":
+        hk = HotKeys(df, keys, orders, force=strategy == "block")
+        if hk:
             cold, hot = hk.split(df)
-            hot = hot.drop("_sk_blk", "_sk_lo", "_sk_w")
             out = match_many(cold, patterns, keys, orders, strategy="plain")
             for name, p in patterns.items():
                 m = match_cut(hot, p, keys, orders, strategy="block")

@@ -7,14 +7,14 @@ definition" fix semantics the reference only sketches (SURVEY §2.2).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.matcher import _as_list
-from tidemark.plans.skew import HotKeys, keyed_window, order_number
+from tidemark.plans.skew import HotKeys, _with_blocks, keyed_window
 
 
 def time_number(c: str | Column, df: DataFrame | None = None, dtype=None) -> Column:
@@ -142,33 +142,49 @@ def pair_filter(df: DataFrame, predicate, partition_by, order_by,
     return out.filter(F.coalesce(predicate(F.col("_prev"), F), F.lit(False)))
 
 
+def _next_over_blocks(df: DataFrame, keys: list[str], orders: list[str],
+                      within: Callable[[DataFrame, list[str]], DataFrame], first: Column,
+                      strategy: str) -> DataFrame:
+    """``within(frame, partition_cols)`` adds ``_nx``, what the rest of the key holds
+    first.  Hot keys: the block's own answer, else that of the nearest later
+    block that has one (``first``, an aggregate; a backward scan over the small
+    per-block table), so the unbounded look-ahead never needs a whole key in a task."""
+    hk = None if strategy == "plain" else HotKeys(df, keys, orders, force=strategy == "block")
+    if not hk:
+        return within(df, keys)
+    cold, hot = hk.split(df)
+    part = keys + ["_sk_blk"]
+    wk = Window.partitionBy(*keys).orderBy(F.col("_sk_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = hot.groupBy(*part).agg(first.alias("_fb")).select(*part, F.min("_fb").over(wk).alias("_after"))
+    out = _with_blocks(within(hot, part), blocks, part, hk.n_blocks)
+    out = out.withColumn("_nx", F.coalesce("_nx", "_after")).drop("_after", "_sk_blk")
+    return within(cold, keys).unionByName(out)
+
+
 def not_followed_within(df: DataFrame, a: Column, b: Column, within: str | int,
                         partition_by, time_col: str, strategy: str = "auto") -> DataFrame:
     """P5 (our definition): A events with no B event of the same key in
     ``(t, t + within]``."""
     lim = duration_micros(within)
+    t = F.col("_sk_t")
+    bt = F.when(F.coalesce(b, F.lit(False)), t)
 
     def op(d: DataFrame, part: list[str]) -> DataFrame:
-        t = time_number(time_col, df)
         # the next B by one running pass from the end: linear, however wide the range
         w = Window.partitionBy(*part).orderBy(t.desc()).rangeBetween(Window.unboundedPreceding, -1)
-        nb = F.min(F.when(F.coalesce(b, F.lit(False)), t)).over(w)
-        return d.withColumn("_nb", F.coalesce(nb - t <= lim, F.lit(False)))
+        return d.withColumn("_nx", F.min(bt).over(w))
 
-    out = keyed_window(df, _as_list(partition_by), [time_col], op, range_ahead=lim,
-                       strategy=strategy)
-    return out.filter(F.coalesce(a, F.lit(False)) & ~F.col("_nb")).drop("_nb")
+    # equal times are never cut, so a B of a later block is a later B
+    out = _next_over_blocks(df.withColumn("_sk_t", time_number(time_col, df)), _as_list(partition_by), ["_sk_t"],
+                            op, F.min(bt), strategy)
+    near = F.coalesce(F.col("_nx") - t <= lim, F.lit(False))
+    return out.filter(F.coalesce(a, F.lit(False)) & ~near).select(*df.columns)
 
 
 def first_after(df: DataFrame, a: Column, b: Column, partition_by, order_by,
                 cols: Sequence[str], strategy: str = "auto") -> DataFrame:
     """P17 (our definition): for each A event, the first later B event of the
-    same key (``next_<c>`` columns, NULL while still open).
-
-    Hot keys: the first B inside the block, else the first B of the nearest
-    later block that has one (a backward scan over the small per-block
-    table), so the unbounded look-ahead never needs a whole key in a task.
-    """
+    same key (``next_<c>`` columns, NULL while still open)."""
     keys, orders = _as_list(partition_by), _as_list(order_by)
     isb = F.coalesce(b, F.lit(False))
     packed = F.struct(*[F.col(o) for o in orders], *[F.col(c).alias(f"_v_{c}") for c in cols])
@@ -179,27 +195,7 @@ def first_after(df: DataFrame, a: Column, b: Column, partition_by, order_by,
              .rowsBetween(Window.unboundedPreceding, -1))
         return d.withColumn("_nx", F.last(F.when(isb, packed), ignorenulls=True).over(w))
 
-    onum = order_number(df, orders[0])
-    hk = None if strategy == "plain" or onum is None else \
-        HotKeys(df, keys, onum, force=strategy == "block")
-    if not hk or hk.too_many:
-        out = within(df, keys)
-    else:
-        cold, hot = hk.split(df)
-        out_cold = within(cold, keys)
-        part = keys + ["_sk_blk"]
-        blocks = hot.groupBy(*part).agg(F.min(F.when(isb, packed)).alias("_fb"))
-        wk = Window.partitionBy(*keys).orderBy(F.col("_sk_blk").desc()) \
-            .rowsBetween(Window.unboundedPreceding, -1)
-        # earliest B of any later block, for every non-empty block (small)
-        allb = blocks.withColumn("_after", F.min("_fb").over(wk)).select(
-            *[F.col(c).alias(f"_h{i}") for i, c in enumerate(part)], "_after")
-        h = within(hot, part)
-        same = [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate(part)]  # a NULL key is a key
-        h = h.join(F.broadcast(allb) if hk.n_blocks <= 200_000 else allb, on=same, how="left")
-        h = h.withColumn("_nx", F.coalesce("_nx", "_after")).drop("_after")
-        out_hot = h.select(*[c for c in out_cold.columns])
-        out = out_cold.unionByName(out_hot)
+    out = _next_over_blocks(df, keys, orders, within, F.min(F.when(isb, packed)), strategy)
     nxt = [F.col("_nx")[f"_v_{c}"].alias(f"next_{c}") for c in cols]
     return (out.filter(F.coalesce(a, F.lit(False)))
             .select(*[F.col(c) for c in df.columns], *nxt))
@@ -277,17 +273,64 @@ def sliding(df: DataFrame, time_col: str, length: str, slide: str,
             .drop("_win"))
 
 
+def _running_totals(df: DataFrame, keys: list[str], orders: list[str], names: Sequence[str],
+                    strategy: str) -> DataFrame:
+    """``df`` with each column of ``names`` replaced by its running total in its key, ties
+    included.  Hot keys: the total of the blocks before plus that inside the block."""
+    def inside(d: DataFrame, part: list[str]) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy(*orders).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return d.select(*[c for c in d.columns if c not in names], *[F.sum(n).over(w).alias(n) for n in names])
+
+    hk = None if strategy == "plain" else HotKeys(df, keys, orders, force=strategy == "block")
+    if not hk:
+        return inside(df, keys)
+    cold, hot = hk.split(df)
+    part = keys + ["_sk_blk"]
+    wk = Window.partitionBy(*keys).orderBy("_sk_blk").rowsBetween(Window.unboundedPreceding, -1)
+    before = hot.groupBy(*part).agg(*[F.sum(n).alias(n) for n in names]).select(
+        *part, *[F.sum(n).over(wk).alias(f"_b_{n}") for n in names])
+    out = _with_blocks(inside(hot, part), before, part, hk.n_blocks)
+    total = [(F.col(n) + F.coalesce(F.col(f"_b_{n}"), F.lit(0))).alias(n) for n in names]
+    out = out.select(*[c for c in df.columns if c not in names], *total)
+    return inside(cold, keys).unionByName(out)
+
+
 def rolling(df: DataFrame, time_col: str, length: str | int, partition_by,
-            aggs: dict[str, Column], strategy: str = "auto") -> DataFrame:
-    """Trailing range ``[t - length, t]`` at each event of the key."""
+            aggs: dict[str, Column] | None = None, totals: dict[str, Column] | None = None,
+            strategy: str = "auto") -> DataFrame:
+    """Trailing range ``[t - length, t]`` at each event of the key.
+
+    ``totals``: sums of columns over the range (``F.lit(1)`` counts; NULLs count
+    as 0).  Each event enters the sum at its time and leaves it ``length``
+    later, so one running total gives every range, in time linear in the rows
+    however wide the range is; exact for integers and decimals, and rounded
+    as sums of doubles are.  ``aggs``: any other aggregates, by a sliding
+    frame, whose time grows with the rows in the range.
+    """
     lim = duration_micros(length)
+    keys = _as_list(partition_by)
+    out = df
+    if totals:
+        t = time_number(time_col, df)
+        rows = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        vals = {f"_v{i}": F.coalesce(v, F.lit(0)) for i, v in enumerate(totals.values())}
+        # an event leaves after the events of the time it was still in the range of
+        steps = F.array(F.struct(t.alias("t"), F.lit(0).alias("left"), *[v.alias(n) for n, v in vals.items()]),
+                        F.struct((t + lim).alias("t"), F.lit(1).alias("left"), *[(-v).alias(n) for n, v in vals.items()]))
+        both = df.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], rows.alias("_in"), F.explode(steps).alias("_s"))
+        both = both.select(*[f"_k{i}" for i in range(len(keys))], "_s.*", F.when(F.col("_s.left") == 0, F.col("_in")).alias("_in"))
+        both = _running_totals(both, [f"_k{i}" for i in range(len(keys))], ["t", "left"], list(vals), strategy)
+        out = both.where("left = 0").select("_in.*", *[F.col(v).alias(n) for v, n in zip(vals, totals)])
+    if not aggs:
+        return out
+    time = time_number(time_col, df)
 
     def op(d: DataFrame, part: list[str]) -> DataFrame:
-        w = Window.partitionBy(*part).orderBy(time_number(time_col, df)).rangeBetween(-lim, 0)
+        w = Window.partitionBy(*part).orderBy(F.col("_sk_t")).rangeBetween(-lim, 0)
         return d.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
 
-    return keyed_window(df, _as_list(partition_by), [time_col], op, range_behind=lim,
-                        strategy=strategy)
+    return keyed_window(out.withColumn("_sk_t", time), keys, ["_sk_t"], op, range_behind=max(lim, 1),
+                        time=F.col("_sk_t"), strategy=strategy).select(*out.columns, *aggs)
 
 
 def cascading(df: DataFrame, time_col: str, fine: str, coarse: str,

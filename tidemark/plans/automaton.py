@@ -24,6 +24,7 @@ after an event has been taken.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -36,6 +37,10 @@ from tidemark.functions.pattern import (
 INCOMPLETE, SUCCESS, FAILURE, AMBIGUOUS = 0, 1, 2, 3
 STATUS_NAMES = ("INCOMPLETE", "SUCCESS", "FAILURE", "AMBIGUOUS")
 START = 0
+#: Next steps of one state whose combinations are all walked (4,096 of them).
+MAX_COMBINED = 12
+#: Distinct predicates of a pattern: one bit each of a long.
+MAX_PREDICATES = 63
 
 
 @dataclass
@@ -92,6 +97,8 @@ class StepTable:
     def _pred(self, c: Column) -> int:
         key = str(c)
         if key not in self._pred_keys:
+            if len(self.predicates) == MAX_PREDICATES:
+                raise ValueError(f"a pattern has at most {MAX_PREDICATES} distinct predicates")
             self._pred_keys[key] = len(self.predicates)
             self.predicates.append(c)
         return self._pred_keys[key]
@@ -165,10 +172,6 @@ class StepTable:
         return out.cast("byte" if k <= 7 else "short" if k <= 15 else "int" if k <= 31
                         else "long")
 
-    @property
-    def n_symbols(self) -> int:
-        return 1 << len(self.predicates)
-
     # -- table ------------------------------------------------------------
     def _expected_of(self, st) -> str | None:
         names = sorted({self.positions[q].name for p, _ in st for q in self.follow[p]})
@@ -234,16 +237,35 @@ class StepTable:
         self._open[key] = hit
         return hit
 
-    def complete_open(self, symbols=None) -> int:
-        """Build every state reachable by ``advance`` (no restarts)."""
-        syms = range(self.n_symbols) if symbols is None else list(symbols)
+    def _complete(self, step: Callable[[int, int], object], present: Callable[[], list[int]]) -> int:
+        """Number every state that ``step`` reaches, before the table is shipped.
+
+        Where a state leads depends only on the predicates of the steps that may
+        come next, so its combinations of those stand for all symbols; only
+        a state with very many is walked by the symbols ``present`` in the data.
+        """
+        syms = None
         i = 0
         while i < len(self.states):
-            for y in syms:
-                self.advance(i, y)
+            bits = sorted({self._bit[q] for p, _ in self.states[i] for q in self.follow[p]} - {0})
+            if len(bits) <= MAX_COMBINED:
+                for r in range(1 << len(bits)):
+                    step(i, sum(b for k, b in enumerate(bits) if r >> k & 1))
+            else:
+                syms = present() if syms is None else syms
+                for y in syms:
+                    step(i, y)
             i += 1
         return len(self.states)
 
+    def complete_open(self, present: Callable[[], list[int]]) -> int:
+        """Number every state reachable by ``advance`` (no restarts)."""
+        return self._complete(self.advance, present)
+
+    def complete_all(self, present: Callable[[], list[int]]) -> int:
+        """Number every state reachable by ``move``."""
+        return self._complete(self.move, present)
+
     def state_key(self, s: int) -> str:
         """Process-independent name of a state (ids are built lazily per
         process, so only this form may be stored outside one process)."""
@@ -279,38 +301,10 @@ class StepTable:
             m |= self._bit[q]
         return m
 
-    def complete_all(self, symbols=None) -> int:
-        """Build every reachable state over ``symbols`` (default: all)."""
-        syms = range(self.n_symbols) if symbols is None else list(symbols)
-        i = 0
-        while i < len(self.states):
-            for y in syms:
-                self.move(i, y)
-            i += 1
-        return len(self.states)
-
-    def symbols_in(self, df, limit: int = 4096):
-        """Symbols to complete the table over before it is shipped: all of
-        them when there are few predicates, else those present in ``df``'s
-        ``_sym`` column (one distinct aggregate; at most ``limit`` come back,
-        None when there are more)."""
-        if self.n_symbols <= limit:
-            return range(self.n_symbols)
-        got = df.select("_sym").distinct().limit(limit + 1).collect()
-        if len(got) > limit:
-            return None
-        return sorted(int(r[0]) for r in got)
-
-    def dense(self, symbols=None):
-        """Full next-state matrix (states x symbols) for block scans."""
-        import numpy as np
-
-        self.complete_all(symbols)
-        nxt = np.zeros((len(self.states), self.n_symbols), dtype=np.int32)
-        for s in range(len(self.states)):
-            for y in range(self.n_symbols):
-                nxt[s, y] = self.move(s, y)[0]
-        return nxt
+    def symbols_in(self, df) -> list[int]:
+        """The symbols in ``df``'s ``_sym`` column: one distinct aggregate, one row
+        per combination of predicates that holds together."""
+        return sorted(int(r[0]) for r in df.select("_sym").distinct().collect())
 
 
 def _branch_name(p: Pattern) -> str:

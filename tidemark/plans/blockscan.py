@@ -2,7 +2,7 @@
 
 A key with a large share of all rows must not be matched in one task.
 Such keys are cut into ordered blocks of about ``tidemark.blockRows``
-rows by value ranges of the first order column, and:
+rows (``tidemark.plans.skew``), and:
 
 1. pass 1 walks every block once, for *every* start state of the step
    table at the same time (walks that meet in the start state merge, so
@@ -13,15 +13,10 @@ rows by value ranges of the first order column, and:
 3. pass 2 walks each block again from its known start and emits exact
    rows.
 
-Cold keys take the plain one-shuffle sorted pass.  Hot keys are found by
-one aggregate (partial aggregation map-side; the result holds at most
-``rows / tidemark.hotKeyRows`` keys, so its size is bounded before it is
-brought to the driver and broadcast).
+Cold keys take the plain one-shuffle sorted pass.
 
-Pass 1 and pass 2 partition the same DataFrame by ``(key, block)``, so
-Spark reuses that exchange; the block table joined in pass 2 is broadcast
-only when its row count — known exactly from the hot-key statistics — is
-below ``tidemark.broadcastBlocks``.
+Pass 1 and pass 2 partition the same stored rows by ``(key, block)``, so
+Spark reuses that exchange.
 
 Published idea: data-parallel finite-state machines (Mytkowicz, Musuvathi
 and Schulte, ASPLOS 2014).
@@ -39,16 +34,13 @@ from pyspark.sql import types as T
 
 from tidemark.plans.automaton import FAILURE, START, SUCCESS
 from tidemark.plans.frames import apply_frames, map_frames, records
-from tidemark.plans.skew import HotKeys, conf_int, order_number
-
-DEFAULT_BROADCAST_BLOCKS = 200_000
+from tidemark.plans.skew import HotKeys, broadcast_blocks
 
 
 def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         cap_cols=(), strategy: str = "auto") -> DataFrame:
     from tidemark.operators import matcher as M
 
-    spark = prep.df.sparkSession
     keys, orders = prep.keys, prep.orders
     table = prep.table
 
@@ -67,21 +59,19 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
                                timeout=prep.timeout)
         return map_frames(part, fn, schema)
 
-    onum = order_number(prep.df, orders[0])
-    if strategy == "plain" or onum is None:
-        return plain(prep.df)
-    hk = HotKeys(prep.src, keys, onum, force=strategy == "block")
-    if not hk or hk.too_many:
-        # no hot key, or so many that each is one of many: spread by key
+    if strategy == "plain":
         return plain(prep.df)
-    symbols = table.symbols_in(prep.df)
-    if symbols is None:
-        return plain(prep.df)  # more distinct symbols than a table can hold
-    n_blocks = hk.n_blocks
-    cold, hot_part = hk.split(prep.df)
-    hot_part = hot_part.withColumnRenamed("_sk_blk", "_blk").drop("_sk_lo", "_sk_w")
-    if not keys:
-        cold = None
+    if "_sk_blk" in prep.df.columns:  # rows already cut into blocks
+        cold, hot_part, n_blocks = None, prep.df, prep.n_blocks
+    else:
+        hk = HotKeys(prep.src, keys, orders, force=strategy == "block")
+        if not hk:
+            return plain(prep.df)
+        n_blocks = hk.n_blocks
+        cold, hot_part = hk.split(prep.df)
+        cold = cold if keys else None
+    table.complete_all(lambda: table.symbols_in(hot_part))
+    hot_part = hot_part.withColumnRenamed("_sk_blk", "_blk")
 
     part = hot_part.repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", *orders)
 
@@ -99,7 +89,6 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
     ] + [T.StructField(f"s{j}", prep.field[o].dataType) for j, o in enumerate(orders)] \
       + [T.StructField(f"c{j}", prep.field[c].dataType) for j, (_, c) in enumerate(cap_cols)] \
       + [T.StructField(f"g{j}", T.BooleanType()) for j in range(len(cap_cols))]
-    table.complete_all(symbols)
     summary = map_frames(
         part, _summary_kernel(table, keys, orders, prep.captures, list(cap_cols), prep.timeout),
         T.StructType(sum_fields))
@@ -118,8 +107,7 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
     group = keys if keys else [F.lit(0).alias("_all")]
     markers = apply_frames(
         summary.groupBy(*group), _compose(keys, len(orders), len(cap_cols), prep.timeout), T.StructType(mark_fields))
-    if n_blocks <= conf_int(spark, "broadcastBlocks", DEFAULT_BROADCAST_BLOCKS):
-        markers = F.broadcast(markers)
+    markers = broadcast_blocks(markers, n_blocks)
 
     # pass 2: walk each block from its known start
     cond = [part[c].eqNullSafe(markers[c]) for c in keys + ["_blk"]]

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.frames import apply_frames, map_frames, records
+from tidemark.plans.skew import broadcast_blocks
 
 OPEN, CLOSE = 1, 2
 
@@ -240,8 +241,7 @@ def run(src: DataFrame, hot: DataFrame, keys, orders, fields, schema, n_blocks:
         + [T.StructField(f"_m_s{j}", src.schema[o].dataType) for j, o in enumerate(orders)])
     group = keys if keys else [F.lit(0).alias("_all")]
     markers = apply_frames(summary.groupBy(*group), compose(keys, no), mark_schema)
-    if n_blocks <= 200_000:
-        markers = F.broadcast(markers)
+    markers = broadcast_blocks(markers, n_blocks)
     cond = [blocks[c].eqNullSafe(markers[c]) for c in part]
     walked = (blocks.join(markers, cond, "inner")
               .select(*[blocks[c] for c in blocks.columns],

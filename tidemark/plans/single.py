@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.pattern import Pattern
 from tidemark.plans.automaton import START, StepTable
-from tidemark.plans.skew import keyed_window
+from tidemark.plans.skew import HotKeys, keyed_window
 
 
 def single_event_positions(pattern: Pattern, table: StepTable) -> list[int] | None:
@@ -64,12 +64,7 @@ def _raw_filter(table: StepTable, pos: list[int]) -> Column:
 
 def _source_layout(prep, strategy: str):
     """Hot-key layout of the unfiltered input (cached across queries)."""
-    from tidemark.plans.skew import HotKeys, order_number
-
-    onum = order_number(prep.src, prep.orders[0])
-    if strategy != "auto" or onum is None:
-        return None
-    return HotKeys(prep.src, prep.keys, onum)  # same probe as the block scan: cached
+    return HotKeys(prep.src, prep.keys, prep.orders) if strategy == "auto" else None  # cached probe
 
 
 def cut(prep, pos: list[int], cap_cols, schema: T.StructType, strategy: str) -> DataFrame:
