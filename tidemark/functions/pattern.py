@@ -20,7 +20,7 @@ Combinators (the user surface):
     a.repeated()               zero or more a
     a.one_or_more()            one or more a
     a.named(branch)            name a top-level branch (reported as ``alt``)
-    a.map(fn), a.as_(v)        the match's ``result`` column (O9, O10)
+    a.map(fn), a.as_(v)        a part's value; the match's is ``result`` (O9, O10)
 """
 
 from __future__ import annotations
@@ -67,12 +67,13 @@ class Pattern:
         return Named(self, branch)
 
     def map(self, fn) -> "Pattern":
-        """The match's ``result`` is ``fn(captures)``, a Column built from
-        the captured columns (``captures[step][column]``)."""
+        """This part's value is ``fn(captures)``, a Column built from the
+        captured columns (``captures[step][column]``) and from the value of
+        what is mapped (``captures.value``: maps of maps, branches)."""
         return Mapped(self, fn)
 
     def as_(self, value: Any) -> "Pattern":
-        """The match's ``result`` is the constant ``value``."""
+        """This part's value is the constant ``value``."""
         return Mapped(self, lambda _caps: F.lit(value))
 
     # -- introspection ----------------------------------------------------
@@ -88,13 +89,15 @@ class Step(Pattern):
 
     ``name`` labels the step in ``fail_expected`` and in captures.
     ``column``/``value`` are set for literal steps, so the matcher can show
-    the offending value of a failed event by default.
+    the offending value of a failed event by default.  ``project`` holds
+    columns computed on the event taken as this step (O2).
     """
 
     name: str
     predicate: Column | None  # None = never matches (O4)
     column: str | None = None
     value: Any = None
+    project: tuple[tuple[str, Column], ...] = ()
 
 
 @dataclass(frozen=True, eq=False)
@@ -161,11 +164,65 @@ def _collect_steps(p: Pattern, out: list) -> None:
         _collect_steps(p.body, out)
 
 
+# -- values -------------------------------------------------------------------
+
+class Captures(dict):
+    """``captures[step][column]``, and in ``value`` the value of the mapped part."""
+
+    value: Column | None = None
+
+
+def has_value(p: Pattern) -> bool:
+    """Does a match of ``p`` give a value (a map, a constant, ``completed(v)``)?"""
+    if isinstance(p, Mapped):
+        return True
+    if isinstance(p, Empty):
+        return p.value is not None
+    if isinstance(p, Seq):
+        return any(has_value(q) for q in p.parts)
+    if isinstance(p, Alt):
+        return any(has_value(q) for q in p.branches)
+    return isinstance(p, (Rep, Named)) and has_value(p.body)
+
+
+def value_column(p: Pattern, captures: dict, taken) -> Column:
+    """The value of a match of ``p``.
+
+    A sequence's value is that of its one part that has one, or a struct
+    ``_1, _2, ...`` of several; an alternation's is that of the branch taken
+    (``taken(node, branch)``, a Column), a repeated part's that of its last
+    round, NULL without one.
+    """
+    if isinstance(p, Mapped):
+        caps = Captures(captures)
+        caps.value = value_column(p.body, captures, taken)
+        return p.fn(caps)
+    if isinstance(p, Named):
+        return value_column(p.body, captures, taken)
+    if isinstance(p, Empty):
+        return F.lit(p.value)
+    if isinstance(p, Seq):
+        got = [value_column(q, captures, taken) for q in p.parts if has_value(q)]
+        if len(got) > 1:
+            return F.struct(*[v.alias(f"_{i}") for i, v in enumerate(got, 1)])
+        return got[0] if got else F.lit(None)
+    if isinstance(p, (Alt, Rep)) and has_value(p):
+        parts = p.branches if isinstance(p, Alt) else (p.body,)
+        out = next((value_column(q, captures, taken) for q in parts if not q.steps()), F.lit(None))
+        for i in reversed(range(len(parts))):
+            if parts[i].steps():
+                out = F.when(taken(p, i), value_column(parts[i], captures, taken)).otherwise(out)
+        return out
+    return F.lit(None)
+
+
 # -- constructors -----------------------------------------------------------
 
-def step(name: str, predicate: Column) -> Step:
-    """One event for which ``predicate`` holds (NULL counts as false)."""
-    return Step(name, predicate)
+def step(name: str, predicate: Column, **project: Column) -> Step:
+    """One event for which ``predicate`` holds (NULL counts as false).  Each
+    ``project`` column is computed on that event and captured under its name,
+    as ``captures[name][...]`` and as the column ``<name>_<...>`` (O2)."""
+    return Step(name, predicate, project=tuple(project.items()))
 
 
 def lit(column: str, value: Any, name: str | None = None) -> Step:

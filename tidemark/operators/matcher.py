@@ -16,6 +16,7 @@ matched with the two-pass block scan of ``tidemark.plans.blockscan``.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
@@ -25,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.pattern import Pattern
+from tidemark.functions.pattern import Captures, Pattern, has_value, value_column
 from tidemark.plans.automaton import (
     AMBIGUOUS, FAILURE, INCOMPLETE, START, STATUS_NAMES, SUCCESS, StepTable,
 )
+from tidemark.plans.captures import NONE, Capture, Registers, Tracker
 from tidemark.plans.frames import apply_frames, map_frames, records
 
 STATUS_FIELDS = [
@@ -76,7 +78,9 @@ class _Prepared:
         self.orders = _as_list(order_by)
         if not self.orders:
             raise ValueError("order_by is required: a match needs a total order")
+        #: columns to capture, then the steps' own
         self.captures = list(captures)
+        own = {} if want_show else {(s.name, n): c for s in pattern.steps() for n, c in s.project}
         self.carry = [c for c in carry if c not in self.keys + self.orders]
         if where_key is not None:
             df = df.filter(where_key)  # safe: a key filter never changes adjacency
@@ -89,8 +93,23 @@ class _Prepared:
         sel.append(self.table.symbol_column().alias("_sym"))
         if self.has_show:
             sel.append(show.cast("string").alias("_show"))
-        for i, c in enumerate(self.captures):
-            sel.append(F.col(c).alias(f"_cap{i}"))
+        exprs = [F.col(c) for c in self.captures] + list(own.values())
+        for i, c in enumerate(exprs):
+            sel.append(c.alias(f"_cap{i}"))
+        self.exprs = exprs
+        kept: dict[str, set[int]] = {}
+        for q, p in enumerate(self.table.positions):
+            if p.keep:
+                kept.setdefault(p.name, set()).add(q)
+        self.caps: list[Capture] = []
+        for name in sorted(kept):
+            at = frozenset(kept[name])
+            self.caps += [Capture(f"{name}_{c}", i, at) for i, c in enumerate(self.captures)]
+            self.caps += [Capture(f"{name}_{n}", len(self.captures) + i, at)
+                          for i, (s, n) in enumerate(own) if s == name]
+        #: captures[step][column], as value functions see them
+        self.named = {name: {c: F.col(f"{name}_{c}") for c in [*self.captures, *[n for s, n in own if s == name]]}
+                      for name in kept}
         if self.timeout is not None:
             sel.append(time_number(time_col, df).alias("_t"))
         #: rows that come cut into blocks keep them
@@ -191,31 +210,32 @@ def _next_candidate(cand: np.ndarray) -> list[int]:
 def _norm(v):
     if v is None or (isinstance(v, float) and np.isnan(v)):
         return None
-    return v.item() if hasattr(v, "item") else v
+    return v.item() if isinstance(v, np.generic) else v
 
 
 class _Carry:
     """Walk state of one key (or block of a key) between rows and batches."""
 
-    __slots__ = ("key", "state", "attempt", "match_no", "steps", "start", "caps", "last",
+    __slots__ = ("key", "state", "attempt", "match_no", "steps", "start", "paths", "last",
                  "last_t")
 
-    def __init__(self, key, n_caps: int):
+    def __init__(self, key):
         self.key = key
         self.state, self.attempt, self.match_no, self.steps = START, 0, 0, 0
         self.start: tuple = ()
-        self.caps: list = [None] * n_caps
+        self.paths: list[Registers] = NONE
         self.last = True  # last block of its key: emits the end row
         self.last_t = None  # time of the previous event (timeouts)
 
-    def load_marker(self, pdf: pd.DataFrame, i: int, n_orders: int, n_caps: int):
+    def load_marker(self, pdf: pd.DataFrame, i: int, n_orders: int):
         self.state = int(pdf["_m_state"].iat[i])
         self.attempt = int(pdf["_m_att"].iat[i])
         self.match_no = int(pdf["_m_match"].iat[i])
         self.steps = int(pdf["_m_steps"].iat[i])
         self.last = bool(pdf["_m_last"].iat[i])
         self.start = tuple(_norm(pdf[f"_m_s{j}"].iat[i]) for j in range(n_orders))
-        self.caps = [_norm(pdf[f"_m_c{j}"].iat[i]) for j in range(n_caps)]
+        if pdf["_m_paths"].iat[i] is not None:
+            self.paths = pickle.loads(pdf["_m_paths"].iat[i])
         if "_m_t" in pdf.columns:
             self.last_t = _norm(pdf["_m_t"].iat[i])
 
@@ -274,9 +294,9 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
                     if carry is not None and carry.last and final != "none":
                         ends.append((carry.key, end_row(carry)))
                     gprev = tuple(_norm(c[i]) for c in gcols)
-                    carry = _Carry(gprev[:nk], 0)
+                    carry = _Carry(gprev[:nk])
                     if blocks:
-                        carry.load_marker(pdf, i, 0, 0)
+                        carry.load_marker(pdf, i, 0)
                 state = carry.state
                 if tt is not None:
                     if state != START and carry.last_t is not None \
@@ -365,58 +385,78 @@ def match_cut(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     Output: key columns, ``match_no`` (1-based per key), ``start_<o>`` and
     ``end_<o>`` for each order column, ``n_events``, ``alt``, and for every
     kept step name ``s`` and captured column ``c`` a column ``s_c``: the
-    value of ``c`` at the event taken as step ``s`` (the last one, if the
-    step repeats).  ``result`` maps the capture columns (dict name->Column)
-    to a ``result`` column (O9 map, O10 constant).  ``timeout``: as in
-    ``match_events`` (P13).
+    value of ``c`` at the event taken as step ``s`` on the path that matched
+    (the last one, if the step repeats; ``match_lists`` gives all), also for
+    the columns of ``step(..., c=...)``.  A pattern with values (``map``,
+    ``as_``, ``completed(v)``) gives a ``result`` column
+    (``value_column``); ``result`` maps the captures to it instead.
+    ``timeout``: as in ``match_events`` (P13).
     """
-    from tidemark.functions.pattern import Mapped
-
-    if result is None and isinstance(pattern, Mapped):
-        result = pattern.fn
     prep = _Prepared(df, pattern, partition_by, order_by, None, capture, where_key,
                      on_ambiguity, (), time_col, timeout, want_show=False)
     table = prep.table
-    kept = sorted({p.name for p in table.positions[1:] if p.keep})
     fields = [prep.field[c] for c in prep.keys] + [T.StructField("match_no", T.LongType())]
     for pre in ("start_", "end_"):
         for o in prep.orders:
             fields.append(T.StructField(pre + o, prep.field[o].dataType))
     fields += [T.StructField("n_events", T.LongType()), T.StructField("alt", T.StringType())]
-    cap_cols = []
-    for s_ in kept:
-        for c in prep.captures:
-            fields.append(T.StructField(f"{s_}_{c}", prep.field[c].dataType))
-            cap_cols.append((s_, c))
+    fields += [T.StructField(c.name, prep.df.schema[f"_cap{c.index}"].dataType) for c in prep.caps]
+    tracked = Tracker(table, prep.caps)
+    flagged = result is None and has_value(pattern)
+    if flagged:
+        fields.append(T.StructField("_flags", T.LongType()))
     schema = T.StructType(fields)
     from tidemark.plans import single
     pos = single.single_event_positions(pattern, table) if strategy != "plain" else None
     if pos is not None:
-        out = single.cut(prep, pos, cap_cols, schema, strategy)
+        out = single.cut(prep, pos, schema, strategy)
     elif strategy in ("auto", "block"):
         from tidemark.plans import blockscan
-        out = blockscan.run(prep, "cut", schema, cap_cols=cap_cols, strategy=strategy)
+        out = blockscan.run(prep, "cut", schema, tracked=tracked, strategy=strategy)
     else:
-        fn = _cut_kernel(table, prep.keys, prep.orders, prep.captures, cap_cols,
-                         timeout=prep.timeout)
+        fn = _cut_kernel(tracked, prep.keys, prep.orders, schema.names, timeout=prep.timeout)
         out = map_frames(prep.sorted(), fn, schema)
     if result is not None:
-        caps = {s_: {c: F.col(f"{s_}_{c}") for c in prep.captures} for s_ in kept}
-        out = out.withColumn("result", result(caps))
-    return out
+        return out.withColumn("result", result(Captures(prep.named)))
+    if not flagged:
+        return out
+    value = value_column(pattern, prep.named, lambda node, i: F.col("_flags").bitwiseAND(F.lit(table.flag(node, i))) != 0)
+    return out.withColumn("result", value).drop("_flags")
+
+
+def match_lists(df: DataFrame, pattern: Pattern, partition_by, order_by, columns: Sequence[str], *,
+                on_ambiguity: str = "reference", where_key: Column | None = None, strategy: str = "auto",
+                time_col: str | None = None, timeout: str | int | None = None) -> DataFrame:
+    """All events of every match (O13): key columns, ``match_no``, ``n_events`` and
+    ``events``, an array in order of structs of ``step`` (its number), ``label``
+    (step name, several where an event was shared) and ``columns``.
 
+    The status rows of one attempt are one group, so a match is gathered where
+    its events are, and a key's matches are spread over tasks.
+    """
+    keys, orders = _as_list(partition_by), _as_list(order_by)
+    cols = list(dict.fromkeys(columns))
+    ev = match_events(df, pattern, keys, orders, final="none", on_ambiguity=on_ambiguity, where_key=where_key,
+                      strategy=strategy, carry=cols, time_col=time_col, timeout=timeout)
+    row = F.struct("step", "label", *[F.col(c) for c in cols])
+    got = (ev.where(F.col("status").isin("INCOMPLETE", "SUCCESS")).groupBy(*keys, "attempt_id")
+           .agg(F.sort_array(F.collect_list(row)).alias("events"),
+                F.bool_or(F.col("status") == "SUCCESS").alias("_done")).where("_done"))
+    from tidemark.plans.skew import keyed_window
+
+    numbered = keyed_window(got, keys, ["attempt_id"], lambda d, part: d, row_number=True, strategy=strategy)
+    return numbered.select(*keys, F.col("_rn").alias("match_no"), F.size("events").cast("long").alias("n_events"), "events")
 
-def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool = False,
+
+def _cut_kernel(tracked: Tracker, keys, orders, names, blocks: bool = False,
                 timeout: int | None = None):
+    table = tracked.table
     branch_names = table.branch_names
     top_alt = table.top_is_alt
-    labels = table.labels
-    cap_by_label: dict[str, list[tuple[int, int]]] = {}
-    for j, (s_, c) in enumerate(cap_cols):
-        cap_by_label.setdefault(s_, []).append((j, captures.index(c)))
     first_mask = table.first_mask()
     gkeys = keys + (["_blk"] if blocks else [])
-    nk, no, nc = len(keys), len(orders), len(cap_cols)
+    nk, no, nc = len(keys), len(orders), tracked.n
+    cap_names = names[nk + 1 + 2 * no + 2:]  # captures, then flags
 
     def kernel(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry: _Carry | None = None
@@ -435,7 +475,7 @@ def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool
             # order and capture values are read only where a match starts or
             # ends: no per-row Python objects for them
             ocols = [pdf[o].to_numpy() for o in orders]
-            ccols = [pdf[f"_cap{i}"].to_numpy() for i in range(len(captures))]
+            ccols = _captured(pdf)
             tt = pdf["_t"].tolist() if timeout is not None else None
             newk_l = newk.tolist()
             mkeys: list[tuple] = []
@@ -444,14 +484,14 @@ def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool
             mends: list[int] = []
             msteps: list[int] = []
             malts: list = []
-            mcaps: list[tuple] = []
+            mcaps: list[Registers] = []
             i = 0
             while i < n:
                 if newk_l[i]:
                     gprev = tuple(_norm(c[i]) for c in gcols)
-                    carry = _Carry(gprev[:nk], nc)
+                    carry = _Carry(gprev[:nk])
                     if blocks:
-                        carry.load_marker(pdf, i, no, nc)
+                        carry.load_marker(pdf, i, no)
                 state = carry.state
                 if tt is not None:
                     if state != START and carry.last_t is not None \
@@ -465,14 +505,11 @@ def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool
                         continue
                     carry.steps = 0
                     carry.start = tuple(c[i] for c in ocols)
-                    if nc:
-                        carry.caps = [None] * nc
+                    carry.paths = NONE
                 carry.steps += 1
-                nxt, code, br, lab = table.move(state, sym[i])
-                if nc and code != FAILURE:
-                    for name in _names(labels[lab]):
-                        for j, ci in cap_by_label.get(name, ()):
-                            carry.caps[j] = ccols[ci][i]
+                nxt, code, br, _ = table.move(state, sym[i])
+                if tracked.on and (code == INCOMPLETE or code == SUCCESS):
+                    carry.paths = tracked.step(state, sym[i], carry.paths, ccols, i)
                 if code == SUCCESS:
                     carry.match_no += 1
                     mkeys.append(carry.key)
@@ -481,8 +518,8 @@ def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool
                     mends.append(i)
                     msteps.append(carry.steps)
                     malts.append(branch_names[br] if top_alt else None)
-                    if nc:
-                        mcaps.append(tuple(carry.caps))
+                    if cap_names:
+                        mcaps.append(carry.paths[0])
                 carry.state = nxt
                 i += 1
             if mnos:
@@ -497,18 +534,16 @@ def _cut_kernel(table: StepTable, keys, orders, captures, cap_cols, blocks: bool
                     out[f"end_{o}"] = ocols[j][idx]
                 out["n_events"] = np.asarray(msteps, dtype=np.int64)
                 out["alt"] = malts
-                for j, (s_, c) in enumerate(cap_cols):
-                    out[f"{s_}_{c}"] = _series([mc[j] for mc in mcaps],
-                                               pdf[f"_cap{captures.index(c)}"].dtype)
+                for j, c in enumerate(cap_names):
+                    got = [m.values.get(j) if j < nc else m.flags for m in mcaps]
+                    out[c] = pd.Series([_norm(v) for v in got], dtype=object)
                 yield pd.DataFrame(out)
 
     return kernel
 
 
-def _names(label: str | None):
-    if label is None:
-        return ()
-    return (label,) if "|" not in label else ()
+def _captured(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [pdf[c].to_numpy() for c in pdf.columns if c.startswith("_cap")]
 
 
 # ---------------------------------------------------------------------------
@@ -753,6 +788,6 @@ def failure_summary(events: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "match_events", "match_cut", "match_chain", "match_whole", "successes",
+    "match_events", "match_cut", "match_lists", "match_chain", "match_whole", "successes",
     "failures", "failure_summary", "AMBIGUOUS", "INCOMPLETE",
 ]

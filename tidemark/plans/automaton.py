@@ -31,7 +31,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.pattern import (
-    Alt, Drop, Empty, Mapped, Named, Pattern, Rep, Seq, Step,
+    Alt, Drop, Empty, Mapped, Named, Pattern, Rep, Seq, Step, has_value,
 )
 
 INCOMPLETE, SUCCESS, FAILURE, AMBIGUOUS = 0, 1, 2, 3
@@ -49,6 +49,9 @@ class _Pos:
     pred: int  # index into predicates, -1 = never matches
     branch: int  # top-level branch index
     keep: bool  # captures kept (False under Drop)
+    project: tuple[str, ...] = ()  # names of the step's own columns
+    took: int = 0  # flags of the choices an event here takes
+    left: int = 0  # flags of the other branches of those choices
 
 
 class StepTable:
@@ -64,16 +67,21 @@ class StepTable:
         self.follow: list[set[int]] = [set()]
         self.branch_names: list[str] = []
 
-        while isinstance(pattern, Mapped):
-            pattern = pattern.body
-        top = pattern.body if isinstance(pattern, Named) else pattern
+        #: (choice, branch) -> flag; kept for choices that decide a value
+        self._flags: dict[tuple[int, int], int] = {}
+        self._rounds: list[Rep] = []
+        self._chosen: list[tuple[int, int]] = [(0, 0)]  # (took, left) around the part being built
+        top = pattern
+        while isinstance(top, (Mapped, Named)):
+            top = top.body
         branches = top.branches if isinstance(top, Alt) else (pattern,)
         first: set[int] = set()
         last: set[int] = set()
         nullable = False
         for b, br in enumerate(branches):
             self.branch_names.append(_branch_name(br))
-            n, f, l = self._build(br, b, True)
+            choice = top if isinstance(top, Alt) and has_value(top) else None
+            n, f, l = self._build_branch(choice, b, br, b, True)
             nullable |= n
             first |= f
             last |= l
@@ -92,6 +100,7 @@ class StepTable:
         self._label_ids: dict[str | None, int] = {None: 0}
         self._expected: list[str | None] = [self._expected_of(self.states[0])]
         self._open: dict[tuple[int, int], int] = {}
+        self._sources: dict[tuple[int, int], tuple] = {}
 
     # -- construction -----------------------------------------------------
     def _pred(self, c: Column) -> int:
@@ -105,10 +114,32 @@ class StepTable:
 
     def _new_pos(self, s: Step, branch: int, keep: bool) -> int:
         pred = -1 if s.predicate is None else self._pred(s.predicate)
-        self.positions.append(_Pos(s.name, pred, branch, keep))
+        took, left = self._chosen[-1]
+        self.positions.append(_Pos(s.name, pred, branch, keep, tuple(n for n, _ in s.project), took, left))
         self.follow.append(set())
         return len(self.positions) - 1
 
+    def flag(self, choice: Pattern, i: int) -> int:
+        """The bit that tells that branch ``i`` of a choice was taken."""
+        k = (id(choice), i)
+        if k not in self._flags:
+            if len(self._flags) == MAX_PREDICATES:
+                raise ValueError(f"at most {MAX_PREDICATES} branches may decide a value")
+            self._flags[k] = 1 << len(self._flags)
+        return self._flags[k]
+
+    def _build_branch(self, choice: Pattern | None, i: int, p: Pattern, branch: int, keep: bool):
+        """Build branch ``i`` of ``choice`` (None: it decides no value)."""
+        if choice is None or not keep:
+            return self._build(p, branch, keep)
+        took, left = self._chosen[-1]
+        n = len(choice.branches) if isinstance(choice, Alt) else 1
+        others = sum(self.flag(choice, j) for j in range(n) if j != i)
+        self._chosen.append((took | self.flag(choice, i), left | others))
+        out = self._build(p, branch, keep)
+        self._chosen.pop()
+        return out
+
     def _build(self, p: Pattern, branch: int, keep: bool):
         """Return (nullable, first, last); fills ``self.follow``."""
         if isinstance(p, Step):
@@ -122,39 +153,46 @@ class StepTable:
             return self._build(p.body, branch, False)
         if isinstance(p, Alt):
             n, f, l = False, set(), set()
-            for q in p.branches:
-                qn, qf, ql = self._build(q, branch, keep)
+            for i, q in enumerate(p.branches):
+                qn, qf, ql = self._build_branch(p if has_value(p) else None, i, q, branch, keep)
                 n, f, l = n or qn, f | qf, l | ql
             return n, f, l
         if isinstance(p, Seq):
-            n, f, l = True, set(), set()
-            for q in p.parts:
-                qn, qf, ql = self._build(q, branch, keep)
-                for x in l:
-                    self.follow[x] |= qf
-                f = f | qf if n else f
-                l = (l | ql) if qn else ql
-                n = n and qn
-            return n, f, l
+            return self._sequence([(q, False) for q in p.parts], branch, keep)
+        if isinstance(p, Rep) and has_value(p) and keep and not self._within(p):
+            self._rounds.append(p)
+            out = self._build_branch(p, 0, p, branch, keep)
+            self._rounds.pop()
+            return out
         if isinstance(p, Rep):
             # unfold: body{min} then (body?){max-min} or body*
-            parts: list[Pattern] = [p.body] * p.min
             if p.max is None:
                 star_n, star_f, star_l = self._build(p.body, branch, keep)
                 for x in star_l:
                     self.follow[x] |= star_f
-                n, f, l = self._build(Seq(tuple(parts)), branch, keep) if parts \
-                    else (True, set(), set())
+                n, f, l = self._sequence([(p.body, False)] * p.min, branch, keep)
                 for x in l:
                     self.follow[x] |= star_f
                 return n, (f | star_f) if n else f, l | star_l
-            opt = max(p.max - p.min, 0)
-            seq_parts = parts + [Alt((p.body, Empty()))] * opt
-            if not seq_parts:
-                return True, set(), set()
-            return self._build(Seq(tuple(seq_parts)), branch, keep)
+            return self._sequence([(p.body, False)] * p.min + [(p.body, True)] * (p.max - p.min), branch, keep)
         raise TypeError(f"not a pattern: {p!r}")
 
+    def _sequence(self, parts: list[tuple[Pattern, bool]], branch: int, keep: bool):
+        """Parts one after another; those marked may be left out."""
+        n, f, l = True, set(), set()
+        for q, optional in parts:
+            qn, qf, ql = self._build(q, branch, keep)
+            qn = qn or optional
+            for x in l:
+                self.follow[x] |= qf
+            f = f | qf if n else f
+            l = (l | ql) if qn else ql
+            n = n and qn
+        return n, f, l
+
+    def _within(self, p: Rep) -> bool:
+        return bool(self._rounds) and self._rounds[-1] is p
+
     # -- symbols ----------------------------------------------------------
     def symbol_column(self) -> Column:
         """Bit set of satisfied predicates; NULL predicates count as false."""
@@ -221,6 +259,24 @@ class StepTable:
         row[sym] = hit
         return hit
 
+    def sources(self, s: int, sym: int) -> tuple[tuple[int, int], ...]:
+        """Where paths come from: (position, index in ``states[s]`` of the path it
+        goes on) of the one that ends the match, or of every live position of
+        the next state in its order.  A match ends on one path, so each of its
+        events has one source; which of two is named for another doesn't matter."""
+        key = (s, sym)
+        hit = self._sources.get(key)
+        if hit is None:
+            new: dict[int, int] = {}
+            for i, (p, _) in enumerate(self.states[s]):
+                for q in self.follow[p]:
+                    if sym & self._bit[q]:
+                        new.setdefault(q, i)
+            if self.move(s, sym)[1] == SUCCESS:
+                new = {q: i for q, i in new.items() if q in self.last}
+            hit = self._sources[key] = tuple(sorted(new.items()))
+        return hit
+
     def advance(self, s: int, sym: int) -> int:
         """Whole-input step without restart: next state, or -1 when dead."""
         key = (s, sym)
@@ -291,10 +347,6 @@ class StepTable:
     def expected(self, s: int) -> str | None:
         return self._expected[s]
 
-    def starts_with(self, sym: int) -> bool:
-        """Can an event with this symbol begin an attempt?"""
-        return any(sym & self._bit[q] for q in self.follow[0])
-
     def first_mask(self) -> int:
         m = 0
         for q in self.follow[0]:

@@ -24,6 +24,7 @@ and Schulte, ASPLOS 2014).
 
 from __future__ import annotations
 
+import pickle
 from typing import Any
 
 import numpy as np
@@ -32,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.automaton import FAILURE, START, SUCCESS
+from tidemark.plans.automaton import INCOMPLETE, START, SUCCESS
+from tidemark.plans.captures import NONE, Tracker, joined, unknown
 from tidemark.plans.frames import apply_frames, map_frames, records
 from tidemark.plans.skew import HotKeys, broadcast_blocks
 
 
 def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
-        cap_cols=(), strategy: str = "auto") -> DataFrame:
+        tracked: Tracker | None = None, strategy: str = "auto") -> DataFrame:
     from tidemark.operators import matcher as M
 
     keys, orders = prep.keys, prep.orders
@@ -55,8 +57,7 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
             fn = M._events_kernel(table, keys, orders + prep.carry, prep.has_show, final,
                                   blocks, timeout=prep.timeout)
         else:
-            fn = M._cut_kernel(table, keys, orders, prep.captures, list(cap_cols), blocks,
-                               timeout=prep.timeout)
+            fn = M._cut_kernel(tracked, keys, orders, schema.names, blocks, timeout=prep.timeout)
         return map_frames(part, fn, schema)
 
     if strategy == "plain":
@@ -87,10 +88,10 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         T.StructField("t_first", T.LongType()),
         T.StructField("t_last", T.LongType()),
     ] + [T.StructField(f"s{j}", prep.field[o].dataType) for j, o in enumerate(orders)] \
-      + [T.StructField(f"c{j}", prep.field[c].dataType) for j, (_, c) in enumerate(cap_cols)] \
-      + [T.StructField(f"g{j}", T.BooleanType()) for j in range(len(cap_cols))]
+      + [T.StructField("paths", T.BinaryType())]  # registers, as the kernels pickle them
+    tracked = tracked or Tracker(table, [])
     summary = map_frames(
-        part, _summary_kernel(table, keys, orders, prep.captures, list(cap_cols), prep.timeout),
+        part, _summary_kernel(tracked, keys, orders, prep.timeout),
         T.StructType(sum_fields))
 
     # per-key scan over blocks
@@ -103,10 +104,10 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         T.StructField("_m_last", T.BooleanType()),
         T.StructField("_m_t", T.LongType()),
     ] + [T.StructField(f"_m_s{j}", prep.field[o].dataType) for j, o in enumerate(orders)] \
-      + [T.StructField(f"_m_c{j}", prep.field[c].dataType) for j, (_, c) in enumerate(cap_cols)]
+      + [T.StructField("_m_paths", T.BinaryType())]
     group = keys if keys else [F.lit(0).alias("_all")]
     markers = apply_frames(
-        summary.groupBy(*group), _compose(keys, len(orders), len(cap_cols), prep.timeout), T.StructType(mark_fields))
+        summary.groupBy(*group), _compose(keys, len(orders), prep.timeout), T.StructType(mark_fields))
     markers = broadcast_blocks(markers, n_blocks)
 
     # pass 2: walk each block from its known start
@@ -119,34 +120,28 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         fn = M._events_kernel(table, keys, orders + prep.carry, prep.has_show, final, True,
                               timeout=prep.timeout)
     else:
-        fn = M._cut_kernel(table, keys, orders, prep.captures, list(cap_cols), True,
-                           timeout=prep.timeout)
+        fn = M._cut_kernel(tracked, keys, orders, schema.names, True, timeout=prep.timeout)
     hot_out = map_frames(walked, fn, schema)
     if cold is None:
         return hot_out
     return plain(cold).unionByName(hot_out)
 
 
-def _summary_kernel(table, keys, orders, captures, cap_cols, timeout=None):
-    from tidemark.operators.matcher import _group_starts, _names, _norm
+def _summary_kernel(tracked, keys, orders, timeout=None):
+    from tidemark.operators.matcher import _captured, _group_starts, _norm
 
+    table = tracked.table
     gkeys = keys + ["_blk"]
     n_states = len(table.states)
-    labels = table.labels
-    nc = len(cap_cols)
-    cap_by_label: dict[str, list[tuple[int, int]]] = {}
-    for j, (s_, c) in enumerate(cap_cols):
-        cap_by_label.setdefault(s_, []).append((j, captures.index(c)))
 
     class Walk:
-        __slots__ = ("state", "att", "match", "steps", "started", "start", "caps", "got")
+        __slots__ = ("state", "att", "match", "steps", "started", "start", "paths")
 
         def __init__(self, q):
             self.state, self.att, self.match, self.steps = q, 0, 0, 0
             self.started = False
             self.start: tuple = tuple([None] * len(orders))
-            self.caps: list = [None] * nc
-            self.got = [False] * nc  # captures set in this block, be it to NULL
+            self.paths = unknown(table, q) if tracked.on else NONE
 
     def flush(gkey, walks, alias, t_first, t_last):
         out = []
@@ -154,7 +149,8 @@ def _summary_kernel(table, keys, orders, captures, cap_cols, timeout=None):
             tgt, d_att, d_match = alias[q]
             w = walks[tgt]
             out.append(gkey + (q, w.state, w.att + d_att, w.match + d_match, w.steps,
-                               w.started, t_first, t_last) + w.start + tuple(w.caps) + tuple(w.got))
+                               w.started, t_first, t_last) + w.start
+                       + (pickle.dumps(w.paths) if tracked.on else None,))
         return out
 
     def kernel(it):
@@ -170,7 +166,7 @@ def _summary_kernel(table, keys, orders, captures, cap_cols, timeout=None):
             newk, gcols = _group_starts(pdf, gkeys, gkey)
             sym = pdf["_sym"].to_numpy().tolist()
             ocols = [pdf[o].tolist() for o in orders]
-            ccols = [pdf[f"_cap{i}"].tolist() for i in range(len(captures))]
+            ccols = [c.tolist() for c in _captured(pdf)]
             tt = pdf["_t"].tolist() if timeout is not None else [None] * n
             newk_l = newk.tolist()
             rows = []
@@ -207,34 +203,30 @@ def _summary_kernel(table, keys, orders, captures, cap_cols, timeout=None):
                         w.steps = 0
                         w.started = True
                         w.start = tuple(c[i] for c in ocols)
-                        if nc:
-                            w.caps = [None] * nc
+                        w.paths = NONE
                     w.steps += 1
                     nxt, code, br, lab = table.move(w.state, y)
-                    if nc and code != FAILURE:
-                        for name in _names(labels[lab]):
-                            for j, ci in cap_by_label.get(name, ()):
-                                w.caps[j] = ccols[ci][i]
-                                w.got[j] = True
+                    if tracked.on and code == INCOMPLETE:
+                        w.paths = tracked.step(w.state, y, w.paths, ccols, i)
                     if code == SUCCESS:
                         w.match += 1
                     w.state = nxt
             if rows:
-                yield _frame(rows, keys, orders, nc)
+                yield _frame(rows, keys, orders)
         if gkey is not None:
-            yield _frame(flush(gkey, walks, alias, t_first, t_last), keys, orders, nc)
+            yield _frame(flush(gkey, walks, alias, t_first, t_last), keys, orders)
 
     return kernel
 
 
-def _frame(rows, keys, orders, nc) -> pd.DataFrame:
+def _frame(rows, keys, orders) -> pd.DataFrame:
     cols = list(keys) + ["_blk", "q", "end_q", "n_att", "n_match", "steps", "started",
                          "t_first", "t_last"] \
-        + [f"s{j}" for j in range(len(orders))] + [f"{x}{j}" for x in "cg" for j in range(nc)]
+        + [f"s{j}" for j in range(len(orders))] + ["paths"]
     return records(rows, cols)
 
 
-def _compose(keys, n_orders: int, nc: int, timeout=None):
+def _compose(keys, n_orders: int, timeout=None):
     """Per key: fold the block summaries in block order (blocks, not rows)."""
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -251,12 +243,11 @@ def _compose(keys, n_orders: int, nc: int, timeout=None):
         t_first = pdf["t_first"].to_numpy().reshape(len(uniq), n_q)[:, 0]
         t_last = pdf["t_last"].to_numpy().reshape(len(uniq), n_q)[:, 0]
         svals = [pdf[f"s{j}"].tolist() for j in range(n_orders)]
-        cvals = [pdf[f"c{j}"].tolist() for j in range(nc)]
-        gvals = [pdf[f"g{j}"].tolist() for j in range(nc)]
+        pvals = pdf["paths"].tolist()
         key = tuple(pdf[k].iloc[0] for k in keys)
         state, att, match, stp = START, 0, 0, 0
         start: tuple[Any, ...] = tuple([None] * n_orders)
-        caps: list[Any] = [None] * nc
+        paths = NONE
         out = []
         prev_t = None
         for b in uniq:
@@ -264,28 +255,28 @@ def _compose(keys, n_orders: int, nc: int, timeout=None):
             if timeout is not None and state != START and prev_t is not None \
                     and t_first[bi] - prev_t > timeout:
                 state, stp = START, 0  # the open attempt timed out at the edge
-                start, caps = tuple([None] * n_orders), [None] * nc
+                start, paths = tuple([None] * n_orders), NONE
             out.append(key + (int(b), state, att, match, stp, bi == len(uniq) - 1,
                               None if prev_t is None else int(prev_t))
-                       + start + tuple(caps))
+                       + start + (pickle.dumps(paths),))
             prev_t = t_last[bi] if timeout is not None else None
             r = bi * n_q + state
             att += int(n_att[bi, state])
             match += int(n_match[bi, state])
             nxt = int(end_q[bi, state])
             if nxt == START:
-                stp, start, caps = 0, tuple([None] * n_orders), [None] * nc
+                stp, start, paths = 0, tuple([None] * n_orders), NONE
             elif started[bi, state]:
                 stp = int(steps[bi, state])
                 start = tuple(s[r] for s in svals)
-                caps = [c[r] for c in cvals]
             else:
                 stp += int(steps[bi, state])
-                caps = [c[r] if g[r] else old for c, g, old in zip(cvals, gvals, caps)]
+            if nxt != START and pvals[r] is not None:
+                paths = joined(paths, pickle.loads(pvals[r]))
             state = nxt
         cols = list(keys) + ["_blk", "_m_state", "_m_att", "_m_match", "_m_steps",
                              "_m_last", "_m_t"] + [f"_m_s{j}" for j in range(n_orders)] \
-            + [f"_m_c{j}" for j in range(nc)]
+            + ["_m_paths"]
         return records(out, cols)
 
     return fn

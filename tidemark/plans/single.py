@@ -67,7 +67,7 @@ def _source_layout(prep, strategy: str):
     return HotKeys(prep.src, prep.keys, prep.orders) if strategy == "auto" else None  # cached probe
 
 
-def cut(prep, pos: list[int], cap_cols, schema: T.StructType, strategy: str) -> DataFrame:
+def cut(prep, pos: list[int], schema: T.StructType, strategy: str) -> DataFrame:
     table, keys, orders = prep.table, prep.keys, prep.orders
     any_ = F.lit(False)
     for i in pos:
@@ -78,12 +78,17 @@ def cut(prep, pos: list[int], cap_cols, schema: T.StructType, strategy: str) ->
             alt = F.when(_pred(table, i), F.lit(table.branch_names[table.positions[i].branch])) \
                 .otherwise(alt)
     caps = []
-    for s, c in cap_cols:
+    for c in prep.caps:
         hit = F.lit(False)
         for i in pos:
-            if table.positions[i].name == s:
+            if i in c.positions:
                 hit = hit | _pred(table, i)
-        caps.append(F.when(hit, F.col(c)).alias(f"{s}_{c}"))
+        caps.append(F.when(hit, prep.exprs[c.index]).alias(c.name))
+    if "_flags" in schema.names:
+        flags = F.lit(0)
+        for i in reversed(pos):
+            flags = F.when(_pred(table, i), F.lit(table.positions[i].took)).otherwise(flags)
+        caps.append(flags.alias("_flags"))
     matched = (prep.src.filter(_raw_filter(table, pos))
                .select(*keys, *orders, alt.alias("alt"), *caps))
     numbered = keyed_window(matched, keys, orders, lambda d, part: d, row_number=True,
@@ -93,7 +98,7 @@ def cut(prep, pos: list[int], cap_cols, schema: T.StructType, strategy: str) ->
         *[F.col(o).alias(f"start_{o}") for o in orders],
         *[F.col(o).alias(f"end_{o}") for o in orders],
         F.lit(1).cast("long").alias("n_events"), "alt",
-        *[F.col(f"{s}_{c}") for s, c in cap_cols])
+        *[F.col(c) for c in schema.names[len(schema.names) - len(caps):]])
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
