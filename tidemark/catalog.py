@@ -900,7 +900,7 @@ FROM w WHERE ok"""
 def stream_match(spark, sf):
     from tidemark.streaming.stateful import run_stream_match_cut
 
-    return _cut_cols(run_stream_match_cut(spark, sf, "events.parquet",
+    return _cut_cols(run_stream_match_cut(spark, f"{sf.rstrip('/')}/events.parquet",
                                           is_("click") >> is_("view"), KEY, ORDER, "ts",
                                           "1h"))
 
