@@ -84,3 +84,19 @@ def test_long_optional_runs_across_blocks(run):
     p = A >> alt(B.as_(1), C.as_(2)).repeated() >> D
     got = run(p, "A" + "B" * 9 + "D" + "XA" + "BCC" * 4 + "D", capture=["pos"])
     assert [(r.result, r.A_pos, r.B_pos, r.C_pos, r.D_pos) for r in got] == [(1, 0, 9, None, 10), (2, 12, 22, 24, 25)]
+
+
+@pytest.mark.parametrize("strategy", ["auto", "plain", "block"])
+def test_keyless_empty_input(chars, strategy):
+    """One end row, as one key without events (FIXTURES: any pattern, empty input, E)."""
+    from tidemark.operators.matcher import match_events, match_whole
+
+    none = chars("A").where("ch = 'Z'")
+    for p in (A, A >> B):
+        got = match_events(none, p, [], "pos", strategy=strategy).collect()
+        assert [(r.status, r.attempt_id, r.step, r.pos) for r in got] == [("ENDED", None, 0, None)]
+    got = match_events(none, A >> B, [], "pos", strategy=strategy, final="complete").collect()
+    assert [(r.status, r.attempt_id, r.fail_expected, r.fail_got) for r in got] == [("FAILURE", 1, "A", "<end of input>")]
+    assert [(r.status, r.n_events) for r in match_whole(none, A.repeated(), [], "pos", strategy=strategy).collect()] == [("SUCCESS", 0)]
+    assert match_events(none, A, "key", "pos", strategy=strategy).count() == 0
+    assert match_events(chars("AB"), A >> B, [], "pos", strategy=strategy).count() == 3

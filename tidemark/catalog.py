@@ -19,7 +19,7 @@ from tidemark.functions.pattern import fail, lit, step
 from tidemark.operators import sequential as S
 from tidemark.operators import windows as W
 from tidemark.operators.matcher import (
-    failure_summary, match_chain, match_cut, match_events, match_whole,
+    failure_summary, match_chain, match_cut, match_events, match_lists, match_whole,
 )
 from tidemark.session import table
 from tidemark.sources.text import PROSE_RULES, tokenize
@@ -905,6 +905,29 @@ def stream_match(spark, sf):
                                           "1h"))
 
 
+def branch_values(spark, sf):
+    out = match_cut(_events(spark, sf), is_("click").as_(1) | is_("purchase").as_(2), KEY, ORDER)
+    return out.select(KEY, "match_no", F.col("start_event_id").alias("event_id"), "alt", "result")
+
+
+SQL_BRANCH_VALUES = f"""WITH {E}
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY rn) AS match_no, event_id,
+       event_type AS alt, CASE WHEN event_type = 'click' THEN 1 ELSE 2 END AS result
+FROM e WHERE event_type IN ('click', 'purchase')"""
+
+
+def pair_events(spark, sf):
+    """Both events of each pair of clicks, not only the last."""
+    out = match_lists(_events(spark, sf), is_("click") >> is_("click"), KEY, ORDER, ["event_id"])
+    return out.select(KEY, "match_no", "n_events", F.col("events")[0]["event_id"].alias("first_event_id"),
+                      F.col("events")[1]["event_id"].alias("second_event_id"))
+
+
+SQL_PAIR_EVENTS = f"""SELECT user_id, match_no, CAST(2 AS BIGINT) AS n_events,
+       start_event_id AS first_event_id, end_event_id AS second_event_id
+FROM ({SQL_SEQ_SAME_CUT}) AS m"""
+
+
 def _entries() -> list[tuple[str, Callable, str | None]]:
     return [
         ("literal_events", literal_events, SQL_LITERAL_EVENTS),
@@ -952,6 +975,8 @@ def _entries() -> list[tuple[str, Callable, str | None]]:
         ("stateful_fold", stateful_fold, SQL_STATEFUL_FOLD),
         ("seq_timeout", seq_timeout, SQL_SEQ_TIMEOUT),
         ("stream_match", stream_match, SQL_SEQ_TIMEOUT),
+        ("branch_values", branch_values, SQL_BRANCH_VALUES),
+        ("pair_events", pair_events, SQL_PAIR_EVENTS),
     ]
 
 

@@ -16,7 +16,6 @@ matched with the two-pass block scan of ``tidemark.plans.blockscan``.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
@@ -30,7 +29,7 @@ from tidemark.functions.pattern import Captures, Pattern, has_value, value_colum
 from tidemark.plans.automaton import (
     AMBIGUOUS, FAILURE, INCOMPLETE, START, STATUS_NAMES, SUCCESS, StepTable,
 )
-from tidemark.plans.captures import NONE, Capture, Registers, Tracker
+from tidemark.plans.captures import NONE, Capture, Registers, Tracker, loaded
 from tidemark.plans.frames import apply_frames, map_frames, records
 
 STATUS_FIELDS = [
@@ -165,13 +164,29 @@ def match_events(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     if pos is not None:
         if show is None:
             show = default_show(pattern)
-        return single.events(prep, pos, schema, final, show, strategy)
-    if strategy in ("auto", "block"):
+        out = single.events(prep, pos, schema, final, show, strategy)
+    elif strategy in ("auto", "block"):
         from tidemark.plans import blockscan
-        return blockscan.run(prep, "events", schema, final=final, strategy=strategy)
-    fn = _events_kernel(prep.table, prep.keys, prep.orders + prep.carry, prep.has_show,
-                        final, timeout=prep.timeout)
-    return map_frames(prep.sorted(), fn, schema)
+        out = blockscan.run(prep, "events", schema, final=final, strategy=strategy)
+    else:
+        fn = _events_kernel(prep.table, prep.keys, prep.orders + prep.carry, prep.has_show,
+                            final, timeout=prep.timeout)
+        out = map_frames(prep.sorted(), fn, schema)
+    if final == "ended":
+        return _or_if_empty(out, prep, schema, {"status": "ENDED", "step": 0})
+    if final == "complete":
+        end = {"status": "SUCCESS"} if prep.table.nullable else {
+            "status": "FAILURE", "fail_expected": prep.table.expected(START), "fail_got": "<end of input>"}
+        return _or_if_empty(out, prep, schema, {"attempt_id": 1, "step": 0, **end})
+    return out
+
+
+def _or_if_empty(out: DataFrame, prep: _Prepared, schema: T.StructType, values: dict) -> DataFrame:
+    """``out``; for keyless input without any event, which is one key all the same, one row."""
+    if prep.keys:
+        return out
+    none = prep.src.limit(1).agg(F.count(F.lit(1)).alias("_n")).where("_n = 0")
+    return out.unionByName(none.select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields]))
 
 
 def _group_starts(pdf: pd.DataFrame, keys: list[str], prev_key) -> tuple[np.ndarray, list]:
@@ -235,7 +250,7 @@ class _Carry:
         self.last = bool(pdf["_m_last"].iat[i])
         self.start = tuple(_norm(pdf[f"_m_s{j}"].iat[i]) for j in range(n_orders))
         if pdf["_m_paths"].iat[i] is not None:
-            self.paths = pickle.loads(pdf["_m_paths"].iat[i])
+            self.paths = loaded(pdf["_m_paths"].iat[i])
         if "_m_t" in pdf.columns:
             self.last_t = _norm(pdf["_m_t"].iat[i])
 
@@ -616,8 +631,9 @@ def match_whole(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     if strategy != "plain":
         hk = HotKeys(prep.src, keys, prep.orders, force=strategy == "block")
     kernel = _whole_kernel(table, keys, prep.has_show, [f.name for f in fields])
+    empty = dict(zip(schema.names[len(keys):], _whole_finish(table, (), START, 0, None)))
     if not hk:
-        return map_frames(prep.sorted(), kernel, schema)
+        return _or_if_empty(map_frames(prep.sorted(), kernel, schema), prep, schema, empty)
     cold, hot = hk.split(prep.df)
     out_cold = map_frames(cold.repartition(*keys).sortWithinPartitions(*keys, *prep.orders),
                           kernel, schema) if keys else None

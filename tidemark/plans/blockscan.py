@@ -24,7 +24,6 @@ and Schulte, ASPLOS 2014).
 
 from __future__ import annotations
 
-import pickle
 from typing import Any
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.automaton import INCOMPLETE, START, SUCCESS
-from tidemark.plans.captures import NONE, Tracker, joined, unknown
+from tidemark.plans.captures import NONE, Tracker, dumped, joined, loaded, unknown
 from tidemark.plans.frames import apply_frames, map_frames, records
 from tidemark.plans.skew import HotKeys, broadcast_blocks
 
@@ -150,7 +149,7 @@ def _summary_kernel(tracked, keys, orders, timeout=None):
             w = walks[tgt]
             out.append(gkey + (q, w.state, w.att + d_att, w.match + d_match, w.steps,
                                w.started, t_first, t_last) + w.start
-                       + (pickle.dumps(w.paths) if tracked.on else None,))
+                       + (dumped(w.paths) if tracked.on else None,))
         return out
 
     def kernel(it):
@@ -258,7 +257,7 @@ def _compose(keys, n_orders: int, timeout=None):
                 start, paths = tuple([None] * n_orders), NONE
             out.append(key + (int(b), state, att, match, stp, bi == len(uniq) - 1,
                               None if prev_t is None else int(prev_t))
-                       + start + (pickle.dumps(paths),))
+                       + start + (dumped(paths),))
             prev_t = t_last[bi] if timeout is not None else None
             r = bi * n_q + state
             att += int(n_att[bi, state])
@@ -272,7 +271,7 @@ def _compose(keys, n_orders: int, timeout=None):
             else:
                 stp += int(steps[bi, state])
             if nxt != START and pvals[r] is not None:
-                paths = joined(paths, pickle.loads(pvals[r]))
+                paths = joined(paths, loaded(pvals[r]))
             state = nxt
         cols = list(keys) + ["_blk", "_m_state", "_m_att", "_m_match", "_m_steps",
                              "_m_last", "_m_t"] + [f"_m_s{j}" for j in range(n_orders)] \

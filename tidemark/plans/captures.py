@@ -13,6 +13,7 @@ state that they are changes to (``joined``).
 
 from __future__ import annotations
 
+import pickle
 from typing import Any, NamedTuple
 
 from tidemark.plans.automaton import StepTable
@@ -36,6 +37,16 @@ class Registers(NamedTuple):
 NONE = [Registers({}, 0)]
 
 
+def dumped(paths: list[Registers]) -> bytes:
+    """Registers as plain tuples: the library may itself be shipped by value, and
+    then its classes aren't the same in two processes."""
+    return pickle.dumps([tuple(r) for r in paths])
+
+
+def loaded(data: bytes) -> list[Registers]:
+    return [Registers(*r) for r in pickle.loads(data)]
+
+
 class Tracker:
     """Hands registers from event to event."""
 

@@ -38,7 +38,7 @@ from tidemark.functions.pattern import Pattern
 from tidemark.operators.matcher import STATUS_FIELDS, _as_list, _norm, _Prepared
 from tidemark.operators.windows import duration_micros, time_number
 from tidemark.plans.automaton import FAILURE, INCOMPLETE, START, STATUS_NAMES, SUCCESS
-from tidemark.plans.captures import NONE, Tracker
+from tidemark.plans.captures import NONE, Tracker, dumped, loaded
 from tidemark.session import ensure_checkpoint_dir
 
 #: The watermark's range in micros: Spark's begins at the epoch, pandas ends in 2262.
@@ -75,6 +75,14 @@ class _Open:
         self.state, self.steps, self.attempt, self.match_no = "", 0, 0, 0
         self.start, self.paths, self.last_t = (), NONE, None
 
+    def dump(self) -> bytes:
+        return pickle.dumps((self.state, self.steps, self.attempt, self.match_no, self.start, dumped(self.paths), self.last_t))
+
+    def load(self, data: bytes) -> "_Open":
+        (self.state, self.steps, self.attempt, self.match_no, self.start, paths, self.last_t) = pickle.loads(data)
+        self.paths = loaded(paths)
+        return self
+
 
 def _stream(stream: DataFrame, pattern: Pattern, partition_by, order_by, mode: str, time_col: str | None,
             timeout, delay, forget, capture, show: Column | None, on_ambiguity: str, end: DataFrame | None) -> DataFrame:
@@ -156,7 +164,9 @@ def _stream(stream: DataFrame, pattern: Pattern, partition_by, order_by, mode: s
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         key = tuple(_plain(k) for k in key)
-        s, waiting = (pickle.loads(x) for x in state.get) if state.exists else (_Open(), [])
+        s, waiting = _Open(), []
+        if state.exists:
+            s, waiting = s.load(state.get[0]), pickle.loads(state.get[1])
         now = state.getCurrentProcessingTimeMs() if by_clock else state.getCurrentWatermarkMs()
         new = []
         for pdf in pdfs if not state.hasTimedOut else ():
@@ -181,7 +191,7 @@ def _stream(stream: DataFrame, pattern: Pattern, partition_by, order_by, mode: s
         if quiet and not new and now * 1000 - s.last_t >= idle:
             state.remove()
         else:
-            state.update((pickle.dumps(s), pickle.dumps(waiting)))
+            state.update((s.dump(), pickle.dumps(waiting)))
             if by_clock and quiet:
                 state.setTimeoutDuration(max(1, (s.last_t + idle) // 1000 - now))
             elif waiting:
