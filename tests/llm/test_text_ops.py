@@ -215,6 +215,23 @@ def test_templates(spark):
     assert sum(r.n_dropped for r in out.values()) >= 14
 
 
+def test_copies_of_a_text_count_once(spark, tmp_path):
+    """A thousand copies of one text don't fix the constant places of its leaf."""
+    import duckdb
+    rows = [(i, f"The report was written by {n}") for i, n in enumerate(
+        ("Ann Archer", "Ben Brook", "Cid Cole", "Dan Drew", "Eve Eddy", "Fay Frost"))]
+    rows += [(100 + i, "The report was never sent to anyone") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents"))
+    out = lines.dedup_lines(docs, depth=3, min_docs=5)
+    got = out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256)).collect()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+        want = con.execute(lines.LINES_SQL).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(r.n_dropped for r in got) == 5
+
+
 def test_toxicity(spark):
     texts, labels = [], []
     for i in range(600):

@@ -74,7 +74,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", depth: int = 3, min_docs: i
     """
     new = ("n_lines", "n_dropped", "kept_text")
     kept = [c for c in docs.columns if c.lower() not in new]
-    keyed = docs.select(text_key(text).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    # one row a text; the copies of a text meet on the map side already
+    keyed = docs.select(text_key(text).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).distinct()
     found = written(line_templates(keyed, depth, min_docs).distinct(), "templates")
     often = (found.select("template", "key").distinct().groupBy("template")
              .agg(F.count("*").alias("docs"), F.min("key").alias("first_key")).where(F.col("docs") >= min_docs))
