@@ -167,6 +167,16 @@ def test_disclosing_term(spark):
     assert all(out[100 + i].spans == "" for i in range(60))
 
 
+def test_disclosing_term_goes_everywhere(spark):
+    """Far from the entity, twice in a text, and in a text without the entity."""
+    rows = [(i, f"Zanzibar {'so ' * 20}wrote to jo@x.org and (zanzibar) note{i}") for i in range(12)]
+    rows += [(50, "so Zanzibar, wrote"), (51, None)] + [(100 + i, f"so wrote to nobody and note{i}") for i in range(120)]
+    out = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), redacted=True).collect()}
+    assert all(out[i].spans == "term:0:8,email:78:86,term:92:100" and "anzibar" not in out[i].redacted for i in range(12))
+    assert out[50].spans == "term:3:11" and out[50].redacted == "so , wrote" and out[51].spans == ""
+    assert all(out[100 + i].spans == "" for i in range(120))
+
+
 @pytest.mark.parametrize("name", ["sf", "edge", "empty"])
 def test_mixing(tables, name):
     got = mixing.mix_sources(tables[name]).collect()

@@ -3,27 +3,29 @@
 The base finds e-mail addresses, IP addresses, card and phone numbers.  Hiding
 them isn't enough where other words give them away, so information-theoretic
 sanitisation follows: with every found value as a protected entity e and every
-word t near it, the corpus gives
+word t of the same text, the corpus gives
 
     IC(e) = -log p(e)        PMI(t; e) = log(p(t, e) / (p(t) p(e)))
 
 p(.) being shares of distinct texts.  PMI(t; e) = IC(e) would mean that t
 appears only with e, so t alone discloses e; a term with PMI >= ``alpha`` IC(e)
-in at least ``support`` distinct texts exceeds the disclosure threshold.  Its
-occurrences near e become spans of kind ``term``, to be removed
+in at least ``support`` distinct texts exceeds the disclosure threshold.  All its
+occurrences, in whatever text, become spans of kind ``term``, to be removed
 (``redact``) like the base spans, which are generalised to their kind.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import WORD, packed, text_key, unpacked, written
+from tidemark.llm.common import packed, text_key, unpacked, written
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the contract.
@@ -37,6 +39,9 @@ _RE = {k: re.compile(p) for k, p in PATTERNS.items()}
 _DIGIT = re.compile("[0-9]")
 _TERM = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
+_LEFT = re.compile(r"^[^\w]+")
+#: Slots of the filter that words pass before they are joined with the wanted terms.
+_SLOTS = 1 << 23
 
 
 def luhn(digits: str) -> bool:
@@ -97,72 +102,107 @@ def value_of(kind: int, s: str) -> str:
     return f"{KINDS[kind]}:{s.lower() if kind == 0 else s if kind == 1 else _digits(s)}"
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within ``reach`` words of each base span;
-    words that hold a base span are no terms."""
-    if not spans:
-        return []
-    words = [(m.start(), m.end()) for m in _TERM.finditer(text)]
-    taken = set()
-    places = []
-    i = 0
-    for s, k, e in spans:
-        while i and words[i - 1][1] > s:
-            i -= 1
-        while i < len(words) and words[i][1] <= s:
+def term_of(word: str) -> str:
+    return _EDGE.sub("", word).lower()
+
+
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the words that hold no base span."""
+    out, i, until = [], 0, 0
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        while i < len(spans) and spans[i][0] < b:
+            until = max(until, spans[i][2])
             i += 1
-        j = i
-        while j < len(words) and words[j][0] < e:
-            taken.add(j)
-            j += 1
-        places.append((i, j, value_of(k, text[s:e])))
-    out = []
-    for i, j, entity in places:
-        for w in [*range(max(0, i - reach), i), *range(j, min(len(words), j + reach))]:
-            if w not in taken:
-                a, b = words[w]
-                term = _EDGE.sub("", text[a:b])
-                if term:
-                    a += text[a:b].find(term)
-                    out.append((entity, term.lower(), a, a + len(term)))
+        if until <= a:
+            out.append((a, b))
+    return out
+
+
+def _slots(terms: DataFrame) -> np.ndarray:
+    """Bit set of the terms' slots: of fixed size, however many terms there are."""
+    at = F.crc32(F.encode("term", "utf-8")) % _SLOTS
+    one = F.lit(1).cast("long")
+    rows = (terms.select((at / 32).cast("long").alias("w"), (at % 32).cast("int").alias("b")).groupBy("w")
+            .agg(F.bit_or(F.call_function("shiftleft", one, F.col("b"))).alias("bits")).collect())
+    out = np.zeros(_SLOTS // 32, np.uint32)
+    for w, bits in rows:
+        out[w] = bits
     return out
 
 
-def disclosing_terms(docs: DataFrame, text: str, reach: int, support: int, alpha: float) -> DataFrame:
-    """(entity, term) pairs over the disclosure threshold, from all of ``docs``."""
-    def pairs(batches):
+def term_places(d: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, term, s, e) of every occurrence of ``terms`` in all texts of ``d`` (key, text)."""
+    slots = _slots(terms)
+
+    def places(batches):
+        memo = {}  # word to its term, None if no wanted term has its slot
+
+        def wanted(w):
+            if w not in memo:
+                t = term_of(w)
+                h = zlib.crc32(t.encode()) % _SLOTS
+                memo[w] = t if t and slots[h >> 5] >> np.uint32(h & 31) & np.uint32(1) else None
+            return memo[w]
+
         for b in batches:
-            key, ent, term = [], [], []
+            rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = near_terms(t, base_spans(t), reach) if t else []
-                rows = {(e, x) for e, x, _, _ in found} | {(e, None) for e, _, _, _ in found}
-                for e, x in rows:
-                    key.append(k), ent.append(e), term.append(x)
+                if len(memo) > 300_000:
+                    memo.clear()
+                if not t or not any(map(wanted, set(_TERM.findall(t)))):
+                    continue
+                for s, e in free_words(t, base_spans(t)):
+                    term = wanted(t[s:e])
+                    if term:
+                        s += len(t[s:e]) - len(_LEFT.sub("", t[s:e]))
+                        rows.append((k, term, s, s + len(_EDGE.sub("", t[s:e]))))
+            cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.binary()), pa.array(ent, pa.string()), pa.array(term, pa.string())],
+                [pa.array(c, ty) for c, ty in zip(cols, (pa.binary(), pa.string(), pa.int64(), pa.int64()))],
+                names=["key", "term", "s", "e"])
+
+    # joined on the struct, so both sides are dealt anew and AQE can split a hot term
+    return (d.mapInArrow(places, "key binary, term string, s long, e long").withColumn("at", F.struct("term"))
+            .join(terms.select(F.struct("term").alias("at")), "at", "left_semi").drop("at"))
+
+
+def disclosing_places(docs: DataFrame, text: str, support: int, alpha: float) -> DataFrame:
+    """(key, term, s, e) of every occurrence of the terms over the disclosure threshold in ``docs``."""
+    def found(batches):
+        for b in batches:
+            rows = set()
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                spans = base_spans(t)
+                if spans:
+                    rows |= {(k, value_of(i, t[s:e]), None) for s, i, e in spans}
+                    rows |= {(k, None, x) for x in {term_of(t[s:e]) for s, e in free_words(t, spans)} if x}
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, ty) for c, ty in zip(cols, (pa.binary(), pa.string(), pa.string()))],
                 names=["key", "entity", "term"])
 
-    d = docs.select(text_key(text).alias("key"), F.col(text).alias("text"))
-    near = written(d.mapInArrow(pairs, "key binary, entity string, term string").distinct(), "pii-near")
-    joint = written(near.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support), "pii-joint")
-    entities = joint.where("term is null").select(F.col("entity").alias("e"), F.col("n").alias("n_e"))
+    d = docs.select(text_key(text).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = written(d.mapInArrow(found, "key binary, entity string, term string").distinct(), "pii-found")
+    held = rows.where("term is null").select("key", "entity")
+    sizes = held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    protected = written(held.join(sizes, "entity"), "pii-protected")
     total = d.select("key").distinct().count()
     ic = -F.log(F.col("n_e") / F.lit(total))
     pmi = F.log(F.col("n") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     discloses = (ic > 0) & (pmi >= alpha * ic)
-    # a term is in at least as many texts as it is near any entity in, so with that
+    # a term is in at least as many texts as it is with any entity in, so with that
     # number PMI is an upper bound: everyday words go here, and none that discloses
-    around = (near.where("term is not null").select("key", "term").distinct()
-              .groupBy("term").agg(F.count("*").alias("n_t")))
-    wanted = written(joint.where("term is not null").join(entities, F.col("entity") == F.col("e")).join(around, "term")
-                     .where(discloses).select("entity", "term", "n", "n_e"), "pii-wanted")
-    # in how many distinct texts the wanted terms appear, near an entity or not
-    terms = wanted.select("term").distinct()
-    words = (d.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), 1))).alias("w"))
-             .select("key", F.regexp_replace("w", r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "").alias("term"))
-             .join(terms, "term", "left_semi"))
-    df = words.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    return wanted.join(df, "term").where(discloses).select("entity", "term")
+    words = rows.where("entity is null").select("key", "term")
+    beside = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    joint = (words.join(protected, "key").groupBy("entity", "term")
+             .agg(F.count("*").alias("n"), F.max("n_e").alias("n_e")).where(F.col("n") >= support))
+    wanted = written(joint.join(beside, "term").where(discloses).select("entity", "term", "n", "n_e"), "pii-wanted")
+    # where the wanted terms appear, with an entity or not, and in how many distinct texts
+    places = written(term_places(d, wanted.select("term").distinct()), "pii-places")
+    df = places.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = wanted.join(df, "term").where(discloses).select(F.struct("term").alias("at")).distinct()
+    return places.withColumn("at", F.struct("term")).join(terms, "at", "left_semi").drop("at")
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
@@ -182,7 +222,7 @@ def redact_text(text: str | None, spans: str) -> str | None:
     return "".join(out) + text[at:]
 
 
-def find_pii(docs: DataFrame, text: str = "text", reach: int = 5, support: int = 3, alpha: float = 0.9,
+def find_pii(docs: DataFrame, text: str = "text", support: int = 3, alpha: float = 0.9,
              redacted: bool = False) -> DataFrame:
     """``docs`` without ``text``, with ``n_email n_ip n_card n_phone base_spans spans``
     (and ``redacted``, the sanitised text, if asked for).
@@ -196,7 +236,6 @@ def find_pii(docs: DataFrame, text: str = "text", reach: int = 5, support: int =
     new = ["n_email", "n_ip", "n_card", "n_phone", "base_spans"]
     drop = {*new, "spans", "redacted", text.lower()}
     kept = [c for c in docs.columns if c.lower() not in drop]
-    terms = written(disclosing_terms(docs, text, reach, support, alpha), "pii-terms")
 
     def scan(batches):
         for b in batches:
@@ -215,20 +254,7 @@ def find_pii(docs: DataFrame, text: str = "text", reach: int = 5, support: int =
         schema = schema.add(c, "long")
     base = src.mapInArrow(scan, schema.add("base_spans", "string"))
 
-    def near(batches):
-        for b in batches:
-            seen, rows = set(), []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if t and k not in seen:
-                    seen.add(k)
-                    rows += [(k, *x) for x in near_terms(t, base_spans(t), reach)]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, ty) for c, ty in zip(cols, (pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64()))],
-                names=["key", "entity", "term", "s", "e"])
-
-    hits = (src.select("_key", "_text").mapInArrow(near, "key binary, entity string, term string, s long, e long")
-            .join(terms, ["entity", "term"], "left_semi")
+    hits = (disclosing_places(docs, text, support, alpha)
             .groupBy("key").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("_terms")))
     j = base.join(hits, base["_key"] == hits["key"], "left")
     # both lists hold few spans a document; merged in the JVM by (start, kind, end)
