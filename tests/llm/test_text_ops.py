@@ -177,6 +177,20 @@ def test_disclosing_term_goes_everywhere(spark):
     assert all(out[100 + i].spans == "" for i in range(120))
 
 
+def test_rare_entities_back_off_to_their_class(spark):
+    """Every value is in one text only: terms of its domain, area code or kind are found,
+    a kind in fewer than three texts isn't estimated, and rare words alone are no terms."""
+    rows = [(i, f"Zanzibar wrote so{i} to jo{i}@x.org about this") for i in range(6)]
+    rows += [(20 + i, f"Quito called +1 386 555 37{30 + i} about this") for i in range(4)]
+    rows += [(40 + i, f"Lima saw 10.{i}.0.1 about this") for i in range(3)] + [(60, "Perth has 4242424242424242 about this")]
+    rows += [(100 + i, f"wrote called saw has to about this {i}") for i in range(120)]
+    out = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].spans == f"term:0:8,{out[i].base_spans}" for i in range(6))
+    assert all(out[20 + i].spans == f"term:0:5,{out[20 + i].base_spans}" for i in range(4))
+    assert all(out[40 + i].spans == f"term:0:4,{out[40 + i].base_spans}" for i in range(3))
+    assert out[60].spans == out[60].base_spans != "" and all(out[100 + i].spans == "" for i in range(120))
+
+
 @pytest.mark.parametrize("name", ["sf", "edge", "empty"])
 def test_mixing(tables, name):
     got = mixing.mix_sources(tables[name]).collect()

@@ -9,7 +9,10 @@ word t of the same text, the corpus gives
 
 p(.) being shares of distinct texts.  PMI(t; e) = IC(e) would mean that t
 appears only with e, so t alone discloses e; a term with PMI >= ``alpha`` IC(e)
-in at least ``support`` distinct texts exceeds the disclosure threshold.  All its
+that is in at least ``support`` distinct texts exceeds the disclosure threshold.
+The corpus can't estimate a value of fewer texts than that: such an entity backs
+off to its narrowest class in ``support`` texts, the mail domain, network, issuer
+or area code, else the kind, and terms that disclose the class go.  All the term's
 occurrences, in whatever text, become spans of kind ``term``, to be removed
 (``redact``) like the base spans, which are generalised to their kind.
 """
@@ -21,7 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,6 +105,17 @@ def value_of(kind: int, s: str) -> str:
     return f"{KINDS[kind]}:{s.lower() if kind == 0 else s if kind == 1 else _digits(s)}"
 
 
+def classes_of(entity: Column) -> list[Column]:
+    """The classes of an entity, narrowest first: itself, its mail domain, network of
+    an address, issuer of a card or area code, its kind."""
+    kind = F.substring_index(entity, ":", 1)
+    broad = (F.when(kind == "email", F.concat(F.lit("email:@"), F.substring_index(entity, "@", -1)))
+             .when(kind == "ip", F.concat(F.substring_index(entity, ".", 3), F.lit(".*")))
+             .when(kind == "card", F.concat(F.substring(entity, 1, 11), F.lit("*")))
+             .otherwise(F.concat(F.substring(entity, 1, 10), F.lit("*"))))
+    return [entity, broad, F.concat(kind, F.lit(":*"))]
+
+
 def term_of(word: str) -> str:
     return _EDGE.sub("", word).lower()
 
@@ -184,19 +198,25 @@ def disclosing_places(docs: DataFrame, text: str, support: int, alpha: float) ->
 
     d = docs.select(text_key(text).alias("key"), F.col(text).cast("string").alias("text"))
     rows = written(d.mapInArrow(found, "key binary, entity string, term string").distinct(), "pii-found")
-    held = rows.where("term is null").select("key", "entity")
-    sizes = held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    protected = written(held.join(sizes, "entity"), "pii-protected")
+    held = rows.where("term is null").select("key", F.col("entity").alias("value"), F.posexplode(
+        F.array(*classes_of(F.col("entity")))).alias("level", "entity"))
+    sizes = (held.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+             .where(F.col("n_e") >= support))
+    # each value is protected as its narrowest class that ``support`` texts have
+    chosen = (held.select("value", "level", "entity").distinct().join(sizes, "entity")
+              .groupBy("value").agg(F.min(F.struct("level", "entity", "n_e")).alias("c")))
+    protected = written(held.where("level = 0").select("key", "value").join(chosen, "value")
+                        .select("key", "c.entity", "c.n_e").distinct(), "pii-protected")
     total = d.select("key").distinct().count()
     ic = -F.log(F.col("n_e") / F.lit(total))
     pmi = F.log(F.col("n") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    discloses = (ic > 0) & (pmi >= alpha * ic)
-    # a term is in at least as many texts as it is with any entity in, so with that
-    # number PMI is an upper bound: everyday words go here, and none that discloses
+    discloses = (ic > 0) & (pmi >= alpha * ic) & (F.col("n_t") >= support)
+    # a term is in at least as many texts as it is with any entity in, and in ``support``
+    # if it counts, so with that number PMI is an upper bound: none that discloses goes
     words = rows.where("entity is null").select("key", "term")
-    beside = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    beside = words.groupBy("term").agg(F.greatest(F.count("*"), F.lit(support)).alias("n_t"))
     joint = (words.join(protected, "key").groupBy("entity", "term")
-             .agg(F.count("*").alias("n"), F.max("n_e").alias("n_e")).where(F.col("n") >= support))
+             .agg(F.count("*").alias("n"), F.max("n_e").alias("n_e")))
     wanted = written(joint.join(beside, "term").where(discloses).select("entity", "term", "n", "n_e"), "pii-wanted")
     # where the wanted terms appear, with an entity or not, and in how many distinct texts
     places = written(term_places(d, wanted.select("term").distinct()), "pii-places")
