@@ -6,7 +6,8 @@ docs, so a lost executor costs work of one stage only.  All but the last return
 the columns of documents.  Empty tables pass through; extra columns stay.
 
 A factorization machine isn't SQL, so there is no ORACLE_SQL; ``tests/llm``
-holds each stage against a brute-force version.
+holds each stage's kept ids and texts against brute force or SQL, the toxicity
+stage against its model's predictions.
 """
 
 from __future__ import annotations

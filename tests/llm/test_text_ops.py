@@ -289,6 +289,54 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Kept ids and texts of every stage, on sf0.001 and planted cases."""
+    import corpus_pipeline
+    import duckdb
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.length("text").desc(), "text").first().text
+    base = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
+    planted = [(900_000, base), (900_001, base + " tail"), (900_002, base.upper()), (900_003, f"before this {item} and after")]
+    planted += [(900_010 + i, f"own words of {chr(97 + i)}\nPage {i} of 9 from Acme") for i in range(7)]
+    rows = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string"), allowMissingColumns=True)
+    rows.write.parquet(str(tmp_path / "documents"))
+    rows = spark.read.parquet(str(tmp_path / "documents"))
+    texts = _texts(rows)
+
+    def kept(name):
+        return stages[name](spark, rows, SF).collect()
+
+    model = toxicity.train(rows, spark.read.parquet(f"{SF}/labels.parquet"))
+    clean = toxicity.score_toxicity(rows.select("doc_id", "text"), model).where("predicted = 0").collect()
+    assert sorted(r.doc_id for r in kept("toxicity")) == sorted(r.doc_id for r in clean)
+
+    sets = [_set(t, 5) for _, t in texts]
+    group = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        k = len(sets[i] & sets[j])
+        if k and 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k) and group[i] != group[j]:
+            group = [group[i] if g == group[j] else g for g in group]
+    least = {}
+    for g, (d, _) in zip(group, texts):
+        least[g] = min(d, least.get(g, d))
+    near = sorted(r.doc_id for r in kept("near dedup"))
+    assert near == sorted(least.values()) and not {900_001, 900_002} & set(near)
+
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+        con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{SF}/benchmark.parquet')")
+        found = {r[0] for r in con.execute(decontam.DECONTAM_SQL).fetchall()}
+        line = {r[0]: r[3] for r in con.execute(lines.LINES_SQL).fetchall()}
+        mixed = sorted((r[0], r[4]) for r in con.execute(mixing.MIX_SQL).fetchall() if r[4])
+    assert 900_003 in found
+    assert sorted(r.doc_id for r in kept("decontamination")) == sorted(d for d, _ in texts if d not in found)
+    got = kept("line dedup")
+    assert {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in got} == line and len(got) == len(texts)
+    assert sum("Acme" in (r.text or "") for r in got) == 1
+    assert sorted((r.doc_id, r.taken) for r in kept("mixing") if r.taken) == mixed
+
+
 def test_registered():
     names = set(Q.queries())
     assert {re.match(r"op(\d+)_|", n)[0] for n in names} >= {f"op{i}_" for i in range(1, 11)} and "pipeline" in names
