@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html, lines, minhash, mixing, pii, substring, toxicity, urls, vectors
+from tidemark.llm import decontam, html, lattice, lines, minhash, mixing, phrases, pii, runs, substring, toxicity, urls, vectors
 from tidemark.session import table
 
 # The rules of the url query's contract.
@@ -70,6 +70,30 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: A public subword vocabulary; only the driver reads it.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op11_lattice(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", lattice.held_out(F.col("doc_id")).alias("held_out"))
+    model = lattice.train(docs.where("not held_out").select("text"), VOCABULARY)
+    out = lattice.score_documents(docs, model)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = runs.find_runs(docs, min_length=24, periods=3, plant=runs.planted(F.col("doc_id")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
+def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents").select("lang", "text"), longest=5, least=100, cover=100, first=2000)
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,8 +101,8 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring, op2_vectors, op3_minhash, op4_lines, op5_toxicity, op6_decontam, op7_html, op8_urls, op9_pii, op10_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_substring, op2_vectors, op3_minhash, op4_lines, op5_toxicity, op6_decontam, op7_html, op8_urls, op9_pii, op10_mixing, op11_lattice, op12_runs, op13_phrases, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lines": lines.LINES_SQL, "op6_decontam": decontam.DECONTAM_SQL, "op8_urls": urls.URL_SQL, "op10_mixing": mixing.MIX_SQL}
+    return {"op4_lines": lines.LINES_SQL, "op6_decontam": decontam.DECONTAM_SQL, "op8_urls": urls.URL_SQL, "op10_mixing": mixing.MIX_SQL, "op13_phrases": phrases.PHRASE_SQL}
