@@ -59,7 +59,9 @@ HOT = ["seq_cut", "event_status", "partial_output", "seq_timeout", "nested_depth
        "multi_pattern", "window_matches", "in_last_n", "rolling", "no_followup",
        "ack_interval", "rising_triples", "in_blocks_n", "longest_alt", "double_click",
        "followed_within", "pattern_project", "literal_events", "union_one",
-       "stateful_fold", "chain_two_phase", "whole_conversation"]
+       "stateful_fold", "chain_two_phase", "whole_conversation",
+       "every_pattern", "last_n_pattern", "sliding_contains", "edges_pattern",
+       "all_of_patterns", "lacking_pattern"]
 
 
 @pytest.mark.parametrize("name", HOT)

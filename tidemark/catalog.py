@@ -905,6 +905,107 @@ def stream_match(spark, sf):
                                           "1h"))
 
 
+# ---------------------------------------------------------------------------
+# P1, P2, P7, P9-P11 with full patterns
+# ---------------------------------------------------------------------------
+
+def _funnel():
+    return is_("click") >> is_("view").one_or_more() >> is_("purchase")
+
+
+def every_pattern(spark, sf):
+    out = W.match_every(_events(spark, sf), _funnel(), KEY, ORDER)
+    return out.select(KEY, "start_event_id", "end_event_id", "n_events")
+
+
+#: m = the funnel from every click: its views, then a purchase
+FUNNELS = f"""{E},
+x AS (SELECT *, min(CASE WHEN event_type IS DISTINCT FROM 'view' THEN rn END) OVER
+                    (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nv FROM e),
+m AS (SELECT x.user_id, x.rn AS s, y.rn AS f, x.event_id AS sid, y.event_id AS fid
+      FROM x JOIN e y ON y.user_id = x.user_id AND y.rn = x.nv
+      WHERE x.event_type = 'click' AND y.event_type = 'purchase' AND y.rn >= x.rn + 2)"""
+
+SQL_EVERY_PATTERN = f"""WITH {FUNNELS}
+SELECT user_id, sid AS start_event_id, fid AS end_event_id, f - s + 1 AS n_events FROM m"""
+
+
+def last_n_pattern(spark, sf):
+    out = W.in_last_n(_events(spark, sf), _funnel(), 10, KEY, ORDER)
+    return out.select(KEY, "event_id", F.col("hit").cast("long").alias("hit"))
+
+
+SQL_LAST_N_PATTERN = f"""WITH {FUNNELS}
+SELECT user_id, event_id, CAST(EXISTS (SELECT 1 FROM m WHERE m.user_id = e.user_id AND m.f <= e.rn AND m.s > e.rn - 10) AS BIGINT) AS hit
+FROM e"""
+
+
+def sliding_contains(spark, sf):
+    return W.window_contains(_events(spark, sf), is_("click") >> is_("view"), KEY, ORDER, "ts", "1h", "15m")
+
+
+SQL_SLIDING_CONTAINS = f"""WITH {E},
+x AS (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY rn) AS t1,
+                lead(ts) OVER (PARTITION BY user_id ORDER BY rn) AS ts1 FROM e),
+w AS (SELECT user_id, unnest(range((epoch_us(ts1) - 3600000000) // 900000000 + 1, epoch_us(ts) // 900000000 + 1)) AS k
+      FROM x WHERE event_type = 'click' AND t1 = 'view')
+SELECT user_id, k * 900000000 AS window_start, count(*) AS n_matches FROM w GROUP BY user_id, k"""
+
+
+def edges_pattern(spark, sf):
+    """Days that open with clicks or views up to a purchase, or close with views and a purchase."""
+    start = (is_("click") | is_("view")).one_or_more() >> is_("purchase")
+    return W.window_edges(_events(spark, sf), start, is_("view").one_or_more() >> is_("purchase"), KEY, ORDER, "ts")
+
+
+SQL_EDGES_PATTERN = """WITH d AS (
+  SELECT user_id, event_type, date_trunc('day', ts) AS d,
+         row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS ra,
+         row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts DESC, event_id DESC) AS rd
+  FROM events),
+g AS (
+  SELECT user_id, d, min(CASE WHEN event_type IN ('click', 'view') THEN NULL ELSE ra END) AS other,
+         max(CASE WHEN rd = 1 THEN event_type END) AS last1, max(CASE WHEN rd = 2 THEN event_type END) AS last2
+  FROM d GROUP BY user_id, d)
+SELECT g.user_id, epoch_us(g.d) AS window_start,
+       CAST(CASE WHEN g.other >= 2 AND o.event_type = 'purchase' THEN 1 ELSE 0 END AS BIGINT) AS starts_with,
+       CAST(CASE WHEN g.last1 = 'purchase' AND g.last2 = 'view' THEN 1 ELSE 0 END AS BIGINT) AS ends_with
+FROM g LEFT JOIN d o ON o.user_id = g.user_id AND o.d = g.d AND o.ra = g.other"""
+
+
+def all_of_patterns(spark, sf):
+    """Weeks with a click followed by a view and a view followed by a purchase, in any order."""
+    return W.window_all_of(_events(spark, sf), {"look": is_("click") >> is_("view"), "buy": is_("view") >> is_("purchase")},
+                           KEY, "ts", "7d", order_by=ORDER)
+
+
+#: week = epoch-aligned seven days; t1 = the type of the next event of that week
+WEEKS = """wk AS (SELECT user_id, event_type, epoch_us(ts) // 604800000000 AS week,
+                lead(event_type) OVER (PARTITION BY user_id, epoch_us(ts) // 604800000000 ORDER BY ts, event_id) AS t1
+         FROM events)"""
+
+SQL_ALL_OF_PATTERNS = f"""WITH {WEEKS}
+SELECT user_id, week * 604800000000 AS window_start FROM wk GROUP BY user_id, week
+HAVING bool_or(event_type = 'click' AND t1 = 'view') AND bool_or(event_type = 'view' AND t1 = 'purchase')"""
+
+
+def lacking_pattern(spark, sf):
+    """Three-day windows, from a user's first day on, without a click followed by a view."""
+    out = W.window_lacking(_events(spark, sf), is_("click") >> is_("view"), KEY, "ts", 3, order_by=ORDER)
+    return out.select(KEY, F.col("day").cast("string").alias("day"))
+
+
+SQL_LACKING_PATTERN = """WITH lo AS (
+  SELECT user_id, min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM events GROUP BY user_id),
+x AS (
+  SELECT e.user_id, lo.lo + CAST((CAST(e.ts AS DATE) - lo.lo) // 3 * 3 AS INTEGER) AS day, e.event_type, e.ts, e.event_id
+  FROM events e JOIN lo ON lo.user_id = e.user_id),
+y AS (SELECT *, lead(event_type) OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS t1 FROM x),
+spine AS (SELECT user_id, CAST(unnest(generate_series(lo, hi, INTERVAL 3 DAY)) AS DATE) AS day FROM lo)
+SELECT s.user_id, CAST(s.day AS VARCHAR) AS day FROM spine s
+WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.user_id = s.user_id AND y.day = s.day AND y.event_type = 'click' AND y.t1 = 'view')"""
+
+
 def branch_values(spark, sf):
     out = match_cut(_events(spark, sf), is_("click").as_(1) | is_("purchase").as_(2), KEY, ORDER)
     return out.select(KEY, "match_no", F.col("start_event_id").alias("event_id"), "alt", "result")
@@ -977,6 +1078,12 @@ def _entries() -> list[tuple[str, Callable, str | None]]:
         ("stream_match", stream_match, SQL_SEQ_TIMEOUT),
         ("branch_values", branch_values, SQL_BRANCH_VALUES),
         ("pair_events", pair_events, SQL_PAIR_EVENTS),
+        ("every_pattern", every_pattern, SQL_EVERY_PATTERN),
+        ("last_n_pattern", last_n_pattern, SQL_LAST_N_PATTERN),
+        ("sliding_contains", sliding_contains, SQL_SLIDING_CONTAINS),
+        ("edges_pattern", edges_pattern, SQL_EDGES_PATTERN),
+        ("all_of_patterns", all_of_patterns, SQL_ALL_OF_PATTERNS),
+        ("lacking_pattern", lacking_pattern, SQL_LACKING_PATTERN),
     ]
 
 

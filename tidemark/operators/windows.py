@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.pattern import Pattern
 from tidemark.operators.matcher import _as_list
 from tidemark.plans.skew import HotKeys, _with_blocks, keyed_window
 
@@ -65,7 +66,7 @@ def _lead_all(steps: Sequence[Column], w) -> Column:
     return cond
 
 
-def match_every(df: DataFrame, steps: Sequence[Column], partition_by, order_by, *,
+def match_every(df: DataFrame, steps: Sequence[Column] | Pattern, partition_by, order_by, *,
                 time_col: str | None = None, max_gap: str | int | None = None,
                 keep: Sequence[str] = (), strategy: str = "auto") -> DataFrame:
     """P1 (our definition): every event may start a match; matches overlap.
@@ -74,8 +75,12 @@ def match_every(df: DataFrame, steps: Sequence[Column], partition_by, order_by,
     each gap between consecutive events of the match is at most that long.
     Output: the input columns of the first event, ``end_<o>`` for each
     order column, ``n_events``; ``keep`` columns are also taken from the
-    last event as ``end_<c>``.
+    last event as ``end_<c>``.  A ``Pattern`` goes to ``tidemark.operators.every``.
     """
+    if isinstance(steps, Pattern):
+        from tidemark.operators import every
+
+        return every.match_every(df, steps, partition_by, order_by, time_col=time_col, max_gap=max_gap, keep=keep, strategy=strategy)
     n = len(steps)
     if max_gap is not None and time_col is None:
         raise ValueError("max_gap needs time_col")
@@ -99,10 +104,14 @@ def match_every(df: DataFrame, steps: Sequence[Column], partition_by, order_by,
             .withColumn("n_events", F.lit(n).cast("long")))
 
 
-def in_last_n(df: DataFrame, steps: Sequence[Column], n: int, partition_by,
+def in_last_n(df: DataFrame, steps: Sequence[Column] | Pattern, n: int, partition_by,
               order_by, strategy: str = "auto") -> DataFrame:
     """P2 (our definition): at each event, 1 if a P1 match lies wholly
     within the last ``n`` events (this one included), else 0."""
+    if isinstance(steps, Pattern):
+        from tidemark.operators import every
+
+        return every.in_last_n(df, steps, n, partition_by, order_by, strategy)
     span = n - len(steps)
     if span < 0:
         return df.withColumn("hit", F.lit(0))
@@ -357,10 +366,17 @@ def day_window(time_col: str, length: str | int = "1d", df: DataFrame | None = N
     return (F.floor(time_number(time_col, df) / lim) * lim).cast("long")
 
 
-def window_contains(df: DataFrame, steps: Sequence[Column], partition_by, order_by,
-                    time_col: str, length: str = "1d") -> DataFrame:
+def window_contains(df: DataFrame, steps: Sequence[Column] | Pattern, partition_by, order_by,
+                    time_col: str, length: str = "1d", slide: str | None = None) -> DataFrame:
     """P7 (our definition): per key and aligned window, the number of P1
-    matches lying wholly inside it; windows with at least one."""
+    matches lying wholly inside it; windows with at least one.  Windows that
+    ``slide`` take a ``Pattern``."""
+    if isinstance(steps, Pattern):
+        from tidemark.operators import every
+
+        return every.window_contains(df, steps, partition_by, order_by, time_col, length, slide)
+    if slide is not None:
+        raise ValueError("sliding windows take a Pattern")
     every = match_every(df, steps, partition_by, order_by, keep=[time_col])
     start_w = day_window(time_col, length, df)
     end_w = day_window(f"end_{time_col}", length, every)
@@ -369,10 +385,15 @@ def window_contains(df: DataFrame, steps: Sequence[Column], partition_by, order_
             .agg(F.count(F.lit(1)).cast("long").alias("n_matches")))
 
 
-def window_edges(df: DataFrame, first: Column, last: Column, partition_by, order_by,
+def window_edges(df: DataFrame, first: Column | Pattern, last: Column | Pattern, partition_by, order_by,
                  time_col: str, length: str = "1d") -> DataFrame:
     """P9 (our definition): per key and window, does its first event satisfy
-    ``first`` and its last event ``last``?  Output 0/1 columns."""
+    ``first`` and its last event ``last`` (for a ``Pattern``: its first, its last
+    events)?  Output 0/1 columns."""
+    if isinstance(first, Pattern) or isinstance(last, Pattern):
+        from tidemark.operators import every
+
+        return every.window_edges(df, *every._patterns({"first": first, "last": last}), partition_by, order_by, time_col, length)
     keys = _as_list(partition_by)
     orders = _as_list(order_by)
     ws = day_window(time_col, length, df)
@@ -386,10 +407,14 @@ def window_edges(df: DataFrame, first: Column, last: Column, partition_by, order
                       F.col("_l").cast("long").alias("ends_with"))
 
 
-def window_all_of(df: DataFrame, preds: dict[str, Column], partition_by, time_col: str,
-                  length: str = "1d") -> DataFrame:
+def window_all_of(df: DataFrame, preds: dict[str, Column | Pattern], partition_by, time_col: str,
+                  length: str = "1d", order_by=None) -> DataFrame:
     """P10 (our definition): windows in which every predicate holds for some
-    event, in any order."""
+    event, in any order.  With a ``Pattern`` among them, ``order_by`` is needed."""
+    if any(isinstance(p, Pattern) for p in preds.values()):
+        from tidemark.operators import every
+
+        return every.window_all_of(df, preds, partition_by, order_by, time_col, length)
     keys = _as_list(partition_by)
     aggs = [F.bool_or(F.coalesce(p, F.lit(False))).alias(f"_{n}") for n, p in preds.items()]
     out = df.groupBy(*keys, day_window(time_col, length, df).alias("window_start")).agg(*aggs)
@@ -399,11 +424,16 @@ def window_all_of(df: DataFrame, preds: dict[str, Column], partition_by, time_co
     return out.filter(cond).select(*keys, "window_start")
 
 
-def window_lacking(df: DataFrame, pred: Column, partition_by, time_col: str,
-                   length_days: int = 1) -> DataFrame:
+def window_lacking(df: DataFrame, pred: Column | Pattern, partition_by, time_col: str,
+                   length_days: int = 1, order_by=None) -> DataFrame:
     """P11 (our definition): per key, the windows of ``length_days`` UTC days,
-    from the key's first event on, in which no event satisfies ``pred``.  A
-    NULL key is a key; events without a time are in no window."""
+    from the key's first event on, in which no event satisfies ``pred`` (with a
+    ``Pattern`` and ``order_by``: without a match).  A NULL key is a key; events
+    without a time are in no window."""
+    if isinstance(pred, Pattern):
+        from tidemark.operators import every
+
+        return every.window_lacking(df, pred, partition_by, order_by, time_col, length_days)
     keys = _as_list(partition_by)
     number = F.floor(time_number(time_col, df) / F.lit(86_400_000_000)).cast("int")
     d = df.select(*keys, number.alias("_day"), F.coalesce(pred, F.lit(False)).alias("_ok")).where(
