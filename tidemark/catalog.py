@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.pattern import fail, lit, step
+from tidemark.operators import nested as N
 from tidemark.operators import sequential as S
 from tidemark.operators import windows as W
 from tidemark.operators.matcher import (
@@ -463,6 +464,68 @@ SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY rn) AS match_no
 FROM w WHERE ok"""
 
 
+_OPENS, _CLOSES = ["click", "signup"], ["view", "purchase"]
+
+
+def nested_statuses(spark, sf):
+    """Per-event statuses of the nested pattern and an end row per user."""
+    out = N.nested_events(_events(spark, sf), et().isin(*_OPENS), et().isin(*_CLOSES), KEY, ORDER, show=et(), names=("open", "close"))
+    return out.select(KEY, "event_id", "status", "attempt_id", "step", "depth", "fail_expected", "fail_got")
+
+
+SQL_NESTED_STATUSES = f"""WITH RECURSIVE e AS (
+  SELECT user_id, event_id, event_type,
+         CASE WHEN event_type IN ('click', 'signup') THEN 1
+              WHEN event_type IN ('view', 'purchase') THEN 2 ELSE 0 END AS sym,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events),
+w AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS got, 0 AS ph0, 0 AS ph,
+         CAST(0 AS BIGINT) AS d, CAST(0 AS BIGINT) AS pk, CAST(0 AS BIGINT) AS att, CAST(0 AS BIGINT) AS steps,
+         CAST(NULL AS VARCHAR) AS status
+  FROM e GROUP BY user_id
+  UNION ALL
+  SELECT e.user_id, e.rn, e.event_id, e.event_type, w.ph,
+         CASE WHEN {_S} = 1 AND w.ph < 2 THEN 1 WHEN {_S} = 2 AND w.ph > 0 AND w.d > 1 THEN 2 ELSE 0 END,
+         CASE WHEN {_S} = 1 AND w.ph = 0 THEN 1 WHEN {_S} = 1 AND w.ph = 1 THEN w.d + 1 WHEN {_S} = 2 AND w.ph > 0 THEN w.d - 1 ELSE 0 END,
+         CASE WHEN {_S} = 1 AND w.ph = 0 THEN 1 WHEN {_S} = 1 AND w.ph = 1 THEN w.d + 1 ELSE w.pk END,
+         CASE WHEN w.ph = 0 THEN w.att + 1 ELSE w.att END, CASE WHEN w.ph = 0 THEN 1 ELSE w.steps + 1 END,
+         CASE WHEN {_S} = 1 AND w.ph < 2 THEN 'INCOMPLETE' WHEN {_S} = 2 AND w.ph > 0 AND w.d > 1 THEN 'INCOMPLETE'
+              WHEN {_S} = 2 AND w.ph > 0 THEN 'SUCCESS' ELSE 'FAILURE' END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1),
+f AS (SELECT *, lead(rn) OVER (PARTITION BY user_id ORDER BY rn) AS nx FROM w)
+SELECT user_id, event_id, status, att AS attempt_id, steps AS step, CASE WHEN status = 'SUCCESS' THEN pk END AS depth,
+       CASE WHEN status = 'FAILURE' THEN CASE ph0 WHEN 0 THEN 'open' WHEN 1 THEN 'close,open' ELSE 'close' END END AS fail_expected,
+       CASE WHEN status = 'FAILURE' THEN got END AS fail_got
+FROM f WHERE rn > 0
+UNION ALL
+SELECT user_id, NULL, 'ENDED', NULL, CASE WHEN ph > 0 THEN steps ELSE 0 END, NULL, NULL, NULL FROM f WHERE nx IS NULL"""
+
+
+def nested_days(spark, sf):
+    """Is a user's whole day one nested match?"""
+    ev = _events(spark, sf)
+    ev = ev.withColumn("window_start", W.day_window("ts", "1d", ev))
+    return N.nested_whole(ev, et().isin(*_OPENS), et().isin(*_CLOSES), [KEY, "window_start"], ORDER, show=et(), names=("open", "close"))
+
+
+SQL_NESTED_DAYS = """WITH s AS (
+  SELECT user_id, epoch_us(date_trunc('day', ts)) AS window_start, count(*) AS n, list(event_type ORDER BY ts, event_id) AS l,
+         string_agg(CASE WHEN event_type IN ('click', 'signup') THEN '(' WHEN event_type IN ('view', 'purchase') THEN ')' ELSE 'x' END, ''
+                    ORDER BY ts, event_id) AS t
+  FROM events GROUP BY ALL),
+a AS (SELECT *, length(regexp_extract(t, '^[(]*')) AS u FROM s),
+b AS (SELECT *, length(regexp_extract(substr(t, u + 1), '^[)]*')) AS c FROM a),
+f AS (SELECT *, CASE WHEN u = 0 THEN 1 WHEN c = 0 AND n > u THEN u + 1 WHEN c < u AND n > u + c THEN u + c + 1
+                     WHEN c >= u AND n > 2 * u THEN 2 * u + 1 END AS fs FROM b)
+SELECT user_id, window_start, CASE WHEN fs IS NULL AND c = u THEN 'SUCCESS' ELSE 'FAILURE' END AS status,
+       CAST(CASE WHEN fs IS NULL AND c = u THEN u END AS BIGINT) AS depth, n AS n_events, CAST(fs AS BIGINT) AS fail_step,
+       CASE WHEN fs IS NULL AND c = u THEN NULL WHEN fs IS NULL THEN 'close' WHEN u = 0 THEN 'open' WHEN fs = u + 1 THEN 'close,open'
+            WHEN fs <= 2 * u THEN 'close' END AS fail_expected,
+       CASE WHEN fs IS NULL AND c < u THEN '<end of input>' WHEN fs IS NOT NULL THEN l[fs] END AS fail_got
+FROM f"""
+
+
 def rising_triples(spark, sf):
     out = W.rising_triples(_events(spark, sf), "value", KEY, ORDER)
     return out.select(KEY, "triple_no", F.col("first_event_id"), "rising")
@@ -1078,6 +1141,8 @@ def _entries() -> list[tuple[str, Callable, str | None]]:
         ("stream_match", stream_match, SQL_SEQ_TIMEOUT),
         ("branch_values", branch_values, SQL_BRANCH_VALUES),
         ("pair_events", pair_events, SQL_PAIR_EVENTS),
+        ("nested_statuses", nested_statuses, SQL_NESTED_STATUSES),
+        ("nested_days", nested_days, SQL_NESTED_DAYS),
         ("every_pattern", every_pattern, SQL_EVERY_PATTERN),
         ("last_n_pattern", last_n_pattern, SQL_LAST_N_PATTERN),
         ("sliding_contains", sliding_contains, SQL_SLIDING_CONTAINS),

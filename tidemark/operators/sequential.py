@@ -55,7 +55,8 @@ def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
     and is spent.  Output: key columns, ``match_no``, ``start_<o>``,
     ``end_<o>``, ``n_events``, ``depth``.  ``final='complete'`` adds, per
     key, the empty match (depth 0, no events) when no attempt is open at the
-    end, as the older driver completes at end of input (plain plan only).
+    end, as the older driver completes at end of input.  Per-event statuses and
+    the whole-input form are in ``tidemark.operators.nested``.
 
     Hot keys: the block scan of ``tidemark.plans.nestscan`` (a block's
     effect on an open attempt depends only on its leading runs, so blocks
@@ -72,7 +73,7 @@ def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
     fields += [T.StructField("n_events", T.LongType()), T.StructField("depth", T.LongType())]
     schema = T.StructType(fields)
     hk = None
-    if strategy != "plain" and final == "none":
+    if strategy != "plain":
         hk = HotKeys(df, keys, orders, force=strategy == "block")
     if not hk:
         return map_frames(
@@ -82,7 +83,7 @@ def nested_depth(df: DataFrame, open_: Column, close: Column, partition_by,
         _sorted(cold, keys, orders), _nested_kernel(keys, keys, orders, final), schema)
     from tidemark.plans import nestscan
 
-    out_hot = nestscan.run(df, hot, keys, orders, fields, schema, hk.n_blocks)
+    out_hot = nestscan.run(df, hot, keys, orders, fields, schema, hk.n_blocks, final)
     return out_cold.unionByName(out_hot) if keys else out_hot
 
 
@@ -112,7 +113,7 @@ def _nested_kernel(keys, gkeys, orders, final, blocks: bool = False):
                     gkey = tuple(_norm(c[i]) for c in kv)
                     phase = depth = peak = steps = match_no = 0
                     if blocks:
-                        phase, depth, peak, steps, match_no = (int(mv[j][i]) for j in range(5))
+                        phase, depth, peak, steps, match_no = (int(m[i]) for m in mv[:5])
                         start = tuple(_norm(mv[5 + j][i]) for j in range(no))
                 s = sy[i]
                 if phase == 0:
