@@ -36,8 +36,10 @@ _INF = -np.inf
 _LONG = 64
 #: Cells (words times bytes) of one vectorised recursion.
 _CELLS = 1 << 17
-#: Distinct words a task remembers at once.
-_MEMORY = 1 << 20
+#: Distinct words a task counts at once, and remembers the probabilities of.
+_COUNTED, _MEMORY = 1 << 19, 1 << 18
+#: Words of texts that are scored together.
+_TOGETHER = 1 << 17
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -243,7 +245,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             for t in b.column(0):
                 seen.update(words_of(t.as_py()))
-                if len(seen) > _MEMORY:
+                if len(seen) > _COUNTED:
                     yield out()
                     seen.clear()
             seen[b""] += b.num_rows
@@ -289,6 +291,19 @@ def train(docs: DataFrame, vocabulary: str, text: str = "text", rounds: int = 2,
 # --------------------------------------------------------------------- scoring
 
 
+def _parts(column):
+    """(place of the first, words of each) of runs of texts with few words together."""
+    first, texts, size = 0, [], 0
+    for i, t in enumerate(column):
+        texts.append(words_of(t.as_py()))
+        size += len(texts[-1])
+        if size > _TOGETHER:
+            yield first, texts
+            first, texts, size = i + 1, [], 0
+    if texts:
+        yield first, texts
+
+
 def score_documents(docs: DataFrame, model: Model, text: str = "text", common: int = 100_000, longest: int = 40) -> DataFrame:
     """``docs`` without ``text``, with n_tokens, n_known, train_tokens, base_score and score.
 
@@ -313,25 +328,26 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", common: i
         lattice, memory = Lattice(pieces, log_p), {}
         base = {w: float(np.log10(c + 1)) for w, c in top.items()}
         for b in batches:
-            texts = [words_of(t.as_py()) for t in b.column(2)]
-            fresh = list({w for t in texts for w in t if w not in memory})
-            memory.update(zip(fresh, lattice.log_probability(fresh).tolist()))
-            n, known, known_base, score, rest, times = [], [], [], [], [], []
-            for t in texts:
-                hits = [v for v in map(base.get, t) if v is not None]
-                n.append(len(t) + 1)
-                known.append(len(hits))
-                known_base.append(sum(hits))
-                score.append((sum(map(memory.__getitem__, t)) + log_end) / np.log(10))
-                other = Counter(w for w in t if w not in base) if len(hits) < len(t) else {}
-                rest.append([w.decode() for w in other])
-                times.append(list(other.values()))
-            if len(memory) > _MEMORY:
-                memory.clear()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(known_base, pa.float64()),
-                 pa.array(score, pa.float64()), pa.array(rest, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))],
-                names=["_in", "row", "n", "known", "base", "score", "rest", "times"])
+            for first, texts in _parts(b.column(2)):
+                fresh = list({w for t in texts for w in t if w not in memory})
+                memory.update(zip(fresh, lattice.log_probability(fresh).tolist()))
+                n, known, known_base, score, rest, times = [], [], [], [], [], []
+                for t in texts:
+                    hits = [v for v in map(base.get, t) if v is not None]
+                    n.append(len(t) + 1)
+                    known.append(len(hits))
+                    known_base.append(sum(hits))
+                    score.append((sum(map(memory.__getitem__, t)) + log_end) / np.log(10))
+                    other = Counter(w for w in t if w not in base) if len(hits) < len(t) else {}
+                    rest.append([w.decode() for w in other])
+                    times.append(list(other.values()))
+                if len(memory) > _MEMORY:
+                    memory.clear()
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(first, len(texts)), b.column(1).slice(first, len(texts)), pa.array(n, pa.int64()),
+                     pa.array(known, pa.int64()), pa.array(known_base, pa.float64()), pa.array(score, pa.float64()),
+                     pa.array(rest, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))],
+                    names=["_in", "row", "n", "known", "base", "score", "rest", "times"])
 
     schema = T.StructType([src.schema["_in"], *T.StructType.fromDDL(
         "row long, n long, known long, base double, score double, rest array<string>, times array<long>").fields])
