@@ -94,3 +94,37 @@ def test_nested_hot_blocks_equal_plain(spark, alphabet, seed):
         spark.conf.unset("tidemark.hotKeyRows")
     assert got == ref
     assert got1 == ref1
+
+
+def _tokens(spark, text, rules, **kw):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return [tuple(r)[2:] for r in tokenize(df, "text", ["doc_id"], rules, **kw).orderBy("pos").collect()]
+
+
+def test_token_values_from_groups(spark):
+    """A number comes as a typed value of its group, as Num(12)."""
+    got = _tokens(spark, "12 + 3", EXPR_RULES, values={"num": ("n", lambda g: g[0].cast("int"))})
+    assert got == [("num", "12", 12), ("plus", "+", None), ("num", "3", 3)]
+
+
+def test_lookaround_keeps_its_kind(spark):
+    rules = [("usd", "[0-9]+(?=USD)"), ("num", "[0-9]+"), ("unit", "USD|EUR"), ("after", "(?<=x)y")]
+    assert _tokens(spark, "12USD7EURxy", rules) == [
+        ("usd", "12"), ("unit", "USD"), ("num", "7"), ("unit", "EUR"), ("error", "x"), ("after", "y")]
+
+
+@pytest.mark.parametrize("tail", ["", "\ufdd0", "\ufdd1 \ufdd0"])
+def test_groups_and_back_references(spark, tail):
+    """Groups inside rules, also in texts that hold a delimiter."""
+    rules = [("kv", "([a-z]+)=([0-9]*)(?:;|$)?"), ("twice", "([A-Z])([0-9])\\2\\1"), ("quoted", "\\Q(+\\E"), ("class", "[(\\[]")]
+    got = _tokens(spark, "ab=12;c=A77A(+([" + tail, rules, groups=True)
+    want = [("kv", "ab=12;", ["ab", "12"]), ("kv", "c=", ["c", ""]), ("twice", "A77A", ["A", "7"]), ("quoted", "(+", []),
+            ("class", "(", []), ("class", "[", [])]
+    assert got == want + [("error", c, []) for c in tail]
+
+
+def test_tokens_of_null_empty_and_odd_texts(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "\U0001f600a"), (4, "$1 \\ 2")], "doc_id long, text string")
+    got = [tuple(r) for r in tokenize(df, "text", ["doc_id"]).orderBy("doc_id", "pos").collect()]
+    assert got == [(3, 1, "error", "\U0001f600"), (3, 2, "word", "a"), (4, 1, "error", "$"), (4, 2, "number", "1"),
+                   (4, 3, "error", " "), (4, 4, "error", "\\"), (4, 5, "number", "2")]

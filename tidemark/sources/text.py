@@ -2,10 +2,13 @@
 
 Rules are tried at the current position in the order given; the first
 rule that fits the text there wins and is applied greedily.  A character
-no rule fits becomes an ``error`` token of its own and is skipped.  The
-whole job is one JVM expression per document (``regexp_extract_all``
-over the alternation of the rules plus ``.`` as the last, error,
-alternative) and one ``posexplode``; no Python runs.
+no rule fits becomes an ``error`` token of its own and is skipped.
+
+All rules are one regular expression with a group for each, walked over the
+text once: every match is rewritten as its groups between two delimiters, so
+which rule took a token, and the rule's own groups, are read from the match
+itself, where lookaround still sees the text around it.  Texts that hold a
+delimiter are read group by group instead.  No Python runs.
 
 Keep rules to the regex subset that Java and RE2 share when results are
 compared with another engine.
@@ -13,7 +16,7 @@ compared with another engine.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ PROSE_RULES: list[tuple[str, str]] = [
 ]
 # The expression tokens (number, + - * / ( )).
 EXPR_RULES: list[tuple[str, str]] = [
-    ("num", BLANKS + "[0-9]+"),
+    ("num", BLANKS + "([0-9]+)"),
     ("plus", BLANKS + "\\+"),
     ("minus", BLANKS + "-"),
     ("times", BLANKS + "\\*"),
@@ -37,29 +40,92 @@ EXPR_RULES: list[tuple[str, str]] = [
     ("rparen", BLANKS + "\\)"),
 ]
 
+#: Delimiters of tokens and of their groups: code points that Unicode keeps out of texts.
+_TOKEN, _GROUP = "\ufdd0", "\ufdd1"
+
+
+def shifted(rule: str, by: int) -> tuple[str, int]:
+    """The rule with its back references moved ``by`` groups on, and how many
+    capturing groups it has."""
+    out, groups, i, in_class = [], 0, 0, 0
+    while i < len(rule):
+        c = rule[i]
+        if c == "\\" and i + 1 < len(rule):
+            if rule[i + 1] == "Q":  # quoted up to \E
+                end = rule.find("\\E", i)
+                end = len(rule) if end < 0 else end + 2
+                out.append(rule[i:end])
+                i = end
+                continue
+            if rule[i + 1] in "123456789" and not in_class:
+                j = i + 2
+                while j < len(rule) and rule[j].isdigit():
+                    j += 1
+                out.append(f"\\{int(rule[i + 1:j]) + by}")
+                i = j
+                continue
+            out.append(rule[i:i + 2])
+            i += 2
+            continue
+        if c == "[":
+            in_class += 1
+        elif c == "]" and in_class:
+            in_class -= 1
+        elif c == "(" and not in_class:
+            rest = rule[i + 1:i + 4]
+            if not rest.startswith("?") or (rest.startswith("?<") and rest[2:3] not in ("=", "!")):
+                groups += 1
+        out.append(c)
+        i += 1
+    return "".join(out), groups
+
 
-def token_regex(rules: Sequence[tuple[str, str]]) -> str:
-    return "(?s)" + "|".join(f"(?:{r})" for _, r in rules) + "|."
+def token_regex(rules: Sequence[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
+    """The expression of all rules and, for each, its group's number and the
+    number of groups inside; the last group is the error character."""
+    parts, places, at = [], [], 1
+    for _, r in rules:
+        text, groups = shifted(r, at)
+        parts.append(f"({text})")
+        places.append((at, groups))
+        at += groups + 1
+    return "(?s)" + "|".join(parts) + "|(.)", [*places, (at, 0)]
 
 
 def tokenize(df: DataFrame, text_col: str, id_cols: Sequence[str],
              rules: Sequence[tuple[str, str]] = PROSE_RULES,
-             error_kind: str = "error") -> DataFrame:
+             error_kind: str = "error", *, groups: bool = False,
+             values: dict[str, tuple[str, Callable[[Column], Column]]] | None = None) -> DataFrame:
     """One row per token: ``id_cols``, ``pos`` (1-based), ``kind``, ``token``.
 
     ``token`` is the matched text without leading blanks; error tokens keep
-    their one character.  The kind of a token is the first rule that matches
-    it whole (the rule that produced it: an earlier rule matching it would
-    have won at that position); it is computed once, in its own projection.
+    their one character.  ``groups`` adds the groups of the rule that took the
+    token as an array (one that took no part is an empty string).  ``values``
+    gives kinds a typed value: ``{"num": ("n", lambda g: g[0].cast("int"))}`` adds the
+    column ``n``, NULL for other kinds.  A rule must take a character at least.
+    NULL and empty texts have no tokens.
     """
-    rx = token_regex(rules)
-    raw = F.regexp_extract_all(F.col(text_col), F.lit(rx), F.lit(0))
-    exploded = df.select(*id_cols, F.posexplode(raw).alias("_p", "_raw"))
-    kind: Column = F.lit(error_kind)
-    for name, r in reversed(list(rules)):
-        kind = F.when(F.col("_raw").rlike(f"^(?:{r})$"), F.lit(name)).otherwise(kind)
-    kinded = exploded.select(*id_cols, "_p", "_raw", kind.alias("kind"))
-    tok = F.when(F.col("kind") == F.lit(error_kind), F.col("_raw")).otherwise(
-        F.ltrim(F.col("_raw"), F.lit(" \t\r\n")))
-    return kinded.select(*id_cols, (F.col("_p") + 1).cast("long").alias("pos"),
-                         "kind", tok.alias("token"))
+    rx, places = token_regex(rules)
+    n = places[-1][0]
+    text = F.col(text_col)
+    marked = F.regexp_replace(text, F.lit(rx), F.lit(_TOKEN + _GROUP.join(f"${i}" for i in range(1, n + 1))))
+    taken = F.split(marked, _TOKEN, -1)
+    fast = F.transform(F.slice(taken, F.lit(2), F.greatest(F.size(taken) - 1, F.lit(0))), lambda t: F.split(t, _GROUP, -1))
+    by_group = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(rx), F.lit(i)).alias(f"g{i}") for i in range(1, n + 1)])
+    slow = F.transform(by_group, lambda z: F.array(*[z[f"g{i}"] for i in range(1, n + 1)]))
+    tokens = F.when(F.instr(text, _TOKEN) + F.instr(text, _GROUP) > 0, slow).otherwise(fast)
+    part = F.col("_parts")
+    rows = df.select(*id_cols, F.posexplode(tokens).alias("_p", "_parts"))
+    names = [*[k for k, _ in rules], error_kind]
+    kind, raw, own = F.lit(error_kind), part[n - 1], F.array().cast("array<string>")
+    for name, (at, inner) in reversed(list(zip(names[:-1], places[:-1]))):
+        hit = part[at - 1] != ""
+        kind = F.when(hit, F.lit(name)).otherwise(kind)
+        raw = F.when(hit, part[at - 1]).otherwise(raw)
+        if groups or values:
+            own = F.when(hit, F.slice(part, at + 1, inner) if inner else F.array().cast("array<string>")).otherwise(own)
+    out = rows.select(*id_cols, (F.col("_p") + 1).cast("long").alias("pos"), kind.alias("kind"), raw.alias("_raw"),
+                      *([own.alias("groups")] if groups or values else []))
+    token = F.when(F.col("kind") == F.lit(error_kind), F.col("_raw")).otherwise(F.ltrim(F.col("_raw"), F.lit(" \t\r\n")))
+    typed = [F.when(F.col("kind") == k, fn(F.col("groups"))).alias(c) for k, (c, fn) in (values or {}).items()]
+    return out.select(*id_cols, "pos", "kind", token.alias("token"), *(["groups"] if groups else []), *typed)
