@@ -100,3 +100,43 @@ def test_keyless_empty_input(chars, strategy):
     assert [(r.status, r.n_events) for r in match_whole(none, A.repeated(), [], "pos", strategy=strategy).collect()] == [("SUCCESS", 0)]
     assert match_events(none, A, "key", "pos", strategy=strategy).count() == 0
     assert match_events(chars("AB"), A >> B, [], "pos", strategy=strategy).count() == 3
+
+
+@pytest.mark.parametrize("strategy", ["plain", "block"])
+def test_whole_input_values(spark, strategy):
+    """An expression of tokens gives its captured numbers and a value per key."""
+    from tidemark.operators.matcher import match_whole
+    from tidemark.sources.text import EXPR_RULES, tokenize
+
+    texts = [("a", "12 + 3"), ("b", "7*8"), ("c", "1 + 2 + 3"), ("d", "4 -"), ("e", "5"), (None, "6+7")]
+    df = spark.createDataFrame(texts, "key string, text string")
+    toks = tokenize(df, "text", ["key"], EXPR_RULES, values={"num": ("n", lambda g: g[0].cast("int"))})
+    left, right = lit("kind", "num", "left"), lit("kind", "num", "right")
+    plus, times = lit("kind", "plus"), lit("kind", "times")
+    p = ((left >> plus >> right).map(lambda c: c["left"]["n"] + c["right"]["n"])
+         | (left >> times >> right).map(lambda c: c["left"]["n"] * c["right"]["n"]))
+    spark.conf.set("tidemark.blockRows", "2")
+    try:
+        out = match_whole(toks, p, "key", "pos", capture=["n"], strategy=strategy)
+        got = {r.key: (r.status, r.left_n, r.right_n, r.result) for r in out.collect()}
+    finally:
+        spark.conf.unset("tidemark.blockRows")
+    fail = ("FAILURE", None, None, None)
+    assert got == {"a": ("SUCCESS", 12, 3, 15), "b": ("SUCCESS", 7, 8, 56), "c": fail, "d": fail, "e": fail, None: ("SUCCESS", 6, 7, 13)}
+
+
+@pytest.mark.parametrize("strategy", ["plain", "block"])
+def test_whole_input_last_round_across_blocks(spark, strategy):
+    """Captures of a repeated part are those of its last round, wherever blocks cut."""
+    from tidemark.operators.matcher import match_whole
+
+    rows = [("k", i, "ab"[i % 2], 10 * i) for i in range(40)] + [("odd", i, "ab"[i % 2], i) for i in range(7)]
+    df = spark.createDataFrame(rows, "key string, pos long, ch string, v long")
+    p = (lit("ch", "a") >> lit("ch", "b")).one_or_more()
+    spark.conf.set("tidemark.blockRows", "3")
+    try:
+        out = match_whole(df, p, "key", "pos", capture=["v", "pos"], result=lambda c: c["b"]["v"] - c["a"]["v"], strategy=strategy)
+        got = {r.key: (r.status, r.a_v, r.b_v, r.b_pos, r.result, r.fail_expected) for r in out.collect()}
+    finally:
+        spark.conf.unset("tidemark.blockRows")
+    assert got == {"k": ("SUCCESS", 380, 390, 39, 10, None), "odd": ("FAILURE", None, None, None, None, "b")}

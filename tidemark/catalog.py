@@ -376,6 +376,31 @@ FROM (SELECT conv_id, turn,
 GROUP BY conv_id"""
 
 
+def _turns():
+    role = {r: lit("role", r) for r in ("system", "user", "assistant")}
+    talk = (role["user"] >> role["assistant"]).one_or_more()
+    return (role["system"].as_("led") >> talk) | talk.as_("free")
+
+
+def whole_values(spark, sf):
+    """The turns captured last in each conversation that matches, and which form it has."""
+    out = match_whole(table(spark, sf, "conversations"), _turns(), "conv_id", "turn", capture=["turn"])
+    return out.select("conv_id", "status", "system_turn", "user_turn", "assistant_turn", F.col("result").alias("form"))
+
+
+SQL_WHOLE_VALUES = """WITH c AS (
+  SELECT conv_id, string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, ''
+                             ORDER BY turn) AS t,
+         max(CASE WHEN role = 'system' THEN turn END) AS s, max(CASE WHEN role = 'user' THEN turn END) AS u,
+         max(CASE WHEN role = 'assistant' THEN turn END) AS a
+  FROM conversations GROUP BY conv_id),
+m AS (SELECT *, regexp_full_match(t, 's?(ua)+') AS ok FROM c)
+SELECT conv_id, CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILURE' END AS status, CASE WHEN ok THEN s END AS system_turn,
+       CASE WHEN ok THEN u END AS user_turn, CASE WHEN ok THEN a END AS assistant_turn,
+       CASE WHEN ok AND s IS NOT NULL THEN 'led' WHEN ok THEN 'free' END AS form
+FROM m"""
+
+
 def chain_two_phase(spark, sf):
     pair = step("m1", F.lit(True)) >> step("m2", F.lit(True))
     second = match_chain(_events(spark, sf), [is_("click") >> is_("view"), pair], KEY,
@@ -1141,6 +1166,7 @@ def _entries() -> list[tuple[str, Callable, str | None]]:
         ("stream_match", stream_match, SQL_SEQ_TIMEOUT),
         ("branch_values", branch_values, SQL_BRANCH_VALUES),
         ("pair_events", pair_events, SQL_PAIR_EVENTS),
+        ("whole_values", whole_values, SQL_WHOLE_VALUES),
         ("nested_statuses", nested_statuses, SQL_NESTED_STATUSES),
         ("nested_days", nested_days, SQL_NESTED_DAYS),
         ("every_pattern", every_pattern, SQL_EVERY_PATTERN),

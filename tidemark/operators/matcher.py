@@ -29,7 +29,7 @@ from tidemark.functions.pattern import Captures, Pattern, has_value, value_colum
 from tidemark.plans.automaton import (
     AMBIGUOUS, FAILURE, INCOMPLETE, START, STATUS_NAMES, SUCCESS, StepTable,
 )
-from tidemark.plans.captures import NONE, Capture, Registers, Tracker, loaded
+from tidemark.plans.captures import NONE, Capture, Registers, Tracker, dumped, joined, loaded, unknown
 from tidemark.plans.frames import apply_frames, map_frames, records
 
 STATUS_FIELDS = [
@@ -66,7 +66,7 @@ class _Prepared:
                  show: Column | None, captures: Sequence[str], where_key: Column | None,
                  on_ambiguity: str, carry: Sequence[str] = (),
                  time_col: str | None = None, timeout: str | int | None = None,
-                 want_show: bool = True):
+                 want_show: bool = True, project: bool | None = None):
         from tidemark.operators.windows import duration_micros, time_number
 
         self.table = StepTable(pattern, on_ambiguity)
@@ -79,7 +79,8 @@ class _Prepared:
             raise ValueError("order_by is required: a match needs a total order")
         #: columns to capture, then the steps' own
         self.captures = list(captures)
-        own = {} if want_show else {(s.name, n): c for s in pattern.steps() for n, c in s.project}
+        project = not want_show if project is None else project
+        own = {} if not project else {(s.name, n): c for s in pattern.steps() for n, c in s.project}
         self.carry = [c for c in carry if c not in self.keys + self.orders]
         if where_key is not None:
             df = df.filter(where_key)  # safe: a key filter never changes adjacency
@@ -601,6 +602,7 @@ def match_chain(df: DataFrame, patterns: Sequence[Pattern], partition_by, order_
 
 def match_whole(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
                 show: Column | None = None, where_key: Column | None = None,
+                capture: Sequence[str] = (), result: Callable[[dict], Column] | None = None,
                 strategy: str = "auto") -> DataFrame:
     """Does each key's whole ordered input match the pattern?
 
@@ -609,31 +611,48 @@ def match_whole(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     ``fail_step`` (1-based index of the first event that could not be taken,
     NULL if the input ran out first), ``fail_expected``, ``fail_got``.
 
+    ``capture``, ``result`` and the pattern's own columns and values as for
+    ``match_cut``: the columns ``<step>_<c>`` and ``result``, NULL on failure.
+
     Hot keys: each block is walked once from every state at the same time
     (walks in the same state merge); a per-key fold over the block
     summaries gives the answer, so no second pass is needed.
     """
     from tidemark.plans.skew import HotKeys
 
-    prep = _Prepared(df, pattern, partition_by, order_by, show, (), where_key,
-                     "reference")
+    prep = _Prepared(df, pattern, partition_by, order_by, show, capture, where_key,
+                     "reference", project=True)
     table = prep.table
     keys = prep.keys
+    flagged = result is None and has_value(pattern)
+    tracked = Tracker(table, prep.caps)
     fields = [prep.field[c] for c in keys] + [
         T.StructField("status", T.StringType()),
         T.StructField("n_events", T.LongType()),
         T.StructField("fail_step", T.LongType()),
         T.StructField("fail_expected", T.StringType()),
         T.StructField("fail_got", T.StringType()),
-    ]
+    ] + [T.StructField(c.name, prep.df.schema[f"_cap{c.index}"].dataType) for c in prep.caps]
+    if flagged:
+        fields.append(T.StructField("_flags", T.LongType()))
     schema = T.StructType(fields)
+
+    def valued(out: DataFrame) -> DataFrame:
+        done = F.col("status") == "SUCCESS"
+        if result is not None:
+            return out.withColumn("result", F.when(done, result(Captures(prep.named))))
+        if not flagged:
+            return out
+        value = value_column(pattern, prep.named, lambda node, i: F.col("_flags").bitwiseAND(F.lit(table.flag(node, i))) != 0)
+        return out.withColumn("result", F.when(done, value)).drop("_flags")
+
     hk = None
     if strategy != "plain":
         hk = HotKeys(prep.src, keys, prep.orders, force=strategy == "block")
-    kernel = _whole_kernel(table, keys, prep.has_show, [f.name for f in fields])
-    empty = dict(zip(schema.names[len(keys):], _whole_finish(table, (), START, 0, None)))
+    kernel = _whole_kernel(tracked, keys, prep.has_show, schema.names, flagged)
+    empty = dict(zip(schema.names[len(keys):], _whole_finish(tracked, (), START, 0, None, NONE, flagged)))
     if not hk:
-        return _or_if_empty(map_frames(prep.sorted(), kernel, schema), prep, schema, empty)
+        return valued(_or_if_empty(map_frames(prep.sorted(), kernel, schema), prep, schema, empty))
     cold, hot = hk.split(prep.df)
     out_cold = map_frames(cold.repartition(*keys).sortWithinPartitions(*keys, *prep.orders),
                           kernel, schema) if keys else None
@@ -642,31 +661,39 @@ def match_whole(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
         T.StructField("_blk", T.LongType()), T.StructField("q", T.IntegerType()),
         T.StructField("end_q", T.IntegerType()), T.StructField("n", T.LongType()),
         T.StructField("fail_i", T.LongType()), T.StructField("fail_expected", T.StringType()),
-        T.StructField("fail_got", T.StringType())])
+        T.StructField("fail_got", T.StringType()), T.StructField("paths", T.BinaryType())])
     summary = map_frames(
         hot.withColumnRenamed("_sk_blk", "_blk")
         .repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", *prep.orders),
-        _whole_summary(table, keys, prep.has_show), sum_schema)
+        _whole_summary(tracked, keys, prep.has_show), sum_schema)
     group = keys if keys else [F.lit(0).alias("_all")]
     out_hot = apply_frames(
-        summary.groupBy(*group), _whole_compose(table, keys, [f.name for f in fields]), schema)
-    return out_hot if out_cold is None else out_cold.unionByName(out_hot)
+        summary.groupBy(*group), _whole_compose(tracked, keys, schema.names, flagged), schema)
+    return valued(out_hot if out_cold is None else out_cold.unionByName(out_hot))
 
 
-def _whole_finish(table: StepTable, key, state, n, fail):
+def _whole_finish(tracked: Tracker, key, state, n, fail, paths, flagged: bool):
+    table = tracked.table
+    nothing = (None,) * (tracked.n + flagged)
     if fail is not None:
-        return key + ("FAILURE", n) + fail
-    paths = table.accepting_paths(state)
-    if paths == 1:
-        return key + ("SUCCESS", n, None, None, None)
-    exp = table.expected(state) if paths == 0 else "global ambiguity"
-    return key + ("FAILURE", n, None, exp, "<end of input>")
-
+        return key + ("FAILURE", n) + fail + nothing
+    ways = table.accepting_paths(state)
+    if ways == 1:
+        i = table.accepting_index(state) if state != START else -1
+        # without events only constants and choices of nothing have a value
+        got = paths[i] if i >= 0 and tracked.on else NONE[0]
+        captured = tuple(_norm(got.values.get(j)) for j in range(tracked.n))
+        return key + ("SUCCESS", n, None, None, None) + captured + ((got.flags,) if flagged else ())
+    exp = table.expected(state) if ways == 0 else "global ambiguity"
+    return key + ("FAILURE", n, None, exp, "<end of input>") + nothing
+
+
+def _whole_kernel(tracked: Tracker, keys, has_show: bool, names, flagged: bool):
+    table = tracked.table
 
-def _whole_kernel(table: StepTable, keys, has_show: bool, names):
     def kernel(it):
         prev_key = None
-        state, n_ev, fail = START, 0, None
+        state, n_ev, fail, paths = START, 0, None, NONE
         for pdf in it:
             n = len(pdf)
             if n == 0:
@@ -674,14 +701,15 @@ def _whole_kernel(table: StepTable, keys, has_show: bool, names):
             newk, kcols = _group_starts(pdf, keys, prev_key)
             sym = pdf["_sym"].to_numpy().tolist()
             shown = pdf["_show"].tolist() if has_show else None
+            ccols = _captured(pdf)
             newk_l = newk.tolist()
             rows = []
             for i in range(n):
                 if newk_l[i]:
                     if prev_key is not None:
-                        rows.append(_whole_finish(table, prev_key, state, n_ev, fail))
+                        rows.append(_whole_finish(tracked, prev_key, state, n_ev, fail, paths, flagged))
                     prev_key = tuple(_norm(c[i]) for c in kcols) if keys else ()
-                    state, n_ev, fail = START, 0, None
+                    state, n_ev, fail, paths = START, 0, None, NONE
                 n_ev += 1
                 if fail is not None:
                     continue
@@ -690,37 +718,41 @@ def _whole_kernel(table: StepTable, keys, has_show: bool, names):
                     fail = (n_ev, table.expected(state),
                             shown[i] if shown is not None else None)
                 else:
+                    if tracked.on:
+                        paths = tracked.step(state, sym[i], paths, ccols, i, restart=False)
                     state = nxt
             if rows:
                 yield records(rows, columns=names)
         if prev_key is not None:
             yield records(
-                [_whole_finish(table, prev_key, state, n_ev, fail)], columns=names)
+                [_whole_finish(tracked, prev_key, state, n_ev, fail, paths, flagged)], columns=names)
 
     return kernel
 
 
-def _whole_summary(table: StepTable, keys, has_show: bool):
-    """Per (key, block) and start state: end state (-1 dead), rows, and
-    where and why the walk died."""
+def _whole_summary(tracked: Tracker, keys, has_show: bool):
+    """Per (key, block) and start state: end state (-1 dead), rows, where and why
+    the walk died, and the changes to the registers of its paths."""
+    table = tracked.table
     gkeys = keys + ["_blk"]
     n_states = len(table.states)
-    cols = list(keys) + ["_blk", "q", "end_q", "n", "fail_i", "fail_expected", "fail_got"]
+    cols = list(keys) + ["_blk", "q", "end_q", "n", "fail_i", "fail_expected", "fail_got", "paths"]
 
-    def flush(gkey, cur, fails, n):
+    def flush(gkey, cur, fails, n, paths):
         out = []
         for q in range(n_states):
             f = fails.get(q)
             if f is not None:
-                out.append(gkey + (q, -1, n) + f)
+                out.append(gkey + (q, -1, n) + f + (None,))
             else:
-                out.append(gkey + (q, cur[q], n, None, None, None))
+                out.append(gkey + (q, cur[q], n, None, None, None, dumped(paths[q]) if tracked.on else None))
         return out
 
     def kernel(it):
         gkey = None
         cur: list[int] = []
         fails: dict[int, tuple] = {}
+        paths: list[list[Registers]] = []
         n = 0
         for pdf in it:
             if len(pdf) == 0:
@@ -728,14 +760,16 @@ def _whole_summary(table: StepTable, keys, has_show: bool):
             newk, gcols = _group_starts(pdf, gkeys, gkey)
             sym = pdf["_sym"].to_numpy().tolist()
             shown = pdf["_show"].tolist() if has_show else None
+            ccols = _captured(pdf)
             newk_l = newk.tolist()
             rows = []
             for i in range(len(pdf)):
                 if newk_l[i]:
                     if gkey is not None:
-                        rows.extend(flush(gkey, cur, fails, n))
+                        rows.extend(flush(gkey, cur, fails, n, paths))
                     gkey = tuple(_norm(c[i]) for c in gcols)
                     cur, fails, n = list(range(n_states)), {}, 0
+                    paths = [unknown(table, q) if tracked.on else NONE for q in range(n_states)]
                     live = {q: [q] for q in range(n_states)}  # state -> start states
                 n += 1
                 y = sym[i]
@@ -748,6 +782,9 @@ def _whole_summary(table: StepTable, keys, has_show: bool):
                             fails[q] = f
                     else:
                         nxt_live.setdefault(t, []).extend(starts)
+                        if tracked.on:
+                            for q in starts:
+                                paths[q] = tracked.step(s_, y, paths[q], ccols, i, restart=False)
                 live = nxt_live
                 for s_, starts in live.items():
                     for q in starts:
@@ -755,17 +792,17 @@ def _whole_summary(table: StepTable, keys, has_show: bool):
             if rows:
                 yield records(rows, columns=cols)
         if gkey is not None:
-            yield records(flush(gkey, cur, fails, n), columns=cols)
+            yield records(flush(gkey, cur, fails, n, paths), columns=cols)
 
     return kernel
 
 
-def _whole_compose(table: StepTable, keys, names):
+def _whole_compose(tracked: Tracker, keys, names, flagged: bool):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_blk", "q"], kind="stable")
         key = tuple(_norm(pdf[k].iloc[0]) for k in keys)
         by_blk = {b: g for b, g in pdf.groupby("_blk", sort=True)}
-        state, n, fail = START, 0, None
+        state, n, fail, paths = START, 0, None, NONE
         for b in sorted(by_blk):
             g = by_blk[b]
             nb = int(g["n"].iloc[0])
@@ -776,9 +813,10 @@ def _whole_compose(table: StepTable, keys, names):
                             _norm(r["fail_got"]))
                 else:
                     state = int(r["end_q"])
+                    if r["paths"] is not None:
+                        paths = joined(paths, loaded(r["paths"]))
             n += nb
-        return records([_whole_finish(table, key, state, n, fail)],
-                                         columns=names)
+        return records([_whole_finish(tracked, key, state, n, fail, paths, flagged)], columns=names)
 
     return fn
 

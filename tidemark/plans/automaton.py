@@ -101,6 +101,7 @@ class StepTable:
         self._expected: list[str | None] = [self._expected_of(self.states[0])]
         self._open: dict[tuple[int, int], int] = {}
         self._sources: dict[tuple[int, int], tuple] = {}
+        self._open_sources: dict[tuple[int, int], tuple] = {}
 
     # -- construction -----------------------------------------------------
     def _pred(self, c: Column) -> int:
@@ -293,6 +294,24 @@ class StepTable:
         self._open[key] = hit
         return hit
 
+    def open_sources(self, s: int, sym: int) -> tuple[tuple[int, int], ...]:
+        """As ``sources`` for ``advance``: where each live position of the next state
+        comes from, in the state's order."""
+        key = (s, sym)
+        hit = self._open_sources.get(key)
+        if hit is None:
+            new: dict[int, int] = {}
+            for i, (p, _) in enumerate(self.states[s]):
+                for q in self.follow[p]:
+                    if sym & self._bit[q]:
+                        new.setdefault(q, i)
+            hit = self._open_sources[key] = tuple(sorted(new.items()))
+        return hit
+
+    def accepting_index(self, s: int) -> int:
+        """Index in ``states[s]`` of the path that ends there; -1 for none."""
+        return next((i for i, (q, _) in enumerate(self.states[s]) if q in self.last), -1)
+
     def _complete(self, step: Callable[[int, int], object], present: Callable[[], list[int]]) -> int:
         """Number every state that ``step`` reaches, before the table is shipped.
 

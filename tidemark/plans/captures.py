@@ -60,10 +60,12 @@ class Tracker:
         #: nothing to track: callers skip the work
         self.on = bool(captures) or any(p.took for p in table.positions)
 
-    def step(self, state: int, sym: int, paths: list[Registers], columns: list, i: int) -> list[Registers]:
-        """Registers after event ``i``; of the match alone if it ends here."""
+    def step(self, state: int, sym: int, paths: list[Registers], columns: list, i: int,
+             restart: bool = True) -> list[Registers]:
+        """Registers after event ``i``; of the match alone if it ends here.  Without
+        ``restart`` nothing ends before the input does."""
         out = []
-        for q, src in self.table.sources(state, sym):
+        for q, src in (self.table.sources if restart else self.table.open_sources)(state, sym):
             old = paths[src]
             got = self.at.get(q)
             values = old.values
