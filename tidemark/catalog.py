@@ -1094,6 +1094,61 @@ SELECT s.user_id, CAST(s.day AS VARCHAR) AS day FROM spine s
 WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.user_id = s.user_id AND y.day = s.day AND y.event_type = 'click' AND y.t1 = 'view')"""
 
 
+def _streamed(spark, sf, make, operators: int = 1):
+    """``make(stream, delay, end)`` over the events as a file stream, to its end."""
+    from tidemark.streaming.stateful import measured_delay, run_stream
+
+    path = f"{sf.rstrip('/')}/events.parquet"
+    delay = measured_delay(spark, path, "ts")
+    return run_stream(spark, path, lambda s, end: make(s, delay, end), operators=operators)
+
+
+def stream_tumbling(spark, sf):
+    from tidemark.streaming.windows import stream_windows
+
+    return _streamed(spark, sf, lambda s, delay, end: stream_windows(
+        s, "ts", "6h", None, ["event_type"], [F.count(F.lit(1)).alias("n"), cents(F.sum("value")).alias("total_cents")], delay, end))
+
+
+def stream_cascade(spark, sf):
+    from tidemark.streaming.windows import stream_cascading
+
+    return _streamed(spark, sf, lambda s, delay, end: stream_cascading(s, "ts", "1h", "1d", [], delay, end), operators=2)
+
+
+def stream_ack(spark, sf):
+    """P17 in a stream: errors with the first signup of the user within two days."""
+    from tidemark.streaming.windows import stream_first_after
+
+    out = _streamed(spark, sf, lambda s, delay, end: stream_first_after(
+        s, et() == "error", et() == "signup", KEY, ORDER, ["event_id"], "ts", "2d", delay, end))
+    return out.select(KEY, F.col("event_id").alias("error_event_id"), F.col("next_event_id").alias("ack_event_id"))
+
+
+SQL_STREAM_ACK = """SELECT a.user_id, a.event_id AS error_event_id,
+       (SELECT arg_min(b.event_id, row(b.ts, b.event_id)) FROM events b
+        WHERE b.user_id = a.user_id AND b.event_type = 'signup' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 DAY
+          AND (b.ts > a.ts OR b.event_id > a.event_id)) AS ack_event_id
+FROM events a WHERE a.event_type = 'error'"""
+
+
+def stream_sessions(spark, sf):
+    """P12 in a stream: sessions of a user that end with an hour without an event."""
+    from tidemark.streaming.fold import stream_fold
+
+    def step_(st, row):
+        return ((row["event_id"], 1, row["value"]) if st is None else (st[0], st[1] + 1, st[2] + row["value"])), []
+
+    schema = T.StructType([T.StructField("first_event_id", T.LongType()), T.StructField("n_events", T.LongType()),
+                           T.StructField("total_cents", T.LongType())])
+    return _streamed(spark, sf, lambda s, delay, end: stream_fold(
+        s, KEY, ORDER, ["event_id", "value"], lambda: None, step_,
+        lambda st: [] if st is None else [(st[0], st[1], round(st[2] * 100))], schema, "ts", idle="1h", delay=delay, end=end))
+
+
+SQL_STREAM_SESSIONS = f"""SELECT user_id, first_event_id, n_events, total_cents FROM ({SQL_STATEFUL_FOLD}) AS s"""
+
+
 def branch_values(spark, sf):
     out = match_cut(_events(spark, sf), is_("click").as_(1) | is_("purchase").as_(2), KEY, ORDER)
     return out.select(KEY, "match_no", F.col("start_event_id").alias("event_id"), "alt", "result")
@@ -1167,6 +1222,10 @@ def _entries() -> list[tuple[str, Callable, str | None]]:
         ("branch_values", branch_values, SQL_BRANCH_VALUES),
         ("pair_events", pair_events, SQL_PAIR_EVENTS),
         ("whole_values", whole_values, SQL_WHOLE_VALUES),
+        ("stream_tumbling", stream_tumbling, SQL_TUMBLING),
+        ("stream_cascade", stream_cascade, SQL_CASCADING),
+        ("stream_ack", stream_ack, SQL_STREAM_ACK),
+        ("stream_sessions", stream_sessions, SQL_STREAM_SESSIONS),
         ("nested_statuses", nested_statuses, SQL_NESTED_STATUSES),
         ("nested_days", nested_days, SQL_NESTED_DAYS),
         ("every_pattern", every_pattern, SQL_EVERY_PATTERN),

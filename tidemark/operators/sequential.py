@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tidemark.functions.pattern import Pattern
 from tidemark.operators.matcher import _as_list, _group_starts, _norm
 from tidemark.plans.automaton import START, SUCCESS, StepTable
-from tidemark.plans.frames import map_frames, records
+from tidemark.plans.frames import apply_frames, map_frames, records
 from tidemark.plans.skew import HotKeys, _with_blocks
 
 
@@ -152,7 +152,8 @@ def _nested_kernel(keys, gkeys, orders, final, blocks: bool = False):
 def fold(df: DataFrame, partition_by, order_by, columns: Sequence[str],
          init: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, list]],
          end: Callable[[Any], list], schema: T.StructType, *,
-         reset: Column | None = None, strategy: str = "auto") -> DataFrame:
+         reset: Column | None = None, combine: Callable[[Any, Any], Any] | None = None,
+         strategy: str = "auto") -> DataFrame:
     """P12 (our definition): per key, in order, ``state, rows = step(state,
     row)`` for every event, then ``end(state)`` at the end of the key.
     Emitted rows are tuples for ``schema`` *without* the key columns, which
@@ -162,8 +163,14 @@ def fold(df: DataFrame, partition_by, order_by, columns: Sequence[str],
     running state is ended (``end`` is called) and started again with
     ``init()``.  Segments between resets are then independent, so a hot key
     is split: its blocks are walked from their first reset row, and each
-    block's head is walked with the previous block that has one.  Without
-    ``reset`` a key is one sequential walk (one task per key).
+    block's head is walked with the previous block that has one.
+
+    ``combine`` (optional): the state after some events and then others, from the
+    state after the first and the state of the others alone, folded from
+    ``init()``.  A hot key's blocks are then folded apart, combined in order to the
+    state each begins with, and walked again from it for their rows.  States
+    must pickle.  Without either a key is one sequential walk (one task per key).
+    A stream form is ``tidemark.streaming.fold``.
     """
     keys, orders = _as_list(partition_by), _as_list(order_by)
     cols = list(dict.fromkeys(list(columns)))
@@ -171,23 +178,70 @@ def fold(df: DataFrame, partition_by, order_by, columns: Sequence[str],
     src = df.select(*sel, *([F.coalesce(reset, F.lit(False)).alias("_reset")]
                             if reset is not None else []))
     out_schema = T.StructType([df.schema[k] for k in keys] + list(schema.fields))
+    names = [f.name for f in out_schema.fields]
     hk = None
-    if reset is not None and strategy != "plain":
+    if (reset is not None or combine is not None) and strategy != "plain":
         hk = HotKeys(df, keys, orders, force=strategy == "block")
-    kern = _fold_kernel(keys, keys, cols, init, step, end, [f.name for f in out_schema.fields],
-                        reset is not None)
+    kern = _fold_kernel(keys, keys, cols, init, step, end, names, reset is not None)
     if not hk:
         return map_frames(_sorted(src, keys, orders), kern, out_schema)
     cold, hot = hk.split(src)
     out_cold = map_frames(_sorted(cold, keys, orders), kern, out_schema)
-    homed = _rehome(hot, keys, orders, F.col("_reset"), hk)
-    hot_kern = _fold_kernel(keys, keys + ["_home"], cols, init, step, end,
-                            [f.name for f in out_schema.fields], True)
-    out_hot = map_frames(homed.repartition(*keys, "_home").sortWithinPartitions(*keys, "_home", *orders),
-                         hot_kern, out_schema)
+    if reset is not None:
+        homed = _rehome(hot, keys, orders, F.col("_reset"), hk)
+        part = homed.repartition(*keys, "_home").sortWithinPartitions(*keys, "_home", *orders)
+        hot_kern = _fold_kernel(keys, keys + ["_home"], cols, init, step, end, names, True)
+    else:
+        part = _with_states(hot, src, keys, orders, cols, init, step, combine, hk)
+        hot_kern = _fold_kernel(keys, keys + ["_sk_blk"], cols, init, step, end, names, False, blocks=True)
+    out_hot = map_frames(part, hot_kern, out_schema)
     return out_cold.unionByName(out_hot) if keys else out_hot
 
 
+def _with_states(hot: DataFrame, src: DataFrame, keys, orders, cols, init, step, combine, hk) -> DataFrame:
+    """The blocked rows in order, each block's with the state it begins with
+    (``_m_state``) and whether it is its key's last (``_m_last``)."""
+    import pickle
+
+    gkeys = keys + ["_sk_blk"]
+    part = hot.repartition(*gkeys).sortWithinPartitions(*gkeys, *orders)
+    key_fields = [src.schema[k] for k in keys] + [T.StructField("_sk_blk", T.LongType())]
+
+    def alone(it):
+        """Every block folded from ``init()``."""
+        gkey = state = None
+        for flags, kv, vals, n in _keyed_rows(it, gkeys, cols):
+            rows = []
+            for i in range(n):
+                if flags[i]:
+                    if gkey is not None:
+                        rows.append(gkey + (pickle.dumps(state),))
+                    gkey, state = tuple(_norm(c[i]) for c in kv), init()
+                state, _ = step(state, {c: v[i] for c, v in zip(cols, vals)})
+            if rows:
+                yield records(rows, gkeys + ["state"])
+        if gkey is not None:
+            yield records([gkey + (pickle.dumps(state),)], gkeys + ["state"])
+
+    def before(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_sk_blk", kind="stable")
+        key = tuple(_norm(pdf[k].iloc[0]) for k in keys)
+        blocks, states = pdf["_sk_blk"].tolist(), pdf["state"].tolist()
+        now, out = pickle.dumps(init()), []
+        for j, (blk, state) in enumerate(zip(blocks, states)):
+            out.append(key + (int(blk), now, j == len(blocks) - 1))
+            now = pickle.dumps(combine(pickle.loads(now), pickle.loads(state)))
+        return records(out, gkeys + ["_m_state", "_m_last"])
+
+    folded = map_frames(part, alone, T.StructType([*key_fields, T.StructField("state", T.BinaryType())]))
+    group = keys if keys else [F.lit(0).alias("_all")]
+    marks = apply_frames(folded.groupBy(*group), before, T.StructType(
+        [*key_fields, T.StructField("_m_state", T.BinaryType()), T.StructField("_m_last", T.BooleanType())]))
+    marks = marks.select(*[F.col(c).alias(f"_sk_h{i}") for i, c in enumerate(gkeys)], "_m_state", "_m_last")
+    same = [part[c].eqNullSafe(marks[f"_sk_h{i}"]) for i, c in enumerate(gkeys)]
+    return part.join(marks, same).select(*[part[c] for c in part.columns], "_m_state", "_m_last").sortWithinPartitions(*gkeys, *orders)
+
+
 def _rehome(hot: DataFrame, keys, orders, restart: Column, hk) -> DataFrame:
     """Assign each hot row the block whose walk takes it: its own block from
     the block's first restart row on, else the previous block that has a
@@ -209,22 +263,28 @@ def _rehome(hot: DataFrame, keys, orders, restart: Column, hk) -> DataFrame:
             .drop("_fr", "_prev_home", "_first", "_sk_blk"))
 
 
-def _fold_kernel(keys, gkeys, cols, init, step, end, names, has_reset: bool):
+def _fold_kernel(keys, gkeys, cols, init, step, end, names, has_reset: bool, blocks: bool = False):
+    """``blocks``: each group begins with the state in ``_m_state``, and only a key's
+    last one ends it."""
+    import pickle
+
     nk = len(keys)
+    extra = (["_reset"] if has_reset else []) + (["_m_state", "_m_last"] if blocks else [])
 
     def kernel(it):
         gkey = None
         state = None
-        for flags, kv, vals, n in _keyed_rows(it, gkeys, cols + (["_reset"] if has_reset
-                                                                  else [])):
-            resets = vals[-1] if has_reset else None
+        last = True
+        for flags, kv, vals, n in _keyed_rows(it, gkeys, cols + extra):
+            resets = vals[len(cols)] if has_reset else None
             rows = []
             for i in range(n):
                 if flags[i]:
-                    if gkey is not None:
+                    if gkey is not None and last:
                         rows.extend(gkey[:nk] + tuple(r) for r in end(state))
                     gkey = tuple(_norm(c[i]) for c in kv)
-                    state = init()
+                    state = pickle.loads(vals[-2][i]) if blocks else init()
+                    last = bool(vals[-1][i]) if blocks else True
                 elif resets is not None and resets[i]:
                     rows.extend(gkey[:nk] + tuple(r) for r in end(state))
                     state = init()
@@ -232,7 +292,7 @@ def _fold_kernel(keys, gkeys, cols, init, step, end, names, has_reset: bool):
                 rows.extend(gkey[:nk] + tuple(r) for r in emitted)
             if rows:
                 yield records(rows, columns=names)
-        if gkey is not None:
+        if gkey is not None and last:
             rows = [gkey[:nk] + tuple(r) for r in end(state)]
             if rows:
                 yield records(rows, columns=names)

@@ -68,6 +68,18 @@ def _clamped(t: int) -> int:
     return min(max(t, FIRST_MICROS), LAST_MICROS)
 
 
+def watermarked(ev: DataFrame, t: Column, delay: str | int, end: DataFrame | None) -> DataFrame:
+    """``ev`` with its time ``t`` (micros) as the watermark column ``_wm``, without rows that
+    have no time, and the rows of ``end`` (``_end``), which move the watermark past all."""
+    ev = ev.where(t.isNotNull()).select("*", F.timestamp_micros(F.least(F.greatest(t, F.lit(FIRST_MICROS)), F.lit(LAST_MICROS))).alias("_wm"),
+                                        F.lit(False).alias("_end"))
+    if end is not None:
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in ev.schema if f.name not in ("_wm", "_end")]
+        ev = ev.unionByName(end.select(*blank, F.timestamp_micros(F.lit(_END_MICROS)).alias("_wm"), F.lit(True).alias("_end")))
+    # rows as late as the watermark itself are dropped: a millisecond keeps those at the edge
+    return ev.withWatermark("_wm", f"{(duration_micros(delay) + 999) // 1000 + 1} milliseconds")
+
+
 class _Open:
     """The open attempt of a key: only plain values, so any process can go on with it."""
 
@@ -110,18 +122,11 @@ def _stream(stream: DataFrame, pattern: Pattern, partition_by, order_by, mode: s
     if has_show:
         shown = prep.df.select("_show")  # checks the expression
         sent.append((show if show is not None else _default(pattern)).cast("string").alias(shown.columns[0]))
-    if not by_clock:
+    if by_clock:
+        ev = stream.select(*sent, F.lit(False).alias("_end"))
+    else:
         t = time_number(time_col, stream)
-        sent += [t.cast("decimal(20,0)").alias("_t"),
-                 F.timestamp_micros(F.least(F.greatest(t, F.lit(FIRST_MICROS)), F.lit(LAST_MICROS))).alias("_wm")]
-    ev = stream.select(*sent, F.lit(False).alias("_end"))
-    if not by_clock:
-        ev = ev.where("_t is not null")
-        if end is not None:
-            blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in ev.schema if f.name not in ("_wm", "_end")]
-            ev = ev.unionByName(end.select(*blank, F.timestamp_micros(F.lit(_END_MICROS)).alias("_wm"), F.lit(True).alias("_end")))
-        # rows as late as the watermark itself are dropped: a millisecond keeps those at the edge
-        ev = ev.withWatermark("_wm", f"{(duration_micros(delay) + 999) // 1000 + 1} milliseconds")
+        ev = watermarked(stream.select(*sent, t.cast("decimal(20,0)").alias("_t")), F.col("_t").cast("long"), delay, end)
 
     fields = [T.StructField(k, types[k]) for k in keys]
     if mode == "cut":
@@ -220,7 +225,8 @@ def stream_match_cut(stream: DataFrame, pattern: Pattern, partition_by, order_by
 
     Output: key columns, ``match_no``, ``start_<o>``, ``end_<o>``, ``n_events``,
     ``alt`` and the captures as in ``match_cut``; timestamps as epoch micros.
-    ``delay``: how far out of order rows may come.
+    ``delay``: how far out of order rows may come; a key's rows of that span are its
+    state, so give streams of hot keys a short one (``in_time_order``).
     """
     return _stream(stream, pattern, partition_by, order_by, "cut", time_col, timeout, delay, forget, capture, None,
                    on_ambiguity, end)
@@ -260,9 +266,33 @@ def disorder(df: DataFrame, time_col: str) -> int:
     return files.select((F.max("hi").over(so_far) - F.col("lo")).alias("back")).agg(F.coalesce(F.max("back"), F.lit(0))).first()[0]
 
 
+def one_batch(df: DataFrame, files_per_batch: int) -> bool:
+    """Is a file source read in one micro-batch, in which no row can be late?"""
+    return len(df.inputFiles()) <= files_per_batch
+
+
+def in_time_order(spark: SparkSession, path: str, time_col: str, slices: int = 16) -> str:
+    """A folder with the rows of ``path`` as slices of time, written one after another, so
+    that a stream over it goes forward in time and rows wait for one slice at most.
+
+    The slices' bounds are approximate quantiles of the time; each slice is one
+    distributed write of the rows between two bounds (a filter on the scan).  Rows
+    without a time come first.
+    """
+    df = spark.read.parquet(glob_of(path))
+    t = time_number(time_col, df)
+    cuts = df.select(t.alias("t")).agg(F.percentile_approx("t", [i / slices for i in range(1, slices)], 1000)).first()[0] or []
+    cuts = sorted(set(cuts))
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ordered-{uuid.uuid4().hex}"
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = df.where(F.lit(True) if lo is None else t >= lo).where(F.lit(True) if hi is None else F.coalesce(t < hi, F.lit(True)))
+        part.write.mode("append").parquet(folder)
+    return folder
+
+
 def run_stream(spark: SparkSession, path: str, make: Callable[[DataFrame, DataFrame], DataFrame], *,
                output: str | None = None, checkpoint: str | None = None, files_per_batch: int = 1,
-               state_partitions: int | None = None, event_time: bool = True) -> DataFrame:
+               state_partitions: int | None = None, event_time: bool = True, operators: int = 1) -> DataFrame:
     """Run ``make(stream, end)`` over the Parquet files of ``path`` (a file, a folder
     or a pattern) until all input there now is processed, then tell it that the
     input has ended, which moves the watermark past all rows that wait; return
@@ -273,7 +303,10 @@ def run_stream(spark: SparkSession, path: str, make: Callable[[DataFrame, DataFr
     is kept in ``state_partitions`` partitions (default: the cluster's
     parallelism), fixed for the life of the checkpoint; the query runs in a
     child session so the caller's settings are untouched.  ``event_time=False``
-    is for streams matched by the clock, which keep no rows waiting.
+    is for streams matched by the clock, which keep no rows waiting.  Input that
+    is one micro-batch is told of its end in that batch, in one run.  ``operators``:
+    stateful operators that hand rows on to each other; each takes a run of its
+    own to give out what the one before held back.
     """
     run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     output, checkpoint = output or f"{run}/out", checkpoint or f"{run}/chk"
@@ -285,7 +318,8 @@ def run_stream(spark: SparkSession, path: str, make: Callable[[DataFrame, DataFr
     child.range(0).write.mode("ignore").parquet(ends)
     if not event_time:  # timeouts by the clock ask for one empty batch after another
         child.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    for last in (False, True) if event_time else (False,):
+    once = event_time and one_batch(child.read.parquet(source), files_per_batch)
+    for last in [False] * (not once) + [True] * (operators if event_time else 0):
         if last:
             child.range(1).write.mode("append").parquet(ends)
         src = child.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
@@ -296,13 +330,19 @@ def run_stream(spark: SparkSession, path: str, make: Callable[[DataFrame, DataFr
     return spark.read.schema(out.schema).parquet(output)
 
 
+def measured_delay(spark: SparkSession, path: str, time_col: str, files_per_batch: int = 1) -> int:
+    """The delay that keeps every row of the files: none in one micro-batch, else their ``disorder``."""
+    df = spark.read.parquet(glob_of(path))
+    return 0 if one_batch(df, files_per_batch) else disorder(df, time_col)
+
+
 def run_stream_match_cut(spark: SparkSession, path: str, pattern: Pattern, partition_by, order_by, time_col: str,
                          timeout: str | int | None = None, delay: str | int | None = None,
                          capture: Sequence[str] = (), **kw) -> DataFrame:
     """``stream_match_cut`` over the files of ``path`` (``run_stream``).  Without
     ``delay`` it is measured (``disorder``), so that no row is late."""
     if delay is None:
-        delay = disorder(spark.read.parquet(path), time_col)
+        delay = measured_delay(spark, path, time_col, kw.get("files_per_batch", 1))
     return run_stream(spark, path, lambda s, end: stream_match_cut(
         s, pattern, partition_by, order_by, time_col, timeout, delay, capture=capture, end=end), **kw)
 
@@ -311,6 +351,6 @@ def run_stream_match_events(spark: SparkSession, path: str, pattern: Pattern, pa
                             timeout: str | int | None = None, delay: str | int | None = None, **kw) -> DataFrame:
     """``stream_match_events`` over the files of ``path``, as ``run_stream_match_cut``."""
     if delay is None:
-        delay = disorder(spark.read.parquet(path), time_col)
+        delay = measured_delay(spark, path, time_col, kw.get("files_per_batch", 1))
     return run_stream(spark, path, lambda s, end: stream_match_events(
         s, pattern, partition_by, order_by, time_col, timeout, delay, end=end), **kw)
