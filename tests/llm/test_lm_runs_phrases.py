@@ -301,3 +301,28 @@ def test_products_beyond_64_bits(spark):
     got = spark.createDataFrame([(a, n, l, r)], "a long, n long, l long, r long").select(F.expr(
         "(cast(a as decimal(19,0)) * cast(n as decimal(19,0)) * 1000) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")).first()[0]
     assert got == 1000 * a * n // (l * r)
+
+
+def test_full_counters_give_out_rare_words(spark, tables, monkeypatch):
+    """Counts stay whole when a task's counter overflows many times."""
+    from tidemark.llm import common
+
+    c = Counter({"a": 5, "b": 1, "c": 1})
+    assert common.evicted(c) == {"b": 1, "c": 1} and c == {"a": 5}
+    assert common.evicted(c) == {"a": 5} and not c
+    docs = tables["sf"]
+    want = Counter(w.lower() for r in docs.select("text").collect() for w in _words(r.text))
+    monkeypatch.setattr(lattice, "_COUNTED", 50)
+    got = {r.word.encode(): r.c for r in lattice.word_counts(docs).collect()}
+    assert got.pop(b"") == docs.count() and got == want
+    monkeypatch.setattr(phrases, "_COUNTED", 50)
+    got = phrases.word_counts(docs.select("lang", "text"), "text", "lang").agg(F.sum("c")).first()[0]
+    assert got == sum(len(re.findall(r"[^\x20\x09.,;:!?\x0A-\x0D]+", r.text or "")) for r in docs.select("text").collect())
+
+
+def test_least_count_bounds_what_is_collected(spark):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate([1] * 50 + [2] * 20 + [7] * 5 + [100, 101, 5000])], "w long, c long")
+    from tidemark.llm.common import least_count
+
+    assert [least_count(df, "c", m) for m in (0, 2, 3, 8, 27, 28, 78, 1000)] == [1 << 62, 5000, 100, 7, 7, 2, 1, 1]
+    assert least_count(df.where("false"), "c", 10) == 1 << 62

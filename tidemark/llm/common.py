@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +75,30 @@ def text_key(col: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(col), F.lit(""))))
 
 
+def evicted(seen: Counter) -> dict:
+    """What a task's full counter gives out to make room: the keys met once, or all
+    where those are less than half; frequent keys stay and are given out once."""
+    rare = [k for k, n in seen.items() if n == 1]
+    out = dict.fromkeys(rare, 1) if 2 * len(rare) >= len(seen) else dict(seen)
+    for k in out:
+        del seen[k]
+    return out
+
+
+def least_count(counts: DataFrame, col: str, most: int) -> int:
+    """A count that at most ``most`` rows of ``counts`` reach, so that those rows may be
+    collected: of a histogram of a sixteenth of a binary order a bin, whose few
+    rows are all that comes to the driver, whatever the number of rows or tasks."""
+    bins = counts.groupBy(F.floor(F.log2(col) * 16).alias("bin")).agg(F.count("*").alias("n"), F.min(col).alias("least")).collect()
+    total, least = 0, 1 << 62
+    for r in sorted(bins, key=lambda r: -r.least):
+        total += r.n
+        if total > most:
+            break
+        least = r.least
+    return least
+
+
 # ---------------------------------------------------------------- word hashes
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

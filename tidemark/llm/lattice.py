@@ -29,15 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import mix, packed, unpacked, written
+from tidemark.llm.common import evicted, least_count, mix, packed, unpacked, written
 
 _INF = -np.inf
 #: Words of more bytes go through the recursion one by one.
 _LONG = 64
 #: Cells (words times bytes) of one vectorised recursion.
-_CELLS = 1 << 17
-#: Distinct words a task counts at once, and remembers the probabilities of.
-_COUNTED, _MEMORY = 1 << 19, 1 << 18
+_CELLS = 1 << 15
+#: Distinct words a task counts at once.
+_COUNTED = 1 << 17
 #: Words of texts that are scored together.
 _TOGETHER = 1 << 17
 
@@ -235,22 +235,20 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     Counted in every task first, so a word that fills the corpus is one row
     of each task.
     """
+    def batch(part: dict):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(part), pa.binary()).cast(pa.string()), pa.array(list(part.values()), pa.int64())], names=["word", "c"])
+
     def count(batches):
         seen: Counter[bytes] = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-
         for b in batches:
             for t in b.column(0):
                 seen.update(words_of(t.as_py()))
                 if len(seen) > _COUNTED:
-                    yield out()
-                    seen.clear()
+                    yield batch(evicted(seen))
             seen[b""] += b.num_rows
         if seen:
-            yield out()
+            yield batch(seen)
 
     rows = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(count, "word string, c long")
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
@@ -304,48 +302,66 @@ def _parts(column):
         yield first, texts
 
 
+def _with_log_p(words: DataFrame, pieces: list[bytes], log_p: np.ndarray) -> DataFrame:
+    """``words`` (.., word string, p double) with the nulls in ``p`` replaced by the word's
+    log probability."""
+    sent = words.sparkSession.sparkContext.broadcast((pieces, log_p))  # as many numbers as the vocabulary has pieces
+    at, to = words.columns.index("word"), words.columns.index("p")
+
+    def run(batches):
+        lattice = Lattice(*sent.value)
+        for b in batches:
+            p = b.column(to).to_numpy(zero_copy_only=False).copy()
+            new = np.flatnonzero(~b.column(to).is_valid().to_numpy(zero_copy_only=False))
+            p[new] = lattice.log_probability([w.encode() for w in b.column(at).take(pa.array(new)).to_pylist()])
+            cols = list(b.columns)
+            cols[to] = pa.array(p, pa.float64())
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    return words.mapInArrow(run, words.schema)
+
+
 def score_documents(docs: DataFrame, model: Model, text: str = "text", common: int = 100_000, longest: int = 40) -> DataFrame:
     """``docs`` without ``text``, with n_tokens, n_known, train_tokens, base_score and score.
 
     ``score``: log10 of the text's probability, the sum over all segmentations;
     ``base_score``: log10 under add-one counts of whole words.  Null and empty texts
-    are the end alone.  The ``common`` most frequent training words of at most ``longest``
-    bytes are sent to the tasks (a bound on their size); the other words of a text
-    meet their counts in a join, where no word is frequent.  Columns of ``docs`` with
-    the names of results give way to the results.
+    are the end alone.  Every training word's lattice is summed once.  The most
+    frequent ones, up to ``common`` of at most ``longest`` bytes, are sent to the tasks (a
+    bound on their size); the other words of a text meet theirs in a join, where no
+    word is frequent, and words that training lacks are summed there.  Columns of ``docs``
+    with the names of results give way to the results.
     """
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     kept = [c for c in docs.columns if c.lower() not in (*new, text.lower())]
     src = docs.select(packed(docs, kept), F.monotonically_increasing_id().alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
-    short = model.counts.where(F.octet_length("word") <= longest)
-    top = {r.word.encode(): r.c for r in short.orderBy(F.desc("c"), "word").limit(common).collect()}  # common x longest bytes
+    known = model.counts.select("word", "c", F.lit(None).cast("double").alias("p"))
+    known = written(_with_log_p(known.where("word <> ''"), model.pieces, model.log_p), "word-scores")
+    short = known.where(F.octet_length("word") <= longest)
+    top = {r.word.encode(): (float(np.log10(r.c + 1)), r.p)
+           for r in short.where(F.col("c") >= least_count(short, "c", common)).collect()}  # common x longest bytes
     end = model.counts.where("word = ''").select("c").first()
     end = end.c if end else 0
-    sent = docs.sparkSession.sparkContext.broadcast((model.pieces, model.log_p, model.log_end, top))
+    sent = docs.sparkSession.sparkContext.broadcast(top)
 
     def run(batches):
-        pieces, log_p, log_end, top = sent.value
-        lattice, memory = Lattice(pieces, log_p), {}
-        base = {w: float(np.log10(c + 1)) for w, c in top.items()}
+        base = {w: b for w, (b, _) in sent.value.items()}
+        score = {w: p for w, (_, p) in sent.value.items()}
         for b in batches:
             for first, texts in _parts(b.column(2)):
-                fresh = list({w for t in texts for w in t if w not in memory})
-                memory.update(zip(fresh, lattice.log_probability(fresh).tolist()))
-                n, known, known_base, score, rest, times = [], [], [], [], [], []
+                n, hit, known_base, known_score, rest, times = [], [], [], [], [], []
                 for t in texts:
                     hits = [v for v in map(base.get, t) if v is not None]
                     n.append(len(t) + 1)
-                    known.append(len(hits))
+                    hit.append(len(hits))
                     known_base.append(sum(hits))
-                    score.append((sum(map(memory.__getitem__, t)) + log_end) / np.log(10))
                     other = Counter(w for w in t if w not in base) if len(hits) < len(t) else {}
+                    known_score.append(sum(v for v in map(score.get, t) if v is not None))
                     rest.append([w.decode() for w in other])
                     times.append(list(other.values()))
-                if len(memory) > _MEMORY:
-                    memory.clear()
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, len(texts)), b.column(1).slice(first, len(texts)), pa.array(n, pa.int64()),
-                     pa.array(known, pa.int64()), pa.array(known_base, pa.float64()), pa.array(score, pa.float64()),
+                     pa.array(hit, pa.int64()), pa.array(known_base, pa.float64()), pa.array(known_score, pa.float64()),
                      pa.array(rest, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))],
                     names=["_in", "row", "n", "known", "base", "score", "rest", "times"])
 
@@ -353,12 +369,17 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", common: i
         "row long, n long, known long, base double, score double, rest array<string>, times array<long>").fields])
     scored = written(src.mapInArrow(run, schema), "scored")
     rest = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", "r.rest", "r.times")
-    found = (rest.join(model.counts, F.struct("rest") == F.struct("word"))  # dealt anew, so AQE can split a hot word
-             .groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_base")))
+    met = (rest.join(known, F.struct("rest") == F.struct("word"), "left")  # dealt anew, so AQE can split a hot word
+           .select("row", F.col("rest").alias("word"), "times", "c", "p"))
+    c = F.coalesce("c", F.lit(0))
+    found = (_with_log_p(met, model.pieces, model.log_p).groupBy("row")
+             .agg(F.sum(F.when(c > 0, F.col("times"))).alias("more"), F.sum(F.col("times") * F.log10(c + 1)).alias("more_base"),
+                  F.sum(F.col("times") * F.col("p")).alias("more_score")))
     scale = float(np.log10(model.tokens + model.distinct + 1))
     zero = F.lit(0.0)
     return scored.join(found, "row", "left").select(
         *unpacked(kept), F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("more", F.lit(0)) + F.lit(1 if end else 0)).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero) + F.lit(float(np.log10(end + 1))) - F.col("n") * F.lit(scale)).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("more_base", zero) + F.lit(float(np.log10(end + 1))) - F.col("n") * F.lit(scale)).alias("base_score"),
+        ((F.col("score") + F.coalesce("more_score", zero) + F.lit(model.log_end)) / F.lit(float(np.log(10)))).alias("score"))
