@@ -152,7 +152,8 @@ def match_events(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     ``carry`` columns ride along (NULL on end rows); keep them few.
     ``timeout`` (P13, our definition): an open attempt whose next event
     comes more than ``timeout`` after its last event (by ``time_col``) is
-    dropped, and that event is tried from the start.
+    dropped, and that event is tried from the start.  Next to an event without
+    a time there is no gap.
     """
     if final not in ("ended", "complete", "none"):
         raise ValueError("final must be 'ended', 'complete' or 'none'")
@@ -254,6 +255,8 @@ class _Carry:
             self.paths = loaded(pdf["_m_paths"].iat[i])
         if "_m_t" in pdf.columns:
             self.last_t = _norm(pdf["_m_t"].iat[i])
+            if self.last_t is not None:
+                self.last_t = int(self.last_t)
 
 
 def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
@@ -315,7 +318,7 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
                         carry.load_marker(pdf, i, 0)
                 state = carry.state
                 if tt is not None:
-                    if state != START and carry.last_t is not None \
+                    if state != START and carry.last_t is not None and tt[i] is not None \
                             and tt[i] - carry.last_t > timeout:
                         state = carry.state = START  # the open attempt timed out
                     carry.last_t = tt[i]
@@ -510,7 +513,7 @@ def _cut_kernel(tracked: Tracker, keys, orders, names, blocks: bool = False,
                         carry.load_marker(pdf, i, no)
                 state = carry.state
                 if tt is not None:
-                    if state != START and carry.last_t is not None \
+                    if state != START and carry.last_t is not None and tt[i] is not None \
                             and tt[i] - carry.last_t > timeout:
                         state = carry.state = START  # the open attempt timed out
                     carry.last_t = tt[i]
@@ -518,6 +521,8 @@ def _cut_kernel(tracked: Tracker, keys, orders, names, blocks: bool = False,
                     if not may_start[i]:
                         # spent at once; jump to the next row that can begin
                         i = nxt_c[i + 1] if i + 1 < n else n
+                        if tt is not None:
+                            carry.last_t = tt[i - 1]
                         continue
                     carry.steps = 0
                     carry.start = tuple(c[i] for c in ocols)

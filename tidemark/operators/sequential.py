@@ -320,6 +320,26 @@ def match_cut_timeout(df: DataFrame, pattern: Pattern, partition_by, order_by,
 # P18 many patterns in one pass
 # ---------------------------------------------------------------------------
 
+def _many_blocks(hot: DataFrame, patterns: dict[str, Pattern], keys, orders, n_blocks: int) -> list[DataFrame]:
+    """The matches of each pattern among rows cut into blocks (``_sk_blk``)."""
+    from tidemark.operators.matcher import _Prepared
+    from tidemark.plans import blockscan
+    from tidemark.plans.captures import Tracker
+
+    preps = {name: _Prepared(hot, p, keys, orders, None, (), None, "reference", want_show=False) for name, p in patterns.items()}
+    syms = [prep.table.symbol_column().alias(f"_sym{j}") for j, prep in enumerate(preps.values())]
+    part = (hot.select(*keys, *orders, *syms, F.col("_sk_blk").alias("_blk"))
+            .repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", *orders))
+    out = []
+    for j, (name, prep) in enumerate(preps.items()):
+        fields = [prep.field[c] for c in keys] + [T.StructField("match_no", T.LongType())]
+        fields += [T.StructField(pre + o, prep.field[o].dataType) for pre in ("start_", "end_") for o in orders]
+        fields += [T.StructField("n_events", T.LongType()), T.StructField("alt", T.StringType())]
+        m = blockscan.run(prep, "cut", T.StructType(fields), tracked=Tracker(prep.table, []), shared=(part, n_blocks, f"_sym{j}"))
+        out.append(m.select(*keys, F.lit(name).alias("pattern"), *[f.name for f in fields if f.name not in (*keys, "alt")]))
+    return out
+
+
 def match_many(df: DataFrame, patterns: dict[str, Pattern], partition_by,
                order_by, strategy: str = "auto") -> DataFrame:
     """P18 (our definition): several cut matchers over one read, one shuffle
@@ -327,21 +347,17 @@ def match_many(df: DataFrame, patterns: dict[str, Pattern], partition_by,
     columns, ``pattern``, ``match_no``, ``start_<o>``, ``end_<o>``,
     ``n_events``.
 
-    Hot keys: their rows are cut into blocks once, and each pattern's block
-    scan reads those; cold keys share the single pass.
+    Hot keys: their rows are cut into blocks once, dealt and sorted in one exchange
+    that all patterns' block scans read; cold keys share the single pass.
     """
-    from tidemark.operators.matcher import match_cut
     keys, orders = _as_list(partition_by), _as_list(order_by)
     if strategy != "plain":
         hk = HotKeys(df, keys, orders, force=strategy == "block")
         if hk:
             cold, hot = hk.split(df)
-            out = match_many(cold, patterns, keys, orders, strategy="plain")
-            for name, p in patterns.items():
-                m = match_cut(hot, p, keys, orders, strategy="block")
-                out = out.unionByName(m.select(*keys, F.lit(name).alias("pattern"),
-                                               *[c for c in out.columns
-                                                 if c not in keys and c != "pattern"]))
+            out = match_many(cold, patterns, keys, orders, strategy="plain") if keys else None
+            for m in _many_blocks(hot, patterns, keys, orders, hk.n_blocks):
+                out = m if out is None else out.unionByName(m)
             return out
     tables = {name: StepTable(p) for name, p in patterns.items()}
     syms = [t.symbol_column().alias(f"_sym{i}") for i, t in enumerate(tables.values())]

@@ -312,15 +312,34 @@ def rolling(df: DataFrame, time_col: str, length: str | int, partition_by,
     ``totals``: sums of columns over the range (``F.lit(1)`` counts; NULLs count
     as 0).  Each event enters the sum at its time and leaves it ``length``
     later, so one running total gives every range, in time linear in the rows
-    however wide the range is; exact for integers and decimals, and rounded
-    as sums of doubles are.  ``aggs``: any other aggregates, by a sliding
+    however wide the range is.  Exact for integers and decimals; sums of doubles
+    are exact too and rounded once (``tidemark.plans.exact``): NaN where the range
+    holds a NaN or both infinities.  ``aggs``: any other aggregates, by a sliding
     frame, whose time grows with the rows in the range.
     """
     lim = duration_micros(length)
     keys = _as_list(partition_by)
     out = df
+    names = list(totals or ())
+    probe = df.select(*[v.alias(n) for n, v in (totals or {}).items()]).schema
+    inexact = {n: v for n, v in (totals or {}).items() if isinstance(probe[n].dataType, (T.DoubleType, T.FloatType))}
+    totals = {n: v for n, v in (totals or {}).items() if n not in inexact}
+    if inexact:
+        from tidemark.plans import exact
+
+        t = time_number(time_col, df)
+        vals = [v.cast("double").alias(f"v{j}") for j, v in enumerate(inexact.values())]
+        steps = F.array(F.struct(t.alias("t"), F.lit(0).alias("left")), F.struct((t + lim).alias("t"), F.lit(1).alias("left")))
+        moves = df.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], *vals, F.explode(steps).alias("_s"))
+        moves = moves.select(*[f"_k{i}" for i in range(len(keys))], "_s.t", "_s.left", *[f"v{j}" for j in range(len(vals))])
+        sums = exact.range_sums(moves, [f"_k{i}" for i in range(len(keys))], len(vals), strategy)
+        sums = sums.withColumnsRenamed({"t": "_rt", **{f"v{j}": n for j, n in enumerate(inexact)}})
+        same = [F.col("_at").eqNullSafe(F.col("_rt"))] + [F.col(f"_in.`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_in"), t.alias("_at"))
+        out = rows.join(sums, same).select("_in.*", *inexact)
     if totals:
         t = time_number(time_col, df)
+        df = out
         rows = F.struct(*[F.col(f"`{c}`") for c in df.columns])
         vals = {f"_v{i}": F.coalesce(v, F.lit(0)) for i, v in enumerate(totals.values())}
         # an event leaves after the events of the time it was still in the range of
@@ -330,6 +349,8 @@ def rolling(df: DataFrame, time_col: str, length: str | int, partition_by,
         both = both.select(*[f"_k{i}" for i in range(len(keys))], "_s.*", F.when(F.col("_s.left") == 0, F.col("_in")).alias("_in"))
         both = _running_totals(both, [f"_k{i}" for i in range(len(keys))], ["t", "left"], list(vals), strategy)
         out = both.where("left = 0").select("_in.*", *[F.col(v).alias(n) for v, n in zip(vals, totals)])
+    if inexact and totals:
+        out = out.select(*[c for c in out.columns if c not in names], *names)
     if not aggs:
         return out
     time = time_number(time_col, df)

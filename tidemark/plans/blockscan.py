@@ -39,7 +39,10 @@ from tidemark.plans.skew import HotKeys, broadcast_blocks
 
 
 def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
-        tracked: Tracker | None = None, strategy: str = "auto") -> DataFrame:
+        tracked: Tracker | None = None, strategy: str = "auto",
+        shared: tuple[DataFrame, int, str] | None = None) -> DataFrame:
+    """``shared``: (rows of hot keys, cut and sorted by block, the number of blocks, the
+    symbol column): several patterns read one such frame, whose exchange Spark reuses."""
     from tidemark.operators import matcher as M
 
     keys, orders = prep.keys, prep.orders
@@ -61,7 +64,9 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
 
     if strategy == "plain":
         return plain(prep.df)
-    if "_sk_blk" in prep.df.columns:  # rows already cut into blocks
+    if shared is not None:
+        cold, hot_part, n_blocks = None, None, shared[1]
+    elif "_sk_blk" in prep.df.columns:  # rows already cut into blocks
         cold, hot_part, n_blocks = None, prep.df, prep.n_blocks
     else:
         hk = HotKeys(prep.src, keys, orders, force=strategy == "block")
@@ -70,10 +75,18 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         n_blocks = hk.n_blocks
         cold, hot_part = hk.split(prep.df)
         cold = cold if keys else None
-    table.complete_all(lambda: table.symbols_in(hot_part))
-    hot_part = hot_part.withColumnRenamed("_sk_blk", "_blk")
+    if shared is not None:
+        part, sym = shared[0], shared[2]
+        table.complete_all(lambda: table.symbols_in(part.withColumnRenamed(sym, "_sym")))
+    else:
+        table.complete_all(lambda: table.symbols_in(hot_part))
+        hot_part = hot_part.withColumnRenamed("_sk_blk", "_blk")
+        part, sym = hot_part.repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", *orders), "_sym"
 
-    part = hot_part.repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", *orders)
+    def named(fn):
+        """The kernel on frames whose symbol column has its own name: a projection
+        before the kernel would give every pattern an exchange of its own."""
+        return fn if sym == "_sym" else lambda it: fn(pdf.rename(columns={sym: "_sym"}) for pdf in it)
 
     # pass 1: block summaries for every start state
     sum_fields = [prep.field[k] for k in keys] + [
@@ -90,7 +103,7 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
       + [T.StructField("paths", T.BinaryType())]  # registers, as the kernels pickle them
     tracked = tracked or Tracker(table, [])
     summary = map_frames(
-        part, _summary_kernel(tracked, keys, orders, prep.timeout),
+        part, named(_summary_kernel(tracked, keys, orders, prep.timeout)),
         T.StructType(sum_fields))
 
     # per-key scan over blocks
@@ -120,7 +133,7 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
                               timeout=prep.timeout)
     else:
         fn = M._cut_kernel(tracked, keys, orders, schema.names, True, timeout=prep.timeout)
-    hot_out = map_frames(walked, fn, schema)
+    hot_out = map_frames(walked, named(fn), schema)
     if cold is None:
         return hot_out
     return plain(cold).unionByName(hot_out)
@@ -179,7 +192,8 @@ def _summary_kernel(tracked, keys, orders, timeout=None):
                     active = list(range(n_states))
                     t_first = t_last = tt[i]
                 # a gap longer than the timeout drops every open attempt
-                timed_out = timeout is not None and tt[i] - t_last > timeout
+                timed_out = (timeout is not None and tt[i] is not None and t_last is not None
+                             and tt[i] - t_last > timeout)
                 t_last = tt[i]
                 # walks that meet in the start state go on as one
                 at_start = [a for a in active if walks[a].state == START]
@@ -227,6 +241,7 @@ def _frame(rows, keys, orders) -> pd.DataFrame:
 
 def _compose(keys, n_orders: int, timeout=None):
     """Per key: fold the block summaries in block order (blocks, not rows)."""
+    from tidemark.operators.matcher import _norm
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_blk", "q"], kind="stable")
@@ -239,8 +254,7 @@ def _compose(keys, n_orders: int, timeout=None):
         n_match = pdf["n_match"].to_numpy().reshape(len(uniq), n_q)
         steps = pdf["steps"].to_numpy().reshape(len(uniq), n_q)
         started = pdf["started"].to_numpy().reshape(len(uniq), n_q)
-        t_first = pdf["t_first"].to_numpy().reshape(len(uniq), n_q)[:, 0]
-        t_last = pdf["t_last"].to_numpy().reshape(len(uniq), n_q)[:, 0]
+        t_first, t_last = ([_norm(t) for t in pdf[c].tolist()[::n_q]] for c in ("t_first", "t_last"))
         svals = [pdf[f"s{j}"].tolist() for j in range(n_orders)]
         pvals = pdf["paths"].tolist()
         key = tuple(pdf[k].iloc[0] for k in keys)
@@ -252,7 +266,7 @@ def _compose(keys, n_orders: int, timeout=None):
         for b in uniq:
             bi = idx[b]
             if timeout is not None and state != START and prev_t is not None \
-                    and t_first[bi] - prev_t > timeout:
+                    and t_first[bi] is not None and t_first[bi] - prev_t > timeout:
                 state, stp = START, 0  # the open attempt timed out at the edge
                 start, paths = tuple([None] * n_orders), NONE
             out.append(key + (int(b), state, att, match, stp, bi == len(uniq) - 1,

@@ -60,6 +60,13 @@ def store(df: DataFrame, name: str) -> str:
     return path
 
 
+def stored(spark, path: str) -> bool:
+    """Is the table still there?  A retention rule may have removed it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def broadcast_blocks(df: DataFrame, rows: int) -> DataFrame:
     """``df``, a table of at most ``rows`` rows over blocks, marked for broadcast
     where that bounds its bytes: few rows of fixed-width columns.  Otherwise
@@ -88,7 +95,8 @@ def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[int, int,
     spark = df.sparkSession
     probe = df.select(*keys) if keys else df.select(F.lit(1).alias("_sk_one"))
     ck = (spark.sparkContext.applicationId, probe.semanticHash(), probe.schema.json(), hot_rows)
-    if ck not in _STATS_CACHE:
+    known = _STATS_CACHE.get(ck)
+    if known is None or (known[2] and not stored(spark, known[2])):
         hot = (probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sk_n"))
                .filter(F.col("_sk_n") > F.lit(hot_rows)))
         n, total = hot.agg(F.count(F.lit(1)), F.sum("_sk_n")).first()
