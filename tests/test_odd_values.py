@@ -129,3 +129,25 @@ def test_removed_tables_of_hot_keys_are_made_again(spark):
         assert match_cut(df, lit("ty", "a") >> lit("ty", "a"), "k", "id").count() == want == 150
     finally:
         spark.conf.unset("tidemark.hotKeyRows")
+
+
+@pytest.mark.parametrize("strategy", ["plain", "block"])
+def test_columns_named_as_results(spark, strategy):
+    """Order, key and carried columns that clash with results, and dots in names."""
+    from tidemark.operators.matcher import match_whole
+
+    rows = [("x", i, "ab"[i % 2], i * 10) for i in range(8)]
+    df = spark.createDataFrame(rows, "`match_no` string, `status` long, ty string, `a.b` long")
+    p = lit("ty", "a") >> lit("ty", "b")
+    spark.conf.set("tidemark.blockRows", "3")
+    try:
+        ev = match_events(df, p, "match_no", "status", carry=["a.b"], strategy=strategy)
+        assert ev.columns[:3] == ["match_no", "in_status", "a_b"] and ev.where("status = 'SUCCESS'").count() == 4
+        assert [r.a_b for r in ev.where("status = 'SUCCESS'").orderBy("in_status").collect()] == [10, 30, 50, 70]
+        m = match_cut(df, p, "match_no", ["a.b"], strategy=strategy).orderBy("match_no")
+        assert m.columns[:4] == ["in_match_no", "match_no", "start_a_b", "end_a_b"]
+        assert [tuple(r)[:4] for r in m.collect()] == [("x", i + 1, 20 * i, 20 * i + 10) for i in range(4)]
+        w = match_whole(df, p.one_or_more(), "match_no", "status", strategy=strategy).collect()
+        assert [(r.match_no, r.status, r.n_events) for r in w] == [("x", "SUCCESS", 8)]
+    finally:
+        spark.conf.unset("tidemark.blockRows")

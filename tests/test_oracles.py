@@ -61,7 +61,7 @@ HOT = ["seq_cut", "event_status", "partial_output", "seq_timeout", "nested_depth
        "followed_within", "pattern_project", "literal_events", "union_one",
        "stateful_fold", "chain_two_phase", "whole_conversation",
        "every_pattern", "last_n_pattern", "sliding_contains", "edges_pattern",
-       "all_of_patterns", "lacking_pattern", "nested_statuses", "nested_days", "whole_values"]
+       "all_of_patterns", "lacking_pattern", "nested_statuses", "nested_days", "whole_values", "rolling_value"]
 
 
 @pytest.mark.parametrize("name", HOT)

@@ -802,6 +802,18 @@ SQL_ROLLING = """SELECT user_id, event_id,
 FROM events"""
 
 
+def rolling_value(spark, sf):
+    """The exact sum of a double over each event's last three hours."""
+    out = W.rolling(_events(spark, sf).select(KEY, "event_id", "ts", "value"), "ts", "3h", KEY, totals={"s": F.col("value")})
+    return out.select(KEY, "event_id", cents(F.col("s")).alias("cents_last_3h"))
+
+
+SQL_ROLLING_VALUE = """SELECT user_id, event_id,
+       CAST(round(sum(value) OVER (PARTITION BY user_id ORDER BY ts
+                      RANGE BETWEEN INTERVAL 3 HOUR PRECEDING AND CURRENT ROW) * 100) AS BIGINT) AS cents_last_3h
+FROM events"""
+
+
 def cascading(spark, sf):
     return W.cascading(_events(spark, sf), "ts", "1 hour", "1 day")
 
@@ -1221,6 +1233,7 @@ def _entries() -> list[tuple[str, Callable, str | None]]:
         ("stream_match", stream_match, SQL_SEQ_TIMEOUT),
         ("branch_values", branch_values, SQL_BRANCH_VALUES),
         ("pair_events", pair_events, SQL_PAIR_EVENTS),
+        ("rolling_value", rolling_value, SQL_ROLLING_VALUE),
         ("whole_values", whole_values, SQL_WHOLE_VALUES),
         ("stream_tumbling", stream_tumbling, SQL_TUMBLING),
         ("stream_cascade", stream_cascade, SQL_CASCADING),

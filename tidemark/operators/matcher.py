@@ -51,6 +51,23 @@ def _as_list(x) -> list[str]:
     return list(x)
 
 
+def own_names(df: DataFrame, results: Sequence[str], *lists) -> tuple:
+    """``df`` and the lists of its columns under names that clash with no result: a column
+    named as a result comes as ``in_<name>``, a dot in a name as an underscore."""
+    taken, used = {r.lower() for r in results}, {c.lower() for c in df.columns}
+    new: dict[str, str] = {}
+    for c in dict.fromkeys(c for cols in lists for c in cols):
+        name = c.replace(".", "_") if c in df.columns else c
+        if name.lower() in taken:
+            name = f"in_{name}"
+        while name != c and name.lower() in used | {n.lower() for n in new.values()}:
+            name += "_"
+        if name != c:
+            new[c] = name
+    out = df.withColumns({n: F.col(f"`{c}`") for c, n in new.items()}) if new else df
+    return (out, *[[new.get(c, c) for c in cols] for cols in lists])
+
+
 def default_show(pattern: Pattern) -> Column | None:
     """Literal-only patterns over one column show that column on failure."""
     cols = {s.column for s in pattern.steps() if s.predicate is not None}
@@ -149,7 +166,8 @@ def match_events(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     ``step`` = events of the open attempt.  ``final='complete'``: the end row
     completes the open attempt instead: SUCCESS if the pattern is nullable
     and no attempt is open, else FAILURE.  ``final='none'`` omits it.
-    ``carry`` columns ride along (NULL on end rows); keep them few.
+    ``carry`` columns ride along (NULL on end rows); keep them few.  Columns named
+    as a result come as ``in_<name>``, dots in names as underscores.
     ``timeout`` (P13, our definition): an open attempt whose next event
     comes more than ``timeout`` after its last event (by ``time_col``) is
     dropped, and that event is tried from the start.  Next to an event without
@@ -157,6 +175,7 @@ def match_events(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     """
     if final not in ("ended", "complete", "none"):
         raise ValueError("final must be 'ended', 'complete' or 'none'")
+    df, partition_by, order_by, carry = own_names(df, [f.name for f in STATUS_FIELDS], _as_list(partition_by), _as_list(order_by), carry)
     prep = _Prepared(df, pattern, partition_by, order_by, show, (), where_key,
                      on_ambiguity, carry, time_col, timeout)
     schema = T.StructType(
@@ -411,6 +430,7 @@ def match_cut(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     (``value_column``); ``result`` maps the captures to it instead.
     ``timeout``: as in ``match_events`` (P13).
     """
+    df, partition_by, order_by = own_names(df, ["match_no", "n_events", "alt", "result"], _as_list(partition_by), _as_list(order_by))
     prep = _Prepared(df, pattern, partition_by, order_by, None, capture, where_key,
                      on_ambiguity, (), time_col, timeout, want_show=False)
     table = prep.table
@@ -625,6 +645,8 @@ def match_whole(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     """
     from tidemark.plans.skew import HotKeys
 
+    df, partition_by, order_by = own_names(df, ["status", "n_events", "fail_step", "fail_expected", "fail_got", "result"],
+                                           _as_list(partition_by), _as_list(order_by))
     prep = _Prepared(df, pattern, partition_by, order_by, show, capture, where_key,
                      "reference", project=True)
     table = prep.table

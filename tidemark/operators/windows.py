@@ -25,7 +25,7 @@ def time_number(c: str | Column, df: DataFrame | None = None, dtype=None) -> Col
     time, independent of the session time zone; other timestamps are
     instants.
     """
-    col = F.col(c) if isinstance(c, str) else c
+    col = (F.col(f"`{c}`" if df is not None and c in df.columns else c)) if isinstance(c, str) else c
     if dtype is None and df is not None and isinstance(c, str):
         dtype = df.schema[c].dataType
     if isinstance(dtype, T.TimestampNTZType):
