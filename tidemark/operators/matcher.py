@@ -31,6 +31,7 @@ from tidemark.plans.automaton import (
 )
 from tidemark.plans.captures import NONE, Capture, Registers, Tracker, dumped, joined, loaded, unknown
 from tidemark.plans.frames import apply_frames, map_frames, records
+from tidemark.plans.walk import late, walk
 
 STATUS_FIELDS = [
     T.StructField("status", T.StringType()),
@@ -236,13 +237,6 @@ def _series(values: list, dtype) -> pd.Series:
     return pd.Series(values, dtype=object if kind == "O" else None)
 
 
-def _next_candidate(cand: np.ndarray) -> list[int]:
-    """For each row, the first row at or after it flagged in ``cand``."""
-    n = len(cand)
-    idx = np.where(cand, np.arange(n), n)
-    return np.minimum.accumulate(idx[::-1])[::-1].tolist()
-
-
 def _norm(v):
     if v is None or (isinstance(v, float) and np.isnan(v)):
         return None
@@ -253,7 +247,7 @@ class _Carry:
     """Walk state of one key (or block of a key) between rows and batches."""
 
     __slots__ = ("key", "state", "attempt", "match_no", "steps", "start", "paths", "last",
-                 "last_t")
+                 "last_t", "row")
 
     def __init__(self, key):
         self.key = key
@@ -262,6 +256,7 @@ class _Carry:
         self.paths: list[Registers] = NONE
         self.last = True  # last block of its key: emits the end row
         self.last_t = None  # time of the previous event (timeouts)
+        self.row = 0  # its first row in the batch
 
     def load_marker(self, pdf: pd.DataFrame, i: int, n_orders: int):
         self.state = int(pdf["_m_state"].iat[i])
@@ -285,7 +280,6 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
     top_alt = table.top_is_alt
     gkeys = keys + (["_blk"] if blocks else [])
     nk = len(keys)
-    first_mask = table.first_mask()
     status_arr = np.asarray(names, dtype=object)
     alt_arr = np.asarray([None] + (branch_names if top_alt else [None] * len(branch_names)),
                          dtype=object)
@@ -311,79 +305,30 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
             if n == 0:
                 continue
             newk, gcols = _group_starts(pdf, gkeys, gprev)
-            sym_np = pdf["_sym"].to_numpy()
-            may_np = (sym_np & first_mask) != 0
-            may_start = may_np.tolist()
-            nxt_c = _next_candidate(may_np | newk)
-            sym = sym_np.tolist()
-            tt = pdf["_t"].tolist() if timeout is not None else None
-            # per row only small integers are written; strings come from one
-            # vectorized lookup per column after the loop
-            code_out = [0] * n
-            att_out = [0] * n
-            step_out = [0] * n
-            br_out = [-1] * n
-            lab_out = [0] * n
-            exp_out = [-1] * n  # state whose expected steps a FAILURE reports
-            newk_l = newk.tolist()
-            i = 0
-            while i < n:
-                if newk_l[i]:
-                    if carry is not None and carry.last and final != "none":
-                        ends.append((carry.key, end_row(carry)))
+            batch = _Batch(table, pdf, newk, carry, blocks, timeout, 0)
+            firsts = batch.firsts
+            for j, i in enumerate(firsts):
+                if newk[i]:
+                    if carry is not None:
+                        if j:
+                            batch.leave(carry, i)
+                        if carry.last and final != "none":
+                            ends.append((carry.key, end_row(carry)))
                     gprev = tuple(_norm(c[i]) for c in gcols)
-                    carry = _Carry(gprev[:nk])
-                    if blocks:
-                        carry.load_marker(pdf, i, 0)
-                state = carry.state
-                if tt is not None:
-                    if state != START and carry.last_t is not None and tt[i] is not None \
-                            and tt[i] - carry.last_t > timeout:
-                        state = carry.state = START  # the open attempt timed out
-                    carry.last_t = tt[i]
-                if state == START and not may_start[i]:
-                    # a run of events that cannot begin an attempt: each one
-                    # is a one-event attempt that fails; fill them at once
-                    j = nxt_c[i + 1] if i + 1 < n else n
-                    k = j - i
-                    code_out[i:j] = [FAILURE] * k
-                    att_out[i:j] = range(carry.attempt + 1, carry.attempt + 1 + k)
-                    step_out[i:j] = [1] * k
-                    exp_out[i:j] = [START] * k
-                    carry.attempt += k
-                    carry.steps = 1
-                    if tt is not None:
-                        carry.last_t = tt[j - 1]
-                    i = j
-                    continue
-                if state == START:
-                    carry.attempt += 1
-                    carry.steps = 0
-                carry.steps += 1
-                nxt, code, br, lab = table.move(state, sym[i])
-                code_out[i] = code
-                att_out[i] = carry.attempt
-                step_out[i] = carry.steps
-                if code == FAILURE:
-                    exp_out[i] = state
-                else:
-                    lab_out[i] = lab
-                    if code == SUCCESS:
-                        br_out[i] = br
-                carry.state = nxt
-                i += 1
-            codes = np.asarray(code_out, dtype=np.int64)
-            failed = codes == FAILURE
+                    carry = batch.carries[j]
+                    carry.key = gprev[:nk]
+            batch.leave(carry, n)
+            failed = batch.code == FAILURE
             out = pdf[keys + orders].copy()
-            out["status"] = status_arr[codes]
-            out["attempt_id"] = np.asarray(att_out, dtype=np.int64)
-            out["step"] = np.asarray(step_out, dtype=np.int32)
-            out["alt"] = alt_arr[np.asarray(br_out, dtype=np.int64) + 1]
-            out["label"] = np.asarray(table.labels, dtype=object)[
-                np.asarray(lab_out, dtype=np.int64)]
+            out["status"] = status_arr[batch.code]
+            out["attempt_id"] = batch.attempt
+            out["step"] = batch.step.astype(np.int32)
+            won = batch.code == SUCCESS
+            out["alt"] = alt_arr[np.where(won, batch.branch, -1) + 1]
+            out["label"] = np.asarray(table.labels, dtype=object)[np.where(failed, 0, batch.label)]
             expected = np.asarray([None] + [table.expected(q)
                                             for q in range(len(table.states))], dtype=object)
-            out["fail_expected"] = expected[np.asarray(exp_out, dtype=np.int64) + 1]
+            out["fail_expected"] = expected[np.where(failed, batch.before, -1) + 1]
             if has_show:
                 out["fail_got"] = np.where(failed, pdf["_show"].to_numpy(dtype=object), None)
             else:
@@ -400,6 +345,62 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
     return kernel
 
 
+class _Batch:
+    """A batch walked: statuses, attempts and steps of its events, and the state of
+    each key (or block) as it enters and leaves."""
+
+    def __init__(self, table: StepTable, pdf: pd.DataFrame, newk: np.ndarray, carry: _Carry | None, blocks: bool,
+                 timeout: int | None, n_orders: int):
+        n = len(pdf)
+        self.firsts = np.flatnonzero(newk | (np.arange(n) == 0)).tolist()
+        self.carries: list[_Carry] = []
+        for i in self.firsts:
+            if newk[i]:
+                c = _Carry(())
+                if blocks:
+                    c.load_marker(pdf, i, n_orders)
+            else:
+                c = carry
+            self.carries.append(c)
+        sym = pdf["_sym"].to_numpy().astype(np.int64)
+        known, first = np.zeros(n, bool), np.full(n, START, np.int64)
+        at = np.array(self.firsts)
+        known[at] = True
+        first[at] = [c.state for c in self.carries]
+        self.times = pdf["_t"].tolist() if timeout is not None else None
+        if timeout is not None:
+            is_late = late(self.times, carry.last_t if carry is not None else None, newk, timeout)
+            for j, i in enumerate(self.firsts):  # a block knows the time before it
+                p, t = self.carries[j].last_t, self.times[i]
+                is_late[i] = p is not None and t is not None and t - p > timeout
+            known |= is_late
+            first[is_late] = START
+        w = walk(table, sym, known, first)
+        self.before, self.code, self.branch, self.label, self.after = w.before, w.code, w.branch, w.label, w.after
+        self.nxt = table
+        begin = w.before == START
+        place = np.arange(n)
+        group = np.cumsum(newk | (place == 0)) - 1
+        base = np.array([c.attempt for c in self.carries])
+        steps = np.array([c.steps for c in self.carries])
+        count = np.cumsum(begin)
+        before_group = count[at] - begin[at]
+        self.attempt = base[group] + count - before_group[group]
+        #: row on which each event's attempt began, or -1: before this batch
+        self.begun = np.maximum.accumulate(np.where(begin, place, -1))
+        self.begun = np.where(self.begun >= at[group], self.begun, -1)
+        self.step = np.where(self.begun >= 0, place - self.begun + 1, steps[group] + place - at[group] + 1)
+        self.sym = sym
+
+    def leave(self, carry: _Carry, end: int) -> None:
+        """The state of the key whose last event here is the one before row ``end``."""
+        r = end - 1
+        carry.attempt, carry.steps = int(self.attempt[r]), int(self.step[r])
+        carry.state = self.nxt.move(int(self.before[r]), int(self.sym[r]))[0]
+        if self.times is not None:
+            carry.last_t = self.times[r]
+
+
 def _end_frame(ends, keys, orders) -> pd.DataFrame:
     cols: dict[str, list] = {k: [e[0][j] for e in ends] for j, k in enumerate(keys)}
     for o in orders:
@@ -492,7 +493,6 @@ def _cut_kernel(tracked: Tracker, keys, orders, names, blocks: bool = False,
     table = tracked.table
     branch_names = table.branch_names
     top_alt = table.top_is_alt
-    first_mask = table.first_mask()
     gkeys = keys + (["_blk"] if blocks else [])
     nk, no, nc = len(keys), len(orders), tracked.n
     cap_names = names[nk + 1 + 2 * no + 2:]  # captures, then flags
@@ -505,64 +505,52 @@ def _cut_kernel(tracked: Tracker, keys, orders, names, blocks: bool = False,
             if n == 0:
                 continue
             newk, gcols = _group_starts(pdf, gkeys, gprev)
-            sym_np = pdf["_sym"].to_numpy()
-            # events that cannot begin an attempt are spent at once
-            may_np = (sym_np & first_mask) != 0
-            may_start = may_np.tolist()
-            nxt_c = _next_candidate(may_np | newk)
-            sym = sym_np.tolist()
+            batch = _Batch(table, pdf, newk, carry, blocks, timeout, no)
             # order and capture values are read only where a match starts or
             # ends: no per-row Python objects for them
             ocols = [pdf[o].to_numpy() for o in orders]
             ccols = _captured(pdf)
-            tt = pdf["_t"].tolist() if timeout is not None else None
-            newk_l = newk.tolist()
+
+            def paths_at(c: _Carry, a: int, r: int, batch=batch, ccols=ccols) -> list[Registers]:
+                """Registers after row ``r`` of the attempt that began on row ``a`` (-1: before)."""
+                paths, i = (NONE, a) if a >= 0 else (c.paths, c.row)
+                for i in range(i, r + 1):
+                    paths = tracked.step(int(batch.before[i]), int(batch.sym[i]), paths, ccols, i)
+                return paths
+
+            won = np.flatnonzero(batch.code == SUCCESS)
+            begun, ended = batch.begun.tolist(), 0
             mkeys: list[tuple] = []
             mnos: list[int] = []
             mstarts: list[tuple] = []
-            mends: list[int] = []
-            msteps: list[int] = []
-            malts: list = []
+            mends: list[int] = won.tolist()
+            msteps: list[int] = batch.step[won].tolist()
+            malts: list = [branch_names[b] if top_alt else None for b in batch.branch[won].tolist()]
             mcaps: list[Registers] = []
-            i = 0
-            while i < n:
-                if newk_l[i]:
+            for j, i in enumerate(batch.firsts):
+                if newk[i]:
                     gprev = tuple(_norm(c[i]) for c in gcols)
-                    carry = _Carry(gprev[:nk])
-                    if blocks:
-                        carry.load_marker(pdf, i, no)
-                state = carry.state
-                if tt is not None:
-                    if state != START and carry.last_t is not None and tt[i] is not None \
-                            and tt[i] - carry.last_t > timeout:
-                        state = carry.state = START  # the open attempt timed out
-                    carry.last_t = tt[i]
-                if state == START:
-                    if not may_start[i]:
-                        # spent at once; jump to the next row that can begin
-                        i = nxt_c[i + 1] if i + 1 < n else n
-                        if tt is not None:
-                            carry.last_t = tt[i - 1]
-                        continue
-                    carry.steps = 0
-                    carry.start = tuple(c[i] for c in ocols)
-                    carry.paths = NONE
-                carry.steps += 1
-                nxt, code, br, _ = table.move(state, sym[i])
-                if tracked.on and (code == INCOMPLETE or code == SUCCESS):
-                    carry.paths = tracked.step(state, sym[i], carry.paths, ccols, i)
-                if code == SUCCESS:
+                    carry = batch.carries[j]
+                    carry.key = gprev[:nk]
+                carry.row = i
+                end = batch.firsts[j + 1] if j + 1 < len(batch.firsts) else n
+                while ended < len(mends) and mends[ended] < end:
+                    r = mends[ended]
+                    a = begun[r]
                     carry.match_no += 1
                     mkeys.append(carry.key)
                     mnos.append(carry.match_no)
-                    mstarts.append(carry.start)
-                    mends.append(i)
-                    msteps.append(carry.steps)
-                    malts.append(branch_names[br] if top_alt else None)
+                    mstarts.append(tuple(c[a] for c in ocols) if a >= 0 else carry.start)
                     if cap_names:
-                        mcaps.append(carry.paths[0])
-                carry.state = nxt
-                i += 1
+                        mcaps.append(paths_at(carry, a, r)[0])
+                    ended += 1
+                batch.leave(carry, end)
+                if carry.state != START and end == n:  # the open attempt goes on in the next batch
+                    a = begun[n - 1]
+                    if tracked.on:
+                        carry.paths = paths_at(carry, a, n - 1)
+                    if a >= 0:
+                        carry.start = tuple(c[a] for c in ocols)
             if mnos:
                 out: dict[str, Any] = {}
                 for j, k in enumerate(keys):
