@@ -151,3 +151,26 @@ def test_columns_named_as_results(spark, strategy):
         assert [(r.match_no, r.status, r.n_events) for r in w] == [("x", "SUCCESS", 8)]
     finally:
         spark.conf.unset("tidemark.blockRows")
+
+
+@pytest.mark.parametrize("strategy", ["plain", "block"])
+def test_running_sums_of_an_attempt(spark, strategy):
+    """Sums so far on every event of an attempt, over long attempts cut by blocks and batches."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, "x", "x"]), i, rng.choice("abbbbbbc"), rng.choice([None, 1, 5, 1 << 40])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, id long, ty string, v long")
+    p = lit("ty", "a") >> lit("ty", "b").one_or_more() >> lit("ty", "c")
+    spark.conf.set("tidemark.blockRows", "4")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = match_events(df, p, "k", "id", sums={"s": F.col("v"), "d": F.col("v").cast("decimal(20,2)")}, strategy=strategy).collect()
+    finally:
+        spark.conf.unset("tidemark.blockRows")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    value = {i: v or 0 for _, i, _, v in rows}
+    want, now = {}, {}
+    for r in sorted((r for r in out if r.id is not None), key=lambda r: r.id):
+        now[r.k] = value[r.id] + (now[r.k] if r.step > 1 else 0)
+        want[r.id] = now[r.k]
+    assert {r.id: r.s for r in out if r.id is not None} == want and {r.id: int(r.d) for r in out if r.id is not None} == want
+    assert max(r.step for r in out) > 8 and all(r.s is None for r in out if r.id is None)

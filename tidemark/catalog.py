@@ -894,14 +894,9 @@ FROM x WHERE event_type = 'click'"""
 
 
 def partial_output(spark, sf):
-    from pyspark.sql import Window
-
     p = is_("click") >> is_("view").one_or_more() >> is_("purchase")
-    ev = match_events(_events(spark, sf), p, KEY, ORDER, carry=["value"], final="none")
-    w = (Window.partitionBy(KEY, "attempt_id").orderBy(*ORDER)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    return (ev.withColumn("so_far_cents", cents(F.sum("value").over(w)))
-            .filter(F.col("status") == "INCOMPLETE")
+    ev = match_events(_events(spark, sf), p, KEY, ORDER, final="none", sums={"so_far_cents": cents(F.col("value"))})
+    return (ev.filter(F.col("status") == "INCOMPLETE")
             .select(KEY, "event_id", "attempt_id", "step", "so_far_cents"))
 
 

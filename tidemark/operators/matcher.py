@@ -16,6 +16,7 @@ matched with the two-pass block scan of ``tidemark.plans.blockscan``.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
@@ -84,7 +85,7 @@ class _Prepared:
                  show: Column | None, captures: Sequence[str], where_key: Column | None,
                  on_ambiguity: str, carry: Sequence[str] = (),
                  time_col: str | None = None, timeout: str | int | None = None,
-                 want_show: bool = True, project: bool | None = None):
+                 want_show: bool = True, project: bool | None = None, sums: dict[str, Column] | None = None):
         from tidemark.operators.windows import duration_micros, time_number
 
         self.table = StepTable(pattern, on_ambiguity)
@@ -128,6 +129,8 @@ class _Prepared:
         #: captures[step][column], as value functions see them
         self.named = {name: {c: F.col(f"{name}_{c}") for c in [*self.captures, *[n for s, n in own if s == name]]}
                       for name in kept}
+        for i, c in enumerate((sums or {}).values()):
+            sel.append(F.coalesce(c, F.lit(0)).alias(f"_sum{i}"))
         if self.timeout is not None:
             sel.append(time_number(time_col, df).alias("_t"))
         #: rows that come cut into blocks keep them
@@ -154,7 +157,8 @@ def match_events(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
                  show: Column | None = None, final: str = "ended",
                  on_ambiguity: str = "reference", where_key: Column | None = None,
                  strategy: str = "auto", carry: Sequence[str] = (),
-                 time_col: str | None = None, timeout: str | int | None = None) -> DataFrame:
+                 time_col: str | None = None, timeout: str | int | None = None,
+                 sums: dict[str, Column] | None = None) -> DataFrame:
     """One status row per event, plus one end-of-input row per key.
 
     Output: key columns, order columns, ``status`` (INCOMPLETE, SUCCESS,
@@ -169,6 +173,9 @@ def match_events(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     and no attempt is open, else FAILURE.  ``final='none'`` omits it.
     ``carry`` columns ride along (NULL on end rows); keep them few.  Columns named
     as a result come as ``in_<name>``, dots in names as underscores.
+    ``sums`` (P20, output on a partial match): running sums of whole numbers or
+    decimals over the events of the attempt so far (NULLs count as 0), carried with
+    the walk, across blocks too; NULL on end rows.
     ``timeout`` (P13, our definition): an open attempt whose next event
     comes more than ``timeout`` after its last event (by ``time_col``) is
     dropped, and that event is tried from the start.  Next to an event without
@@ -176,23 +183,31 @@ def match_events(df: DataFrame, pattern: Pattern, partition_by, order_by, *,
     """
     if final not in ("ended", "complete", "none"):
         raise ValueError("final must be 'ended', 'complete' or 'none'")
-    df, partition_by, order_by, carry = own_names(df, [f.name for f in STATUS_FIELDS], _as_list(partition_by), _as_list(order_by), carry)
+    sums = sums or {}
+    df, partition_by, order_by, carry = own_names(
+        df, [f.name for f in STATUS_FIELDS] + list(sums), _as_list(partition_by), _as_list(order_by), carry)
     prep = _Prepared(df, pattern, partition_by, order_by, show, (), where_key,
-                     on_ambiguity, carry, time_col, timeout)
+                     on_ambiguity, carry, time_col, timeout, sums=sums)
+    added = []
+    for i, name in enumerate(sums):
+        kind = prep.df.schema[f"_sum{i}"].dataType
+        if not isinstance(kind, (T.IntegralType, T.DecimalType)):
+            raise ValueError("sums are of whole numbers or decimals")
+        added.append(T.StructField(name, T.DecimalType(38, kind.scale) if isinstance(kind, T.DecimalType) else T.LongType()))
     schema = T.StructType(
-        [prep.field[c] for c in prep.keys + prep.orders + prep.carry] + STATUS_FIELDS)
+        [prep.field[c] for c in prep.keys + prep.orders + prep.carry] + STATUS_FIELDS + added)
     from tidemark.plans import single
-    pos = single.single_event_positions(pattern, prep.table) if strategy != "plain" else None
+    pos = single.single_event_positions(pattern, prep.table) if strategy != "plain" and not sums else None
     if pos is not None:
         if show is None:
             show = default_show(pattern)
         out = single.events(prep, pos, schema, final, show, strategy)
     elif strategy in ("auto", "block"):
         from tidemark.plans import blockscan
-        out = blockscan.run(prep, "events", schema, final=final, strategy=strategy)
+        out = blockscan.run(prep, "events", schema, final=final, strategy=strategy, sums=list(sums))
     else:
         fn = _events_kernel(prep.table, prep.keys, prep.orders + prep.carry, prep.has_show,
-                            final, timeout=prep.timeout)
+                            final, timeout=prep.timeout, sums=list(sums))
         out = map_frames(prep.sorted(), fn, schema)
     if final == "ended":
         return _or_if_empty(out, prep, schema, {"status": "ENDED", "step": 0})
@@ -247,7 +262,7 @@ class _Carry:
     """Walk state of one key (or block of a key) between rows and batches."""
 
     __slots__ = ("key", "state", "attempt", "match_no", "steps", "start", "paths", "last",
-                 "last_t", "row")
+                 "last_t", "row", "sums")
 
     def __init__(self, key):
         self.key = key
@@ -257,6 +272,7 @@ class _Carry:
         self.last = True  # last block of its key: emits the end row
         self.last_t = None  # time of the previous event (timeouts)
         self.row = 0  # its first row in the batch
+        self.sums: list = []  # running sums of the open attempt
 
     def load_marker(self, pdf: pd.DataFrame, i: int, n_orders: int):
         self.state = int(pdf["_m_state"].iat[i])
@@ -267,6 +283,8 @@ class _Carry:
         self.start = tuple(_norm(pdf[f"_m_s{j}"].iat[i]) for j in range(n_orders))
         if pdf["_m_paths"].iat[i] is not None:
             self.paths = loaded(pdf["_m_paths"].iat[i])
+        if "_m_sums" in pdf.columns and pdf["_m_sums"].iat[i] is not None:
+            self.sums = pickle.loads(pdf["_m_sums"].iat[i])
         if "_m_t" in pdf.columns:
             self.last_t = _norm(pdf["_m_t"].iat[i])
             if self.last_t is not None:
@@ -274,7 +292,7 @@ class _Carry:
 
 
 def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
-                   blocks: bool = False, timeout: int | None = None):
+                   blocks: bool = False, timeout: int | None = None, sums: Sequence[str] = ()):
     names = STATUS_NAMES
     branch_names = table.branch_names
     top_alt = table.top_is_alt
@@ -306,6 +324,7 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
                 continue
             newk, gcols = _group_starts(pdf, gkeys, gprev)
             batch = _Batch(table, pdf, newk, carry, blocks, timeout, 0)
+            totals = _running(pdf, batch, len(sums)) if sums else []
             firsts = batch.firsts
             for j, i in enumerate(firsts):
                 if newk[i]:
@@ -333,18 +352,35 @@ def _events_kernel(table: StepTable, keys, orders, has_show: bool, final: str,
                 out["fail_got"] = np.where(failed, pdf["_show"].to_numpy(dtype=object), None)
             else:
                 out["fail_got"] = None
+            for name, total in zip(sums, totals):
+                out[name] = pd.Series(total, index=out.index, dtype=object)
             yield out
             if len(ends) >= 10_000:
-                yield _end_frame(ends, keys, orders)
+                yield _end_frame(ends, keys, orders, sums)
                 ends = []
         if carry is not None and carry.last and final != "none":
             ends.append((carry.key, end_row(carry)))
         if ends:
-            yield _end_frame(ends, keys, orders)
+            yield _end_frame(ends, keys, orders, sums)
 
     return kernel
 
 
+def _running(pdf: pd.DataFrame, batch: "_Batch", n: int) -> list[list]:
+    """Sums over each event's attempt so far; the carried keys keep those of their last event."""
+    out = [pdf[f"_sum{j}"].tolist() for j in range(n)]
+    begun = (batch.before == START).tolist()
+    for j, total in enumerate(out):
+        for c, a, b in zip(batch.carries, batch.firsts, [*batch.firsts[1:], len(pdf)]):
+            now = c.sums[j] if j < len(c.sums) else 0
+            for r in range(a, b):
+                now = total[r] if begun[r] else now + total[r]
+                total[r] = now
+    for c, b in zip(batch.carries, [*batch.firsts[1:], len(pdf)]):
+        c.sums = [total[b - 1] for total in out]
+    return out
+
+
 class _Batch:
     """A batch walked: statuses, attempts and steps of its events, and the state of
     each key (or block) as it enters and leaves."""
@@ -401,12 +437,14 @@ class _Batch:
             carry.last_t = self.times[r]
 
 
-def _end_frame(ends, keys, orders) -> pd.DataFrame:
+def _end_frame(ends, keys, orders, sums=()) -> pd.DataFrame:
     cols: dict[str, list] = {k: [e[0][j] for e in ends] for j, k in enumerate(keys)}
     for o in orders:
         cols[o] = [None] * len(ends)
     for j, f in enumerate(STATUS_FIELDS):
         cols[f.name] = [e[1][j] for e in ends]
+    for name in sums:
+        cols[name] = [None] * len(ends)
     return pd.DataFrame(cols, dtype=object)
 
 

@@ -24,6 +24,7 @@ and Schulte, ASPLOS 2014).
 
 from __future__ import annotations
 
+import pickle
 from typing import Any
 
 import numpy as np
@@ -40,7 +41,7 @@ from tidemark.plans.skew import HotKeys, broadcast_blocks
 
 def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         tracked: Tracker | None = None, strategy: str = "auto",
-        shared: tuple[DataFrame, int, str] | None = None) -> DataFrame:
+        shared: tuple[DataFrame, int, str] | None = None, sums: list[str] = ()) -> DataFrame:
     """``shared``: (rows of hot keys, cut and sorted by block, the number of blocks, the
     symbol column): several patterns read one such frame, whose exchange Spark reuses."""
     from tidemark.operators import matcher as M
@@ -57,7 +58,7 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
             part = d.repartition(1).sortWithinPartitions(*orders)
         if mode == "events":
             fn = M._events_kernel(table, keys, orders + prep.carry, prep.has_show, final,
-                                  blocks, timeout=prep.timeout)
+                                  blocks, timeout=prep.timeout, sums=sums)
         else:
             fn = M._cut_kernel(tracked, keys, orders, schema.names, blocks, timeout=prep.timeout)
         return map_frames(part, fn, schema)
@@ -100,10 +101,10 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         T.StructField("t_first", T.LongType()),
         T.StructField("t_last", T.LongType()),
     ] + [T.StructField(f"s{j}", prep.field[o].dataType) for j, o in enumerate(orders)] \
-      + [T.StructField("paths", T.BinaryType())]  # registers, as the kernels pickle them
+      + [T.StructField("paths", T.BinaryType()), T.StructField("sums", T.BinaryType())]  # as the kernels pickle them
     tracked = tracked or Tracker(table, [])
     summary = map_frames(
-        part, named(_summary_kernel(tracked, keys, orders, prep.timeout)),
+        part, named(_summary_kernel(tracked, keys, orders, prep.timeout, len(sums))),
         T.StructType(sum_fields))
 
     # per-key scan over blocks
@@ -116,7 +117,7 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
         T.StructField("_m_last", T.BooleanType()),
         T.StructField("_m_t", T.LongType()),
     ] + [T.StructField(f"_m_s{j}", prep.field[o].dataType) for j, o in enumerate(orders)] \
-      + [T.StructField("_m_paths", T.BinaryType())]
+      + [T.StructField("_m_paths", T.BinaryType()), T.StructField("_m_sums", T.BinaryType())]
     group = keys if keys else [F.lit(0).alias("_all")]
     markers = apply_frames(
         summary.groupBy(*group), _compose(keys, len(orders), prep.timeout), T.StructType(mark_fields))
@@ -130,7 +131,7 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
               .sortWithinPartitions(*keys, "_blk", *orders))
     if mode == "events":
         fn = M._events_kernel(table, keys, orders + prep.carry, prep.has_show, final, True,
-                              timeout=prep.timeout)
+                              timeout=prep.timeout, sums=sums)
     else:
         fn = M._cut_kernel(tracked, keys, orders, schema.names, True, timeout=prep.timeout)
     hot_out = map_frames(walked, named(fn), schema)
@@ -139,7 +140,7 @@ def run(prep, mode: str, schema: T.StructType, *, final: str = "ended",
     return plain(cold).unionByName(hot_out)
 
 
-def _summary_kernel(tracked, keys, orders, timeout=None):
+def _summary_kernel(tracked, keys, orders, timeout=None, n_sums: int = 0):
     from tidemark.operators.matcher import _captured, _group_starts, _norm
 
     table = tracked.table
@@ -147,13 +148,14 @@ def _summary_kernel(tracked, keys, orders, timeout=None):
     n_states = len(table.states)
 
     class Walk:
-        __slots__ = ("state", "att", "match", "steps", "started", "start", "paths")
+        __slots__ = ("state", "att", "match", "steps", "started", "start", "paths", "sums")
 
         def __init__(self, q):
             self.state, self.att, self.match, self.steps = q, 0, 0, 0
             self.started = False
             self.start: tuple = tuple([None] * len(orders))
             self.paths = unknown(table, q) if tracked.on else NONE
+            self.sums = [0] * n_sums
 
     def flush(gkey, walks, alias, t_first, t_last):
         out = []
@@ -162,7 +164,7 @@ def _summary_kernel(tracked, keys, orders, timeout=None):
             w = walks[tgt]
             out.append(gkey + (q, w.state, w.att + d_att, w.match + d_match, w.steps,
                                w.started, t_first, t_last) + w.start
-                       + (dumped(w.paths) if tracked.on else None,))
+                       + (dumped(w.paths) if tracked.on else None, pickle.dumps(w.sums) if n_sums else None))
         return out
 
     def kernel(it):
@@ -179,6 +181,7 @@ def _summary_kernel(tracked, keys, orders, timeout=None):
             sym = pdf["_sym"].to_numpy().tolist()
             ocols = [pdf[o].tolist() for o in orders]
             ccols = [c.tolist() for c in _captured(pdf)]
+            scols = [pdf[f"_sum{j}"].tolist() for j in range(n_sums)]
             tt = pdf["_t"].tolist() if timeout is not None else [None] * n
             newk_l = newk.tolist()
             rows = []
@@ -217,7 +220,10 @@ def _summary_kernel(tracked, keys, orders, timeout=None):
                         w.started = True
                         w.start = tuple(c[i] for c in ocols)
                         w.paths = NONE
+                        w.sums = [0] * n_sums
                     w.steps += 1
+                    if n_sums:
+                        w.sums = [a + c[i] for a, c in zip(w.sums, scols)]
                     nxt, code, br, lab = table.move(w.state, y)
                     if tracked.on and code == INCOMPLETE:
                         w.paths = tracked.step(w.state, y, w.paths, ccols, i)
@@ -235,7 +241,7 @@ def _summary_kernel(tracked, keys, orders, timeout=None):
 def _frame(rows, keys, orders) -> pd.DataFrame:
     cols = list(keys) + ["_blk", "q", "end_q", "n_att", "n_match", "steps", "started",
                          "t_first", "t_last"] \
-        + [f"s{j}" for j in range(len(orders))] + ["paths"]
+        + [f"s{j}" for j in range(len(orders))] + ["paths", "sums"]
     return records(rows, cols)
 
 
@@ -256,11 +262,12 @@ def _compose(keys, n_orders: int, timeout=None):
         started = pdf["started"].to_numpy().reshape(len(uniq), n_q)
         t_first, t_last = ([_norm(t) for t in pdf[c].tolist()[::n_q]] for c in ("t_first", "t_last"))
         svals = [pdf[f"s{j}"].tolist() for j in range(n_orders)]
-        pvals = pdf["paths"].tolist()
+        pvals, sums = pdf["paths"].tolist(), pdf["sums"].tolist()
         key = tuple(pdf[k].iloc[0] for k in keys)
         state, att, match, stp = START, 0, 0, 0
         start: tuple[Any, ...] = tuple([None] * n_orders)
         paths = NONE
+        total: list = []  # running sums of the open attempt
         out = []
         prev_t = None
         for b in uniq:
@@ -271,7 +278,7 @@ def _compose(keys, n_orders: int, timeout=None):
                 start, paths = tuple([None] * n_orders), NONE
             out.append(key + (int(b), state, att, match, stp, bi == len(uniq) - 1,
                               None if prev_t is None else int(prev_t))
-                       + start + (dumped(paths),))
+                       + start + (dumped(paths), pickle.dumps(total)))
             prev_t = t_last[bi] if timeout is not None else None
             r = bi * n_q + state
             att += int(n_att[bi, state])
@@ -284,12 +291,16 @@ def _compose(keys, n_orders: int, timeout=None):
                 start = tuple(s[r] for s in svals)
             else:
                 stp += int(steps[bi, state])
+            if sums[r] is not None:
+                own = pickle.loads(sums[r])
+                carried = total and nxt != START and not started[bi, state]
+                total = [] if nxt == START else [a + b for a, b in zip(total, own)] if carried else own
             if nxt != START and pvals[r] is not None:
                 paths = joined(paths, loaded(pvals[r]))
             state = nxt
         cols = list(keys) + ["_blk", "_m_state", "_m_att", "_m_match", "_m_steps",
                              "_m_last", "_m_t"] + [f"_m_s{j}" for j in range(n_orders)] \
-            + ["_m_paths"]
+            + ["_m_paths", "_m_sums"]
         return records(out, cols)
 
     return fn

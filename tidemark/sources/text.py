@@ -4,11 +4,13 @@ Rules are tried at the current position in the order given; the first
 rule that fits the text there wins and is applied greedily.  A character
 no rule fits becomes an ``error`` token of its own and is skipped.
 
-All rules are one regular expression with a group for each, walked over the
-text once: every match is rewritten as its groups between two delimiters, so
-which rule took a token, and the rule's own groups, are read from the match
-itself, where lookaround still sees the text around it.  Texts that hold a
-delimiter are read group by group instead.  No Python runs.
+Rules that look at nothing but the token itself are one regular expression over
+the text, and a token's kind is the first rule that fits it whole.  Rules with
+lookaround, anchors or back references, and tokens whose groups are asked for, are
+one expression with a group for each rule: every match is rewritten as its groups
+between two delimiters, so which rule took a token, and the rule's own groups,
+are read from the match itself, where lookaround still sees the text around it.
+Texts that hold a delimiter are read group by group instead.  No Python runs.
 
 Keep rules to the regex subset that Java and RE2 share when results are
 compared with another engine.
@@ -16,6 +18,7 @@ compared with another engine.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -44,6 +47,10 @@ EXPR_RULES: list[tuple[str, str]] = [
 _TOKEN, _GROUP = "\ufdd0", "\ufdd1"
 
 
+#: What makes a rule depend on the text around a token, or on the numbers of groups.
+_CONTEXT = re.compile(r"\(\?[=!<]|\\[bBAzZG1-9]|[\^$]")
+
+
 def shifted(rule: str, by: int) -> tuple[str, int]:
     """The rule with its back references moved ``by`` groups on, and how many
     capturing groups it has."""
@@ -105,27 +112,53 @@ def tokenize(df: DataFrame, text_col: str, id_cols: Sequence[str],
     column ``n``, NULL for other kinds.  A rule must take a character at least.
     NULL and empty texts have no tokens.
     """
+    if not groups and not values and not any(_CONTEXT.search(r) for _, r in rules):
+        return _alone(df, text_col, id_cols, rules, error_kind)
     rx, places = token_regex(rules)
     n = places[-1][0]
     text = F.col(text_col)
     marked = F.regexp_replace(text, F.lit(rx), F.lit(_TOKEN + _GROUP.join(f"${i}" for i in range(1, n + 1))))
-    taken = F.split(marked, _TOKEN, -1)
-    fast = F.transform(F.slice(taken, F.lit(2), F.greatest(F.size(taken) - 1, F.lit(0))), lambda t: F.split(t, _GROUP, -1))
     by_group = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(rx), F.lit(i)).alias(f"g{i}") for i in range(1, n + 1)])
-    slow = F.transform(by_group, lambda z: F.array(*[z[f"g{i}"] for i in range(1, n + 1)]))
-    tokens = F.when(F.instr(text, _TOKEN) + F.instr(text, _GROUP) > 0, slow).otherwise(fast)
-    part = F.col("_parts")
-    rows = df.select(*id_cols, F.posexplode(tokens).alias("_p", "_parts"))
-    names = [*[k for k, _ in rules], error_kind]
-    kind, raw, own = F.lit(error_kind), part[n - 1], F.array().cast("array<string>")
-    for name, (at, inner) in reversed(list(zip(names[:-1], places[:-1]))):
-        hit = part[at - 1] != ""
-        kind = F.when(hit, F.lit(name)).otherwise(kind)
-        raw = F.when(hit, part[at - 1]).otherwise(raw)
-        if groups or values:
-            own = F.when(hit, F.slice(part, at + 1, inner) if inner else F.array().cast("array<string>")).otherwise(own)
-    out = rows.select(*id_cols, (F.col("_p") + 1).cast("long").alias("pos"), kind.alias("kind"), raw.alias("_raw"),
-                      *([own.alias("groups")] if groups or values else []))
+    # a token read group by group begins with the token delimiter, which no other does
+    slow = F.transform(by_group, lambda z: F.concat(F.lit(_TOKEN), F.to_json(F.array(*[z[f"g{i}"] for i in range(1, n + 1)]))))
+    fast = F.split(F.substring(marked, 2, 1 << 30), _TOKEN, -1)
+    tokens = (F.when(F.instr(text, _TOKEN) + F.instr(text, _GROUP) > 0, slow)
+              .when(text != "", fast))
+    rows = df.select(*id_cols, F.posexplode(tokens).alias("_p", "_tok"))
+    tok = F.col("_tok")
+    listed = F.from_json(F.substring(tok, 2, 1 << 30), "array<string>")
+    # the delimiters before a match's first character count the groups before the rule's own
+    cut = rows.select(*id_cols, "_p", "_tok", F.ltrim(tok, F.lit(_GROUP)).alias("_rest"),
+                      F.when(F.startswith(tok, F.lit(_TOKEN)), listed).alias("_list"))
+    first = F.lit(n - 1)
+    for at, _ in reversed(places):
+        first = F.when(F.col("_list")[at - 1] != "", at - 1).otherwise(first)
+    own = F.when(F.col("_list").isNotNull(), first).otherwise(F.length("_tok") - F.length("_rest"))
+    placed = cut.select(*id_cols, "_p", "_tok", "_rest", "_list", own.alias("_own"))
+    raw = F.when(F.col("_list").isNotNull(), F.col("_list")[F.col("_own")]).otherwise(F.substring_index("_rest", _GROUP, 1))
+    kind, inner = F.lit(error_kind), F.lit(0)
+    for (name, _), (at, size) in zip(rules, places):
+        kind = F.when(F.col("_own") == at - 1, F.lit(name)).otherwise(kind)
+        inner = F.when(F.col("_own") == at - 1, F.lit(size)).otherwise(inner) if size else inner
+    extra = []
+    if groups or values:
+        parts = F.when(F.col("_list").isNotNull(), F.col("_list")).otherwise(F.split("_tok", _GROUP, -1))
+        extra = [F.slice(parts, F.col("_own") + 2, inner).alias("groups")]
+    out = placed.select(*id_cols, (F.col("_p") + 1).cast("long").alias("pos"), kind.alias("kind"), raw.alias("_raw"), *extra)
     token = F.when(F.col("kind") == F.lit(error_kind), F.col("_raw")).otherwise(F.ltrim(F.col("_raw"), F.lit(" \t\r\n")))
     typed = [F.when(F.col("kind") == k, fn(F.col("groups"))).alias(c) for k, (c, fn) in (values or {}).items()]
     return out.select(*id_cols, "pos", "kind", token.alias("token"), *(["groups"] if groups else []), *typed)
+
+
+def _alone(df: DataFrame, text_col: str, id_cols: Sequence[str], rules: Sequence[tuple[str, str]], error_kind: str) -> DataFrame:
+    """Tokens of rules that depend on nothing around them: an earlier rule that fits the
+    token whole would have won where it stands, so the first that does took it."""
+    rx = "(?s)" + "|".join(f"(?:{r})" for _, r in rules) + "|."
+    found = F.regexp_extract_all(F.col(text_col), F.lit(rx), F.lit(0))
+    rows = df.select(*id_cols, F.posexplode(found).alias("_p", "_raw"))
+    kind: Column = F.lit(error_kind)
+    for name, r in reversed(list(rules)):
+        kind = F.when(F.col("_raw").rlike(f"^(?:{r})$"), F.lit(name)).otherwise(kind)
+    out = rows.select(*id_cols, "_p", "_raw", kind.alias("kind"))
+    token = F.when(F.col("kind") == F.lit(error_kind), F.col("_raw")).otherwise(F.ltrim(F.col("_raw"), F.lit(" \t\r\n")))
+    return out.select(*id_cols, (F.col("_p") + 1).cast("long").alias("pos"), "kind", token.alias("token"))
