@@ -79,9 +79,8 @@ def _brute(rows, least):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("chunk", [1024, 16])
-def test_vectors(spark, chunk, monkeypatch):
-    monkeypatch.setattr(vectors, "CHUNK", chunk)
+@pytest.mark.parametrize("rows_a_task", [1 << 17, 16, 3])
+def test_vectors(spark, rows_a_task):
     rng = np.random.default_rng(2)
     rows = []
     for i in range(150):
@@ -91,9 +90,9 @@ def test_vectors(spark, chunk, monkeypatch):
              (204, rows[3][1], None), (205, rows[3][1], rows[3][2]), (205, rows[3][1], rows[3][2]), (None, rows[3][1], rows[3][2]),
              (206, [], 1), (207, [1.0, 2.0], 1), (208, [2.0, 4.0], 1), (209, [float("inf")] * 12, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = vectors.near_vectors(df.selectExpr("*", "1 as pid", "'x' as cell"), least=0.9, block=4).collect()
+    got = vectors.near_vectors(df.selectExpr("*", "1 as pid", "'x' as cell"), least=0.9, block=4, task_values=12 * rows_a_task).collect()
     assert sorted(map(str, map(tuple, got))) == _brute(rows, 0.9)
-    if chunk == 16:
+    if rows_a_task == 16:
         assert vectors.near_vectors(df.where("false")).count() == 0
 
 
@@ -115,3 +114,54 @@ def test_vectors_of_any_size(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()}
     assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True)}
+
+
+def _crowd(n, dim, rng):
+    """Random directions, with a chain of near copies and a dense group among them."""
+    x = rng.standard_normal((n, dim))
+    for i in range(0, n // 10):
+        x[n // 2 + i] = x[i] + rng.standard_normal(dim) * rng.uniform(0, 0.5)
+    x[-n // 10:] = x[0] + rng.standard_normal((n // 10, dim)) * 0.2
+    return x
+
+
+@pytest.mark.parametrize("n", [500, 2000, 8000])
+def test_range_join_prunes(n):
+    """Random vectors, the worst case: the pairs compared in all blocks are a falling share of
+    all pairs, few are verified, none at the threshold is lost."""
+    x = np.random.default_rng(n).standard_normal((n, 64))
+    x[: n // 100] = x[-(n // 100):] + 0.3 * np.random.default_rng(1).standard_normal((n // 100, 64))
+    job = vectors._Joined(x, np.ones(n, np.int64), 8, 0.93)
+    for k in range(8):
+        job.join(k, np.arange(n), None)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert job.links.tolist() == ((unit @ unit.T >= 0.93).sum(1) - 1).tolist()
+    pairs = n * (n - 1) / 2
+    print(n, job.compared / pairs, job.verified / pairs)
+    assert job.verified < 0.01 * pairs
+    assert job.compared < {500: 8, 2000: 5, 8000: 2.5}[n] * pairs
+
+
+def test_cells_meet():
+    """Each pair within the budget meets in exactly one cell, at least one of them at home."""
+    rng = np.random.default_rng(4)
+    z = rng.normal(0, 0.125, (400, 8))
+    at, value = rng.integers(0, 8, 15).tolist(), rng.normal(0, 0.1, 15).tolist()
+    row, cell, home = vectors.cells(z, at, value, 0.0175)
+    assert sorted(row[home].tolist()) == list(range(400))
+    d = ((z[:, None] - z[None]) ** 2).sum(2)
+    where = [{(c, h) for r, c, h in zip(row, cell, home) if r == i} for i in range(400)]
+    for i, j in zip(*np.nonzero(np.tril(d <= 0.0175, -1))):
+        assert sum(c == e and (h or g) for c, h in where[i] for e, g in where[j]) == 1
+
+
+@pytest.mark.parametrize("rows_a_task", [400, 60])
+def test_vectors_in_64_dimensions(spark, rows_a_task):
+    x = _crowd(900, 64, np.random.default_rng(9))
+    label = [i % 3 % 2 for i in range(900)]
+    df = spark.createDataFrame([(i, v.tolist(), label[i]) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df, task_values=64 * rows_a_task).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    same = np.array(label)[:, None] == np.array(label)[None]
+    want = ((unit @ unit.T >= 0.93) & same).sum(1) - 1
+    assert [got[i] for i in range(900)] == want.tolist() and want.sum() > 1000

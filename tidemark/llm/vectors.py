@@ -3,22 +3,29 @@
 Unit vectors with cosine >= c are within squared distance 2 (1 - c).  After a
 rotation the distance is the sum over low-dimensional blocks, so a linked pair
 is within its proportional budget (the block's share of the dimensions) in
-at least one block.  Every block is range-joined on its own: rows are dealt to
-grid cells of its leading coordinates and copied to half of the neighbouring
-cells they are within reach of, so each pair meets in one cell.  A pair counts in
+at least one block.  Every block is range-joined on its own: two sets of rows
+are halved in turn at their widest coordinate, and each time the rows of either
+that are beyond the budget from the other's bounding box leave, so whole
+quarters of the pairs are never compared (``range_pairs``).  A pair counts in
 the first block in whose budget it lies and is skipped in the others, so the
 union of candidates needs no ``distinct``; it is verified by the exact cosine
 there and then.
 
-A cell of any size is compared in blocks of ``CHUNK`` x ``CHUNK`` rows, each its
-own group; a task returns link counts per vector and a forest of links, not
-the pairs.  Equal vectors of one label are one point with a count.
+The points of a label that fit a task are sent there once and joined in all
+blocks.  A larger label is split by a k-d tree per block over all the block's
+coordinates, fitted on a bounded sample of the label: a row goes to its own
+cell and, on one side of each split, to the cells within reach.  The trees
+only deal rows; whatever they are, each pair in reach meets in one cell.  A cell
+of more rows than a task takes is compared in (chunk, chunk) groups; a task
+returns link counts per vector and a forest of links, not the pairs.  Equal
+vectors of one label are one point with a count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +33,13 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import components, written
 
-#: Rows of a cell on one side of a comparison.
-CHUNK = 1024
+#: Coordinates of the rows on one side of a task's comparison (16 MB of doubles).
+VALUES = 1 << 21
+#: Cells of all trees together, and the sampled rows a cell is fitted on.  Labels beyond
+#: that have larger cells, compared in chunks.
+CELLS, PER_CELL = 4096, 32
+#: Pairs compared at once where some are out of reach, and where all are within.
+_TILE, _FULL = 1 << 13, 1 << 18
 #: Room for rounding of float rotation and budgets; the cosine itself is exact in doubles.
 _SLACK = 1e-5
 
@@ -38,8 +50,10 @@ def rotation(dim: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def _edges(dim: int, size: int) -> list[int]:
-    return [*range(0, dim, size), dim]
+def _blocks(dim: int, size: int, least: float) -> list[tuple[int, int, float]]:
+    """(first, one past last coordinate, budget) of every block."""
+    edges = [*range(0, dim, size), dim]
+    return [(lo, hi, 2 * (1 - least) * (hi - lo) / dim + _SLACK) for lo, hi in zip(edges, edges[1:])]
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
@@ -47,124 +61,267 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
-def _deal(dim: int, size: int, grid: int, least: float):
-    """Batches of (pid, label, x) -> one row per (block, cell) copy."""
-    total = 2 * (1 - least)
+def _matrix(column, dim: int) -> np.ndarray:
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return _scaled(a.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
 
-    def run(batches):
-        turn = rotation(dim)
-        edges = _edges(dim, size)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            x = _scaled(x)
-            y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn
-            rows = []  # (block, cell, row, home)
-            for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
-                reach = (total * (hi - lo) / dim) ** 0.5 + _SLACK
-                width = 3 * reach
-                g = min(grid, hi - lo)
-                scaled = y[:, lo:lo + g] / width
-                cell = np.floor(scaled).astype(np.int64)
-                part = scaled - cell
-                near = reach / width
-                every = np.arange(len(x))
-                rows.append((np.full(len(x), k), cell, every, np.ones(len(x), bool)))
-                # steps whose first non-zero coordinate is +1: half of the neighbours
-                for step in np.ndindex(*[3] * g):
-                    step = np.array(step) - 1
-                    lead = step[np.flatnonzero(step)[:1]]
-                    if not len(lead) or lead[0] < 0:
-                        continue
-                    gap = np.where(step > 0, 1 - part, np.where(step < 0, part, 0.0))
-                    i = np.flatnonzero((gap <= near).all(axis=1) & ((gap ** 2).sum(1) <= near ** 2))
-                    rows.append((np.full(len(i), k), cell[i] + step, i, np.zeros(len(i), bool)))
-            block = np.concatenate([r[0] for r in rows])
-            cell = np.concatenate([np.pad(r[1], ((0, 0), (0, grid - r[1].shape[1]))) for r in rows])
-            i = np.concatenate([r[2] for r in rows])
-            home = np.concatenate([r[3] for r in rows])
-            flat = pa.array(cell.ravel())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block.astype(np.int32)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, cell.size + 1, grid, dtype=np.int32)), flat),
-                 pa.array(home), *[b.column(c).take(pa.array(i)) for c in range(b.num_columns)]],
-                names=["block", "cell", "home", *b.schema.names])
-    return run
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(x.shape[1])
 
-def _compare(dim: int, size: int, least: float):
-    total = 2 * (1 - least)
-    edges = _edges(dim, size)
-    budgets = [total * (hi - lo) / dim + _SLACK for lo, hi in zip(edges, edges[1:])]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"pid": [], "links": [], "other": []})
-        block, i, j = int(key[1]), int(key[3]), int(key[4])
-        x = _scaled(np.stack(pdf["x"].to_numpy()).astype(np.float64))
-        pid, copies = pdf["pid"].to_numpy(), pdf["copies"].to_numpy()
-        home, chunk = pdf["home"].to_numpy(), pdf["chunk"].to_numpy()
-        norm = np.linalg.norm(x, axis=1)
-        y = (x / norm[:, None]) @ rotation(dim)
-        left = np.flatnonzero(home & (chunk == i))
-        # home rows meet each other once; a copied row meets the home rows of either chunk
-        right = np.flatnonzero(chunk == j)
-        sides = [(left, right, True)] + ([(np.flatnonzero(home & (chunk == j)), np.flatnonzero(~home & (chunk == i)), False)] if i != j else [])
-        links = np.zeros(len(pdf), np.int64)
-        out: dict[int, int] = {}
-        names = np.arange(len(pdf))
-
-        def root(a):
-            while names[a] != a:
-                names[a] = a = names[names[a]]
-            return a
-
-        forest = []
-        for a, b, same in sides:
-            if not len(a) or not len(b):
+
+# ------------------------------------------------------------- range join
+
+
+def _halves(y: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    z = y[a]
+    order = np.argpartition(z[:, np.argmax(np.ptp(z, axis=0))], len(a) // 2)
+    return a[order[:len(a) // 2]], a[order[len(a) // 2:]]
+
+
+def _near_box(z: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: float) -> np.ndarray:
+    gap = np.maximum(np.maximum(lo - z, z - hi), 0)
+    return np.einsum("ij,ij->i", gap, gap) <= budget
+
+
+def range_pairs(y: np.ndarray, a: np.ndarray, b: np.ndarray | None, budget: float) -> Iterator[tuple]:
+    """Tiles (a, b, same) that hold all pairs of rows ``a`` with rows ``b`` of ``y``
+    within squared distance ``budget``; without ``b``, of ``a`` with itself, where
+    ``same`` marks a tile of rows with themselves."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if b is None:
+            if len(a) * len(a) <= _TILE:
+                if len(a) > 1:
+                    yield a, a, True
                 continue
-            for s in range(0, len(a), 256):
-                p = a[s:s + 256]
-                lo, hi = edges[block], edges[block + 1]
-                d = _squared(y[p, lo:hi], y[b, lo:hi])
-                ok = d <= budgets[block]
-                if same and i == j:  # each pair of home rows once
-                    ok &= ~home[b][None, :] | (p[:, None] < b[None, :])
-                r, c = np.nonzero(ok)
-                if not len(r):
-                    continue
-                u, v = p[r], b[c]
-                first = np.ones(len(u), bool)
-                for k in range(block):  # counted in an earlier block
-                    lo, hi = edges[k], edges[k + 1]
-                    first &= ((y[u, lo:hi] - y[v, lo:hi]) ** 2).sum(1) > budgets[k]
-                u, v = u[first], v[first]
-                cos = (x[u] * x[v]).sum(1) / (norm[u] * norm[v])
-                u, v = u[cos >= least], v[cos >= least]
-                np.add.at(links, u, copies[v])
-                np.add.at(links, v, copies[u])
-                for m, n in zip(u.tolist(), v.tolist()):
-                    g, h = root(m), root(n)
-                    if g != h:
-                        names[g] = h
-                        forest.append((pid[m], 0, pid[n]))
-        for n in np.flatnonzero(links):
-            out[pid[n]] = out.get(pid[n], 0) + int(links[n])
-        rows = [(q, n, None) for q, n in out.items()] + forest
-        return pd.DataFrame(rows, columns=["pid", "links", "other"]).astype({"other": "Int64"}) if rows else none
-    return run
+            left, right = _halves(y, a)
+            todo += [(left, None), (right, None), (left, right)]
+            continue
+        size = -1
+        while len(a) and len(b) and size != len(a) + len(b):  # boxes shrink as rows leave
+            size = len(a) + len(b)
+            z = y[b]
+            lo, hi = z.min(axis=0), z.max(axis=0)
+            a = a[_near_box(y[a], lo, hi, budget)]
+            if len(a):
+                w = y[a]
+                low, high = w.min(axis=0), w.max(axis=0)
+                b = b[_near_box(z, low, high, budget)]
+        if not len(a) or not len(b):
+            continue
+        reach = np.maximum(high - lo, hi - low)
+        if len(a) * len(b) <= (_FULL if reach @ reach <= budget else _TILE):
+            yield a, b, False
+        elif len(a) >= len(b):
+            todo += [(half, b) for half in _halves(y, a)]
+        else:
+            todo += [(a, half) for half in _halves(y, b)]
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows, term by term (no cancellation)."""
     out = np.zeros((len(a), len(b)))
     for k in range(a.shape[1]):
-        out += (a[:, k, None] - b[None, :, k]) ** 2
+        d = a[:, k, None] - b[None, :, k]
+        d *= d
+        out += d
+    return out
+
+
+class _Joined:
+    """Links among the rows of one task: counts per row and a forest."""
+
+    def __init__(self, x: np.ndarray, copies: np.ndarray, size: int, least: float):
+        self.x, self.copies, self.least = x, copies, least
+        self.norm = np.linalg.norm(x, axis=1)
+        self.unit = x / self.norm[:, None]
+        y = _turned(x)
+        self.blocks = [(np.ascontiguousarray(y[:, lo:hi]), budget) for lo, hi, budget in _blocks(x.shape[1], size, least)]
+        self.links = np.zeros(len(x), np.int64)
+        self.names = np.arange(len(x))
+        self.forest: list[tuple[int, int]] = []
+        self.compared = self.verified = 0
+
+    def _root(self, a: int) -> int:
+        names = self.names
+        while names[a] != a:
+            names[a] = a = names[names[a]]
+        return a
+
+    def _cosines(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = np.empty(len(u))
+        for s in range(0, len(u), 1 << 14):
+            p, q = u[s:s + (1 << 14)], v[s:s + (1 << 14)]
+            out[s:s + (1 << 14)] = (self.x[p] * self.x[q]).sum(1) / (self.norm[p] * self.norm[q])
+        return out
+
+    def join(self, block: int, a: np.ndarray, b: np.ndarray | None) -> None:
+        y, budget = self.blocks[block]
+        for p, q, same in range_pairs(y, a, b, budget):
+            near = _squared(y[p], y[q]) <= budget
+            if same:  # each pair once
+                near &= np.tri(len(p), k=-1, dtype=bool)
+            self.compared += near.size
+            r, c = np.nonzero(near)
+            for z, most in self.blocks[:block]:  # counted in an earlier block
+                if not len(r):
+                    break
+                d = z[p[r]] - z[q[c]]
+                new = np.einsum("ij,ij->i", d, d) > most
+                r, c = r[new], c[new]
+            if not len(r):
+                continue
+            self.verified += len(r)
+            u, v = p[r], q[c]
+            if 4 * len(r) > near.size:  # by one product, those at the threshold once more
+                cos = (self.unit[p] @ self.unit[q].T)[r, c]
+                at = np.flatnonzero(np.abs(cos - self.least) < 1e-9)
+                cos[at] = self._cosines(u[at], v[at])
+            else:
+                cos = self._cosines(u, v)
+            u, v = u[cos >= self.least], v[cos >= self.least]
+            np.add.at(self.links, u, self.copies[v])
+            np.add.at(self.links, v, self.copies[u])
+            apart = self.names[u] != self.names[v]
+            for m, n in zip(u[apart].tolist(), v[apart].tolist()):
+                g, h = self._root(m), self._root(n)
+                if g != h:
+                    self.names[g] = h
+                    self.forest.append((m, n))
+            while not np.array_equal(flat := self.names[self.names], self.names):
+                self.names[:] = flat
+
+
+def _compare(dim: int, size: int, least: float):
+    schema = pa.schema([("pid", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        block, i, j = (key[k].as_py() for k in (1, 3, 4))
+        col = {c: table.column(c).to_numpy() for c in ("pid", "copies", "home", "chunk")}
+        order = np.argsort(col["pid"])  # a retry sees the rows in the same order
+        pid, copies, home, chunk = (col[c][order] for c in ("pid", "copies", "home", "chunk"))
+        job = _Joined(_matrix(table.column("x"), dim)[order], copies, size, least)
+        mine, theirs = np.flatnonzero(home & (chunk == i)), np.flatnonzero(home & (chunk == j))
+        # home rows meet each other once; a copied row meets the home rows of either chunk
+        pairs = [(mine, None if i == j else theirs), (mine, np.flatnonzero(~home & (chunk == j)))]
+        if i != j:
+            pairs.append((theirs, np.flatnonzero(~home & (chunk == i))))
+        for k in range(len(job.blocks)) if block < 0 else [block]:
+            for a, b in pairs:
+                job.join(k, a, b)
+        linked = np.flatnonzero(job.links)
+        m, n = np.array(job.forest, np.int64).reshape(-1, 2).T
+        none = pa.nulls(len(linked), pa.int64())
+        return pa.table([pa.array(np.concatenate([pid[linked], pid[m]])),
+                         pa.array(np.concatenate([job.links[linked], np.zeros(len(m), np.int64)])),
+                         pa.concat_arrays([none, pa.array(pid[n], pa.int64())])], schema=schema)
+    return run
+
+
+# ------------------------------------------------------- cells of large labels
+
+
+def _fit(dim: int, size: int, least: float, depths: dict[int, int]):
+    """Sampled rows of a label -> per block the splits of a tree, node i over 2i+1 and 2i+2."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        lab = key[0].as_py()
+        y = _turned(_matrix(table.column("x"), dim)[np.argsort(table.column("pid").to_numpy())])
+        rows = []
+        for k, (lo, hi, _) in enumerate(_blocks(dim, size, least)):
+            z = y[:, lo:hi]
+            level, at, value = [np.arange(len(z))], [], []
+            for _ in range(depths[lab]):
+                below = []
+                for a in level:
+                    spread = z[a].var(axis=0) if len(a) else np.zeros(hi - lo)
+                    at.append(int(np.argmax(spread)))
+                    value.append(float(np.median(z[a, at[-1]])) if len(a) else 0.0)
+                    left = z[a, at[-1]] < value[-1]
+                    below += [a[left], a[~left]]
+                level = below
+            rows.append((lab, k, at, value))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (
+            pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64())))], names=["lab", "block", "at", "value"])
+    return run
+
+
+def cells(z: np.ndarray, at: list[int], value: list[float], budget: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, home) of the rows ``z`` in a tree's cells: a row's own cell, and those
+    within reach that a split puts after it."""
+    out = []
+    todo = [(0, np.arange(len(z)), np.zeros(z.shape), np.ones(len(z), bool))]
+    while todo:
+        node, rows, gap, home = todo.pop()
+        if not len(rows):
+            continue
+        if node >= len(at):
+            out.append((rows, np.full(len(rows), node), home))
+            continue
+        d = z[rows, at[node]] - value[node]
+        for child, own in ((2 * node + 1, d < 0), (2 * node + 2, d >= 0)):
+            g = gap.copy()
+            g[~own, at[node]] = np.abs(d[~own])
+            stay = own | ((~home | (d < 0)) & (np.einsum("ij,ij->i", g, g) <= budget))
+            todo.append((child, rows[stay], g[stay], (home & own)[stay]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int),) * 3
+
+
+def _deal(dim: int, size: int, least: float, trees):
+    """Batches of (lab, pid, label, x, copies) -> one row per (block, cell) copy; a label
+    without trees is one cell of block -1."""
+    def run(batches):
+        blocks = _blocks(dim, size, least)
+        for b in batches:
+            lab = b.column(0).to_numpy()
+            known = [int(v) for v in np.unique(lab) if int(v) in trees.value]
+            parts = [(-1, np.flatnonzero(~np.isin(lab, known)), None, None)]
+            if known:
+                y = _turned(_matrix(b.column(3), dim))
+            for v in known:
+                rows = np.flatnonzero(lab == v)
+                for k, (lo, hi, budget) in enumerate(blocks):
+                    i, cell, home = cells(y[rows, lo:hi], *trees.value[v][k], budget)
+                    parts.append((k, rows[i], cell, home))
+            i = np.concatenate([p[1] for p in parts])
+            block = np.concatenate([np.full(len(p[1]), p[0], np.int32) for p in parts])
+            cell = np.concatenate([np.zeros(len(p[1]), np.int64) if p[2] is None else p[2].astype(np.int64) for p in parts])
+            home = np.concatenate([np.ones(len(p[1]), bool) if p[3] is None else p[3].astype(bool) for p in parts])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block), pa.array(cell), pa.array(home),
+                 *[b.column(c).take(pa.array(i)) for c in range(1, b.num_columns)]],
+                names=["block", "cell", "home", *b.schema.names[1:]])
+    return run
+
+
+def _trees(p: DataFrame, dim: int, size: int, least: float, rows: int) -> dict:
+    """Label digest -> per block (coordinates, values) of the splits, for labels of more than
+    ``rows`` points.  A digest two labels share costs nothing but the fit."""
+    big = (p.groupBy("lab").agg(F.count("*").alias("n")).where(F.col("n") > rows)
+           .orderBy(F.desc("n"), "lab").limit(CELLS // 2).collect())
+    depths, left = {}, CELLS
+    for r in big:
+        depth = min(int(np.ceil(np.log2(r.n / rows))), int(np.log2(left)) if left > 1 else 0)
+        if depth:
+            depths[r.lab], left = depth, left - (1 << depth)
+    if not depths:
+        return {}
+    # about PER_CELL points of every cell to come, chosen by digest, are fitted on
+    share = [(r.lab, min(1.0, PER_CELL * (1 << depths[r.lab]) / r.n)) for r in big if r.lab in depths]
+    spark = p.sparkSession
+    rates = F.broadcast(spark.createDataFrame(share, "lab long, share double"))
+    chosen = p.join(rates, "lab").where(F.pmod(F.xxhash64("pid", F.lit(7)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    fitted = chosen.select("lab", "pid", "x").groupBy("lab").applyInArrow(
+        _fit(dim, size, least, depths), "lab long, block int, at array<int>, value array<double>").collect()
+    out: dict[int, dict] = {}
+    for r in fitted:
+        out.setdefault(r.lab, {})[r.block] = (r["at"], r["value"])
     return out
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",
-                 least: float = 0.93, block: int = 8, grid: int = 2) -> DataFrame:
+                 least: float = 0.93, block: int = 8, task_values: int = VALUES) -> DataFrame:
     """(``vec_id``, n_links, component_id, kept), one row per row of ``vectors``.
 
     Rows of equal, non-null label link where their cosine in doubles is at
@@ -188,19 +345,22 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     found = []
     for dim in [r[0] for r in points.select(F.size("pkey.x")).distinct().collect()]:  # the lengths in use
         p = points.where(F.size("pkey.x") == dim).select("pid", F.col("pkey.label").alias("label"), F.col("pkey.x").alias("x"), "copies")
-        schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("cell", T.ArrayType(T.LongType())),
-                               T.StructField("home", T.BooleanType()), *p.schema.fields])
-        dealt = p.mapInArrow(_deal(dim, block, grid, least), schema)
+        most = max(2, task_values // dim)
+        p = p.select(F.xxhash64("label").alias("lab"), "pid", "label", "x", "copies")
+        trees = p.sparkSession.sparkContext.broadcast(_trees(p, dim, block, least, most))  # at most CELLS cells
+        schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("cell", T.LongType()),
+                               T.StructField("home", T.BooleanType()), *p.drop("lab").schema.fields])
+        dealt = p.mapInArrow(_deal(dim, block, least, trees), schema)
         # cells are counted from the narrow columns, then split into chunks
         counts = dealt.groupBy("label", "block", "cell").agg(F.count("*").alias("rows"), F.sum(F.col("home").cast("int")).alias("homes"))
         counts = counts.where("rows > 1 and homes > 0").select(
-            F.struct("label", "block", "cell").alias("at"), F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
+            F.struct("label", "block", "cell").alias("at"), F.ceil(F.col("rows") / most).cast("int").alias("chunks"))
         d = dealt.withColumn("at", F.struct("label", "block", "cell")).join(counts, "at")
         d = d.withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("chunks")).cast("int"))
         d = d.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(
             F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))))
         d = d.select("label", "block", "cell", "pair.i", "pair.j", "chunk", "home", "pid", "copies", "x")
-        found.append(d.groupBy("label", "block", "cell", "i", "j").applyInPandas(
+        found.append(d.groupBy("label", "block", "cell", "i", "j").applyInArrow(
             _compare(dim, block, least), "pid long, links long, other long"))
     if not found:
         out = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
