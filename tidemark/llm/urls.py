@@ -8,7 +8,8 @@ digest that fits is only taken when the stored string equals the probed one, so
 a collision never decides.
 
 A url's probes are the (host suffix, path prefix) pairs it could fit; only
-path prefixes of lengths that occur among the rules are tried.
+host suffixes and path prefixes of lengths that occur among the rules are tried, so a
+host of many dots costs no more than another.
 """
 
 from __future__ import annotations
@@ -43,10 +44,12 @@ def build_index(rules: Iterable[tuple[str, str, str]]) -> dict:
         raise ValueError(f"{size} bytes of rules: split the list by host and run the filter on each part")
     digests = np.array([xxhash.xxh64_intdigest(k) for k in best], np.uint64)
     order = np.argsort(digests, kind="stable")
-    keys = [list(best)[i] for i in order]
+    names = list(best)
+    keys = [names[i] for i in order]
     offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int64)
     return {"n": len(keys), "digests": digests[order].tobytes(), "offsets": offsets.tobytes(),
             "block": bytes(best[k] for k in keys), "strings": b"".join(keys),
+            "hosts": sorted({k.find(b"/") if b"/" in k else len(k) for k in keys}),
             "paths": sorted({len(k) - k.find(b"/") if b"/" in k else 0 for k in keys}, reverse=True)}
 
 
@@ -54,7 +57,7 @@ class Probe:
     """The mapped index of one task."""
 
     def __init__(self, index: dict):
-        self.n, self.paths = index["n"], index["paths"]
+        self.n, self.hosts, self.paths = index["n"], index["hosts"], index["paths"]
         parts = [index["digests"], index["offsets"], index["block"], index["strings"]]
         with tempfile.TemporaryFile() as f:  # unlinked: gone with the mapping
             f.write(b"".join(parts) or b"\0")
@@ -94,11 +97,11 @@ def host_and_path(url: str) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), slash + path
 
 
-def _keys(host: str, path: str, lengths: list[int]) -> list[bytes]:
+def _keys(host: str, path: str, hosts: list[int], lengths: list[int]) -> list[bytes]:
     """Every rule string this url could fit, longest first."""
-    hosts = [host] + [host[i + 1:] for i, c in enumerate(host) if c == "."] if host else []
-    p = path.encode()
-    found = [h.encode() + p[:n] for h in hosts for n in lengths if n <= len(p)]
+    h, p = host.encode(), path.encode()
+    ends = [h[len(h) - n:] for n in hosts if 0 < n <= len(h) and (n == len(h) or h[-n - 1:len(h) - n] == b".")]
+    found = [e + p[:n] for e in ends for n in lengths if n <= len(p)]
     return sorted(set(found), key=len, reverse=True)
 
 
@@ -120,7 +123,7 @@ def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url: str
         probe = Probe(index.value)
         for b in batches:
             parts = [host_and_path(u or "") for u in b.column(b.num_columns - 1).to_pylist()]
-            keys = [_keys(h, p, probe.paths) for h, p in parts]
+            keys = [_keys(h, p, probe.hosts, probe.paths) for h, p in parts]
             hit = probe.find([k for ks in keys for k in ks])
             rule, verdict, at = [], [], 0
             for ks in keys:
