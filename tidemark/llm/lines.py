@@ -2,7 +2,7 @@
 
 Lines are parsed as logs are: a tree of fixed depth leads from the number of
 tokens over the first ``depth`` tokens (those with digits are variable at
-once) to a leaf.  In a leaf a place is constant where one token fills at
+once, unless all of the line's are) to a leaf.  In a leaf a place is constant where one token fills at
 least half of the lines; the other places are variable fields.  A line whose
 constant places are at least half of those after the leading ones takes the
 leaf's template, tokens of variable places as ``<*>``; another keeps its own
@@ -25,9 +25,12 @@ FIELD = "<*>"
 
 
 def _tokens(line: Column) -> Column:
-    """Tokens of a line, those with a digit as variable fields; null for a blank line."""
+    """Tokens of a line, those with a digit as variable fields; null for a blank line.
+    Where every token has a digit, nothing would be left to tell the lines of a table
+    apart, so these tokens stay as they are."""
     t = F.split(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")), " ")
-    t = F.transform(t, lambda x: F.when(x.rlike("[0-9]"), F.lit(FIELD)).otherwise(x))
+    named = line.rlike(r"(?:^|[\x20\x09-\x0D])[^\x20\x09-\x0D0-9]+(?:[\x20\x09-\x0D]|\z)")
+    t = F.when(named, F.transform(t, lambda x: F.when(x.rlike("[0-9]"), F.lit(FIELD)).otherwise(x))).otherwise(t)
     return F.when(line.rlike(r"[^\x20\x09-\x0D]"), t)
 
 
@@ -85,11 +88,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", depth: int = 3, min_docs: i
     firsts = (hits.where("key = first_key").groupBy("template").agg(first.alias("first_place"))
               .select(F.struct("template").alias("at"), "first_place"))
     drop = (hits.join(firsts, "at").where("not (key = first_key and place = first_place)")
-            .groupBy("key").agg(F.collect_set("place").alias("_drop")).withColumnRenamed("key", "_key"))
-    out = docs.select(packed(docs, kept), text_key(text).alias("_key"),
-                      F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(drop, "_key", "left")
+            .groupBy("key").agg(F.collect_set("place").alias("_drop")).select(F.struct("key").alias("_at"), "_drop"))
+    # joined on the struct, so both sides are dealt anew and AQE can split the copies of a text
+    out = docs.select(packed(docs, kept), F.struct(text_key(text).alias("key")).alias("_at"),
+                      F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(drop, "_at", "left")
     lines = F.split("_text", "\n")
-    stay = F.filter(lines, lambda x, i: ~F.array_contains("_drop", i))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_drop")  # hashed: linear in the lines
+    # the split lines as a lambda's variable are computed once a text
+    stay = F.get(F.transform(F.array(lines), lambda whole: F.transform(places, lambda i: F.get(whole, i))), F.lit(0))
     return out.select(
         *unpacked(kept),
         F.when(F.col("_text") == "", F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
@@ -104,7 +110,9 @@ l AS (SELECT key, i - 1 AS place, string_split(text, chr(10))[i] AS line
       FROM (SELECT key, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM u)),
 t AS (SELECT key, place, list_transform(
           string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' '),
-          lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens
+          lambda x: CASE WHEN regexp_matches(x, '[0-9]')
+              AND regexp_matches(line, '(?:^|[\x20\x09-\x0D])[^\x20\x09-\x0D0-9]+(?:[\x20\x09-\x0D]|\z)')
+              THEN '<*>' ELSE x END) AS tokens
       FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 f AS (SELECT *, CAST(len(tokens) AS VARCHAR) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM t),
 g AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT key) >= 5),
