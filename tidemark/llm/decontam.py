@@ -24,17 +24,30 @@ from tidemark.llm.common import packed, text_key, unpacked, written
 BROADCAST_ROWS = 1_000_000
 
 
-def shingle_hashes(text: Column, words: int) -> Column:
+def shingle_hashes(text: Column, words: int, lengths: list[int] | None = None) -> Column:
     """64-bit hashes of the shingles of ``words`` words, runs of letters, marks and
-    digits, lower-cased; a shorter text's whole sequence is its one shingle."""
+    digits, lower-cased; a shorter text's whole sequence is its one shingle.  With
+    ``lengths``, each below ``words``, a text of any length has all shingles of ``words`` and
+    of those many words, the latter hashed as whole short texts are."""
     def of_hashes(h: Column) -> Column:
         n = F.size(h)
+        none = F.slice(h, 1, 0)
+        if lengths is not None:
+            parts = [F.when(n >= words, F.transform(F.sequence(F.lit(0), n - words), lambda i: F.xxhash64(
+                *[F.get(h, i + k) for k in range(words)]))).otherwise(none)]
+            for m in lengths:  # the lambda is called at once, so it sees this ``m``
+                parts.append(F.when(n >= m, F.transform(F.sequence(F.lit(1), n - (m - 1)), lambda i: F.xxhash64(
+                    F.lit("short"), F.slice(h, i, F.lit(m))))).otherwise(none))
+            return F.concat(*parts)
         full = F.transform(F.sequence(F.lit(0), n - words), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)]))
         short = F.transform(F.slice(h, 1, 1), lambda _: F.xxhash64(F.lit("short"), h))
         return F.when(n >= words, full).otherwise(short)
 
-    t = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != "")
-    return _let(F.transform(t, lambda x: F.xxhash64(x)), of_hashes)
+    return _let(F.transform(_words(text), lambda x: F.xxhash64(x)), of_hashes)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != "")
 
 
 def _let(value: Column, body) -> Column:
@@ -64,18 +77,20 @@ def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", item_
 
     ``key`` is the text's digest (``text_key``), ``item`` that of the item's text.
     Null and empty texts and items without words contain nothing and are contained
-    in nothing.  An item of fewer than ``words`` words is found in texts that are
-    the same few words and no others.
+    in nothing.  An item of fewer than ``words`` words is found wherever these words
+    stand one after another.
     """
     it = written(items.select(text_key(item_text).alias("item"), F.array_distinct(
-        shingle_hashes(F.col(item_text), words)).alias("shingles")).dropDuplicates(["item"]).where(F.size("shingles") > 0), "items")
+        shingle_hashes(F.col(item_text), words)).alias("shingles"), F.size(_words(F.col(item_text))).alias("size")).dropDuplicates(["item"]).where(F.size("shingles") > 0), "items")
+    # the lengths of shorter items, words - 1 numbers at most; texts have shingles of those too
+    lengths = sorted(r[0] for r in it.where(F.col("size") < words).select("size").distinct().collect())
     sig = written(signatures(it, percent), "signatures")
     keyed = docs.select(text_key(text).alias("key"), F.col(text).alias("text"))
-    probes = keyed.select("key", F.explode(shingle_hashes(F.col("text"), words)).alias("sh"))
+    probes = keyed.select("key", F.explode(shingle_hashes(F.col("text"), words, lengths or None)).alias("sh"))
     cand = written(probes.join(_small(sig), "sh").select("key", "item").distinct(), "candidates")
     suspects = _small(written(cand.select("key").distinct(), "suspects"))
     full = (keyed.join(suspects, "key", "left_semi").dropDuplicates(["key"])
-            .select("key", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("have")))
+            .select("key", F.array_distinct(shingle_hashes(F.col("text"), words, lengths or None)).alias("have")))
     j = cand.join(full, "key").join(it, "item")
     shared = F.size(F.array_intersect("shingles", "have"))
     return (j.select("key", "item", shared.alias("n_shared"), F.size("shingles").alias("n_item"))
@@ -106,9 +121,13 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text,
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 bs AS (SELECT DISTINCT item_id, CASE WHEN len(w) >= 5 THEN w[i:i + 4] ELSE ['short', array_to_string(w, ' ')] END AS sh
        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM b WHERE len(w) > 0)),
+bl AS (SELECT DISTINCT len(w) AS m FROM b WHERE len(w) BETWEEN 1 AND 4),
 ds AS (SELECT DISTINCT doc_id, sh FROM (
-         SELECT doc_id, CASE WHEN len(w) >= 5 THEN w[i:i + 4] ELSE ['short', array_to_string(w, ' ')] END AS sh
-         FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0))
+         SELECT doc_id, w[i:i + 4] AS sh
+         FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+         UNION ALL
+         SELECT doc_id, ['short', array_to_string(w[i:i + m - 1], ' ')] AS sh
+         FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d JOIN bl ON len(w) >= m))
        SEMI JOIN bs USING (sh)),
 n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, n_item
