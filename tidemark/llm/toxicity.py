@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import mix, packed, unpacked, word_hashes, word_spans, written
+from tidemark.llm.common import mix, packed, text_key, unpacked, word_hashes, word_spans, written
 
 BITS = 22
 PREFIX = 5
@@ -120,14 +120,21 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
           max_rows: int = 20_000, max_terms: int = 20_000, least_docs: int = 4, least_z: float = 3.5) -> Model:
     """Fit on the labelled rows of ``docs`` that aren't held out.
 
+    At most ``max_rows`` rows are fitted, however often an id is met: equal texts of an
+    id count once, different ones and two labels of an id count each.
     Rows without a label or an id are no training rows.  With no rows, or rows of
     one label, the model scores every text with the (smoothed) share of label 1.
     """
     sample = (labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y"))
               .where(F.col("_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("_id")))
               .distinct().orderBy(F.xxhash64("_id"), "_id", "y").limit(max_rows))
-    labelled = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(
-        F.broadcast(sample), "_id").select("y", "_text")  # max_rows pairs of numbers
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
+    found = texts.join(F.broadcast(sample), "_id")  # max_rows pairs of numbers
+    # an id may be on many rows: the bound holds for what is fitted, texts by their digests
+    chosen = (found.select("_id", "y", text_key("_text").alias("_key")).distinct()
+              .orderBy(F.xxhash64("_id"), "_id", "y", "_key").limit(max_rows))
+    labelled = (found.withColumn("_key", text_key("_text")).join(F.broadcast(chosen), ["_id", "y", "_key"])
+                .dropDuplicates(["_id", "y", "_key"]).select("y", "_text"))
     rows = written(labelled.mapInArrow(_numbers, "y int, terms array<int>"), "train")
     total, ones = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not total or ones in (0, total):
