@@ -7,9 +7,13 @@ A block's text-to-tag ratio is its count of non-link characters over its tags;
 the ratios are smoothed with a Gaussian and blocks above a threshold form the
 content clusters, as in ratio-based extraction.  The clusters choose the
 *region*: the article or main element (else the body) that holds most of
-their text.  All blocks of that region are the result, so a short paragraph
-between long ones stays.  Blocks inside boilerplate elements (menus, headers,
-footers, sidebars, forms, adverts, notices, comments) never count.
+their text.  All blocks of an article or main are the result, so a short paragraph
+between long ones stays.  Where the page has neither, the clusters choose the
+blocks too: runs above the threshold, short gaps bridged, their edges cut back to
+blocks that are above it by their own ratio, paragraphs or headings.  Blocks inside
+boilerplate elements (menus, headers, footers, sidebars, adverts, notices, comments)
+never count, nor those of forms, unless a form is wrapped round an article, a main or
+most of the clustered text.
 """
 
 from __future__ import annotations
@@ -24,30 +28,40 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import packed, unpacked
 
-SKIP = frozenset("script style noscript template head title nav aside footer form button select option textarea "
+SKIP = frozenset("script style noscript template head title nav aside footer button select option textarea "
                  "iframe object svg canvas dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 "
+BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure form h1 h2 h3 "
                   "h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr "
                   "ul".split())
 ENDS_P = BLOCK - {"html", "body"}
 REGION = frozenset(("article", "main", "body"))
-#: Names of boilerplate in class, id and role, as whole words.
-BOILER = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar "
-                   "sidenav menu navbar nav navigation breadcrumb breadcrumbs footer comment comments commentlist "
-                   "disqus respond replies reply cookie cookies consent gdpr notice notices alert popup modal overlay "
-                   "newsletter subscribe signup share sharing social related recommended masthead toolbar "
-                   "widget skip pagination pager contentinfo complementary search".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names of boilerplate in class, id and role, as any word of a name.
+BOILER = frozenset("ad ads advert adverts advertisement advertising sponsored sidebar "
+                   "sidenav navbar nav navigation breadcrumb breadcrumbs footer comments commentlist "
+                   "disqus cookie cookies gdpr popup newsletter masthead pagination contentinfo complementary".split())
+#: Names that also stand for content: boilerplate only as a whole name, or before a part of a page.
+AMBIGUOUS = frozenset("sponsor promo promotion banner menu comment respond replies reply consent notice notices alert "
+                      "modal overlay subscribe signup share sharing social related recommended toolbar widget skip "
+                      "pager search".split())
+PART = frozenset("area articles bar box button buttons container form icons item items link links list media panel posts "
+                 "section stories text thread wrapper".split())
 _LAYOUT = frozenset(("has", "no", "with", "without"))
+_LEGAL = re.compile(r"©|\(c\)|copyright\b|all rights reserved", re.I)
 _SPACES = re.compile(r"\s+")
 
 
-def _boiler(attrs) -> bool:
+def _boiler(tag: str, attrs) -> bool:
+    """Whether an element's names or style mark it; names never mark a heading."""
     for k, v in attrs:
         if k in ("class", "id", "role") and v:
+            if tag in HEADING:
+                continue
             for name in v.lower().split():  # "has-sidebar" tells of a page's layout
                 parts = re.split(r"[^a-z0-9]+", name)
-                if not BOILER.isdisjoint(parts) and _LAYOUT.isdisjoint(parts):
+                plain = len(parts) == 1 or len(parts) == 2 and parts[1] in PART
+                if _LAYOUT.isdisjoint(parts) and (not BOILER.isdisjoint(parts) or plain and parts[0] in AMBIGUOUS):
                     return True
         elif k == "hidden" or k == "aria-hidden" and v == "true":
             return True
@@ -57,11 +71,12 @@ def _boiler(attrs) -> bool:
 
 
 class _Blocks(HTMLParser):
-    """Events to blocks: (region number, text pieces, tags, link characters)."""
+    """Events to blocks: (region number, text, tags, link characters, form number, element)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, skipped, region
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, skipped, region, form
+        self.forms: list[list] = []  # outer form, holds an article or main
         self.skipped = 0
         self.regions = [("body", -1)]  # kind, parent
         self.links = 0
@@ -72,10 +87,14 @@ class _Blocks(HTMLParser):
     def region(self) -> int:
         return self.open[-1][2] if self.open else 0
 
+    def form(self) -> int:
+        return self.open[-1][3] if self.open else -1
+
     def cut(self) -> None:
         text = _SPACES.sub(" ", "".join(self.pieces)).strip()
         if text:
-            self.blocks.append([self.region(), text, self.tags, self.link_chars])
+            element = next((t for t, *_ in reversed(self.open) if t in BLOCK), "body")
+            self.blocks.append([self.region(), text, self.tags, self.link_chars, self.form(), element])
         if text or self.pieces:
             self.tags = self.link_chars = 0
         self.pieces = []
@@ -89,7 +108,7 @@ class _Blocks(HTMLParser):
             if tag == "hr":
                 self.cut()
             return
-        if tag in ENDS_P and any(t == "p" for t, _, _ in self.open[-4:]):  # an open paragraph ends here
+        if tag in ENDS_P and any(t == "p" for t, *_ in self.open[-4:]):  # an open paragraph ends here
             for i in range(len(self.open) - 1, -1, -1):
                 if self.open[i][0] == "p":
                     self.end(i)
@@ -97,21 +116,29 @@ class _Blocks(HTMLParser):
                 if self.open[i][0] in BLOCK:
                     break
         if tag == "body":  # also ends a head left open
-            for i, (t, _, _) in enumerate(self.open):
+            for i, (t, *_) in enumerate(self.open):
                 if t == "head":
                     self.end(i)
                     break
         if tag in BLOCK:
             self.cut()
         region = self.region()
-        skip = tag in SKIP or tag not in ("html", "body", "main") and _boiler(attrs)
-        if tag == "header" and not any(t in ("article", "main") for t, _, _ in self.open):
+        skip = tag in SKIP or tag not in ("html", "body", "main") and _boiler(tag, attrs)
+        if tag == "header" and not any(t in ("article", "main") for t, *_ in self.open):
             skip = True
         if tag in REGION and not skip and not self.skipped:
             if tag != "body":
                 self.regions.append((tag, region))
                 region = len(self.regions) - 1
-        self.open.append((tag, skip, region))
+                f = self.form()
+                while f >= 0:
+                    self.forms[f][1] = True
+                    f = self.forms[f][0]
+        form = self.form()
+        if tag == "form":
+            self.forms.append([form, False])
+            form = len(self.forms) - 1
+        self.open.append((tag, skip, region, form))
         self.skipped += skip
         self.links += tag == "a"
 
@@ -121,9 +148,9 @@ class _Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def end(self, i: int) -> None:
-        if any(t in BLOCK for t, _, _ in self.open[i:]):
+        if any(t in BLOCK for t, *_ in self.open[i:]):
             self.cut()
-        for t, skip, _ in self.open[i:]:
+        for t, skip, *_ in self.open[i:]:
             self.skipped -= skip
             self.links -= t == "a"
             if skip and not self.skipped:
@@ -147,37 +174,67 @@ class _Blocks(HTMLParser):
                 self.link_chars += len(data)
 
 
-def blocks_of(html: str) -> tuple[list[list], list[tuple[str, int]]]:
+def blocks_of(html: str, sigma: float = 1.0) -> tuple[list[list], list[tuple[str, int]]]:
+    """Blocks and regions of a page, without those of forms that only are forms."""
     p = _Blocks()
     p.feed(html)
     p.close()
     p.cut()
-    return p.blocks, p.regions
+    if not p.forms:
+        return p.blocks, p.regions
+    weight, total = [0] * len(p.forms), 0
+    for b, c in zip(p.blocks, content_clusters(p.blocks, sigma)[0]):
+        f = b[4]
+        total += c * len(b[1])
+        while f >= 0:
+            weight[f] += c * len(b[1])
+            f = p.forms[f][0]
+    kept = [b for b in p.blocks if b[4] < 0 or p.forms[b[4]][1] or 2 * weight[b[4]] > total]
+    return kept, p.regions
 
 
-def content_clusters(blocks: list[list], sigma: float = 1.0) -> np.ndarray:
-    """True for the blocks whose smoothed text-to-tag ratio is above the threshold:
-    the standard deviation of the ratios, the mean at most."""
-    ratio = np.array([max(0, len(t) - links) / max(1, tags) for _, t, tags, links in blocks], float)
+def content_clusters(blocks: list[list], sigma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """For each block whether its smoothed text-to-tag ratio is above the threshold (the
+    standard deviation of the ratios, the mean at most), and whether its own ratio is."""
+    ratio = np.array([max(0, len(b[1]) - b[3]) / max(1, b[2]) for b in blocks], float)
     if len(ratio) < 2:
-        return np.ones(len(ratio), bool)
+        return np.ones(len(ratio), bool), np.ones(len(ratio), bool)
     reach = int(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     smooth = np.convolve(ratio, kernel)[reach:reach + len(ratio)]
     smooth /= np.convolve(np.ones(len(ratio)), kernel)[reach:reach + len(ratio)]
-    return smooth >= min(smooth.std(), smooth.mean())
+    least = min(smooth.std(), smooth.mean())
+    return smooth >= least, ratio >= least
+
+
+def _runs(blocks: list[list], content: np.ndarray, own: np.ndarray, gap: int = 3) -> np.ndarray:
+    """True for the blocks of content runs.  A run begins and ends with a block above the
+    threshold by its own ratio, or with paragraphs and headings without links beside it;
+    runs up to ``gap`` blocks apart are one."""
+    firm = content & own
+    soft = np.array([b[5] == "p" and not b[3] and not _LEGAL.match(b[1]) or b[5] in HEADING for b in blocks], bool)
+    keep = firm.copy()
+    at = np.flatnonzero(firm)
+    for a, b in zip(at, at[1:]):
+        if b - a <= gap + 1:
+            keep[a:b] = True
+    for i in range(1, len(blocks)):  # after a run
+        keep[i] |= keep[i - 1] and soft[i] and blocks[i][5] not in HEADING
+    for i in range(len(blocks) - 2, -1, -1):  # before one
+        keep[i] |= keep[i + 1] and soft[i]
+    return keep
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The main text of a page: its blocks joined by line feeds, "" if none."""
     if not html:
         return ""
-    blocks, regions = blocks_of(html)
+    blocks, regions = blocks_of(html, sigma)
     if not blocks:
         return ""
-    content = content_clusters(blocks, sigma)
+    content, own = content_clusters(blocks, sigma)
     weight = [0] * len(regions)
-    for (r, text, _, _), c in zip(blocks, content):
+    for (r, text, *_), c in zip(blocks, content):
         if c:
             while r >= 0:  # a region holds what its inner regions hold
                 weight[r] += len(text)
@@ -191,8 +248,10 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         chosen = {r for r in range(1, len(regions)) if weight[r]}
     else:
         chosen = {best}
+    if len(regions) == 1:  # nothing but the body
+        return "\n".join(b[1] for b, k in zip(blocks, _runs(blocks, content, own)) if k)
     out = []
-    for r, text, _, _ in blocks:
+    for r, text, *_ in blocks:
         while r >= 0 and r not in chosen:
             r = regions[r][1]
         if r >= 0:
